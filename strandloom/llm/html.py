@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import _arrow_schema
+from .common import _arrow_schema, slices
 
 #: Fixed values of HTML: elements without content, elements whose content is no text, and elements that end a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -410,7 +410,6 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     arrow = _arrow_schema(out)
 
     def run(batches):
-        from .common import slices
 
         for batch in batches:
             for part in slices(batch, 2):

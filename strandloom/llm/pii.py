@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _arrow_schema, free_name, join_checked, slices, stored
+from .common import _arrow_schema, free_name, join_checked, slices, small, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words counted in a task before they are handed on as partial counts.
@@ -174,8 +174,6 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window:
     # null keys meet too
     by = extra.select(F.col("key").alias("k"), F.col("same").alias("s"), "extra")
     kept = rows.select("key", "same", "base", "counts", "digest")
-    from .common import small
-
     joined = kept.join(F.broadcast(by) if small(by) else by, kept["key"].eqNullSafe(by["k"]) & (kept["same"] == by["s"]), "left")
     term = F.coalesce(F.transform("extra", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"))), F.array().cast("array<struct<start:int,kind:int,stop:int>>"))
     spans = F.sort_array(F.concat("base", term))
@@ -209,8 +207,6 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window
     schema = docs.schema
     arrow = _arrow_schema(schema)
     place = docs.columns.index(text)
-    from .common import small
-
     # the key names the few documents with extra spans; the hash of the text, made below, tells repeated keys apart
     grouped = stored(extra.groupBy(names[2]).agg(F.collect_list(F.struct(names[0], names[1])).alias(names[1])), "extras")
     joined = docs.join(F.broadcast(grouped) if small(grouped) else grouped, docs[key].eqNullSafe(grouped[names[2]]), "left").select(*[docs[c] for c in docs.columns], names[1])
