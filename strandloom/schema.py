@@ -1,0 +1,11 @@
+"""Schemas of the tables that the operators take and give."""
+
+BBOX = "struct<x1:int,y1:int,x2:int,y2:int>"
+DETECTIONS = f"clip_idx int, track_id int, frame_idx int, bbox {BBOX}, frame_w int, frame_h int"
+FRAME_FEATURES = "clip_idx int, track_id int, frame_idx int, body array<float>, face array<float>, pose array<float>, has_face boolean, quality double"
+TRACKLETS = (
+    "clip_idx int, track_id int, start_frame int, end_frame int, num_detections int, body_emb array<float>, face_emb array<float>, pose_emb array<float>, motion_emb array<float>, "
+    f"has_face boolean, face_ratio double, num_face_frames int, max_consec_face_frames int, num_frames int, frames array<int>, bboxes array<{BBOX}>"
+)
+CATALOGUE = "global_id long, clip_idx int, start_frame int, end_frame int"
+SCENE_LABELS = "clip_id int, label string, category string, confidence double"
