@@ -12,16 +12,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..config import DEFAULT, Config
 
 
+def timed(stream: DataFrame, late: str) -> DataFrame:
+    """stream with ts as a time stamp of the session's zone and a watermark on it."""
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def track_sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Stretches of a track without a gap: user_id, start, end, rows. The gap plays the part of a tracker's buffer."""
     w = F.session_window("ts", gap)
-    return stream.withWatermark("ts", late).groupBy(w, "user_id").agg(F.count("*").alias("rows")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "rows")
+    return timed(stream, late).groupBy(w, "user_id").agg(F.count("*").alias("rows")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "rows")
 
 
 def window_counts(stream: DataFrame, size: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Detections and mean value by clip in tumbling windows."""
     clip = (F.col("user_id") % 25).alias("clip_idx")
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", size), clip).agg(F.count("*").alias("rows"), F.avg("value").alias("mean_value")).select(F.col("window.start").alias("start"), "clip_idx", "rows", "mean_value")
+    return timed(stream, late).groupBy(F.window("ts", size), clip).agg(F.count("*").alias("rows"), F.avg("value").alias("mean_value")).select(F.col("window.start").alias("start"), "clip_idx", "rows", "mean_value")
 
 
 def running_ema(stream: DataFrame, config: Config = DEFAULT) -> DataFrame:
