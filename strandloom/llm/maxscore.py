@@ -75,7 +75,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank from 1, vec_id, score) of each query's k best vectors by integer inner product; all, if fewer.
 
     Both sides are (id, vec array<long>). A vector with the query's id is no candidate; equal scores go to the
-    smaller id. Of query rows with one id the one with the least vector is searched; vectors that come again each count. Vectors of unlike length meet as if filled with zeros. Empty sides give no rows.
+    smaller id. Of query rows with one id the one with the least vector is searched; vectors that come again each count. Vectors of unlike length meet as if filled with zeros. Empty sides give no rows. Scores must fit a long.
     """
     vectors = stored(vectors, "vectors")
     queries = stored(queries.groupBy("id").agg(F.min("vec").alias("vec")), "queries")

@@ -51,7 +51,7 @@ class Vocabulary:
             raise ValueError("pieces with the word mark after another character can't be cut into chunks")
         inner = "".join(re.escape(c) for c in sorted(joined)) or MARK
         self.chunk = re.compile(f"{MARK}+[{inner}]*|[{inner}]+|.", re.S)
-        self.known: dict[int, dict] = {}
+        self.known: dict[tuple[int, int], dict] = {}
         self._tables()
 
     def _tables(self) -> None:
@@ -160,7 +160,7 @@ class Vocabulary:
             new.setdefault(k, set()).update(own or ())
         classes: dict[int, list] = {}
         for k, own in new.items():
-            known = self.known.setdefault(k, {None: mark})
+            known = self.known.setdefault((k, drop), {None: mark})
             for c in own - known.keys():
                 if len(c) == 1 or len(c) > LONGEST:
                     known[c] = self.merge(c, k, drop)
@@ -170,8 +170,8 @@ class Vocabulary:
             for i in range(0, len(own), 1 << 13):
                 some = own[i : i + (1 << 13)]
                 for (k, c), ids in zip(some, self.merge_all([c for _, c in some], [k for k, _ in some], drop), strict=True):
-                    self.known[k][c] = ids
-        return [None if own is None else np.frombuffer(b"".join(map(self.known[k].__getitem__, own)), np.int32) for k, own in zip(keys, cut, strict=True)]
+                    self.known[k, drop][c] = ids
+        return [None if own is None else np.frombuffer(b"".join(map(self.known[k, drop].__getitem__, own)), np.int32) for k, own in zip(keys, cut, strict=True)]
 
     def merge(self, chunk: str, key: int, drop: int) -> bytes:
         """Ids (int32, little-endian) of one chunk; candidates whose hash is below drop are skipped."""
