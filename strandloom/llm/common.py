@@ -1,10 +1,7 @@
-"""What the operators share: table reading, the shared folder and Arrow batch helpers."""
+"""What the operators share: table reading, checked joins and Arrow batch helpers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import stored  # noqa: F401  the operators' way to cut lineage
+
 #: Rows of a small table that may be broadcast; every use counts the rows first.
 BROADCAST_ROWS = 200_000
 #: Rows and bytes of text that Python holds at once from one Arrow batch.
@@ -22,26 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="strandloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        import shutil
-
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
-    return root.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: lineage ends here and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df, a stored table, has few enough rows to be broadcast."""
     return df.limit(rows + 1).count() <= rows

@@ -5,7 +5,7 @@ k blocks; two fingerprints that differ in at most `budget` bits agree in at leas
 choice of k - budget blocks the trie whose bits start with those blocks has both in one subtree below a node that no
 error was spent on. Each such subtree is one key of a shuffle. Inside it node pairs are traversed together, level by
 level; a pair carries its differing bits and is dropped when they exceed the budget. k grows with the logarithm of
-the number of fingerprints, so that subtrees stay small. A subtree gives a spanning forest of its links as edges of
+the number of fingerprints, so that subtrees stay small; one that is large for all that is cut into tiles. A subtree gives a spanning forest of its links as edges of
 bounded degree, never all pairs; components are then found by contraction of the edges in DataFrame joins.
 """
 
@@ -20,13 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.graph import components
 from .common import join_checked, map_text, stored
 
 BITS = 64
 #: Node pairs that one step of the traversal holds; more are put off to later steps.
 FRONTIER = 1 << 19
-#: Fingerprints of whole subtrees that are traversed in one go.
-GO = 1 << 16
+#: Rows of whole cells that are traversed in one go, and rows of a tile at most, about.
+GO, TILE = 1 << 16, 1 << 14
 #: Children of a node in the emitted trees of links.
 FAN = 16
 
@@ -74,14 +75,15 @@ def rotations(k: int, budget: int) -> list[list[tuple[int, int]]]:
     return [[fields[i] for i in own] + [fields[i] for i in range(k) if i not in own] for own in itertools.combinations(range(k), k - budget)]
 
 
-def trie_pairs(bits: np.ndarray, lo: np.ndarray, hi: np.ndarray, skip: int, budget: int):
-    """Yield arrays (a, b) of positions whose values differ in at most budget bits, from a trie self-join.
+def trie_pairs(bits: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], skip: int, budget: int):
+    """Yield arrays (a, b) of positions whose values differ in at most budget bits, from a trie join.
 
-    bits: sorted uint64 within each [lo, hi), whose values agree in the first skip bits. A node is a range of
+    pairs: ranges [a0, a1) and [b0, b1) of bits, a pair of nodes each, or twice one range for a node with itself. In
+    a range the uint64 values are distinct and sorted; in a pair all agree in the first skip bits. A node is a range of
     positions. A step takes node pairs at one level, splits both nodes by the next bit, adds the differing bit and
     drops what exceeds the budget. Pairs of single leaves are finished by a popcount of what is left.
     """
-    stack = [(skip, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
+    stack = [(skip, *pairs, np.zeros(len(pairs[0]), np.int8))]
     ones = {}
     while stack:
         level, a0, a1, b0, b1, diff = stack.pop()
@@ -138,10 +140,10 @@ class Forest:
                 r[:] = up
 
 
-def subtree_edges(values: np.ndarray, rotated: np.ndarray, lo: np.ndarray, hi: np.ndarray, skip: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (child, parent) of trees with FAN children a node that span the linked values of each subtree."""
+def spanning_edges(values: np.ndarray, rotated: np.ndarray, pairs: tuple, skip: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (child, parent) of trees with FAN children a node that span the values that the node pairs link."""
     forest = Forest(len(values))
-    for a, b in trie_pairs(rotated, lo, hi, skip, budget):
+    for a, b in trie_pairs(rotated, pairs, skip, budget):
         forest.link(a, b)
     order = np.lexsort((values, forest.root))
     root = forest.root[order]
@@ -167,8 +169,10 @@ def links(prints: DataFrame, budget: int = 4) -> DataFrame:
         return key
 
     rows = prints.select("fp", F.posexplode(F.array(*[keyed(p) for p in plans])).alias("trie", "node"))
+    rows = tiled(rows)
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "trie", "node").sortWithinPartitions("trie", "node")
+    cell = ("trie", "node", "left", "right")
+    rows = rows.select("fp", *cell, "tile").repartition(parts, *cell).sortWithinPartitions(*cell)
 
     def turned(fp: np.ndarray, trie: int) -> np.ndarray:
         out = np.zeros(len(fp), np.uint64)
@@ -176,60 +180,62 @@ def links(prints: DataFrame, budget: int = 4) -> DataFrame:
             out = (out << np.uint64(width)) | ((fp >> np.uint64(shift)) & np.uint64(mask(width)))
         return out
 
-    def go(trie, node, fp):
-        """One or more whole subtrees of one trie."""
+    def starts(*columns: np.ndarray) -> np.ndarray:
+        return np.concatenate(([0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1))
+
+    def go(trie: int, fp, node, left, right, tile):
+        """Whole cells of one trie: a node with itself, or two tiles of a large node with each other."""
         bits = turned(fp, trie)
-        order = np.lexsort((bits, node))
-        node, bits, fp = node[order], bits[order], fp[order]
-        lo = np.concatenate(([0], np.flatnonzero(node[1:] != node[:-1]) + 1))
-        hi = np.concatenate((lo[1:], [len(node)]))
-        u, v = subtree_edges(fp, bits, lo, hi, skips[trie], budget)
+        order = np.lexsort((bits, tile, right, left, node))
+        fp, bits, node, left, right, tile = (x[order] for x in (fp, bits, node, left, right, tile))
+        own, every = starts(node, left, right), starts(node, left, right, tile)
+        ends = np.concatenate((every[1:], [len(fp)]))
+        one = left[own] == right[own]
+        at = np.searchsorted(every, own)
+        other = np.where(one, at, np.minimum(at + 1, len(every) - 1))
+        # a cell of two tiles of which one has no rows has no pair
+        good = one | ((other > at) & (np.searchsorted(own, every[other], "right") - 1 == np.arange(len(own))))
+        at, other = at[good], other[good]
+        u, v = spanning_edges(fp, bits, (every[at], ends[at], every[other], ends[other]), skips[trie], budget)
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     def run(batches):
         held: list[tuple] = []
         for batch in batches:
-            fp, trie, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            held.append((trie, node, fp.view(np.uint64)))
+            fp, *rest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            held.append((fp.view(np.uint64), *rest))
             if sum(len(x[0]) for x in held) >= GO:
-                trie, node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-                last = np.flatnonzero((trie != trie[-1]) | (node != node[-1]))
-                whole = last[-1] + 1 if len(last) else 0  # the last subtree may go on in the next batch
-                yield from each(trie[:whole], node[:whole], fp[:whole])
-                held = [(trie[whole:], node[whole:], fp[whole:])]
+                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+                last = np.flatnonzero(np.any([c != c[-1] for c in cols[1:5]], axis=0))
+                whole = last[-1] + 1 if len(last) else 0  # the last cell may go on in the next batch
+                yield from each([c[:whole] for c in cols])
+                held = [tuple(c[whole:] for c in cols)]
         if held:
-            yield from each(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from each([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    def each(trie, node, fp):
+    def each(cols):
+        fp, trie, *rest = cols
         for t in np.unique(trie):
             own = trie == t
-            yield go(int(t), node[own], fp[own])
+            yield go(int(t), fp[own], *(c[own] for c in rest))
 
     return rows.mapInArrow(run, "u long, v long").distinct()
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(fp, label) for each vertex of the edges (u, v): the label is the same within a component.
+def tiled(rows: DataFrame) -> DataFrame:
+    """rows (fp, trie, node) with left, right and tile: the cell that a row is dealt to, and its place in the cell.
 
-    Each round points every vertex at its least neighbour, follows the pointers twice, renames the edges by them and
-    drops the ones inside a tree, until none is left. All in joins and partial aggregates; nothing goes to the driver.
+    A node is one cell, (0, 0). One with more than TILE rows is cut into tiles of about that size, and each pair of
+    its tiles is a cell, so that no task holds more than two tiles however many fingerprints stand below a node.
     """
-    edges = stored(edges, f"{name}-edges")
-    labels = None
-    while not edges.isEmpty():
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        to = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("p")), f"{name}-to")
-        for _ in range(2):
-            up = to.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            to = stored(to.join(up, "p").select("u", F.col("pp").alias("p")), f"{name}-to")
-        a = to.select("u", F.col("p").alias("pu"))
-        b = to.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        edges = stored(edges.join(a, "u").join(b, "v").where("pu <> pv").select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct(), f"{name}-edges")
-        if labels is None:
-            labels = to.select(F.col("u").alias("fp"), F.col("p").alias("label"))
-        else:
-            labels = stored(labels.join(to.select(F.col("u").alias("label"), F.col("p").alias("up")), "label", "left").select("fp", F.coalesce("up", "label").alias("label")), f"{name}-labels")
-    return labels if labels is not None else edges.select(F.col("u").alias("fp"), F.col("v").alias("label"))
+    large = stored(rows.groupBy("trie", "node").count().where(F.col("count") > TILE).select("trie", "node", F.ceil(F.col("count") / TILE).alias("tiles")), "large")
+    if large.isEmpty():
+        zero = F.lit(0).cast("int")
+        return rows.withColumns({"left": zero, "right": zero, "tile": zero})
+    dealt = join_checked(rows, large, ["trie", "node"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int"))))
+    return dealt.withColumns({"left": F.least("tile", "other"), "right": F.greatest("tile", "other")})
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42, budget: int = 4) -> DataFrame:
@@ -241,7 +247,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """
     prints = stored(fingerprints(docs, key, text, words, seed), "prints")
     least = stored(prints.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
-    label = components(links(least.select("fp"), budget))
+    label = stored(components(links(least.select("fp"), budget)).select(F.col("node").alias("fp"), F.col("component").alias("label")), "labels")
     top = stored(label.join(least, "fp").groupBy("label").agg(F.min("least").alias("component_id")), "tops")
     linked = stored(label.join(top, "label").select("fp", "component_id"), "linked")
     named = stored(least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")

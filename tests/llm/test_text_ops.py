@@ -91,8 +91,8 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, 1), (False, 4), (False, 5), (False, 7), (True, None)]
 
 
-@pytest.mark.parametrize("k", [None, 5, 6, 7])
-def test_links_keep_all_components(spark, monkeypatch, k):
+@pytest.mark.parametrize("k, tile", [(None, 1 << 14), (5, 1 << 14), (6, 7), (7, 1 << 14), (5, 20)])
+def test_links_keep_all_components(spark, monkeypatch, k, tile):
     """Trie self-join over planted chains, dense balls and random prints, for each number of blocks, in small steps."""
     rng = random.Random(3)
     prints = {rng.getrandbits(64) for _ in range(300)} | {0, 2**64 - 1}
@@ -106,11 +106,12 @@ def test_links_keep_all_components(spark, monkeypatch, k):
     prints |= {ball ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))) for _ in range(150)}
     monkeypatch.setattr(simhash, "FRONTIER", 64)
     monkeypatch.setattr(simhash, "GO", 50)
+    monkeypatch.setattr(simhash, "TILE", tile)
     if k:
         monkeypatch.setattr(simhash, "blocks_for", lambda n, budget: k)
     prints = sorted(prints)
     df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
-    label = {r["fp"] % 2**64: r["label"] % 2**64 for r in simhash.components(simhash.links(df)).collect()}
+    label = {r["node"] % 2**64: r["component"] % 2**64 for r in simhash.components(simhash.links(df)).collect()}
     want = plain_components(prints, prints)
     mine = {p: label.get(p, p) for p in prints}
     groups = {}
