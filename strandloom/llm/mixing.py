@@ -50,26 +50,26 @@ def raked(cells: DataFrame, *, power: float = 0.5, targets: dict[str, dict[str,
     """cells (source, lang, topic, tokens) with the columns weight and gap.
 
     The weights sum to the tokens of all cells and have the target margins up to gap, the largest relative miss of
-    any margin over all cells' values. A dimension without given targets takes its token shares to `power`, so that
+    any margin over all cells' values. Three sums and the gap reach the driver. A dimension without given targets takes its token shares to `power`, so that
     small values gain. Cells without tokens stay at weight 0.
     """
     targets = targets or {}
-    every = Window.partitionBy(F.lit(0))
-    cells = cells.withColumn("all", F.sum("tokens").over(every))
+    cells = stored(cells, "cells")
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
     for dim in DIMENSIONS:
-        by = Window.partitionBy(dim)
-        cells = cells.withColumn("m", F.sum("tokens").over(by)).withColumn("t", F.when(F.col("m") > 0, target_share(dim, power, targets.get(dim))).otherwise(0.0))
-        first = F.row_number().over(by.orderBy(*DIMENSIONS)) == 1
-        cells = cells.withColumn("one", F.when(first, F.col("t"))).withColumn(f"to_{dim}", F.try_divide(F.col("t") * F.col("all"), F.sum("one").over(every))).drop("m", "t", "one")
+        share = target_share(dim, power, targets.get(dim))
+        whole = cells.groupBy(dim).agg(F.sum("tokens").alias("m")).where("m > 0").agg(F.sum(share)).first()[0]
+        of = F.when(F.col("m") > 0, share).otherwise(0.0)
+        cells = cells.withColumn("m", F.sum("tokens").over(Window.partitionBy(dim))).withColumn(f"to_{dim}", F.try_divide(of, F.lit(whole)) * F.lit(float(total))).drop("m")
     cells = stored(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
     for i in range(rounds):
         for dim in DIMENSIONS:
             cells = cells.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"to_{dim}"), F.sum("weight").over(Window.partitionBy(dim))), F.lit(0.0)))
         if i % STRETCH == STRETCH - 1 or i == rounds - 1:
             cells = stored(cells, "raked")
-    for dim in DIMENSIONS:
-        cells = cells.withColumn(f"gap_{dim}", F.abs(F.try_divide(F.sum("weight").over(Window.partitionBy(dim)), F.col(f"to_{dim}")) - 1))
-    return cells.select(*DIMENSIONS, "tokens", "weight", F.max(F.greatest(*(F.col(f"gap_{d}") for d in DIMENSIONS))).over(every).alias("gap"))
+    miss = [F.abs(F.try_divide(F.sum("weight").over(Window.partitionBy(dim)), F.col(f"to_{dim}")) - 1) for dim in DIMENSIONS]
+    gap = cells.select(F.greatest(*miss).alias("miss")).agg(F.max("miss")).first()[0]
+    return cells.select(*DIMENSIONS, "tokens", "weight", F.lit(gap).cast("double").alias("gap"))
 
 
 def uniform(key: str, seed: int) -> Column:
