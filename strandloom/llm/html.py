@@ -39,6 +39,8 @@ _CLOSES_OWN = frozenset("li dt dd tr td th option".split())
 
 PATH, LAST, WORD, SHARES = 128, 48, 64, 6
 INPUT, HIDDEN = PATH + LAST + WORD + SHARES, 20
+#: Blocks that the network reads at once.
+STEPS = 4096
 
 
 def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
@@ -124,11 +126,13 @@ def _slot(word: str, size: int) -> int:
     return zlib.crc32(word.encode()) % size
 
 
-def vectors(found: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
-    """(blocks, INPUT) inputs of one page's blocks."""
-    out = np.zeros((len(found), INPUT), np.float32)
-    for i, (text, path, linked) in enumerate(found):
-        row = out[i]
+def vectors(found: list[tuple[str, tuple[str, ...], float]], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """(blocks, INPUT) inputs of one page's blocks, or of some of them."""
+    stop = len(found) if stop is None else stop
+    out = np.zeros((stop - start, INPUT), np.float32)
+    for i in range(start, stop):
+        text, path, linked = found[i]
+        row = out[i - start]
         for w in path:
             row[_slot(w, PATH)] = 1
         last = max((j for j, w in enumerate(path) if w[0] != "."), default=0)
@@ -153,16 +157,19 @@ class Labeller:
             self.p[d + "c"][HIDDEN : 2 * HIDDEN] = 1  # forget gates start open
         self.p["w"], self.p["o"] = rng.normal(0, 0.2, 2 * HIDDEN).astype(np.float32), np.zeros(1, np.float32)
 
-    def run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = False):
-        """States (pages, steps, HIDDEN) of direction d over padded inputs; padding leaves a state as it is."""
+    def run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = False, begin: list | None = None):
+        """States (pages, steps, HIDDEN) of direction d over padded inputs; padding leaves a state as it is.
+
+        begin: a list with the state to begin with, if any; it is given the last one.
+        """
         n, steps, _ = x.shape
         a = x.reshape(-1, INPUT) @ self.p[d + "x"] + self.p[d + "c"]
         a = a.reshape(n, steps, -1)
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        h, c = begin[-1] if begin else (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         states, trace = np.zeros((n, steps, HIDDEN), np.float32), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             g = a[:, t] + h @ self.p[d + "h"]
-            ifo = 1 / (1 + np.exp(-np.clip(g[:, : 3 * HIDDEN], -30, 30)))
+            ifo = _logistic(g[:, : 3 * HIDDEN])
             i, f, o, u = ifo[:, :HIDDEN], ifo[:, HIDDEN : 2 * HIDDEN], ifo[:, 2 * HIDDEN :], np.tanh(g[:, 3 * HIDDEN :])
             m = mask[:, t, None]
             c2 = f * c + i * u
@@ -171,27 +178,44 @@ class Labeller:
                 trace.append((t, i, f, o, u, c, th, h, m))
             h, c = m * (o * th) + (1 - m) * h, m * c2 + (1 - m) * c
             states[:, t] = h
+        if begin is not None:
+            begin.append((h, c))
         return (states, trace) if keep else states
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Probability of main text for each block of each page; pages of like length are run together."""
-        out: list = [None] * len(pages)
-        order = sorted(range(len(pages)), key=lambda i: len(pages[i]))
-        for k in range(0, len(order), 64):
-            some = order[k : k + 64]
-            x, mask = _padded([pages[i] for i in some])
+    def label(self, pages: list[list]) -> list[np.ndarray]:
+        """Probability of main text for each block of each page; pages of like length are run together, STEPS blocks at most."""
+        out: list = [np.zeros(0)] * len(pages)
+        order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
+        while order:
+            some = order[-max(1, STEPS // len(pages[order[-1]])) :]
+            del order[-len(some) :]
+            if len(pages[some[0]]) > STEPS:
+                out[some[0]] = self.label_long(pages[some[0]])
+                continue
+            x, mask = _padded([vectors(pages[i]) for i in some])
             both = np.concatenate((self.run(x, mask, "f"), self.run(x, mask, "b")), axis=2)
-            y = 1 / (1 + np.exp(-np.clip(both @ self.p["w"] + self.p["o"], -30, 30)))
+            y = _logistic(both @ self.p["w"] + self.p["o"])
             for j, i in enumerate(some):
                 out[i] = y[j, : len(pages[i])]
         return out
 
+    def label_long(self, page: list) -> np.ndarray:
+        """label() of one page, STEPS blocks at a time in each direction: states are carried on, inputs are not kept."""
+        out = np.full(len(page), self.p["o"][0])
+        cuts = range(0, len(page), STEPS)
+        for d, places, w in (("f", cuts, self.p["w"][:HIDDEN]), ("b", reversed(cuts), self.p["w"][HIDDEN:])):
+            state: list = []
+            for at in places:
+                x = vectors(page, at, min(len(page), at + STEPS))[None]
+                out[at : at + STEPS] += (self.run(x, np.ones(x.shape[:2], np.float32), d, begin=state) @ w)[0]
+        return _logistic(out)
+
     def step(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Loss and gradients of one batch, by back-propagation through both directions."""
         sf, tf = self.run(x, mask, "f", True)
         sb, tb = self.run(x, mask, "b", True)
         both = np.concatenate((sf, sb), axis=2)
-        z = 1 / (1 + np.exp(-np.clip(both @ self.p["w"] + self.p["o"], -30, 30)))
+        z = _logistic(both @ self.p["w"] + self.p["o"])
         total = mask.sum()
         loss = -(mask * (y * np.log(z + 1e-7) + (1 - y) * np.log(1 - z + 1e-7))).sum() / total
         dz = mask * (z - y) / total
@@ -214,6 +238,10 @@ class Labeller:
         return float(loss), grad
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(1, max(len(p) for p in pages))
     x, mask = np.zeros((len(pages), steps, INPUT), np.float32), np.zeros((len(pages), steps), np.float32)
@@ -414,7 +442,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
         for batch in batches:
             for part in slices(batch, 2):
                 found = [blocks(x or "") for x in part.column(2).to_pylist()]
-                labels = net.label([vectors(b) for b in found])
+                labels = net.label(found)
                 kept = [[b[0] for b, y in zip(own, ys, strict=True) if y >= 0.5] for own, ys in zip(found, labels, strict=True)]
                 texts = [" ".join(x) for x in kept]
                 cols = [part.column(0), part.column(1), pa.array(texts), pa.array([len(x) for x in texts]), pa.array([len(b) for b in found]), pa.array([len(x) for x in kept])]

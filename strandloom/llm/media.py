@@ -25,6 +25,8 @@ CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 #: Samples in a row, and the multiple that payloads are padded to.
 WIDTH = 576
 IDAT_BYTES = 1 << 16
+#: Rows that are filtered or summed at once.
+ROWS = 4096
 #: Side of the reduced image and of its block of low frequencies.
 SIDE, LOW = 32, 8
 
@@ -36,17 +38,22 @@ def chunk(kind: bytes, data: bytes) -> bytes:
 def encode(pixels: np.ndarray, level: int = 4) -> bytes:
     """PNG of a (height, width) uint8 array; each row by the filter of none, sub and up with the least absolute sum."""
     height, width = pixels.shape
-    sub, up = pixels.copy(), pixels.copy()
-    sub[:, 1:] -= pixels[:, :-1]
-    up[1:] -= pixels[:-1]
-    options = [pixels, sub, up]
-    cost = np.array([np.abs(x.view(np.int8).astype(np.int16)).sum(axis=1) for x in options])
-    best = cost.argmin(axis=0)
-    rows = np.empty((height, width + 1), np.uint8)
-    rows[:, 0] = best
-    for k, x in enumerate(options):
-        rows[best == k, 1:] = x[best == k]
-    body = zlib.compress(rows.tobytes(), level)
+    squeeze, body = zlib.compressobj(level), []
+    for at in range(0, height, ROWS):
+        part = pixels[at : at + ROWS]
+        sub, up = part.copy(), part.copy()
+        sub[:, 1:] -= part[:, :-1]
+        up[1:] -= part[:-1]
+        if at:
+            up[0] -= pixels[at - 1]
+        options = [part, sub, up]
+        best = np.array([np.abs(x.view(np.int8).astype(np.int16)).sum(axis=1) for x in options]).argmin(axis=0)
+        rows = np.empty((len(part), width + 1), np.uint8)
+        rows[:, 0] = best
+        for k, x in enumerate(options):
+            rows[best == k, 1:] = x[best == k]
+        body.append(squeeze.compress(rows.tobytes()))
+    body = b"".join([*body, squeeze.flush()])
     parts = [SIGNATURE, chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0))]
     parts += [chunk(b"IDAT", body[i : i + IDAT_BYTES]) for i in range(0, len(body), IDAT_BYTES)]
     return b"".join([*parts, chunk(b"IEND", b"")])
@@ -129,17 +136,22 @@ def _cosines(n: int, low: int) -> np.ndarray:
     return np.sqrt(2 / n) * np.cos(np.pi * (2 * x + 1) * k / (2 * n))
 
 
+def _means(n: int) -> np.ndarray:
+    """(SIDE, n) weights of the means of SIDE equal stretches of n samples."""
+    low, high = np.linspace(0, n, SIDE + 1)[:-1, None], np.linspace(0, n, SIDE + 1)[1:, None]
+    x = np.arange(n)[None]
+    return np.clip(np.minimum(high, x + 1) - np.maximum(low, x), 0, None) * (SIDE / n)
+
+
 def image_hash(pixels: np.ndarray) -> str:
     """16 hex digits: signs of the lowest 8 x 8 cosine coefficients of the image's block means, against their median without the first."""
-    x = pixels.astype(np.float64)
-    for axis in (0, 1):
-        n = x.shape[axis]
-        edges = np.linspace(0, n, SIDE + 1)
-        sums = np.concatenate((np.zeros_like(x.take([0], axis)), np.cumsum(x, axis)), axis)
-        whole = np.floor(edges).astype(int)
-        part = np.expand_dims(edges - whole, 1 - axis)
-        cut = sums.take(whole, axis) + part * (sums.take(np.minimum(whole + 1, n), axis) - sums.take(whole, axis))
-        x = np.diff(cut, axis=axis) * (SIDE / n)
+    across = _means(pixels.shape[1])
+    x = np.concatenate([pixels[i : i + ROWS] @ across.T for i in range(0, len(pixels), ROWS)])
+    edges = np.linspace(0, len(x), SIDE + 1)
+    sums = np.concatenate((np.zeros((1, SIDE)), np.cumsum(x, axis=0)))
+    whole = np.floor(edges).astype(int)
+    cut = sums[whole] + (edges - whole)[:, None] * (sums[np.minimum(whole + 1, len(x))] - sums[whole])
+    x = np.diff(cut, axis=0) * (SIDE / len(x))
     c = _cosines(SIDE, LOW)
     low = np.round(c @ x @ c.T, 6).reshape(-1)
     return np.packbits(low > np.median(low[1:])).tobytes().hex()

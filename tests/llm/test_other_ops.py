@@ -44,11 +44,20 @@ def test_labeller_on_unseen_made_pages():
         found = html.blocks(page)
         assert len(found) == len(main)
         if found:
-            y = net.label([html.vectors(found)])[0] >= 0.5
+            y = net.label([found])[0] >= 0.5
             wrong, total = wrong + (y != np.array(main)).sum(), total + len(main)
     assert wrong / total < 0.02
 
 
+def test_long_pages_are_read_in_parts(monkeypatch):
+    pages = [html.blocks(p) for p, _ in html.made_pages(30, 7)] + [[]]
+    net = html.trained()
+    whole = net.label(pages)
+    monkeypatch.setattr(html, "STEPS", 3)
+    parts = net.label(pages)
+    assert all(a == pytest.approx(b, abs=1e-5) for a, b in zip(whole, parts, strict=True))
+
+
 def test_gradients_of_the_network():
     net, rng = html.Labeller(3), np.random.default_rng(0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -246,7 +255,8 @@ def test_payload(size, rows):
     assert p.shape == (rows, 576) and p.tobytes() == b"a" * size + b"\xff" * (rows * 576 - size)
 
 
-def test_png_round_trip():
+def test_png_round_trip(monkeypatch):
+    monkeypatch.setattr(media, "ROWS", 50)
     rng = np.random.default_rng(0)
     for shape in ((1, 1), (1, 576), (7, 576), (300, 576), (64, 33)):
         for x in (rng.integers(0, 256, shape), np.zeros(shape), np.cumsum(rng.integers(0, 3, shape), 0), np.cumsum(rng.integers(0, 3, shape), 1)):
