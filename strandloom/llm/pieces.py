@@ -31,6 +31,9 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 REMEMBER, LONGEST = 400_000, 32
 _M = (1 << 64) - 1
 _NONE = (1 << 31) - 1
+#: Characters of a long text that are cut into chunks at once.
+PART = 1 << 20
+_CUT = re.compile("(?<! ) ")
 
 
 class Vocabulary:
@@ -150,10 +153,23 @@ class Vocabulary:
         return [symbol[r, : count[r]].tobytes() if plain[r] else self.merge(chunks[r], keys[r], drop) for r in range(n)]
 
     def encode_all(self, texts: list[str | None], keys: list[int], drop: int) -> list[np.ndarray | None]:
-        """Ids of whole texts, each by its own key; chunks not remembered are merged together, by classes of width."""
+        """Ids of whole texts, each by its own key; long ones in parts that are cut before blanks, where chunks begin."""
+        short = [None if t is None or len(t) > PART else t for t in texts]
+        out = self.encode_parts(short, keys, drop, True)
+        for i, t in enumerate(texts):
+            if t is not None and len(t) > PART:
+                cuts, at = [0], PART
+                while (m := _CUT.search(t, at)) is not None:
+                    cuts.append(m.start())
+                    at = m.start() + PART
+                out[i] = np.concatenate([self.encode_parts([t[a:b]], [keys[i]], drop, a == 0)[0] for a, b in zip(cuts, [*cuts[1:], len(t)], strict=True)])
+        return out
+
+    def encode_parts(self, texts: list[str | None], keys: list[int], drop: int, first: bool) -> list[np.ndarray | None]:
+        """Ids of texts of bounded length; chunks not remembered are merged together, by classes of width."""
         if sum(map(len, self.known.values())) > REMEMBER:
             self.known.clear()
-        cut = [None if t is None else self.chunks(t) for t in texts]
+        cut = [None if t is None else self.chunks(t, first) for t in texts]
         mark = array("i", [self.bytes[b] for b in MARK.encode()]).tobytes()
         new: dict[int, set] = {}
         for k, own in zip(keys, cut, strict=True):
@@ -218,26 +234,28 @@ class Vocabulary:
             return found[1].to_bytes(4, "little")
         return array("i", [self.bytes[b] for b in symbol.encode()]).tobytes()
 
-    def chunks(self, text: str) -> list[str | None]:
-        """The text in chunks; None for a word mark that the text holds. An empty text has none."""
+    def chunks(self, text: str, first: bool = True) -> list[str | None]:
+        """The text in chunks; None for a word mark that the text holds. An empty text has none. first: it has the leading blank."""
         if not text:
             return []
+        lead = MARK if first else ""
         if MARK not in text:
-            return self.chunk.findall(MARK + text.replace(" ", MARK))
+            return self.chunk.findall(lead + text.replace(" ", MARK))
         out: list[str | None] = []
         for at, part in enumerate(text.split(MARK)):
             out += [None] if at else []
-            out += self.chunk.findall(("" if at else MARK) + part.replace(" ", MARK))
+            out += self.chunk.findall(("" if at else lead) + part.replace(" ", MARK))
         return out
 
     def encode(self, text: str, key: int, drop: int) -> np.ndarray:
         """Ids of a whole text."""
         return self.encode_all([text], [key], drop)[0]
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of the ids, without the leading blank."""
         raw = self.raw
-        return b"".join([raw[i] for i in ids])[1:].decode()
+        parts = [b"".join([raw[i] for i in ids[at : at + PART].tolist()]) for at in range(0, len(ids), PART)]
+        return b"".join(parts)[1:].decode()
 
 
 def load(path: str) -> list[tuple[str, float, int]]:
@@ -295,7 +313,7 @@ def decode(tokens: DataFrame, model: str, key: str = "doc_id", ids: str = "ids")
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                texts = [None if not x.is_valid else vocabulary.decode(x.values.to_numpy().tolist()) for x in part.column(1)]
+                texts = [None if not x.is_valid else vocabulary.decode(x.values.to_numpy()) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
     return tokens.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")
@@ -312,7 +330,7 @@ def encode_checked(docs: DataFrame, model: str, key: str = "doc_id", text: str =
     def made(_, texts):
         vocabulary = _held(sent)
         rows = vocabulary.encode_all(texts, _keys(texts, seed, epoch, variants), drop)
-        right = [r is None or vocabulary.decode(r.tolist()) == t for r, t in zip(rows, texts, strict=True)]
+        right = [r is None or vocabulary.decode(r) == t for r, t in zip(rows, texts, strict=True)]
         return [[0 if r is None else len(r) for r in rows], right, _lists(rows)]
 
     return map_text(docs, key, text, made, "n_tokens long, lossless boolean, ids array<int>").select(key, F.col("n_tokens"), "lossless", "ids")

@@ -336,9 +336,9 @@ def some_texts(n=150):
 def test_without_dropout_as_the_library(vocabulary):
     sp = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL)
     for t in some_texts():
-        got = vocabulary.encode(t, 1, 0).tolist()
+        got = vocabulary.encode(t, 1, 0)
         if "▁" not in t and "\0" not in t:
-            assert got == sp.encode(t), t
+            assert got.tolist() == sp.encode(t), t
         assert vocabulary.decode(got) == t
 
 
@@ -354,12 +354,20 @@ def test_dropout_varies_and_stays_lossless(vocabulary):
     seen = set()
     for key in range(6):
         ids = vocabulary.encode(text, key, int(0.2 * 2**64))
-        assert vocabulary.decode(ids.tolist()) == text
+        assert vocabulary.decode(ids) == text
         seen.add(ids.tobytes())
     assert len(seen) == 6
     assert len(vocabulary.encode(text, 0, 2**64 - 1)) > len(vocabulary.encode(text, 0, 0))
 
 
+def test_long_texts_in_parts(vocabulary, monkeypatch):
+    drop = int(0.1 * 2**64)
+    whole = [vocabulary.encode(t, 2, drop).tolist() for t in some_texts()]
+    monkeypatch.setattr(pieces, "PART", 10)
+    assert [vocabulary.encode(t, 2, drop).tolist() for t in some_texts()] == whole
+    assert [vocabulary.decode(np.array(w, np.int32)) for w in whole] == some_texts()
+
+
 def test_pieces_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame(list(enumerate(some_texts())), "doc_id long, text string")
     a = {r["doc_id"]: r["ids"] for r in pieces.encode(df.coalesce(1), queries.MODEL).collect()}
