@@ -27,8 +27,8 @@ from .common import map_text
 MARK = "▁"
 #: Fixed values of the model format: the types of pieces.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-#: Chunks that a Python worker remembers before it forgets all, and the longest that are merged many at once.
-REMEMBER, LONGEST = 400_000, 32
+#: Chunks that a Python worker gathers before it sets them aside and forgets those set aside before; the longest that are merged many at once.
+REMEMBER, LONGEST = 500_000, 32
 _M = (1 << 64) - 1
 _NONE = (1 << 31) - 1
 #: Characters of a long text that are cut into chunks at once.
@@ -55,6 +55,7 @@ class Vocabulary:
         inner = "".join(re.escape(c) for c in sorted(joined)) or MARK
         self.chunk = re.compile(f"{MARK}+[{inner}]*|[{inner}]+|.", re.S)
         self.known: dict[tuple[int, int], dict] = {}
+        self.before: dict[tuple[int, int], dict] = {}
         self._tables()
 
     def _tables(self) -> None:
@@ -168,7 +169,7 @@ class Vocabulary:
     def encode_parts(self, texts: list[str | None], keys: list[int], drop: int, first: bool) -> list[np.ndarray | None]:
         """Ids of texts of bounded length; chunks not remembered are merged together, by classes of width."""
         if sum(map(len, self.known.values())) > REMEMBER:
-            self.known.clear()
+            self.before, self.known = self.known, {}
         cut = [None if t is None else self.chunks(t, first) for t in texts]
         mark = array("i", [self.bytes[b] for b in MARK.encode()]).tobytes()
         new: dict[int, set] = {}
@@ -176,9 +177,11 @@ class Vocabulary:
             new.setdefault(k, set()).update(own or ())
         classes: dict[int, list] = {}
         for k, own in new.items():
-            known = self.known.setdefault((k, drop), {None: mark})
+            known, before = self.known.setdefault((k, drop), {None: mark}), self.before.get((k, drop), {})
             for c in own - known.keys():
-                if len(c) == 1 or len(c) > LONGEST:
+                if (had := before.get(c)) is not None:
+                    known[c] = had
+                elif len(c) == 1 or len(c) > LONGEST:
                     known[c] = self.merge(c, k, drop)
                 else:
                     classes.setdefault((len(c) + 2) // 3, []).append((k, c))
