@@ -3,9 +3,10 @@
 Emails, IP addresses, payment cards and phone numbers are found by pattern; each value found is a protected entity.
 A word within `window` words of an entity is a candidate. With n(e), n(t) and n(t,e) the numbers of documents that
 hold entity e, that hold term t, and that hold t inside a window of e, out of N, the term discloses the share
-PMI(t;e) / IC(e) = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)) of the entity. At `generalise` or more the term's places in
-windows of e are spans and are replaced by a class; at `remove` or more they are taken out. Evidence must come from
-`support` different windows, so that copies of one passage don't count as co-occurrence. Counts cover all documents.
+PMI(t;e) / IC(e) = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)) of the entity. At `generalise` or more all places of the
+term in documents that hold e are spans and are replaced by a class; at `remove` or more they are taken out. Evidence
+must come from `support` different windows, so that copies of one passage don't count as co-occurrence. Counts cover
+all documents.
 """
 
 from __future__ import annotations
@@ -139,8 +140,15 @@ def _scan(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def term_spans(text: str, base, terms: dict[str, float]) -> list[tuple[int, int, int, float]]:
+    """(start, place in KINDS, end, share) of each word of the text that is among terms and outside the base spans."""
+    taken = [(a, b) for a, _, b, *_ in base]
+    found = ((m, terms.get(m[0].lower())) for m in _WORD.finditer(text))
+    return [(m.start(), 4, m.end(), share) for m, share in found if share is not None and not any(x < m.end() and m.start() < y for x, y in taken)]
+
+
 def _found(docs: DataFrame, key: str, text: str, window: int, support: int, generalise: float):
-    """Stored tables: the documents' rows, and the disclosing terms (key, same, extra: array of (start, kind, stop, share))."""
+    """The documents' rows, and marks: the disclosing terms of documents, stored, as (key, marks), a mark for each text of a key."""
     scanned = stored(_scan(docs, key, text, window), "scan")
     rows = scanned.where("digest is not null")
     n = rows.count()
@@ -158,9 +166,41 @@ def _found(docs: DataFrame, key: str, text: str, window: int, support: int, gene
     share = F.log(total * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(total / F.col("n_e"))
     flagged = hits.join(entity, "entity").join(freq, "term").where(F.col("n_e") < total).withColumn("share", share).where(F.col("share") >= generalise)
     flagged = stored(flagged.select("entity", "term", "share"), "flagged")
-    spans = join_checked(near, flagged, ["entity", "term"]).groupBy("key", "same", "start", "stop").agg(F.max("share").alias("share"))
-    extra = spans.groupBy("key", "same").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "stop", "share"))).alias("extra"))
-    return rows, stored(extra, "extra")
+    holds = near.select("key", "same", "entity").distinct()
+    terms = join_checked(holds, flagged, "entity").groupBy("key", "same", "term").agg(F.max("share").alias("share"))
+    terms = terms.groupBy("key", "same").agg(F.collect_list(F.struct("term", "share")).alias("terms"))
+    return rows, stored(terms.groupBy("key").agg(F.collect_list(F.struct("same", "terms")).alias("marks")), "marks")
+
+
+def _marked(docs: DataFrame, key: str, marks: DataFrame, how: str) -> tuple[DataFrame, str]:
+    """docs with the marks of their key, null keys too, in a last column; its name."""
+    name, own = free_name(docs.columns, "marks"), free_name(docs.columns, "marked")
+    marks = marks.select(F.col("key").alias(own), F.col("marks").alias(name))
+    joined = docs.join(F.broadcast(marks) if small(marks) else marks, docs[key].eqNullSafe(marks[own]), how)
+    return joined.select(*[docs[c] for c in docs.columns], name), name
+
+
+def _terms(text: str, marks: list[dict] | None) -> dict[str, float]:
+    same = _signed(text) if marks else 0
+    return {t["term"]: t["share"] for m in marks or () if m["same"] == same for t in m["terms"]}
+
+
+def _places(docs: DataFrame, key: str, text: str, marks: DataFrame) -> DataFrame:
+    """(key, same, extra: array of (start, kind, stop)) of the documents in which terms are marked, each text of a key once."""
+    joined, _ = _marked(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", marks, "inner")
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType)] + list(T._parse_datatype_string("same long, extra array<struct<start:int,kind:int,stop:int>>").fields))
+    arrow = _arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                made = []
+                for k, t, m in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    spans = term_spans(t or "", base_spans(t), _terms(t or "", m))
+                    made.append((k, _signed(t or ""), [{"start": a, "kind": i, "stop": b} for a, i, b, _ in spans]))
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow)
+
+    return joined.mapInArrow(run, schema).where("size(extra) > 0").groupBy("key", "same").agg(F.first("extra").alias("extra"))
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window: int = 6, support: int = 3, generalise: float = 0.8) -> DataFrame:
@@ -170,12 +210,12 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window:
     and text. An empty table gives an empty result; other columns play no part. An entity that all documents hold
     carries no information and discloses nothing.
     """
-    rows, extra = _found(docs, key, text, window, support, generalise)
+    rows, marks = _found(docs, key, text, window, support, generalise)
     # null keys meet too
-    by = extra.select(F.col("key").alias("k"), F.col("same").alias("s"), "extra")
+    by = stored(_places(docs, key, text, marks), "places").select(F.col("key").alias("k"), F.col("same").alias("s"), "extra")
     kept = rows.select("key", "same", "base", "counts", "digest")
     joined = kept.join(F.broadcast(by) if small(by) else by, kept["key"].eqNullSafe(by["k"]) & (kept["same"] == by["s"]), "left")
-    term = F.coalesce(F.transform("extra", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"))), F.array().cast("array<struct<start:int,kind:int,stop:int>>"))
+    term = F.coalesce("extra", F.array().cast("array<struct<start:int,kind:int,stop:int>>"))
     spans = F.sort_array(F.concat("base", term))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     as_text = F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["stop"].cast("string"))))
@@ -201,15 +241,11 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window
 
     A column n_chars of docs is set to the new length.
     """
-    _, extra = _found(docs, key, text, window, support, generalise)
-    names = [free_name(docs.columns, n) for n in ("same", "extra", "k")]
-    extra = extra.select(F.col("key").alias(names[2]), F.col("same").alias(names[0]), F.col("extra").alias(names[1]))
+    _, marks = _found(docs, key, text, window, support, generalise)
     schema = docs.schema
     arrow = _arrow_schema(schema)
     place = docs.columns.index(text)
-    # the key names the few documents with extra spans; the hash of the text, made below, tells repeated keys apart
-    grouped = stored(extra.groupBy(names[2]).agg(F.collect_list(F.struct(names[0], names[1])).alias(names[1])), "extras")
-    joined = docs.join(F.broadcast(grouped) if small(grouped) else grouped, docs[key].eqNullSafe(grouped[names[2]]), "left").select(*[docs[c] for c in docs.columns], names[1])
+    joined, _ = _marked(docs, key, marks, "left")
 
     def run(batches):
         for batch in batches:
@@ -220,9 +256,7 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window
                 for t, m in zip(texts, more, strict=True):
                     if t is not None:
                         spans = [(a, k, b, 1.0) for a, k, b, _ in base_spans(t)]
-                        if m:
-                            same = _signed(t)
-                            spans += [(x["start"], 4, x["stop"], x["share"]) for e in m if e[names[0]] == same for x in e[names[1]]]
+                        spans += term_spans(t, spans, _terms(t, m)) if m else []
                         t = redact(t, spans, remove) if spans else t
                     new.append(t)
                 cols = [part.column(i) for i in range(len(arrow))]

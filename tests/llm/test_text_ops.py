@@ -168,7 +168,7 @@ def disclosing_docs(spark):
     """A code word that stands by one address in several documents, and a word that stands everywhere."""
     rng = random.Random(4)
     fill = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
-    rows = [(i, f"{fill(8)} common {fill(3)} Zebra common bob@mail.org {fill(9)}") for i in range(5)]
+    rows = [(i, f"{fill(8)} common {fill(3)} Zebra common bob@mail.org {fill(9)} zebra.") for i in range(5)]
     rows += [(i, f"{fill(12)} common word{i} eve{i}@mail.org {fill(6)}") for i in range(5, 25)]
     rows += [(i, f"{fill(20)} common {fill(3)}") for i in range(25, 60)]
     rows += [(60 + i, rows[6][1]) for i in range(6)]  # copies are no evidence
@@ -186,11 +186,11 @@ def test_terms_that_disclose(spark):
     for i, t in text.items():
         spans = [s.split(":") for s in got[i]["spans"].split(",") if s]
         terms = [t[int(a) : int(b)] for k, a, b in spans if k == "term"]
-        assert terms == (["Zebra"] if i < 5 else []) and got[i]["n_term"] == len(terms)
+        assert terms == (["Zebra", "zebra"] if i < 5 else []) and got[i]["n_term"] == len(terms)
         base = ",".join(f"{list(BASE)[k]}:{a}:{b}" for a, k, b in plain_spans(t))
         assert got[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
-    assert all("@" not in t for t in clean.values()) and "Zebra" not in clean[0] and "[email]" in clean[0] and "common" in clean[0]
+    assert all("@" not in t for t in clean.values()) and "zebra" not in clean[0].lower() and "[email]" in clean[0] and "common" in clean[0]
     assert clean[30] == text[30]
     mild = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, remove=1.1).collect()}
     assert "[term]" in mild[0]
