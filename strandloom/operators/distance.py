@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.vectors import cosine_distance
+from ..functions.vectors import dot, norm
 
-#: Rows of a tile, about.
-TILE = 1024
+#: Rows of a tile at most, about, and fewest tiles, so that small tables are spread as well.
+TILE, LEAST = 1024, 4
 
 
 def units(column: pd.Series) -> np.ndarray:
@@ -38,7 +38,7 @@ def weighted_block(a: pd.DataFrame, b: pd.DataFrame, face_weight: float) -> tupl
 
 def grid(rows: DataFrame, key: str, kernel: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, tile: int = TILE) -> DataFrame:
     """kernel(left, right, same) for each pair of tiles of rows, each unordered pair of tiles once; same: one tile with itself."""
-    tiles = max(1, -(-rows.count() // tile))
+    tiles = max(LEAST, -(-rows.count() // tile))
     own = rows.withColumn("_tile", F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int"))
     dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     dealt = dealt.withColumns({"_a": F.least("_tile", "_other"), "_b": F.greatest("_tile", "_other")}).drop("_other")
@@ -119,9 +119,11 @@ def _both_ways(directed: DataFrame, made) -> DataFrame:
 
 def hybrid(tracks: DataFrame) -> DataFrame:
     """Pairs of one clip with .6 body + .2 face + .1 pose + .1 motion, or .8 body where either lacks a face; null with a zero vector."""
-    a, b = tracks.alias("a"), tracks.alias("b")
+    kinds = ("body", "face", "pose", "motion")
+    ready = tracks.select("clip_idx", "track_id", "ord", "has_face", *(F.struct(F.col(x).alias("v"), norm(F.col(x)).alias("n")).alias(x) for x in kinds))  # norms once, not for each pair
+    a, b = ready.alias("a"), ready.alias("b")
     pairs = a.join(b, (F.col("a.clip_idx") == F.col("b.clip_idx")) & (F.col("a.ord") < F.col("b.ord")))
-    d = {x: cosine_distance(F.col(f"a.{x}"), F.col(f"b.{x}")) for x in ("body", "face", "pose", "motion")}
+    d = {x: 1 - F.try_divide(dot(F.col(f"a.{x}.v"), F.col(f"b.{x}.v")), F.col(f"a.{x}.n") * F.col(f"b.{x}.n")) for x in kinds}
     rest = 0.1 * d["pose"] + 0.1 * d["motion"]
     out = F.when(F.col("a.has_face") & F.col("b.has_face"), 0.6 * d["body"] + 0.2 * d["face"] + rest).otherwise(0.8 * d["body"] + rest)
     return pairs.select("a.clip_idx", F.col("a.track_id").alias("i"), F.col("b.track_id").alias("j"), out.alias("distance"))

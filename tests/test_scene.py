@@ -7,6 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from strandloom.operators import encoders, export, scene
+from strandloom.sources import tables
 from strandloom.streaming import tracks as streaming
 
 NAMES = ["s", "s_max", "w", "w_max", "u", "u_max", "n", "c", "comb", "comb_max", "people"]
@@ -75,6 +76,18 @@ def test_scene_summary_and_statistics(spark):
     assert (s["clips"], s["crime"], s["normal"], s["shoplifting"], s["gun"]) == (5, 2, 2, 1, 1) and s["crime_confidence"] == pytest.approx(0.715)
 
 
+def test_cached_table_is_made_once(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(len(made))
+
+    path = f"file://{tmp_path}/cache"
+    assert [tables.cached(spark, path, make).count() for _ in range(2)] == [1, 1]
+    assert tables.cached(spark, path, make, fresh=True).count() == 2 and len(made) == 2
+
+
 def test_no_clips(spark):
     none = spark.createDataFrame([], "clip_id int, label string, category string, confidence double")
     s = scene.batch_statistics(none).collect()[0]
