@@ -92,6 +92,7 @@ def greedy(pdf: pd.DataFrame, config: Config) -> np.ndarray:
         both = np.where(np.isnan(faces), body, both)
     clusters: list[list[int]] = []
     out = np.zeros(len(pdf), np.int64)
+    first, size, sums = np.zeros(len(pdf), np.int64), np.zeros(len(pdf)), np.zeros((len(pdf), len(pdf)))  # of each cluster
 
     def about(i: int, j: int) -> tuple[float, float, bool, bool, bool]:
         shared, short = max(0, min(end[i], end[j]) - max(start[i], start[j])), min(length[i], length[j])
@@ -99,15 +100,23 @@ def greedy(pdf: pd.DataFrame, config: Config) -> np.ndarray:
         return o, max(length[i], length[j]) / short if short > 0 else np.inf, not (face[i] and face[j]), bool(face[i] and face[j]), bool(short > 0 and shared >= short)
 
     for i in range(len(pdf)):
-        best, at = np.inf, -1
-        for k, members in enumerate(clusters):
-            if about(i, members[0])[0] <= 0.5 and (mean := both[i, members].mean()) < best:  # no number is never less
-                best, at = mean, k
-        if at >= 0 and 1 - body[i, clusters[at][0]] >= required(*about(i, clusters[at][0])) and all(1 - body[i, m] >= cohesion(*about(i, m)) for m in clusters[at]):
-            clusters[at].append(i)
-        else:
-            at = len(clusters)
-            clusters.append([i])
+        n = len(clusters)
+        at = n
+        if n:
+            f = first[:n]
+            shared = np.maximum(0, np.minimum(end[i], end[f]) - np.maximum(start[i], start[f]))
+            apart = shared <= 0.5 * np.minimum(length[i], length[f])
+            mean = sums[:n, i] / size[:n]
+            mean = np.where(apart & ~np.isnan(mean), mean, np.inf)  # what is no number is never the least
+            k = int(mean.argmin())
+            if mean[k] < np.inf and 1 - body[i, first[k]] >= required(*about(i, first[k])) and all(1 - body[i, m] >= cohesion(*about(i, m)) for m in clusters[k]):
+                at = k
+        if at == n:
+            clusters.append([])
+            first[n] = i
+        clusters[at].append(i)
+        size[at] += 1
+        sums[at] += both[i]
         out[i] = at
     return out
 
