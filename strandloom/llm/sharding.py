@@ -10,6 +10,7 @@ by window functions and joins.
 
 from __future__ import annotations
 
+import json
 import math
 import random
 
@@ -88,7 +89,7 @@ def shuffled(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shards
     count = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # parts rows
     drawn = matrix([count.get(p, 0) for p in range(parts)], shards, seed)
     ends = [[sum(row[: s + 1]) for s in range(shards)] for row in drawn]
-    sent = docs.sparkSession.createDataFrame([(p, e) for p, e in enumerate(ends)], "part int, ends array<long>")  # parts x shards numbers
+    sent = docs.sparkSession.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(ends)), "array<array<bigint>>")).alias("part", "ends"))  # parts x shards numbers
     first = placed.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(*key_order(seed, 1, key))) - 1)
     dealt = first.join(F.broadcast(sent), "part").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("at"))))
     # the second permutation: blocks of a shard by the leading part of a hash, then by the hash inside a block
