@@ -60,25 +60,35 @@ def merged(tracks: DataFrame, group: list[str]) -> DataFrame:
     return out.withColumn("face", F.coalesce("seen", F.array_repeat(F.lit(0.0), F.col("width")))).drop("seen", "width")
 
 
-def required(o: float, ratio: float, none: bool, both: bool, contained: bool) -> float:
-    """Least body similarity with a cluster's first member, by overlap ratio, length ratio, faces and containment."""
-    if o > 0.4:
-        need = max(0.80, 0.82 if both else 0.80) + (0.03 if ratio >= 2 else 0)
-    elif o > 0.1:
-        need = (0.87 if none else 0.82 if both else 0.70) + (0.03 if ratio >= 2 else 0)
-    else:
-        need = 0.90 if none and ratio >= 2 else 0.87 if none else 0.85 if both else 0.80 if ratio >= 2 else 0.70
-    return need + (0.05 if contained else 0)
-
-
-def cohesion(o: float, ratio: float, none: bool, both: bool, contained: bool) -> float:
+# Fixed values of the rule tables: body similarities that a tracklet must reach to join a cluster.
+#: With the first member, for an overlap ratio above the first number: without two faces, with two, and what is added where one is twice as long.
+FIRST = ((0.4, 0.80, 0.82, 0.03), (0.1, 0.87, 0.82, 0.03), (-1.0, 0.87, 0.85, 0.0))
+#: Without two faces, next to no overlap and one twice as long.
+LONE = 0.90
+#: With every member, for an overlap ratio above the first number; at least LOOSE without two faces or where nothing is shared and one is twice as long; at least FACES with two and next to no overlap.
+EVERY = ((0.9, 0.86), (0.4, 0.80), (-1.0, 0.70))
+LOOSE, FACES = 0.80, 0.85
+#: Added where one lies within the other, and, for every member, where they overlap and one is twice as long.
+CONTAINED, UNLIKE = 0.05, 0.03
+
+
+def required(o: float, ratio: float, faces: bool, contained: bool) -> float:
+    """Least body similarity with a cluster's first member, by overlap ratio, length ratio, two faces and containment."""
+    _, without, with_two, more = next(row for row in FIRST if o > row[0])
+    need = with_two if faces else without
+    if ratio >= 2:
+        need = need + more if more or faces else LONE
+    return need + CONTAINED * contained
+
+
+def cohesion(o: float, ratio: float, faces: bool, contained: bool) -> float:
     """Least body similarity with every member."""
-    need = 0.86 if o > 0.9 else 0.80 if o > 0.4 else 0.70
-    if none or (o == 0 and ratio >= 2):
-        need = max(need, 0.80)
-    if o <= 0.1 and both:
-        need = max(need, 0.85)
-    return need + (0.05 if contained else 0) + (0.03 if o > 0 and ratio >= 2 else 0)
+    need = next(value for above, value in EVERY if o > above)
+    if not faces or (o == 0 and ratio >= 2):
+        need = max(need, LOOSE)
+    if faces and o <= 0.1:
+        need = max(need, FACES)
+    return need + CONTAINED * contained + UNLIKE * (o > 0 and ratio >= 2)
 
 
 def greedy(pdf: pd.DataFrame, config: Config) -> np.ndarray:
@@ -94,10 +104,10 @@ def greedy(pdf: pd.DataFrame, config: Config) -> np.ndarray:
     out = np.zeros(len(pdf), np.int64)
     first, size, sums = np.zeros(len(pdf), np.int64), np.zeros(len(pdf)), np.zeros((len(pdf), len(pdf)))  # of each cluster
 
-    def about(i: int, j: int) -> tuple[float, float, bool, bool, bool]:
+    def about(i: int, j: int) -> tuple[float, float, bool, bool]:
         shared, short = max(0, min(end[i], end[j]) - max(start[i], start[j])), min(length[i], length[j])
         o = shared / short if short > 0 else 0.0
-        return o, max(length[i], length[j]) / short if short > 0 else np.inf, not (face[i] and face[j]), bool(face[i] and face[j]), bool(short > 0 and shared >= short)
+        return o, max(length[i], length[j]) / short if short > 0 else np.inf, bool(face[i] and face[j]), bool(short > 0 and shared >= short)
 
     for i in range(len(pdf)):
         n = len(clusters)

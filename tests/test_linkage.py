@@ -81,7 +81,7 @@ def test_greedy_clusters(spark, seed):
             def about(m, t=t):
                 lengths = sorted((t[3] - t[2], m[3] - m[2]))
                 shared = max(0, min(t[3], m[3]) - max(t[2], m[2]))
-                return ratio(t, m), lengths[1] / lengths[0] if lengths[0] else np.inf, not (t[4] and m[4]), t[4] and m[4], lengths[0] > 0 and shared >= lengths[0]
+                return ratio(t, m), lengths[1] / lengths[0] if lengths[0] else np.inf, t[4] and m[4], lengths[0] > 0 and shared >= lengths[0]
 
             if at is not None and 1 - cos(t[5], groups[at][0][5]) >= cluster.required(*about(groups[at][0])) and all(1 - cos(t[5], m[5]) >= cluster.cohesion(*about(m)) for m in groups[at]):
                 groups[at].append(t)
@@ -105,8 +105,8 @@ def test_zero_faces_block_unless_switched_off(spark):
 @pytest.mark.parametrize(
     "args, need",
     [
-        ((0.41, 1.9, True, False, False), 0.80), ((0.41, 2.0, False, True, False), 0.85), ((0.4, 1.0, True, False, False), 0.87), ((0.11, 2.0, False, True, False), 0.85),
-        ((0.1, 2.0, True, False, False), 0.90), ((0.1, 1.99, True, False, False), 0.87), ((0.0, 3.0, False, True, False), 0.85), ((0.0, 3.0, False, False, True), 0.85),
+        ((0.41, 1.9, False, False), 0.80), ((0.41, 2.0, True, False), 0.85), ((0.4, 1.0, False, False), 0.87), ((0.11, 2.0, True, False), 0.85), ((0.11, 2.0, False, False), 0.90),
+        ((0.1, 2.0, False, False), 0.90), ((0.1, 1.99, False, False), 0.87), ((0.0, 3.0, True, False), 0.85), ((0.0, 3.0, True, True), 0.90),
     ],
 )
 def test_required_at_the_cuts(args, need):
@@ -115,7 +115,7 @@ def test_required_at_the_cuts(args, need):
 
 @pytest.mark.parametrize(
     "args, need",
-    [((0.91, 1, False, False, False), 0.86), ((0.9, 1, False, False, False), 0.80), ((0.4, 1, False, False, False), 0.70), ((0.4, 1, True, False, False), 0.80), ((0.0, 2, False, False, False), 0.80), ((0.1, 2, False, True, False), 0.88), ((0.2, 2, False, True, False), 0.73)],
+    [((0.91, 1, False, False), 0.86), ((0.9, 1, False, False), 0.80), ((0.4, 1, True, False), 0.70), ((0.4, 1, False, False), 0.80), ((0.0, 2, True, False), 0.85), ((0.1, 2, True, False), 0.88), ((0.2, 2, True, False), 0.73), ((0.2, 1, True, True), 0.75)],
 )
 def test_cohesion_at_the_cuts(args, need):
     assert cluster.cohesion(*args) == pytest.approx(need)
