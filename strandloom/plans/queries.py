@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import cluster, distance, encoders, export, features, match, overlap, scene
 from ..sources import proxies
 from ..sources.tables import stored
+from ..streaming import drain
+from ..streaming import tracks as streams
 from . import oracle as O
 from .registry import query
 
@@ -410,6 +412,20 @@ def duplicate_repair_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.repair_order(t).where("place = 1").select("global_id", "clip_idx", "local_cluster", "length")
 
 
+# --- streams ------------------------------------------------------------------------------------------------------
+
+
+@query("WITH s AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id) SELECT user_id, len(v) AS n, round(list_reduce(v, lambda a, x: (1 - 1 / 3::DOUBLE) * a + x / 3::DOUBLE), 6) AS ema FROM s")
+def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drain.drained(streams.running_ema(drain.events_stream(spark, sf_dir)), ["user_id"]).select("user_id", "n", *_r("ema"))
+
+
+@query("SELECT (epoch(date_trunc('hour', ts)))::BIGINT AS start, user_id % 25 AS clip_idx, count(*) AS rows, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")
+def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drain.drained(streams.window_counts(drain.events_stream(spark, sf_dir)), ["start", "clip_idx"])
+    return out.select(F.unix_timestamp("start").alias("start"), "clip_idx", "rows", *_r("mean_value"))
+
+
 # --- order-dependent operators: no plain SQL form; tests hold them against numpy ----------------------------------
 
 
