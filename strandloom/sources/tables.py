@@ -20,18 +20,33 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in the shared folder, read again: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has stored; to be called when its results have been written."""
+    path, fs = _path(spark, own_dir(spark))
+    fs.delete(path, True)
+
+
+def _path(spark: SparkSession, path: str):
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made, made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def cached(spark: SparkSession, path: str, make, fresh: bool = False) -> DataFrame:
     """The Parquet table at path; made and written first if it isn't there. Cache rows before fragments are merged, as merging twice differs."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    if fresh or not there:
+    there, fs = _path(spark, path)
+    if fresh or not fs.exists(there):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

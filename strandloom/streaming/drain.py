@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import shared_dir
+from ..sources.tables import own_dir
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def drained(stream: DataFrame, keys: list[str]) -> DataFrame:
     overwritten; state and progress are kept in a checkpoint beside them.
     """
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    root = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")

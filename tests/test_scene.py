@@ -88,6 +88,15 @@ def test_cached_table_is_made_once(spark, tmp_path):
     assert tables.cached(spark, path, make, fresh=True).count() == 2 and len(made) == 2
 
 
+def test_stored_tables_can_be_cleaned(spark):
+    t = tables.stored(spark.range(5), "five")
+    assert t.count() == 5
+    tables.clean(spark)
+    path, fs = tables._path(spark, tables.own_dir(spark))
+    assert not fs.exists(path)
+    assert tables.stored(spark.range(3), "three").count() == 3
+
+
 def test_no_clips(spark):
     none = spark.createDataFrame([], "clip_id int, label string, category string, confidence double")
     s = scene.batch_statistics(none).collect()[0]
