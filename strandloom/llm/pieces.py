@@ -63,6 +63,10 @@ class Vocabulary:
         self.number = {p: i for p, (_, i) in self.best.items()}
         self.spare = [c for c in dict.fromkeys(c for p in self.best if len(p) > 1 for c in p) if c not in self.number]
         self.number |= {c: len(self.raw) + i for i, c in enumerate(self.spare)}
+        self.character = np.full(0x110000, -1, np.int32)
+        for p, i in self.number.items():
+            if len(p) == 1:
+                self.character[ord(p)] = i
         order = sorted({-s for s, _ in self.best.values()}, reverse=True)
         place = {-s: i for i, s in enumerate(order)}
         self.rank = np.zeros(len(self.raw) + len(self.spare), np.int32)
@@ -102,11 +106,10 @@ class Vocabulary:
         """merge() of many chunks of one width class at once: each step takes the best candidate of every chunk."""
         width = max(map(len, chunks))
         n = len(chunks)
-        number = self.number
+        count = np.fromiter(map(len, chunks), np.int64, n)
         symbol = np.full((n, width + 1), -1, np.int32)
-        for r, c in enumerate(chunks):
-            symbol[r, : len(c)] = [number.get(x, -1) for x in c]
-        count = np.array([len(c) for c in chunks])
+        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbol[np.arange(width + 1)[None] < count[:, None]] = self.character[points]
         own = np.array([xxhash.xxh64_intdigest(c.encode(), k) for c, k in zip(chunks, keys, strict=True)], np.uint64)
         place = np.tile(np.arange(width + 1, dtype=np.int16), (n, 1))
         piece = np.full((n, width), -1, np.int32)
