@@ -60,8 +60,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 
 
 def blocks_for(n: int, budget: int) -> int:
-    """Number of blocks k: the smallest for which k - budget agreeing blocks hold about log2(n) - 5 bits."""
-    need = max(0.0, math.log2(max(n, 2)) - 5)
+    """Number of blocks k: the smallest for which k - budget agreeing blocks hold about log2(n) - 6 bits."""
+    need = max(0.0, math.log2(max(n, 2)) - 6)
     k = budget + 1
     while (k - budget) * BITS / k < need and k < budget + 5:
         k += 1
