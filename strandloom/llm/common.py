@@ -21,9 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+def small(df: DataFrame) -> bool:
     """Whether df, a stored table, has few enough rows to be broadcast."""
-    return df.limit(rows + 1).count() <= rows
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -31,13 +31,6 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner") -> D
     return left.join(F.broadcast(right) if small(right) else right, on, how)
 
 
-def with_fields(schema: T.StructType, *fields: tuple[str, str]) -> T.StructType:
-    out = T.StructType(list(schema.fields))
-    for name, kind in fields:
-        out = out.add(name, kind)
-    return out
-
-
 def free_name(columns, name: str) -> str:
     """name, or name with underscores before it until no column is called so (case-insensitively)."""
     taken = {c.lower() for c in columns}

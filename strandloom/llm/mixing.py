@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_checked, stored
+from .common import free_name, join_checked, stored
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Kinds of text by strings they hold, the first that fits.
@@ -77,6 +77,12 @@ def uniform(key: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
+def sampling_rates(rows: DataFrame, *, fraction: float = 0.5, **how) -> DataFrame:
+    """(source, lang, topic, rate) of the cells of described() rows that have tokens, stored."""
+    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
+    return stored(raked(cells, **how).where("tokens > 0").select(*DIMENSIONS, (F.lit(fraction) * F.col("weight") / F.col("tokens")).alias("rate")), "rates")
+
+
 def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", *, fraction: float = 0.5, repeat: bool = True, seed: int = 3, power: float = 0.5, targets: dict[str, dict[str, float]] | None = None, rounds: int = 12) -> DataFrame:
     """(key, source, lang, topic, tokens, rate, copies) of the sampled rows of docs.
 
@@ -86,18 +92,26 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", *, fractio
     the same number. An empty table gives an empty result; other columns play no part.
     """
     rows = stored(described(docs, key, text), "described")
-    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    rates = stored(raked(cells, power=power, targets=targets, rounds=rounds).where("tokens > 0").select(*DIMENSIONS, (F.lit(fraction) * F.col("weight") / F.col("tokens")).alias("rate")), "rates")
+    rates = sampling_rates(rows, fraction=fraction, power=power, targets=targets, rounds=rounds)
     rate = F.col("rate") if repeat else F.least(F.col("rate"), F.lit(1.0))
     drawn = join_checked(rows.where("tokens > 0"), rates, list(DIMENSIONS)).withColumn("rate", rate)
     copies = (F.floor("rate") + (uniform(key, seed) < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
     return drawn.withColumn("copies", copies).where("copies > 0").select(key, *DIMENSIONS, "tokens", F.round("rate", 6).alias("rate"), "copies")
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of docs that mixture() samples without repetition; rows with a null key, which can't be named, are left out."""
-    drawn = stored(mixture(docs, key, text, repeat=False, **how).select(key).distinct(), "drawn")
-    return join_checked(docs, drawn, key, "left_semi")
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", *, seed: int = 3, **how) -> DataFrame:
+    """The rows of docs that mixture() samples without repetition, with all columns.
+
+    A row's cell is made again and meets its rate there, so texts are read twice and not shuffled for a join by key.
+    """
+    rates = sampling_rates(stored(described(docs, key, text), "described"), **how)
+    names = {d: free_name(docs.columns, f"cell_{d}") for d in (*DIMENSIONS, "rate")}
+    rates = rates.withColumnsRenamed(names)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    cell = {names[c]: F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in DIMENSIONS[:2]} | {names["topic"]: topic_of(whole)}
+    rows = docs.where(whole.rlike(r"[^\x20\x09-\x0D]")).withColumns(cell)
+    drawn = join_checked(rows, rates, [names[d] for d in DIMENSIONS])
+    return drawn.where(uniform(key, seed) < F.least(F.col(names["rate"]), F.lit(1.0))).select(*docs.columns)
 
 
 def oracle_sql(*, fraction: float = 0.5, seed: int = 3, power: float = 0.5, rounds: int = 12) -> str:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, map_text, stored
+from .common import join_checked, map_text, slices, stored
 
 FEATURES = ("upper", "digit", "symbol", "stop", "bar", "bang", "high", "line", "length", "spread", "distinct", "again", "lines_again", "top", "size")
 _UPPER, _DIGIT, _STOP = (np.frombuffer(x, np.uint8) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:"))
@@ -107,6 +107,22 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
 
 
+def measured(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, x): the statistics of each row, stored."""
+
+    def made(_, texts):
+        x = np.array([statistics(t) for t in texts]).reshape(-1)
+        return [pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(FEATURES), pa.int32()), pa.array(x))]
+
+    return stored(map_text(docs, key, text, made, "x array<double>", binary=True), "statistics")
+
+
+def learned(seen: DataFrame, labels: DataFrame, key: str, label: str) -> Discriminant:
+    """The classifier fitted on the labelled rows of measured() that aren't held out."""
+    known = labels.where(F.col(label).isin(0, 1) & ~held_out(key)).select(key, F.col(label).cast("int").alias("label")).distinct()
+    return fit(*moments(join_checked(seen, stored(known, "labels"), key)))
+
+
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", *, label: str = "quality", cut: float = 0.3) -> DataFrame:
     """(key, held_out, score, predicted) for each row of docs; one pass over the texts.
 
@@ -115,13 +131,8 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     labels the score is 0.5. A null key is not held out and has no label. Repeated rows keep their places.
     """
 
-    def made(_, texts):
-        x = np.array([statistics(t) for t in texts]).reshape(-1)
-        return [pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(FEATURES), pa.int32()), pa.array(x))]
-
-    seen = stored(map_text(docs, key, text, made, "x array<double>", binary=True), "statistics")
-    known = labels.where(F.col(label).isin(0, 1) & ~held_out(key)).select(key, F.col(label).cast("int").alias("label")).distinct()
-    model = fit(*moments(join_checked(seen, stored(known, "labels"), key)))
+    seen = measured(docs, key, text)
+    model = learned(seen, labels, key, label)
 
     def run(batches):
         for b in batches:
@@ -132,7 +143,18 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     return scored.select(key, F.coalesce(held_out(key), F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", *, cut: float = 0.3) -> DataFrame:
-    """The rows of docs that classify() accepts; rows with a null key stay, as a rejection couldn't name them."""
-    gone = classify(docs, labels, key, text, cut=cut).groupBy(key).agg(F.max("predicted").alias("best")).where("best = 0").select(key)
-    return join_checked(docs, stored(gone, "rejected"), key, "left_anti")
+def drop_rejected(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", *, label: str = "quality", cut: float = 0.3) -> DataFrame:
+    """The rows of docs that classify() accepts, each by its own text, with all columns.
+
+    Statistics are made twice, for the fit and for the filter: that costs less than a join, which would shuffle texts.
+    """
+    model = learned(measured(docs, key, text), labels, key, label)
+    place = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, place):
+                x = np.array([statistics(t and t.encode()) for t in part.column(place).to_pylist()]).reshape(-1, len(FEATURES))
+                yield part.filter(pa.array(model.score(x) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

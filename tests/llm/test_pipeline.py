@@ -3,7 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from strandloom.llm import mixing, pii, quality, simhash
+from strandloom.llm import common, mixing, pii, quality, simhash
 from strandloom.llm.common import stored, table
 
 from .test_text_ops import empty, odd_docs, plain_components, plain_fingerprint
@@ -53,3 +53,20 @@ def test_near_copies_leave_one(spark):
     rows = [(i, base if i < 5 else base.replace("word3x3", f"other{i}")) for i in range(10)] + [(20, "something else, by itself, of some length that stands alone")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == {0, 20}
+
+
+def test_without_broadcasts_the_same(spark, sf_dir, monkeypatch):
+    """With no side small enough to broadcast, all joins are shuffled and give the same rows."""
+    docs, labels = table(spark, sf_dir, "documents").unionByName(odd_docs(spark).select("doc_id", "text", "lang", "source", "n_chars")), table(spark, sf_dir, "labels")
+
+    def results():
+        made = (quality.classify(docs, labels), pii.detect(docs), pii.sanitise(docs), mixing.mixture(docs), mixing.mixed(docs), simhash.near_duplicates(docs), simhash.drop_near_duplicates(docs))
+        return [sorted(map(repr, (r.asDict() | ({"score": round(r["score"], 9)} if "score" in r else {}) for r in d.collect()))) for d in made]
+
+    want = results()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert results() == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
