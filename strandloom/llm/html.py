@@ -29,7 +29,7 @@ BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?/]?[a-zA-Z!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|<[!?/]?[a-zA-Z](?=[^>]*\Z)[^>]*\Z", re.S)
+_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?/]?[a-zA-Z!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|<[!?/]?[a-zA-Z!?][^>]*>|<[!?/]?[a-zA-Z][^>]*\Z", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[^\W_]+")

@@ -79,6 +79,7 @@ def test_blocks_of_damaged_markup():
     assert text("") == [] and text("plain words") == ["plain words"]
     assert text("<p>a<b>b</b>c<p>d<br>e&amp;f &#233;&nbsp;g<!-- x --><script>var t='</p>';</script>h</p>") == ["abc", "d e&f é gh"]
     assert text("<ul><li>one<li>two</ul><td>x</td><p>un<closed") == ["one", "two", "x", "un"]
+    assert text("<p title=it's>some<br>words</p>") == ["some words"] and text("<p a='x>y' b=\">\">in</p><!-- open") == ["in"]
     assert text("<style>p{}</style><div>1 < 2 and 3 > 2</div><title>t</title>") == ["1 < 2 and 3 > 2"]
     assert html.blocks('<div class="ad-slot Big"><p><a href="#">go</a></p></div>') == [("go", ("div", ".ad", ".slot", ".big", "p"), 1.0)]
 
