@@ -22,10 +22,14 @@ def norm(a: Column) -> Column:
     return F.sqrt(total(F.transform(a, lambda x: x * x)))
 
 
+def over(a: Column, n: Column) -> Column:
+    """Each element of a over n; n is made once for a row, not inside the lambda."""
+    return F.zip_with(a, F.array_repeat(n, F.size(a)), lambda x, y: F.try_divide(x, y))
+
+
 def unit(a: Column) -> Column:
     """a over its length plus 1e-8, so that a zero vector stays zero."""
-    n = norm(a)
-    return F.transform(a, lambda x: x / (n + F.lit(ZERO)))
+    return over(a, norm(a) + F.lit(ZERO))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

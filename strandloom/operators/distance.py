@@ -28,6 +28,13 @@ def units(column: pd.Series) -> np.ndarray:
     return np.divide(x, n, out=np.full_like(x, np.nan), where=n > 0)
 
 
+def reduced(block: np.ndarray, groups: np.ndarray, how: np.ufunc) -> tuple[np.ndarray, np.ndarray]:
+    """(names, block with the columns of each group joined by how)."""
+    order = np.argsort(groups, kind="stable")
+    names, first = np.unique(groups[order], return_index=True)
+    return names, how.reduceat(block[:, order], first, axis=1)
+
+
 def weighted_block(a: pd.DataFrame, b: pd.DataFrame, face_weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(weighted, body, face) distances: with two faces whose distance is below 1 the weighted mean, else body alone."""
     body = 1 - units(a["body"]) @ units(b["body"]).T
@@ -63,12 +70,9 @@ def best_between(rows: DataFrame, key: str, group: str, clip: str = "clip_idx",
         ok = (ga[:, None] != gb[None]) & (a["clip"].to_numpy()[:, None] != b["clip"].to_numpy()[None])
         d = np.where(ok, np.nan_to_num(d, nan=1.0), np.inf)
         sim = np.where(ok & a["has_face"].to_numpy()[:, None] & b["has_face"].to_numpy()[None], np.nan_to_num(1 - face, nan=0.0), 0.0)
-        ua, ia = np.unique(ga, return_inverse=True)
-        ub, ib = np.unique(gb, return_inverse=True)
-        best = np.full((len(ua), len(ub)), np.inf)
-        top = np.zeros((len(ua), len(ub)))
-        np.minimum.at(best, (ia[:, None], ib[None]), d)
-        np.maximum.at(top, (ia[:, None], ib[None]), sim)
+        ub, best = reduced(d, gb, np.minimum)
+        ua, best = reduced(best.T, ga, np.minimum)
+        best, top = best.T, reduced(reduced(sim, gb, np.maximum)[1].T, ga, np.maximum)[1].T
         x, y = np.nonzero(np.isfinite(best))
         i, j = ua[x], ub[y]
         return pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), "distance": best[x, y], "face_sim": top[x, y]}).groupby(["i", "j"], as_index=False).agg({"distance": "min", "face_sim": "max"})
@@ -87,12 +91,11 @@ def nearest_in_groups(rows: DataFrame, key: str, group: str, kind: str = "cosine
             d = np.nan_to_num(1 - units(a["vec"]) @ units(b["vec"]).T, nan=1.0)
         else:
             x, y = np.array(a["vec"].tolist(), float), np.array(b["vec"].tolist(), float)
-            d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+            d = sum((np.subtract.outer(a_, b_) ** 2 for a_, b_ in zip(x.T, y.T, strict=True)), np.zeros((len(x), len(y))))  # squares until the least are known
         out = []
         for own, other, m in ((a, b, d),) if same else ((a, b, d), (b, a, d.T)):
-            names, at = np.unique(other["group"].to_numpy(), return_inverse=True)
-            near = np.full((len(own), len(names)), np.inf)
-            np.minimum.at(near.T, at, m.T)
+            names, near = reduced(m, other["group"].to_numpy(), np.minimum)
+            near = near if kind == "cosine" else np.sqrt(near)
             i, j = np.nonzero(own["group"].to_numpy()[:, None] != names[None])
             out.append(pd.DataFrame({"key": own["key"].to_numpy()[i], "group": own["group"].to_numpy()[i], "other": names[j], "nearest": near[i, j]}))
         return pd.concat(out)

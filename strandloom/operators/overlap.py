@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.vectors import clipped, dot, first_match, norm, unit
+from ..functions.vectors import clipped, dot, first_match, norm, over, unit
 
 #: Frames in a bin of the interval joins.
 BIN = 256
@@ -46,10 +46,10 @@ def fragment_edges(tracks: DataFrame, config: Config = DEFAULT) -> DataFrame:
     rules out overlap, and ends before starts, so i precedes j in the clip's order.
     """
     w = config.fragment_gap
-    left = tracks.select("clip_idx", F.col("track_id").alias("i"), F.col("end_frame").alias("end_i"), F.col("body").alias("body_i")).withColumn("bin", F.explode(F.array(F.floor(F.col("end_i") / w), F.floor(F.col("end_i") / w) + 1)))
-    right = tracks.select("clip_idx", F.col("track_id").alias("j"), F.col("start_frame").alias("start_j"), F.col("body").alias("body_j"), F.floor(F.col("start_frame") / w).alias("bin"))
+    left = tracks.select("clip_idx", F.col("track_id").alias("i"), F.col("end_frame").alias("end_i"), unit(F.col("body")).alias("body_i")).withColumn("bin", F.explode(F.array(F.floor(F.col("end_i") / w), F.floor(F.col("end_i") / w) + 1)))
+    right = tracks.select("clip_idx", F.col("track_id").alias("j"), F.col("start_frame").alias("start_j"), unit(F.col("body")).alias("body_j"), F.floor(F.col("start_frame") / w).alias("bin"))
     pairs = left.join(right, ["clip_idx", "bin"]).withColumn("gap", F.col("start_j") - F.col("end_i")).where((F.col("gap") > 0) & (F.col("gap") <= w))
-    out = pairs.withColumn("similarity", dot(unit(F.col("body_i")), unit(F.col("body_j"))))
+    out = pairs.withColumn("similarity", dot(F.col("body_i"), F.col("body_j")))
     return out.where(F.col("similarity") > config.fragment_similarity).select("clip_idx", "i", "j", "gap", "similarity")
 
 
@@ -66,7 +66,7 @@ def mean_pair_distance(tracks: DataFrame, vector: str = "body") -> DataFrame:
 
     For unit vectors u the sum of u_i . u_j over pairs is (|sum u|^2 - n) / 2, so no pair is made.
     """
-    unit_x = tracks.select("clip_idx", norm(F.col(vector)).alias("n"), vector).select("clip_idx", (F.col("n") > 0).alias("ok"), F.posexplode(F.transform(vector, lambda x: F.try_divide(x, F.col("n")))).alias("pos", "x"))
+    unit_x = tracks.select("clip_idx", norm(F.col(vector)).alias("n"), vector).select("clip_idx", (F.col("n") > 0).alias("ok"), F.posexplode(over(F.col(vector), F.col("n"))).alias("pos", "x"))
     sums = unit_x.groupBy("clip_idx", "pos").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.min("ok").alias("ok"))
     out = sums.groupBy("clip_idx").agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("q"), F.min("ok").alias("ok"))
     n = F.col("n").cast("double")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.vectors import first_match, total
+from ..functions.vectors import first_match, over, total
 from ..sources.proxies import GROUPS
 
 CRIMES = ("SHOPLIFTING", "GUN")
@@ -14,18 +14,16 @@ CRIMES = ("SHOPLIFTING", "GUN")
 
 def softmax(logits: Column) -> Column:
     top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    s = total(e)
-    return F.transform(e, lambda x: x / s)
+    shifted = F.zip_with(logits, F.array_repeat(top, F.size(logits)), lambda x, t: F.exp(x - t))
+    return over(shifted, total(shifted))
 
 
 def label_scores(frames: DataFrame, logits: str = "logits") -> DataFrame:
     """frames with the largest probability of each label group, and the label with the largest of all, the lowest index among ties."""
-    p = frames.withColumn("p", softmax(F.col(logits)))
-    made = {name: F.array_max(F.slice("p", a + 1, b - a + 1)) for name, (a, b) in GROUPS.items()}
-    p = p.withColumns(made).withColumn("label_idx", F.array_position("p", F.array_max("p")).cast("int") - 1)
+    made = F.transform(F.array(softmax(F.col(logits))), lambda p: F.struct(*(F.array_max(F.slice(p, a + 1, b - a + 1)).alias(name) for name, (a, b) in GROUPS.items()), (F.array_position(p, F.array_max(p)).cast("int") - 1).alias("label_idx")))
+    p = frames.withColumn("made", F.get(made, F.lit(0))).select("*", "made.*").drop("made", logits)  # one array, read several times
     category = first_match([(F.col("label_idx") <= b, F.lit(name)) for name, (_, b) in GROUPS.items()], F.lit(None).cast("string"))
-    return p.withColumn("category", category).drop("p", logits)
+    return p.withColumn("category", category)
 
 
 def clamped(box: tuple[Column, Column, Column, Column], width: Column, height: Column) -> tuple[Column, ...]:
