@@ -1,0 +1,147 @@
+"""Near copies by the exact Jaccard similarity of word shingles: candidates by prefixes, then confirmed, then components.
+
+Two sets with a similarity of `least` or more share an element among the first n - ceil(least * n) + 1 of each, in any
+order that holds for all sets. The order here is by how often a shingle stands in a sample of the texts, then by its
+hash, so that prefixes hold rare shingles; it decides the work, never the result. Texts that share a prefix shingle
+are candidates. First each is compared with the least text of the shingle only, so that a large group of copies costs
+its size; then all pairs of texts of a shingle that are still apart are compared, so that no pair is left out. Pairs
+whose lengths, places or parity maps rule the similarity out are dropped before whole sets are compared.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.graph import components
+from .common import join_checked, slices, stored
+
+#: One text in SAMPLE is counted for the order of shingles; the most frequent that stand in OFTEN or more are told apart.
+SAMPLE, OFTEN, COMMON = 8, 2, 400_000
+#: Longs of a text's parity map: each shingle turns one bit over, so two maps differ in no more bits than the sets in shingles.
+LONGS = 16
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def shingles(text: bytes | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct hashes (int64) of all word shingles, A-Z lower-cased; of fewer words they are one shingle."""
+    tokens = (text or b"").lower().split()
+    h = np.array([xxhash.xxh64_intdigest(t) for t in tokens], np.uint64)
+    n = max(1, len(h) - words + 1)
+    total = np.full(n, min(len(h), words), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(min(words, len(h))):
+            total = (total ^ h[i : i + n]) * np.uint64(_MIX[0])
+            total = (total ^ (total >> np.uint64(29))) * np.uint64(_MIX[1])
+        total ^= total >> np.uint64(32)
+    return np.unique(total.view(np.int64))
+
+
+def needed(n, least: float):
+    """Shared elements that a set of n elements must have with another to reach the similarity."""
+    return np.ceil(least * n - 1e-9)
+
+
+def mapped(texts: DataFrame, made, schema: str) -> DataFrame:
+    """Rows of made(id, text) for each row (id, text as bytes): a list of arrays of equal length, in bounded slices."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                rows = [made(i, t) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) if isinstance(c[0], pa.Array) else pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return texts.mapInArrow(run, schema)
+
+
+def identified(docs: DataFrame, text: str) -> DataFrame:
+    """(id, text): the hash of a text's bytes, null as empty."""
+    whole = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    return docs.select(F.xxhash64(whole).alias("id"), whole.alias("text"))
+
+
+def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in many texts of the sample, sorted, with their counts; COMMON at most."""
+    some = mapped(texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0), lambda i, t: [shingles(t, words)], "shingle long")
+    rows = some.groupBy("shingle").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "shingle").limit(COMMON).toPandas().sort_values("shingle")
+    return rows["shingle"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
+
+
+def prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
+    """(shingle, id, n, place, map): the prefix of each text's shingles in the common order; n of all; the parity map at place 0."""
+    sent = texts.sparkSession.sparkContext.broadcast(frequent(texts, words))
+
+    def made(i, text):
+        own = shingles(text, words)
+        odd = np.bincount(((own.view(np.uint64) >> np.uint64(7)) % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1
+        often, counts = sent.value
+        if len(often):
+            at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+            own = own[np.argsort(np.where(often[at] == own, counts[at], 0), kind="stable")]
+        k = len(own) - int(needed(len(own), least)) + 1
+        parity = pa.array([np.packbits(odd.astype(np.uint8)).view(np.int64)] + [None] * (k - 1), pa.list_(pa.int64()))
+        return [own[:k], np.full(k, i, np.int64), np.full(k, len(own), np.int32), np.arange(k, dtype=np.int32), parity]
+
+    return mapped(texts, made, "shingle long, id long, n int, place int, map array<long>")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """(u, v) of the stored pairs whose sets of shingles are as similar as least."""
+    ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "candidates")
+    own = join_checked(texts, ids, "id", "left_semi").select("id", "text")
+    sets = stored(mapped(own, lambda i, t: [np.array([i], np.int64), pa.array([shingles(t, words)], pa.list_(pa.int64()))], "id long, own array<long>").dropDuplicates(["id"]), "sets")
+    both = pairs.join(sets.withColumnsRenamed({"id": "u", "own": "a"}), "u").join(sets.withColumnsRenamed({"id": "v", "own": "b"}), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.withColumn("shared", shared).where(F.col("shared") >= F.lit(least) * (F.size("a") + F.size("b") - F.col("shared")) - F.lit(1e-9)).select("u", "v")
+
+
+def links(docs: DataFrame, text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """(u, v), stored: edges between hashes of texts that have the components of all pairs as similar as least."""
+    texts = identified(docs, text)
+    rows = stored(prefixes(texts, words, least), "prefixes")
+    maps = stored(rows.where("place = 0").select("id", "map").dropDuplicates(["id"]), "maps")
+    rows = rows.drop("map")
+    firsts = stored(rows.groupBy("shingle").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("shingle", "first"), "firsts")
+    met = stored(join_checked(rows, firsts, "shingle").distinct(), "met")
+
+    def possible(a: DataFrame, b: DataFrame, other) -> DataFrame:
+        """(u, v), stored: pairs of rows of one shingle whose lengths, places and parity maps allow the similarity."""
+        a, b = (x.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place", "component"))) for x, s in ((a, "u"), (b, "v")))
+        must = F.lit(least / (1 + least)) * (F.col("n_u") + F.col("n_v")) - F.lit(1e-6)
+        most = F.least(F.col("n_u") - F.col("place_u"), F.col("n_v") - F.col("place_v"))  # what a pair can share from its first common shingle on
+        pairs = a.join(b, "shingle").where("id_u < id_v").where(other).where((most >= must) & (F.least("n_u", "n_v") >= F.lit(least) * F.greatest("n_u", "n_v") - F.lit(1e-6)))
+        pairs = pairs.select(F.col("id_u").alias("u"), F.col("id_v").alias("v"), (F.col("n_u") + F.col("n_v") - 2 * must).alias("differ")).dropDuplicates(["u", "v"])
+        pairs = join_checked(join_checked(stored(pairs, "pairs"), maps.withColumnsRenamed({"id": "u", "map": "a"}), "u"), maps.withColumnsRenamed({"id": "v", "map": "b"}), "v")
+        apart = sum((F.bit_count(F.col("a")[i].bitwiseXOR(F.col("b")[i])) for i in range(1, LONGS)), F.bit_count(F.col("a")[0].bitwiseXOR(F.col("b")[0])))
+        return stored(pairs.where(apart <= F.col("differ")).select("u", "v"), "possible")
+
+    met = met.withColumn("component", F.col("id"))
+    star = possible(met.where("id = first"), met, F.lit(True))
+    near = stored(confirmed(star, texts, words, least), "near")
+    label = stored(components(near).select(F.col("node").alias("id"), F.col("component").alias("label")), "labels")
+    met = stored(join_checked(met, label, "id", "left").withColumn("component", F.coalesce("label", "id")).drop("label"), "met")
+    apart = stored(met.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("m")).where("a < b AND m > 2").select("shingle"), "apart")
+    rest = stored(join_checked(met.where("id <> first"), apart, "shingle", "left_semi"), "rest")
+    pairs = possible(rest, rest, F.col("component_u") != F.col("component_v"))
+    return stored(near.unionByName(confirmed(pairs, texts, words, least)), "links")
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """(key, component_id) for each row of docs: the least key of the rows that chains of near copies link (nulls aside).
+
+    Null, empty and blank texts are copies of each other. Equal keys and rows stay as they are.
+    """
+    names = stored(docs.select(key, F.xxhash64(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("id")), "names")
+    label = stored(components(links(docs, text, words, least)).select(F.col("node").alias("id"), F.col("component").alias("label")), "labels")
+    named = stored(names.groupBy("id").agg(F.min(key).alias("least")), "distinct")
+    whole = stored(join_checked(named, label, "id", "left").withColumn("label", F.coalesce("label", "id")), "whole")
+    top = stored(whole.groupBy("label").agg(F.min("least").alias("component_id")), "tops")
+    linked = stored(join_checked(whole, top, "label").select("id", "component_id"), "linked")
+    return join_checked(names, linked, "id").select(key, "component_id")

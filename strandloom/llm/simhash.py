@@ -259,7 +259,12 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     Rows with a null key can't be named and all stay. Columns and texts are those of docs.
     """
-    found = stored(near_duplicates(docs, key, text, **how).where(F.col(key).isNotNull()), "found")
+    return least_of_each(docs, near_duplicates(docs, key, text, **how), key)
+
+
+def least_of_each(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """drop_near_duplicates() by the components found (key, component_id)."""
+    found = stored(found.where(F.col(key).isNotNull()), "found")
     gone = stored(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
     kept = join_checked(docs, gone, key, "left_anti")
     again = stored(found.groupBy(key).count().where("count > 1").select(key), "again")

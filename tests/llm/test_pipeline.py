@@ -1,9 +1,11 @@
 """The pipeline's stages, each against the operator's own decisions on the stage's input, and on odd rows."""
 
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from strandloom.llm import common, mixing, pii, quality, simhash
+from strandloom.llm import common, jaccard, mixing, pii, quality, simhash
 from strandloom.llm.common import stored, table
 
 from .test_text_ops import empty, odd_docs, plain_components, plain_fingerprint
@@ -70,3 +72,49 @@ def test_without_broadcasts_the_same(spark, sf_dir, monkeypatch):
         assert results() == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def near_sets(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def plain_copies(rows):
+    """The least id of each component of pairs with a similarity of 0.8 or more, by comparing all."""
+    sets, top = {i: near_sets(t) for i, t in rows}, {i: i for i, _ in rows}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                x, y = sorted((top[a], top[b]))
+                top = {k: x if v == y else v for k, v in top.items()}
+    return top
+
+
+def test_stage_folds_copies_with_edits(spark, sf_dir):
+    """Copies with ordinary edits, in chains and beside texts just below the similarity; the stage has exactly their components."""
+    rng = random.Random(4)
+    rows, shared = [], [f"common{i}" for i in range(30)]
+    for g in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)] + shared
+        for _ in range(8):
+            rows.append((len(rows), " ".join(base)))
+            for _ in range(rng.randint(1, 5)):
+                base[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+    want = plain_copies(rows)
+    kept = set(want.values())
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_copies(df).collect()} == want
+    assert {r["doc_id"] for r in corpus_pipeline.dedup(spark, df, sf_dir).collect()} == kept and len(kept) < 50
+    assert len({r["component_id"] for r in simhash.near_duplicates(df).collect()}) > len(kept)
+
+
+def test_near_copies_of_documents(spark, sf_dir):
+    docs = table(spark, sf_dir.replace("0.001", "0.01"), "documents").where("doc_id % 2 = 0")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_copies(docs).collect()} == plain_copies(rows)
+
+
+def test_near_copies_of_odd_rows(spark):
+    got = jaccard.near_copies(odd_docs(spark)).collect()
+    assert len(got) == 9 and jaccard.near_copies(empty(spark)).count() == 0
+    assert {r["component_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
