@@ -25,8 +25,8 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents by rates raked to the target margins."""
-    return mixing.mixed(docs)
+    """A sample of the documents by rates raked to the target margins; rows of rates above 1 are repeated, as in op3."""
+    return mixing.mixed(docs, repeat=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,9 +99,10 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", *, fractio
     return drawn.withColumn("copies", copies).where("copies > 0").select(key, *DIMENSIONS, "tokens", F.round("rate", 6).alias("rate"), "copies")
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", *, seed: int = 3, **how) -> DataFrame:
-    """The rows of docs that mixture() samples without repetition, with all columns.
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", *, repeat: bool = False, seed: int = 3, **how) -> DataFrame:
+    """The rows of docs that mixture() samples, with all columns; with repeat as often as it has copies of them.
 
+    Without repeat, cells with a rate above 1 can't get their share: the margins and the fraction are missed then.
     A row's cell is made again and meets its rate there, so texts are read twice and not shuffled for a join by key.
     """
     rates = sampling_rates(stored(described(docs, key, text), "described"), **how)
@@ -111,7 +112,11 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", *, seed: int
     cell = {names[c]: F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in DIMENSIONS[:2]} | {names["topic"]: topic_of(whole)}
     rows = docs.where(whole.rlike(r"[^\x20\x09-\x0D]")).withColumns(cell)
     drawn = join_checked(rows, rates, [names[d] for d in DIMENSIONS])
-    return drawn.where(uniform(key, seed) < F.least(F.col(names["rate"]), F.lit(1.0))).select(*docs.columns)
+    rate = F.col(names["rate"])
+    if not repeat:
+        return drawn.where(uniform(key, seed) < F.least(rate, F.lit(1.0))).select(*docs.columns)
+    copies = (F.floor(rate) + (uniform(key, seed) < rate - F.floor(rate)).cast("int")).cast("int")
+    return drawn.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies)).alias(names["rate"])).select(*docs.columns)
 
 
 def oracle_sql(*, fraction: float = 0.5, seed: int = 3, power: float = 0.5, rounds: int = 12) -> str:

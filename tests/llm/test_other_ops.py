@@ -9,6 +9,7 @@ import struct
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import duckdb
 import numpy as np
 import pytest
@@ -16,7 +17,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from strandloom.llm import html, maxscore, media, mixing, pieces, queries, sharding
-from strandloom.llm.common import table
+from strandloom.llm.common import stored, table
 
 from .test_text_ops import LONG, empty, odd_docs
 
@@ -132,6 +133,21 @@ def test_sampled_tokens_have_the_target_shares(spark, sf_dir):
         assert r["n"] / sum(x["n"] for x in got) == pytest.approx(want, abs=0.03)
 
 
+def test_stage_meets_fraction_and_target_shares(spark, sf_dir):
+    """The pipeline's stage repeats rows of cells with a rate above 1, so small cells get their share and the sum its fraction."""
+    docs = table(spark, sf_dir.replace("0.001", "0.1"), "documents")
+    per = lambda df, c: {r[c]: r["n"] for r in mixing.described(df).groupBy(c).agg(F.sum("tokens").alias("n")).collect()}
+    got = stored(corpus_pipeline.mix(spark, docs, sf_dir), "mixed")
+    every = per(docs, "topic")
+    assert sum(per(got, "topic").values()) / sum(every.values()) == pytest.approx(0.5, abs=0.02)
+    for c in ("lang", "topic"):
+        every, had = per(docs, c), per(got, c)
+        for v, n in every.items():
+            assert had[v] / sum(had.values()) == pytest.approx(math.sqrt(n) / sum(map(math.sqrt, every.values())), abs=0.02), v
+    want = Counter({r["doc_id"]: r["copies"] for r in mixing.mixture(docs).collect()})
+    assert Counter(r["doc_id"] for r in got.select("doc_id").collect()) == want and max(want.values()) > 1
+
+
 def test_mixing_of_odd_rows(spark):
     got = mixing.mixture(odd_docs(spark), fraction=1000.0).collect()
     assert sorted(str(r["doc_id"]) for r in got) == ["4", "5", "5", "6", "7", "None"]  # no tokens, no place
