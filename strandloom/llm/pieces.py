@@ -2,12 +2,14 @@
 
 A text is a leading blank, then its characters, blanks written as the word mark. Symbols start as characters; an
 agenda holds the neighbouring pairs whose joint string is a piece and gives the best score first, then the leftmost.
-A candidate taken from it is skipped where the keyed hash of (seed, epoch, variant, chunk, place, piece) falls below
-the dropout rate; so the segmentation depends on the seed, not on the order of rows or on a task. Characters that are
+A candidate taken from it is skipped where the keyed hash of (seed, epoch, text, the chunk's place in the text, place in
+the chunk, piece) falls below the dropout rate; so each occurrence of a word in any text is cut by chance of its own, and
+the segmentation depends on the seed and the text, not on the order of rows or on a task. Characters that are
 no piece, and the word mark itself where a text holds it, become byte pieces, so that decoding gives back each text.
 
 Pieces hold the word mark at their start only and some characters stand in no longer piece; texts are cut there
-into chunks, which no merge crosses. Chunks that come again are looked up; a text's variant is one of `variants`.
+into chunks, which no merge crosses. What is remembered of a chunk is the order in which its candidates come after the
+same decisions: a binary tree, grown where it is met. The decisions are drawn anew for each occurrence.
 """
 
 from __future__ import annotations
@@ -27,10 +29,9 @@ from .common import map_text
 MARK = "▁"
 #: Fixed values of the model format: the types of pieces.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-#: Chunks that a Python worker gathers before it sets them aside and forgets those set aside before; the longest that are merged many at once.
-REMEMBER, LONGEST = 500_000, 32
+#: Nodes of merges that a Python worker gathers before it forgets them; the longest chunks that have nodes.
+REMEMBER, LONGEST = 1_500_000, 32
 _M = (1 << 64) - 1
-_NONE = (1 << 31) - 1
 #: Characters of a long text that are cut into chunks at once.
 PART = 1 << 20
 _CUT = re.compile("(?<! ) ")
@@ -54,154 +55,146 @@ class Vocabulary:
             raise ValueError("pieces with the word mark after another character can't be cut into chunks")
         inner = "".join(re.escape(c) for c in sorted(joined)) or MARK
         self.chunk = re.compile(f"{MARK}+[{inner}]*|[{inner}]+|.", re.S)
-        self.known: dict[tuple[int, int], dict] = {}
-        self.before: dict[tuple[int, int], dict] = {}
-        self._tables()
-
-    def _tables(self) -> None:
-        """Symbol numbers (pieces first, then characters that are no piece) and a hash table from pairs of them to pieces."""
-        self.number = {p: i for p, (_, i) in self.best.items()}
-        self.spare = [c for c in dict.fromkeys(c for p in self.best if len(p) > 1 for c in p) if c not in self.number]
-        self.number |= {c: len(self.raw) + i for i, c in enumerate(self.spare)}
-        self.character = np.full(0x110000, -1, np.int32)
-        for p, i in self.number.items():
-            if len(p) == 1:
-                self.character[ord(p)] = i
-        order = sorted({-s for s, _ in self.best.values()}, reverse=True)
-        place = {-s: i for i, s in enumerate(order)}
-        self.rank = np.zeros(len(self.raw) + len(self.spare), np.int32)
-        pairs = {}
-        for p, (score, i) in self.best.items():
-            self.rank[i] = place[score]
-            for k in range(1, len(p)):
-                a, b = self.number.get(p[:k]), self.number.get(p[k:])
-                if a is not None and b is not None:
-                    pairs[a << 21 | b] = i
-        size = 1 << (4 * max(1, len(pairs))).bit_length()
-        self.shift = np.uint64(64 - size.bit_length() + 1)
-        self.slot_key, self.slot_piece = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
-        for key, i in pairs.items():
-            at = key * 0x9E3779B97F4A7C15 & _M
-            at >>= int(self.shift)
-            while self.slot_key[at] >= 0:
-                at = (at + 1) % size
-            self.slot_key[at], self.slot_piece[at] = key, i
-
-    def joint(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Piece of each pair of symbols, or -1."""
-        key = left.astype(np.int64) << 21 | right
-        key[(left < 0) | (right < 0)] = -2
-        at = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-        out = np.full(len(key), -1, np.int32)
-        left_over = np.flatnonzero(key >= 0)
-        while len(left_over):
-            seen = self.slot_key[at[left_over]]
-            hit = seen == key[left_over]
-            out[left_over[hit]] = self.slot_piece[at[left_over[hit]]]
-            left_over = left_over[~hit & (seen >= 0)]
-            at[left_over] = (at[left_over] + 1) % len(self.slot_key)
+        self._forget()
+
+    def _forget(self) -> None:
+        """No chunk is remembered. A node is a merge that is tried next (place, piece; piece -1: none is left) after the same decisions."""
+        self.first: dict[str, int] = {}
+        self.nodes = 0
+        self.trial = np.full((2, 1 << 12), -1, np.int64)  # place and piece, mixed; piece
+        self.child = np.full((2, 1 << 12), -1, np.int32)  # merged, skipped
+        self.parent: list[int | str] = []
+        self.skipped = bytearray()
+        self.ids: list[bytes | None] = []
+
+    def _node(self, parent: int | str, skipped: int) -> int:
+        """A new last node, below a node or as the first one of a chunk."""
+        at = self.nodes
+        if at == self.trial.shape[1]:
+            self.trial, self.child = (np.concatenate((x, np.full_like(x, -1)), axis=1) for x in (self.trial, self.child))
+        self.nodes += 1
+        self.parent.append(parent)
+        self.skipped.append(skipped)
+        self.ids.append(None)
+        if not isinstance(parent, str):
+            self.child[skipped, parent] = at
+        return at
+
+    def _grow(self, parent: int, skipped: int) -> int:
+        """Nodes after a decision at a node, as far as the end if all later candidates are merged."""
+        way = [skipped]
+        at = parent
+        while not isinstance(self.parent[at], str):
+            way.append(self.skipped[at])
+            at = self.parent[at]
+        return self._follow(self.parent[at], way, self._node(parent, skipped))
+
+    def _follow(self, chunk: str, way: list[int], at: int) -> int:
+        """Merge by the decisions of way, the first one last, then all; set the node at, the one after them, and those below it."""
+        top = at
+
+        def keep(i: int, piece: int) -> bool:
+            nonlocal at
+            if way:
+                return not way.pop()
+            self.trial[0, at] = ((i * 0x9E3779B97F4A7C15 + piece * 0xBF58476D1CE4E5B9 + (1 << 63)) & _M) - (1 << 63)
+            self.trial[1, at] = piece
+            at = self._node(at, 0)
+            return True
+
+        self.ids[at] = self._merged(chunk, keep)  # the arguments' order: at is the end by now
+        return top
+
+    def resolve(self, nodes: np.ndarray, own: np.ndarray, drop: int) -> np.ndarray:
+        """The end nodes of chunks that start at nodes, each by its own key."""
+        out, at = nodes.copy(), np.arange(len(nodes))
+        with np.errstate(over="ignore"):
+            while len(at):
+                now = out[at]
+                on = self.trial[1, now] >= 0
+                at, now = at[on], now[on]
+                z = own[at] + self.trial[0, now].view(np.uint64)
+                z = (z ^ (z >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+                skipped = ((z ^ (z >> np.uint64(31))) < np.uint64(drop)).astype(np.int8)
+                after = self.child[skipped, now]
+                if (new := after < 0).any():
+                    for pair in np.unique(now[new].astype(np.int64) * 2 + skipped[new]).tolist():
+                        self._grow(pair >> 1, pair & 1)
+                    after = self.child[skipped, now]
+                out[at] = after
         return out
 
-    def merge_all(self, chunks: list[str], keys: list[int], drop: int) -> list[bytes]:
-        """merge() of many chunks of one width class at once: each step takes the best candidate of every chunk."""
-        width = max(map(len, chunks))
-        n = len(chunks)
-        count = np.fromiter(map(len, chunks), np.int64, n)
-        symbol = np.full((n, width + 1), -1, np.int32)
-        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
-        symbol[np.arange(width + 1)[None] < count[:, None]] = self.character[points]
-        own = np.array([xxhash.xxh64_intdigest(c.encode(), k) for c, k in zip(chunks, keys, strict=True)], np.uint64)
-        place = np.tile(np.arange(width + 1, dtype=np.int16), (n, 1))
-        piece = np.full((n, width), -1, np.int32)
-        worth = np.full((n, width), _NONE, np.int32)
-        column = np.arange(width + 1)[None]
-
-        def offer(r: np.ndarray, c: np.ndarray) -> None:
-            """Set the candidates of rows r at columns c."""
-            found = self.joint(symbol[r, c], symbol[r, c + 1])
-            ok = found >= 0
-            if drop and ok.any():
-                z = own[r] + place[r, c].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + found.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-                z = (z ^ (z >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-                ok &= (z ^ (z >> np.uint64(31))) >= np.uint64(drop)
-            piece[r, c] = np.where(ok, found, -1)
-            worth[r, c] = np.where(ok, self.rank[np.maximum(found, 0)] * 64 + c, _NONE)
+    def _starts(self, chunks: list[str]) -> list[int]:
+        """The first nodes of chunks of 2 to LONGEST characters and of single ones."""
+        for c in set(chunks) - self.first.keys():
+            self.first[c] = at = self._node(c, 0)
+            self._follow(c, [], at)
+        return list(map(self.first.__getitem__, chunks))
 
-        with np.errstate(over="ignore"):
-            r, c = np.nonzero(column[:, :-1] < (count - 1)[:, None])
-            offer(r, c)
-            rows = np.arange(n)
-            while True:
-                at = worth[rows].argmin(axis=1)
-                on = piece[rows, at] >= 0
-                rows, at = rows[on], at[on]
-                if not len(rows):
-                    break
-                symbol[rows, at] = piece[rows, at]
-                gone = column > at[:, None]
-                for x in (symbol, place):
-                    part = x[rows]
-                    part[:, :-1] = np.where(gone[:, :-1], part[:, 1:], part[:, :-1])
-                    x[rows] = part
-                symbol[rows, -1] = -1
-                for x, none in ((piece, -1), (worth, _NONE)):
-                    part = x[rows]
-                    part[:, :-1] = np.where(gone[:, :-2], part[:, 1:], part[:, :-1])
-                    part[:, -1] = none
-                    x[rows] = part
-                worth[rows] -= np.where(gone[:, :-1] & (piece[rows] >= 0), 1, 0)
-                count[rows] -= 1
-                left = at > 0
-                offer(np.concatenate((rows, rows[left])), np.concatenate((at, at[left] - 1)))
-        plain = (symbol < len(self.raw)).all(axis=1) & ((symbol >= 0) == (column < count[:, None])).all(axis=1)
-        return [symbol[r, : count[r]].tobytes() if plain[r] else self.merge(chunks[r], keys[r], drop) for r in range(n)]
+    def merge_all(self, chunks: list[str], keys: list[int], drop: int) -> list[bytes]:
+        """merge() of many chunks at once."""
+        ends = self.resolve(np.array(self._starts(chunks), np.int64), np.array(keys, np.uint64), drop)
+        return [self.ids[i] for i in ends.tolist()]
 
     def encode_all(self, texts: list[str | None], keys: list[int], drop: int) -> list[np.ndarray | None]:
         """Ids of whole texts, each by its own key; long ones in parts that are cut before blanks, where chunks begin."""
         short = [None if t is None or len(t) > PART else t for t in texts]
-        out = self.encode_parts(short, keys, drop, True)
+        out = [None if x is None else x[0] for x in self.encode_parts(short, keys, drop, True)]
         for i, t in enumerate(texts):
             if t is not None and len(t) > PART:
                 cuts, at = [0], PART
                 while (m := _CUT.search(t, at)) is not None:
                     cuts.append(m.start())
                     at = m.start() + PART
-                out[i] = np.concatenate([self.encode_parts([t[a:b]], [keys[i]], drop, a == 0)[0] for a, b in zip(cuts, [*cuts[1:], len(t)], strict=True)])
+                parts, place = [], 0
+                for a, b in zip(cuts, [*cuts[1:], len(t)], strict=True):
+                    ids, n = self.encode_parts([t[a:b]], [keys[i]], drop, a == 0, place)[0]
+                    parts.append(ids)
+                    place += n
+                out[i] = np.concatenate(parts)
         return out
 
-    def encode_parts(self, texts: list[str | None], keys: list[int], drop: int, first: bool) -> list[np.ndarray | None]:
-        """Ids of texts of bounded length; chunks not remembered are merged together, by classes of width."""
-        if sum(map(len, self.known.values())) > REMEMBER:
-            self.before, self.known = self.known, {}
+    def encode_parts(self, texts: list[str | None], keys: list[int], drop: int, first: bool, place: int = 0) -> list[tuple[np.ndarray, int] | None]:
+        """Ids and number of chunks of texts of bounded length; a chunk's key is of its text's key and its place, counted from `place`."""
+        if self.nodes > REMEMBER:
+            self._forget()
         cut = [None if t is None else self.chunks(t, first) for t in texts]
+        sizes = [len(own or ()) for own in cut]
+        every = [c for own in cut for c in own or ()]
+        if not every:
+            return [None if own is None else (np.zeros(0, np.int32), 0) for own in cut]
+        begin = np.cumsum([0, *sizes])
+        with np.errstate(over="ignore"):
+            at = (np.arange(len(every)) - np.repeat(begin[:-1], sizes) + place + 1).astype(np.uint64)
+            own = np.repeat(np.array(keys, np.uint64), sizes) + at * np.uint64(0xD1B54A32D192ED03)
+            own = (own ^ (own >> np.uint64(32))) * np.uint64(0xAEF17502108EF2D9)
+            own ^= own >> np.uint64(29)
         mark = array("i", [self.bytes[b] for b in MARK.encode()]).tobytes()
-        new: dict[int, set] = {}
-        for k, own in zip(keys, cut, strict=True):
-            new.setdefault(k, set()).update(own or ())
-        classes: dict[int, list] = {}
-        for k, own in new.items():
-            known, before = self.known.setdefault((k, drop), {None: mark}), self.before.get((k, drop), {})
-            for c in own - known.keys():
-                if (had := before.get(c)) is not None:
-                    known[c] = had
-                elif len(c) == 1 or len(c) > LONGEST:
-                    known[c] = self.merge(c, k, drop)
-                else:
-                    classes.setdefault((len(c) + 2) // 3, []).append((k, c))
-        for own in classes.values():
-            for i in range(0, len(own), 1 << 13):
-                some = own[i : i + (1 << 13)]
-                for (k, c), ids in zip(some, self.merge_all([c for _, c in some], [k for k, _ in some], drop), strict=True):
-                    self.known[k, drop][c] = ids
-        return [None if own is None else np.frombuffer(b"".join(map(self.known[k, drop].__getitem__, own)), np.int32) for k, own in zip(keys, cut, strict=True)]
+        apart = [i for i, c in enumerate(every) if c is None or len(c) > LONGEST]
+        long = {i: mark if every[i] is None else self.merge(every[i], int(own[i]), drop) for i in apart}
+        for i in apart:
+            every[i] = MARK
+        ids = list(map(self.ids.__getitem__, self.resolve(np.array(self._starts(every), np.int64), own, drop).tolist()))
+        for i, x in long.items():
+            ids[i] = x
+        return [None if c is None else (np.frombuffer(b"".join(ids[begin[i] : begin[i + 1]]), np.int32), sizes[i]) for i, c in enumerate(cut)]
 
     def merge(self, chunk: str, key: int, drop: int) -> bytes:
         """Ids (int32, little-endian) of one chunk; candidates whose hash is below drop are skipped."""
+
+        def keep(i: int, piece: int) -> bool:
+            z = (key + i * 0x9E3779B97F4A7C15 + piece * 0xBF58476D1CE4E5B9) & _M
+            z = ((z ^ (z >> 30)) * 0x94D049BB133111EB) & _M
+            return z ^ (z >> 31) >= drop
+
+        return self._merged(chunk, keep)
+
+    def _merged(self, chunk: str, keep) -> bytes:
+        """Ids of one chunk; keep(place, piece) tells whether a candidate is merged."""
         best = self.best
         n = len(chunk)
         if n == 1:
             return self._id(chunk)
-        own = xxhash.xxh64_intdigest(chunk.encode(), key)
         symbol, after, before = list(chunk), list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
 
@@ -220,11 +213,8 @@ class Vocabulary:
             j = after[i]
             if not symbol[i] or j >= n or len(symbol[i]) + len(symbol[j]) != size:
                 continue  # one of the two has gone into another symbol
-            if drop:
-                z = (own + i * 0x9E3779B97F4A7C15 + piece * 0xBF58476D1CE4E5B9) & _M
-                z = ((z ^ (z >> 30)) * 0x94D049BB133111EB) & _M
-                if z ^ (z >> 31) < drop:
-                    continue
+            if not keep(i, piece):
+                continue
             symbol[i] += symbol[j]
             symbol[j] = ""
             after[i] = k = after[j]
@@ -292,19 +282,19 @@ def _lists(rows: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat), mask=mask)
 
 
-def _keys(texts: list[str | None], seed: int, epoch: int, variants: int) -> list[int]:
-    """A text's key is one of `variants`, chosen by its hash: equal texts have equal keys."""
-    keys = [xxhash.xxh64_intdigest(f"{seed}:{epoch}:{v}") for v in range(variants)]
-    return [keys[xxhash.xxh64_intdigest((t or "").encode(), seed + epoch) % variants] for t in texts]
+def _keys(texts: list[str | None], seed: int, epoch: int) -> list[int]:
+    """A text's key is the hash of the text: equal texts have equal keys."""
+    own = xxhash.xxh64_intdigest(f"{seed}:{epoch}")
+    return [xxhash.xxh64_intdigest((t or "").encode(), own) for t in texts]
 
 
-def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", *, dropout: float = 0.1, seed: int = 7, epoch: int = 0, variants: int = 4) -> DataFrame:
+def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", *, dropout: float = 0.1, seed: int = 7, epoch: int = 0) -> DataFrame:
     """(key, ids array<int>) for each row of docs: the whole text's pieces; a null text has null ids, an empty one no ids."""
     sent = _sent(docs, model)
     drop = int(dropout * 2.0**64)
 
     def made(_, texts):
-        return [_lists(_held(sent).encode_all(texts, _keys(texts, seed, epoch, variants), drop))]
+        return [_lists(_held(sent).encode_all(texts, _keys(texts, seed, epoch), drop))]
 
     return map_text(docs, key, text, made, "ids array<int>")
 
@@ -325,7 +315,7 @@ def decode(tokens: DataFrame, model: str, key: str = "doc_id", ids: str = "ids")
     return tokens.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")
 
 
-def encode_checked(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", *, dropout: float = 0.1, seed: int = 7, epoch: int = 0, variants: int = 4) -> DataFrame:
+def encode_checked(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", *, dropout: float = 0.1, seed: int = 7, epoch: int = 0) -> DataFrame:
     """(key, n_tokens, lossless, ids): encode() with each row decoded again; lossless says that the text came back.
 
     A null text has null ids, no tokens and counts as lossless; equal texts have equal ids; repeated rows stay.
@@ -335,7 +325,7 @@ def encode_checked(docs: DataFrame, model: str, key: str = "doc_id", text: str =
 
     def made(_, texts):
         vocabulary = _held(sent)
-        rows = vocabulary.encode_all(texts, _keys(texts, seed, epoch, variants), drop)
+        rows = vocabulary.encode_all(texts, _keys(texts, seed, epoch), drop)
         right = [r is None or vocabulary.decode(r) == t for r, t in zip(rows, texts, strict=True)]
         return [[0 if r is None else len(r) for r in rows], right, _lists(rows)]
 

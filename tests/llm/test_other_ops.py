@@ -385,6 +385,27 @@ def test_long_texts_in_parts(vocabulary, monkeypatch):
     assert [vocabulary.decode(np.array(w, np.int32)) for w in whole] == some_texts()
 
 
+def test_each_occurrence_is_cut_anew(spark, vocabulary):
+    """A word has many segmentations within a text and at one place over texts."""
+    df = spark.createDataFrame([(0, "international " * 400)] + [(i, f"international {i}") for i in range(1, 401)], "doc_id long, text string")
+    rows = {r["doc_id"]: r["ids"] for r in pieces.encode(df, queries.MODEL).collect()}
+
+    def words(ids):
+        starts = [i for i, x in enumerate(ids) if vocabulary.raw[x].startswith(b" ")] + [len(ids)]
+        return [tuple(ids[a:b]) for a, b in zip(starts, starts[1:])]
+
+    assert len(set(words(rows[0])[:-1])) > 8 and len({words(rows[i])[0] for i in range(1, 401)}) > 8
+    assert vocabulary.decode(np.array(rows[0], np.int32)) == "international " * 400
+
+
+def test_nodes_forgotten_give_the_same(vocabulary, monkeypatch):
+    drop = int(0.2 * 2**64)
+    texts = some_texts()
+    whole = [x.tolist() for x in vocabulary.encode_all(texts, list(range(len(texts))), drop)]
+    monkeypatch.setattr(pieces, "REMEMBER", 50)
+    assert [vocabulary.encode(t, i, drop).tolist() for i, t in enumerate(texts)] == whole
+
+
 def test_pieces_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame(list(enumerate(some_texts())), "doc_id long, text string")
     a = {r["doc_id"]: r["ids"] for r in pieces.encode(df.coalesce(1), queries.MODEL).collect()}
