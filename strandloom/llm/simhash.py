@@ -79,7 +79,7 @@ def trie_pairs(bits: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray
     """Yield arrays (a, b) of positions whose values differ in at most budget bits, from a trie join.
 
     pairs: ranges [a0, a1) and [b0, b1) of bits, a pair of nodes each, or twice one range for a node with itself. In
-    a range the uint64 values are distinct and sorted; in a pair all agree in the first skip bits. A node is a range of
+    a range the uint64 values are sorted; in a pair all agree in the first skip bits. A node is a range of
     positions. A step takes node pairs at one level, splits both nodes by the next bit, adds the differing bit and
     drops what exceeds the budget. Pairs of single leaves are finished by a popcount of what is left.
     """
@@ -100,15 +100,18 @@ def trie_pairs(bits: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray
             if near.any():
                 yield x[near], y[near]
         keep = ~leaf
-        if level == BITS or not keep.any():
-            continue  # the values are distinct: ranges at the last level are leaves
+        if not keep.any():
+            continue
         a0, a1, b0, b1, diff, same = a0[keep], a1[keep], b0[keep], b1[keep], diff[keep], same[keep]
-        if level not in ones:
-            ones[level] = np.concatenate(([0], np.cumsum((bits >> np.uint64(BITS - 1 - level)) & np.uint64(1), dtype=np.int64)))
-        c = ones[level]
-        am, bm = a1 - (c[a1] - c[a0]), b1 - (c[b1] - c[b0])
+        if level < BITS:
+            if level not in ones:
+                ones[level] = np.concatenate(([0], np.cumsum((bits >> np.uint64(BITS - 1 - level)) & np.uint64(1), dtype=np.int64)))
+            c = ones[level]
+            am, bm, by = a1 - (c[a1] - c[a0]), b1 - (c[b1] - c[b0]), 1
+        else:  # ranges of equal values are halved
+            am, bm, by = (a0 + a1) // 2, (b0 + b1) // 2, 0
         parts = []
-        for p0, p1, q0, q1, cost, which in ((a0, am, b0, bm, 0, None), (am, a1, bm, b1, 0, None), (a0, am, bm, b1, 1, None), (am, a1, b0, bm, 1, ~same)):
+        for p0, p1, q0, q1, cost, which in ((a0, am, b0, bm, 0, None), (am, a1, bm, b1, 0, None), (a0, am, bm, b1, by, None), (am, a1, b0, bm, by, ~same)):
             ok = (p1 > p0) & (q1 > q0) & (diff + cost <= budget)
             if which is not None:
                 ok &= which  # of a node with itself the two mixed children are one pair
@@ -169,10 +172,6 @@ def links(prints: DataFrame, budget: int = 4) -> DataFrame:
         return key
 
     rows = prints.select("fp", F.posexplode(F.array(*[keyed(p) for p in plans])).alias("trie", "node"))
-    rows = tiled(rows)
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cell = ("trie", "node", "left", "right")
-    rows = rows.select("fp", *cell, "tile").repartition(parts, *cell).sortWithinPartitions(*cell)
 
     def turned(fp: np.ndarray, trie: int) -> np.ndarray:
         out = np.zeros(len(fp), np.uint64)
@@ -180,14 +179,32 @@ def links(prints: DataFrame, budget: int = 4) -> DataFrame:
             out = (out << np.uint64(width)) | ((fp >> np.uint64(shift)) & np.uint64(mask(width)))
         return out
 
+    def go(trie, bits, values, pairs, _):
+        u, v = spanning_edges(values[0], bits, pairs, skips[trie], budget)
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+    return cells(tiled(rows), (), go, "u long, v long", turned).distinct()
+
+
+def cells(rows: DataFrame, more: tuple[str, ...], go, schema: str, turned=lambda fp, _: fp) -> DataFrame:
+    """The batches go(trie, bits, values, pairs, cell) for whole cells of rows (fp, trie, node, left, right, tile, *more).
+
+    A cell is a node with itself, or two tiles of a large node with each other. Many cells of a trie are handed over at
+    once, sorted by cell, tile and bits: values are fp and the columns `more`, pairs the ranges for trie_pairs(), cell
+    the number of each row's cell.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = ("trie", "node", "left", "right")
+    rest = [c for c in more if c not in cell]
+    rows = rows.select("fp", *cell, "tile", *rest).repartition(parts, *cell).sortWithinPartitions(*cell)
+
     def starts(*columns: np.ndarray) -> np.ndarray:
         return np.concatenate(([0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1))
 
-    def go(trie: int, fp, node, left, right, tile):
-        """Whole cells of one trie: a node with itself, or two tiles of a large node with each other."""
+    def whole(trie: int, fp, node, left, right, tile, *others):
         bits = turned(fp, trie)
         order = np.lexsort((bits, tile, right, left, node))
-        fp, bits, node, left, right, tile = (x[order] for x in (fp, bits, node, left, right, tile))
+        bits, fp, node, left, right, tile, *others = (x[order] for x in (bits, fp, node, left, right, tile, *others))
         own, every = starts(node, left, right), starts(node, left, right, tile)
         ends = np.concatenate((every[1:], [len(fp)]))
         one = left[own] == right[own]
@@ -196,44 +213,50 @@ def links(prints: DataFrame, budget: int = 4) -> DataFrame:
         # a cell of two tiles of which one has no rows has no pair
         good = one | ((other > at) & (np.searchsorted(own, every[other], "right") - 1 == np.arange(len(own))))
         at, other = at[good], other[good]
-        u, v = spanning_edges(fp, bits, (every[at], ends[at], every[other], ends[other]), skips[trie], budget)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+        named = dict(zip(rest, others, strict=True)) | {"node": node}
+        number = np.repeat(np.arange(len(own)), np.diff(np.concatenate((own, [len(fp)]))))
+        return go(trie, bits, (fp, *(named[c] for c in more)), (every[at], ends[at], every[other], ends[other]), number)
+
+    def column(x: pa.Array) -> np.ndarray:
+        return x.flatten().to_numpy().reshape(len(x), -1) if pa.types.is_list(x.type) else x.to_numpy(zero_copy_only=False)
 
     def run(batches):
         held: list[tuple] = []
         for batch in batches:
-            fp, *rest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            held.append((fp.view(np.uint64), *rest))
+            fp, *others = (column(x) for x in batch.columns)
+            if not len(fp):
+                continue
+            held.append((fp.view(np.uint64), *others))
             if sum(len(x[0]) for x in held) >= GO:
                 cols = [np.concatenate(x) for x in zip(*held, strict=True)]
                 last = np.flatnonzero(np.any([c != c[-1] for c in cols[1:5]], axis=0))
-                whole = last[-1] + 1 if len(last) else 0  # the last cell may go on in the next batch
-                yield from each([c[:whole] for c in cols])
-                held = [tuple(c[whole:] for c in cols)]
+                until = last[-1] + 1 if len(last) else 0  # the last cell may go on in the next batch
+                yield from each([c[:until] for c in cols])
+                held = [tuple(c[until:] for c in cols)]
         if held:
             yield from each([np.concatenate(x) for x in zip(*held, strict=True)])
 
     def each(cols):
-        fp, trie, *rest = cols
+        fp, trie, *others = cols
         for t in np.unique(trie):
             own = trie == t
-            yield go(int(t), fp[own], *(c[own] for c in rest))
+            yield whole(int(t), fp[own], *(c[own] for c in others))
 
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    return rows.mapInArrow(run, schema)
 
 
-def tiled(rows: DataFrame) -> DataFrame:
-    """rows (fp, trie, node) with left, right and tile: the cell that a row is dealt to, and its place in the cell.
+def tiled(rows: DataFrame, by: str = "fp") -> DataFrame:
+    """rows (fp, trie, node, and more) with left, right and tile: the cell that a row is dealt to, and its place in the cell.
 
-    A node is one cell, (0, 0). One with more than TILE rows is cut into tiles of about that size, and each pair of
-    its tiles is a cell, so that no task holds more than two tiles however many fingerprints stand below a node.
+    A node is one cell, (0, 0). One with more than TILE rows is cut into tiles of about that size by a hash of the
+    column `by`, and each pair of its tiles is a cell, so that no task holds more than two tiles however many fingerprints stand below a node.
     """
     large = stored(rows.groupBy("trie", "node").count().where(F.col("count") > TILE).select("trie", "node", F.ceil(F.col("count") / TILE).alias("tiles")), "large")
     if large.isEmpty():
         zero = F.lit(0).cast("int")
         return rows.withColumns({"left": zero, "right": zero, "tile": zero})
     dealt = join_checked(rows, large, ["trie", "node"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64(by), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int"))))
     return dealt.withColumns({"left": F.least("tile", "other"), "right": F.greatest("tile", "other")})
 

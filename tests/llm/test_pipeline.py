@@ -5,10 +5,10 @@ import random
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from strandloom.llm import common, jaccard, mixing, pii, quality, simhash
+from strandloom.llm import common, copies, mixing, pii, quality, simhash
 from strandloom.llm.common import stored, table
 
-from .test_text_ops import empty, odd_docs, plain_components, plain_fingerprint
+from .test_text_ops import empty, odd_docs
 
 
 def test_stages_take_effect(spark, sf_dir):
@@ -21,14 +21,14 @@ def test_stages_take_effect(spark, sf_dir):
     assert all(d.schema.simpleString() == docs.schema.simpleString() for d in seen[1:5])
     accepted = {r["doc_id"] for r in quality.classify(seen[0], labels).where("predicted = 1").collect()}
     assert ids[1] == accepted and accepted < ids[0]
-    rows = seen[1].select("doc_id", "text").collect()
-    own = [r["doc_id"] for r in rows]
-    assert ids[2] == set(plain_components(own, [plain_fingerprint(r["text"]) for r in rows])) and ids[2] < ids[1]
+    rows = [(r["doc_id"], r["text"]) for r in seen[1].select("doc_id", "text").collect()]
+    assert ids[2] == set(plain_copies(rows).values()) and ids[2] < ids[1]
     before, after = ({r["doc_id"]: r["text"] for r in d.collect()} for d in seen[2:4])
     found = {r["doc_id"]: r["spans"] for r in pii.detect(seen[2]).collect()}
     assert all((before[i] != after[i]) == (found[i] != "") and not pii.base_spans(after[i]) for i in before)
-    drawn = {r["doc_id"] for r in mixing.mixture(seen[3], repeat=False).collect()}
-    assert ids[4] == ids[5] == drawn and 0 < len(drawn) < len(ids[3])
+    drawn = {r["doc_id"]: r["copies"] for r in mixing.mixture(seen[3]).collect()}
+    assert {r["doc_id"]: r["count"] for r in seen[4].groupBy("doc_id").count().collect()} == drawn
+    assert ids[4] == ids[5] == set(drawn) and 0 < len(drawn) < len(ids[3])
     assert seen[5].where("NOT lossless OR n_tokens <> size(ids)").count() == 0
     assert sorted(map(str, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(str, seen[5].collect()))
 
@@ -103,7 +103,7 @@ def test_stage_folds_copies_with_edits(spark, sf_dir):
     want = plain_copies(rows)
     kept = set(want.values())
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_copies(df).collect()} == want
+    assert {r["doc_id"]: r["component_id"] for r in copies.near_copies(df).collect()} == want
     assert {r["doc_id"] for r in corpus_pipeline.dedup(spark, df, sf_dir).collect()} == kept and len(kept) < 50
     assert len({r["component_id"] for r in simhash.near_duplicates(df).collect()}) > len(kept)
 
@@ -111,10 +111,10 @@ def test_stage_folds_copies_with_edits(spark, sf_dir):
 def test_near_copies_of_documents(spark, sf_dir):
     docs = table(spark, sf_dir.replace("0.001", "0.01"), "documents").where("doc_id % 2 = 0")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_copies(docs).collect()} == plain_copies(rows)
+    assert {r["doc_id"]: r["component_id"] for r in copies.near_copies(docs).collect()} == plain_copies(rows)
 
 
 def test_near_copies_of_odd_rows(spark):
-    got = jaccard.near_copies(odd_docs(spark)).collect()
-    assert len(got) == 9 and jaccard.near_copies(empty(spark)).count() == 0
+    got = copies.near_copies(odd_docs(spark)).collect()
+    assert len(got) == 9 and copies.near_copies(empty(spark)).count() == 0
     assert {r["component_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
