@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import jaccard, mixing, pieces, pii, quality, simhash
+from strandloom.llm import copies, mixing, pieces, pii, quality, simhash
 from strandloom.llm.common import stored, table
 from strandloom.llm.queries import MODEL
 
@@ -16,7 +16,7 @@ def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of near copies: a similarity of five-word shingles of 0.8 or more."""
-    return simhash.least_of_each(docs, jaccard.near_copies(docs), "doc_id")
+    return simhash.least_of_each(docs, copies.near_copies(docs), "doc_id")
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
