@@ -8,8 +8,9 @@ the segmentation depends on the seed and the text, not on the order of rows or o
 no piece, and the word mark itself where a text holds it, become byte pieces, so that decoding gives back each text.
 
 Pieces hold the word mark at their start only and some characters stand in no longer piece; texts are cut there
-into chunks, which no merge crosses. What is remembered of a chunk is the order in which its candidates come after the
-same decisions: a binary tree, grown where it is met. The decisions are drawn anew for each occurrence.
+into chunks, which no merge crosses. The decisions are drawn anew for each occurrence. What is remembered of a chunk is
+which candidates are taken if none is skipped, and the ids that this gives; an occurrence that skips one of these is
+merged from its characters, all such occurrences together, a candidate of each in a round.
 """
 
 from __future__ import annotations
@@ -29,14 +30,54 @@ from .common import map_text
 MARK = "▁"
 #: Fixed values of the model format: the types of pieces.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-#: Nodes of merges that a Python worker gathers before it forgets them; the longest chunks that have nodes.
-REMEMBER, LONGEST = 1_500_000, 32
+#: Chunks that a Python worker gathers before it forgets them; characters of chunks that are merged together.
+REMEMBER, WIDTHS = 200_000, (4, 8, 12, 16, 24, 32)
+LONGEST = WIDTHS[-1]
+#: The order of what is no candidate.
+NEVER = np.iinfo(np.int32).max
 _M = (1 << 64) - 1
+_PLACE, _PIECE, _MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Characters of a long text that are cut into chunks at once.
 PART = 1 << 20
 _CUT = re.compile("(?<! ) ")
 
 
+def mixed(z: np.ndarray) -> np.ndarray:
+    """The hash of a candidate, from its key and its place and piece."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(_MIX)
+    return z ^ (z >> np.uint64(31))
+
+
+class Ragged:
+    """Lists of numbers one after another, with room to grow."""
+
+    def __init__(self, kind: type):
+        self.data, self.start = np.zeros(1 << 12, kind), np.zeros(1 << 10, np.int64)
+        self.n = 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        end = self.start[self.n]
+        while end + len(flat) > len(self.data):
+            self.data = np.concatenate((self.data, np.zeros_like(self.data)))
+        while self.n + len(sizes) + 1 > len(self.start):
+            self.start = np.concatenate((self.start, np.zeros_like(self.start)))
+        self.data[end : end + len(flat)] = flat
+        self.start[self.n + 1 : self.n + 1 + len(sizes)] = end + np.cumsum(sizes)
+        self.n += len(sizes)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the lists `which` in one array, and the lists' sizes."""
+        start = self.start[which]
+        sizes = self.start[which + 1] - start
+        return self.data[spread(start, sizes)], sizes
+
+
+def spread(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each size, one after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(start - before, sizes) + np.arange(int(sizes.sum()))
+
+
 class Vocabulary:
     """Pieces of a BPE model with byte fallback; small enough to go to every worker, where it remembers chunks."""
 
@@ -55,86 +96,142 @@ class Vocabulary:
             raise ValueError("pieces with the word mark after another character can't be cut into chunks")
         inner = "".join(re.escape(c) for c in sorted(joined)) or MARK
         self.chunk = re.compile(f"{MARK}+[{inner}]*|[{inner}]+|.", re.S)
+        # two neighbours join if their joint string is a piece; a symbol is a piece, or `none` where there is no more
+        self.none = len(pieces)
+        best = self.best
+        pairs = {}
+        for p, (_, i) in best.items():
+            for cut in range(1, len(p)):
+                if (left := best.get(p[:cut])) and (right := best.get(p[cut:])):
+                    pairs[left[1] * (self.none + 1) + right[1]] = i
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.joint = np.array([pairs[k] for k in sorted(pairs)], np.int32)
+        costs = np.array([best[p][0] if p in best else np.inf for p, _, _ in pieces] + [np.inf])
+        self.order = np.where(np.isfinite(costs), np.unique(costs, return_inverse=True)[1], NEVER).astype(np.int32)
         self._forget()
 
     def _forget(self) -> None:
-        """No chunk is remembered. A node is a merge that is tried next (place, piece; piece -1: none is left) after the same decisions."""
-        self.first: dict[str, int] = {}
-        self.nodes = 0
-        self.trial = np.full((2, 1 << 12), -1, np.int64)  # place and piece, mixed; piece
-        self.child = np.full((2, 1 << 12), -1, np.int32)  # merged, skipped
-        self.parent: list[int | str] = []
-        self.skipped = bytearray()
-        self.ids: list[bytes | None] = []
-
-    def _node(self, parent: int | str, skipped: int) -> int:
-        """A new last node, below a node or as the first one of a chunk."""
-        at = self.nodes
-        if at == self.trial.shape[1]:
-            self.trial, self.child = (np.concatenate((x, np.full_like(x, -1)), axis=1) for x in (self.trial, self.child))
-        self.nodes += 1
-        self.parent.append(parent)
-        self.skipped.append(skipped)
-        self.ids.append(None)
-        if not isinstance(parent, str):
-            self.child[skipped, parent] = at
-        return at
-
-    def _grow(self, parent: int, skipped: int) -> int:
-        """Nodes after a decision at a node, as far as the end if all later candidates are merged."""
-        way = [skipped]
-        at = parent
-        while not isinstance(self.parent[at], str):
-            way.append(self.skipped[at])
-            at = self.parent[at]
-        return self._follow(self.parent[at], way, self._node(parent, skipped))
-
-    def _follow(self, chunk: str, way: list[int], at: int) -> int:
-        """Merge by the decisions of way, the first one last, then all; set the node at, the one after them, and those below it."""
-        top = at
-
-        def keep(i: int, piece: int) -> bool:
-            nonlocal at
-            if way:
-                return not way.pop()
-            self.trial[0, at] = ((i * 0x9E3779B97F4A7C15 + piece * 0xBF58476D1CE4E5B9 + (1 << 63)) & _M) - (1 << 63)
-            self.trial[1, at] = piece
-            at = self._node(at, 0)
-            return True
-
-        self.ids[at] = self._merged(chunk, keep)  # the arguments' order: at is the end by now
-        return top
-
-    def resolve(self, nodes: np.ndarray, own: np.ndarray, drop: int) -> np.ndarray:
-        """The end nodes of chunks that start at nodes, each by its own key."""
-        out, at = nodes.copy(), np.arange(len(nodes))
+        """No chunk is remembered: its characters, what is tried without dropout, and the ids that gives."""
+        self.number: dict[str, int] = {}
+        self.chars, self.tried, self.ids = Ragged(np.int32), Ragged(np.uint64), Ragged(np.int32)
+
+    def _joint(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that two symbols make, or none."""
+        if not len(self.pairs):
+            return np.full(len(left), self.none, np.int32)
+        key = left.astype(np.int64) * (self.none + 1) + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.joint[at], np.int32(self.none))
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Remember new chunks."""
+        plain = {}
+        for c in chunks:
+            symbols = [found[1] if (found := self.best.get(x)) else -1 for x in c]
+            if len(c) == 1 or len(c) > LONGEST or -1 in symbols:
+                # single characters have one way, long chunks are merged one by one
+                ids = np.frombuffer(self._id(c), np.int32) if len(c) == 1 else np.zeros(0, np.int32)
+                self.number[c] = self.ids.n
+                self.ids.add(ids, np.array([len(ids)]))
+                self.tried.add(np.zeros(0, np.uint64), np.array([0]))
+                self.chars.add(np.zeros(0, np.int32), np.array([0]))
+            else:
+                plain.setdefault(next(w for w in WIDTHS if w >= len(c)), []).append((c, symbols))
+        for width, own in plain.items():
+            sizes = np.array([len(c) for c, _ in own])
+            flat = np.array([x for _, symbols in own for x in symbols], np.int32)
+            tried: list = []
+            ids, n = self.merged(flat, sizes, width, np.zeros(len(own), np.uint64), 0, tried)
+            for c, _ in own:
+                self.number[c] = len(self.number)
+            self.chars.add(flat, sizes)
+            self.ids.add(ids, n)
+            row, trial = (np.concatenate(x) for x in zip(*tried, strict=True)) if tried else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            self.tried.add(trial[np.argsort(row, kind="stable")], np.bincount(row, minlength=len(own)))
+
+    def merged(self, chars: np.ndarray, sizes: np.ndarray, width: int, keys: np.ndarray, drop: int, tried: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of chunks of width characters at most, all at once: a round takes each chunk's best candidate.
+
+        chars: the chunks' symbols, one after another. tried: a list that is given (row, hash part) of each candidate taken.
+        """
+        n, w = len(sizes), width + 1
+        row = np.arange(n) * w
+        symbol = np.full(n * w, self.none, np.int32)
+        symbol[spread(row, sizes)] = chars
+        piece = np.full(n * w, self.none, np.int32)
+        piece[:-1] = self._joint(symbol[:-1], symbol[1:])
+        order = self.order[piece]
+        place = np.arange(n * w) % w
+        after, before = np.minimum(place + 1, width), place - 1
+        on = np.arange(n)
         with np.errstate(over="ignore"):
-            while len(at):
-                now = out[at]
-                on = self.trial[1, now] >= 0
-                at, now = at[on], now[on]
-                z = own[at] + self.trial[0, now].view(np.uint64)
-                z = (z ^ (z >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-                skipped = ((z ^ (z >> np.uint64(31))) < np.uint64(drop)).astype(np.int8)
-                after = self.child[skipped, now]
-                if (new := after < 0).any():
-                    for pair in np.unique(now[new].astype(np.int64) * 2 + skipped[new]).tolist():
-                        self._grow(pair >> 1, pair & 1)
-                    after = self.child[skipped, now]
-                out[at] = after
-        return out
-
-    def _starts(self, chunks: list[str]) -> list[int]:
-        """The first nodes of chunks of 2 to LONGEST characters and of single ones."""
-        for c in set(chunks) - self.first.keys():
-            self.first[c] = at = self._node(c, 0)
-            self._follow(c, [], at)
-        return list(map(self.first.__getitem__, chunks))
+            while len(on):
+                base = row[on]
+                at = order.reshape(n, w)[on].argmin(axis=1)
+                cell = base + at
+                go = order[cell] < NEVER
+                on, at, cell, base = on[go], at[go], cell[go], base[go]
+                found = piece[cell]
+                trial = at.astype(np.uint64) * np.uint64(_PLACE) + found.astype(np.uint64) * np.uint64(_PIECE)
+                if tried is not None:
+                    tried.append((on, trial))
+                skipped = mixed(keys[on] + trial) < np.uint64(drop)
+                order[cell[skipped]] = NEVER
+                keep = ~skipped
+                at, cell, base, found = at[keep], cell[keep], base[keep], found[keep]
+                gone = base + after[cell]
+                then = after[gone]
+                symbol[cell], symbol[gone], order[gone] = found, self.none, NEVER
+                after[cell], before[base + then] = then, at
+                piece[cell] = joint = self._joint(found, symbol[base + then])
+                order[cell] = self.order[joint]
+                left = before[cell]
+                some = left >= 0
+                cell = base[some] + left[some]
+                piece[cell] = joint = self._joint(symbol[cell], found[some])
+                order[cell] = self.order[joint]
+        left = symbol.reshape(n, w) != self.none
+        return symbol[left.ravel()], left.sum(axis=1)
 
     def merge_all(self, chunks: list[str], keys: list[int], drop: int) -> list[bytes]:
         """merge() of many chunks at once."""
-        ends = self.resolve(np.array(self._starts(chunks), np.int64), np.array(keys, np.uint64), drop)
-        return [self.ids[i] for i in ends.tolist()]
+        ids, sizes = self._encoded(chunks, np.array(keys, np.uint64), drop)
+        ends = np.cumsum(sizes)
+        return [ids[b - n : b].tobytes() for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+    def _encoded(self, chunks: list[str | None], keys: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of chunks, each by its own key; None is a word mark of the text."""
+        if new := [c for c in dict.fromkeys(chunks) if c is not None and c not in self.number]:
+            self._learn(new)
+        apart = [i for i, c in enumerate(chunks) if c is None or (len(c) > 1 and not self.chars.start[self.number[c] + 1] - self.chars.start[self.number[c]])]
+        number = np.array([0 if c is None else self.number[c] for c in chunks], np.int64)
+        ids, sizes = self.ids.take(number)
+        tried, n = self.tried.take(number)
+        with np.errstate(over="ignore"):
+            hit = mixed(np.repeat(keys, n) + tried) < np.uint64(drop)
+        anew = np.unique(np.repeat(np.arange(len(chunks)), n)[hit])
+        length = self.chars.start[number[anew] + 1] - self.chars.start[number[anew]]
+        made = []
+        for low, width in zip((0, *WIDTHS), WIDTHS, strict=False):
+            own = anew[(length > low) & (length <= width)]
+            if len(own):
+                made.append((own, *self.merged(*self.chars.take(number[own]), width, keys[own], drop)))
+        mark = array("i", [self.bytes[b] for b in MARK.encode()]).tobytes()
+        long = [np.frombuffer(mark if chunks[i] is None else self.merge(chunks[i], int(keys[i]), drop), np.int32) for i in apart]
+        if long:
+            made.append((np.array(apart), np.concatenate(long), np.array([len(x) for x in long])))
+        if not made:
+            return ids, sizes
+        own, got, n = (np.concatenate(x) for x in zip(*made, strict=True))
+        kept = np.ones(len(chunks), bool)
+        kept[own] = False
+        ids, sizes = ids[np.repeat(kept, sizes)], np.where(kept, sizes, 0)
+        sizes[own] = n
+        start = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.int32)
+        out[spread(start[kept], sizes[kept])] = ids
+        out[spread(start[own], n)] = got
+        return out, sizes
 
     def encode_all(self, texts: list[str | None], keys: list[int], drop: int) -> list[np.ndarray | None]:
         """Ids of whole texts, each by its own key; long ones in parts that are cut before blanks, where chunks begin."""
@@ -156,41 +253,31 @@ class Vocabulary:
 
     def encode_parts(self, texts: list[str | None], keys: list[int], drop: int, first: bool, place: int = 0) -> list[tuple[np.ndarray, int] | None]:
         """Ids and number of chunks of texts of bounded length; a chunk's key is of its text's key and its place, counted from `place`."""
-        if self.nodes > REMEMBER:
+        if len(self.number) > REMEMBER:
             self._forget()
         cut = [None if t is None else self.chunks(t, first) for t in texts]
-        sizes = [len(own or ()) for own in cut]
+        counts = [len(own or ()) for own in cut]
         every = [c for own in cut for c in own or ()]
         if not every:
             return [None if own is None else (np.zeros(0, np.int32), 0) for own in cut]
-        begin = np.cumsum([0, *sizes])
+        begin = np.cumsum([0, *counts])
         with np.errstate(over="ignore"):
-            at = (np.arange(len(every)) - np.repeat(begin[:-1], sizes) + place + 1).astype(np.uint64)
-            own = np.repeat(np.array(keys, np.uint64), sizes) + at * np.uint64(0xD1B54A32D192ED03)
+            at = (np.arange(len(every)) - np.repeat(begin[:-1], counts) + place + 1).astype(np.uint64)
+            own = np.repeat(np.array(keys, np.uint64), counts) + at * np.uint64(0xD1B54A32D192ED03)
             own = (own ^ (own >> np.uint64(32))) * np.uint64(0xAEF17502108EF2D9)
             own ^= own >> np.uint64(29)
-        mark = array("i", [self.bytes[b] for b in MARK.encode()]).tobytes()
-        apart = [i for i, c in enumerate(every) if c is None or len(c) > LONGEST]
-        long = {i: mark if every[i] is None else self.merge(every[i], int(own[i]), drop) for i in apart}
-        for i in apart:
-            every[i] = MARK
-        ids = list(map(self.ids.__getitem__, self.resolve(np.array(self._starts(every), np.int64), own, drop).tolist()))
-        for i, x in long.items():
-            ids[i] = x
-        return [None if c is None else (np.frombuffer(b"".join(ids[begin[i] : begin[i + 1]]), np.int32), sizes[i]) for i, c in enumerate(cut)]
+        ids, sizes = self._encoded(every, own, drop)
+        ends = np.concatenate(([0], np.cumsum(sizes)))[begin].tolist()
+        return [None if c is None else (ids[ends[i] : ends[i + 1]], counts[i]) for i, c in enumerate(cut)]
 
     def merge(self, chunk: str, key: int, drop: int) -> bytes:
         """Ids (int32, little-endian) of one chunk; candidates whose hash is below drop are skipped."""
 
         def keep(i: int, piece: int) -> bool:
-            z = (key + i * 0x9E3779B97F4A7C15 + piece * 0xBF58476D1CE4E5B9) & _M
-            z = ((z ^ (z >> 30)) * 0x94D049BB133111EB) & _M
+            z = (key + i * _PLACE + piece * _PIECE) & _M
+            z = ((z ^ (z >> 30)) * _MIX) & _M
             return z ^ (z >> 31) >= drop
 
-        return self._merged(chunk, keep)
-
-    def _merged(self, chunk: str, keep) -> bytes:
-        """Ids of one chunk; keep(place, piece) tells whether a candidate is merged."""
         best = self.best
         n = len(chunk)
         if n == 1:

@@ -398,7 +398,7 @@ def test_each_occurrence_is_cut_anew(spark, vocabulary):
     assert vocabulary.decode(np.array(rows[0], np.int32)) == "international " * 400
 
 
-def test_nodes_forgotten_give_the_same(vocabulary, monkeypatch):
+def test_chunks_forgotten_give_the_same(vocabulary, monkeypatch):
     drop = int(0.2 * 2**64)
     texts = some_texts()
     whole = [x.tolist() for x in vocabulary.encode_all(texts, list(range(len(texts))), drop)]
