@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from ..sources.tables import stored  # noqa: F401  the operators' way to cut lineage
 
-#: Rows of a small table that may be broadcast; every use counts the rows first.
-BROADCAST_ROWS = 200_000
+#: Rows and stored bytes of a table that may be broadcast; every use counts them first.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 #: Rows and bytes of text that Python holds at once from one Arrow batch.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
@@ -22,12 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small(df: DataFrame) -> bool:
-    """Whether df, a stored table, has few enough rows to be broadcast."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Whether df, a stored table or a selection from one, has few enough rows and bytes to be broadcast."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= BROADCAST_BYTES and df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
-    """A join that broadcasts the right side, a stored table of narrow rows, if its counted size allows, else shuffles both."""
+    """A join that broadcasts the right side, a stored table, if its counted size allows, else shuffles both."""
     return left.join(F.broadcast(right) if small(right) else right, on, how)
 
 

@@ -1,18 +1,21 @@
 """Personal data: fixed patterns, and terms whose co-occurrence in the corpus discloses a protected entity.
 
-Emails, IP addresses, payment cards and phone numbers are found by pattern; each value found is a protected entity.
-A word within `window` words of an entity is a candidate. With n(e), n(t) and n(t,e) the numbers of documents that
-hold entity e, that hold term t, and that hold t inside a window of e, out of N, the term discloses the share
-PMI(t;e) / IC(e) = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)) of the entity. At `generalise` or more all places of the
-term in documents that hold e are spans and are replaced by a class; at `remove` or more they are taken out. Evidence
-must come from `support` different windows, so that copies of one passage don't count as co-occurrence. Counts cover
-all documents.
+Emails, IP addresses, payment cards and phone numbers are found by pattern. Each value found is a protected entity, and
+so is what it belongs to: the email's domain, the network of the address, the card's issuer, the phone number's block.
+A word among the `window` words before or after an entity is a candidate. With n(e), n(t) and n(t,e) the numbers of
+documents that hold entity e, that hold term t, and that hold t inside a window of e, out of N, the term discloses the
+share PMI(t;e) / IC(e) = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)) of the entity. At `generalise` or more all places
+of the term in documents that hold e are spans and are replaced by a class; at `remove` or more they are taken out.
+Evidence must come from `support` different windows, so that copies of one passage don't count as co-occurrence; of an
+entity that has fewer, from all it has: a rare word beside a value that stands nowhere else, such as a name beside its
+number, tells all of it. Counts cover all documents.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -82,32 +85,47 @@ def listed(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, *_ in spans)
 
 
-def windows(text: str, spans, window: int) -> list[tuple[int, int, str, int, int]]:
-    """(entity, context, term, start, end) for each word near each span; entity and context are hashes, no values."""
-    taken = [(a, b) for a, _, b, _ in spans]
+def groups(kind: int, value: str) -> tuple[str, ...]:
+    """A value and what it belongs to: domain, network, issuer, block of numbers."""
+    whole = (value.rpartition("@")[2], value.rpartition(".")[0], value[:6], value[:-4])[kind]
+    return f"{kind}:{value}", f"{kind}:in:{whole}"
+
+
+def free_words(text: str, spans) -> list[re.Match]:
+    """The words of a text that no span touches; spans are sorted by start."""
+    out, at, end = [], 0, -1
+    for m in _WORD.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            end = max(end, spans[at][2])
+            at += 1
+        if end <= m.start():
+            out.append(m)
+    return out
+
+
+def windows(text: str, spans, window: int) -> list[tuple[int, int, str]]:
+    """(entity, context, term) for each word near each span; entity and context are hashes, no values."""
+    words = free_words(text, spans)
+    starts = [m.start() for m in words]
     out = []
     for a, kind, b, value in spans:
-        entity = _signed(f"{kind}:{value}")
-        near = []
-        for m in list(_WORD.finditer(text, max(0, a - 40 * window), a))[-window:]:
-            near.append(m)
-        for _, m in zip(range(window), _WORD.finditer(text, b, b + 40 * window), strict=False):
-            near.append(m)
-        near = [(m[0].lower(), m.start(), m.end()) for m in near if not any(x < m.end() and m.start() < y for x, y in taken)]
-        context = _signed(" ".join(w for w, _, _ in near))
-        out += [(entity, context, w, i, j) for w, i, j in near]
+        i, j = bisect_left(starts, a), bisect_left(starts, b)
+        near = [m[0].lower() for m in (*words[max(0, i - window) : i], *words[j : j + window])]
+        context = _signed(" ".join(near))
+        out += [(_signed(e), context, w) for e in groups(kind, value) for w in near]
     return out
 
 
 def _signed(text: str) -> int:
-    h = xxhash.xxh64_intdigest(text)
+    """The hash that Spark's xxhash64 gives."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
     return h - (1 << 64) if h >> 63 else h
 
 
 def _scan(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
     """One row for each document, and rows (word, df) with the documents of a task that hold each word."""
     kind = docs.schema[key].dataType
-    near = "array<struct<entity:long,context:long,term:string,start:int,stop:int>>"
+    near = "array<struct<entity:long,context:long,term:string>>"
     schema = T.StructType([T.StructField("key", kind)] + list(T._parse_datatype_string(f"same long, base array<struct<start:int,kind:int,stop:int>>, counts array<long>, digest string, near {near}, word string, df long").fields))
     arrow = _arrow_schema(schema)
     names = arrow.names
@@ -123,7 +141,7 @@ def _scan(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
                 for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     spans = base_spans(t)
                     words.update(set(_WORD.findall(t.lower())) if t else ())
-                    out.append({"key": k, "same": _signed(t or ""), "base": [{"start": a, "kind": i, "stop": b} for a, i, b, _ in spans], "counts": [sum(s[1] == i for s in spans) for i in range(4)], "digest": hashlib.sha256(listed(spans).encode()).hexdigest(), "near": [dict(zip(("entity", "context", "term", "start", "stop"), w, strict=True)) for w in windows(t, spans, window)] if spans else []})
+                    out.append({"key": k, "same": _signed(t or ""), "base": [{"start": a, "kind": i, "stop": b} for a, i, b, _ in spans], "counts": [sum(s[1] == i for s in spans) for i in range(4)], "digest": hashlib.sha256(listed(spans).encode()).hexdigest(), "near": [dict(zip(("entity", "context", "term"), w, strict=True)) for w in windows(t, spans, window)] if spans else []})
                 yield rows(out)
                 if len(words) > FLUSH:
                     yield counted(words)
@@ -142,52 +160,58 @@ def _scan(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
 
 def term_spans(text: str, base, terms: dict[str, float]) -> list[tuple[int, int, int, float]]:
     """(start, place in KINDS, end, share) of each word of the text that is among terms and outside the base spans."""
-    taken = [(a, b) for a, _, b, *_ in base]
-    found = ((m, terms.get(m[0].lower())) for m in _WORD.finditer(text))
-    return [(m.start(), 4, m.end(), share) for m, share in found if share is not None and not any(x < m.end() and m.start() < y for x, y in taken)]
+    found = ((m, terms.get(m[0].lower())) for m in free_words(text, base))
+    return [(m.start(), 4, m.end(), share) for m, share in found if share is not None]
 
 
-def _found(docs: DataFrame, key: str, text: str, window: int, support: int, generalise: float):
-    """The documents' rows, and marks: the disclosing terms of documents, stored, as (key, marks), a mark for each text of a key."""
-    scanned = stored(_scan(docs, key, text, window), "scan")
-    rows = scanned.where("digest is not null")
+def disclosed(rows: DataFrame, words: DataFrame, support: int, generalise: float) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, n_e, n_t, n_te, share) of disclosing pairs, stored; and the stored (key, same, entity, context, term) they are made of.
+
+    rows: (key, same, near) for each document; words: (word, df), partial counts of the documents that hold a word.
+    """
     n = rows.count()
     near = rows.where("size(near) > 0").select("key", "same", F.explode("near").alias("w")).select("key", "same", "w.*")
     near = stored(near, "near")
-    pairs = near.groupBy("entity", "term", "context").agg(F.count_distinct("same").alias("texts"), F.count("*").alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    pairs = stored(pairs.select("entity", "term"), "pairs")
+    contexts = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("all"))
+    pairs = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
+    pairs = stored(pairs.join(contexts, "entity").where(F.col("contexts") >= F.least("all", F.lit(support))).select("entity", "term"), "pairs")
     # documents, not places: a document counts once for a pair, an entity or a term
-    hits = join_checked(near, pairs, ["entity", "term"]).groupBy("entity", "term", "key", "same").agg(F.first("start").alias("any")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    entity = join_checked(near, stored(pairs.select("entity").distinct(), "entities"), "entity").groupBy("entity", "key", "same").agg(F.first("start").alias("any")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    once = lambda df, *by: df.select(*by, "key", "same").distinct().groupBy(*by)
+    hits = once(join_checked(near, pairs, ["entity", "term"]), "entity", "term").agg(F.count("*").alias("n_te"))
+    entity = once(join_checked(near, stored(pairs.select("entity").distinct(), "entities"), "entity"), "entity").agg(F.count("*").alias("n_e"))
     terms = stored(pairs.select(F.col("term").alias("word")).distinct(), "terms")
-    freq = join_checked(scanned.where("word is not null").select("word", "df"), terms, "word").groupBy(F.col("word").alias("term")).agg(F.sum("df").alias("n_t"))
+    freq = join_checked(words, terms, "word").groupBy(F.col("word").alias("term")).agg(F.sum("df").alias("n_t"))
     total = F.lit(float(max(n, 1)))
     share = F.log(total * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(total / F.col("n_e"))
     flagged = hits.join(entity, "entity").join(freq, "term").where(F.col("n_e") < total).withColumn("share", share).where(F.col("share") >= generalise)
-    flagged = stored(flagged.select("entity", "term", "share"), "flagged")
+    return stored(flagged.select("entity", "term", "n_e", "n_t", "n_te", "share"), "flagged"), near
+
+
+def _found(docs: DataFrame, key: str, text: str, window: int, support: int, generalise: float):
+    """The documents' rows, and (key, same, marks), stored: the disclosing terms of each text of a key."""
+    scanned = stored(_scan(docs, key, text, window), "scan")
+    rows = scanned.where("digest is not null")
+    flagged, near = disclosed(rows, scanned.where("word is not null").select("word", "df"), support, generalise)
     holds = near.select("key", "same", "entity").distinct()
-    terms = join_checked(holds, flagged, "entity").groupBy("key", "same", "term").agg(F.max("share").alias("share"))
-    terms = terms.groupBy("key", "same").agg(F.collect_list(F.struct("term", "share")).alias("terms"))
-    return rows, stored(terms.groupBy("key").agg(F.collect_list(F.struct("same", "terms")).alias("marks")), "marks")
+    terms = join_checked(holds, flagged.select("entity", "term", "share"), "entity").groupBy("key", "same", "term").agg(F.max("share").alias("share"))
+    return rows, stored(terms.groupBy("key", "same").agg(F.collect_list(F.struct("term", "share")).alias("marks")), "marks")
 
 
-def _marked(docs: DataFrame, key: str, marks: DataFrame, how: str) -> tuple[DataFrame, str]:
-    """docs with the marks of their key, null keys too, in a last column; its name."""
-    name, own = free_name(docs.columns, "marks"), free_name(docs.columns, "marked")
-    marks = marks.select(F.col("key").alias(own), F.col("marks").alias(name))
-    joined = docs.join(F.broadcast(marks) if small(marks) else marks, docs[key].eqNullSafe(marks[own]), how)
-    return joined.select(*[docs[c] for c in docs.columns], name), name
+def _marked(docs: DataFrame, key: str, text: str, marks: DataFrame, how: str) -> DataFrame:
+    """docs with the marks of their key and text, null keys too, in a last column."""
+    name, own, same = (free_name(docs.columns, x) for x in ("marks", "marked", "same"))
+    marks = marks.select(F.col("key").alias(own), F.col("same").alias(same), F.col("marks").alias(name))
+    met = docs[key].eqNullSafe(marks[own]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == marks[same])
+    return docs.join(F.broadcast(marks) if small(marks) else marks, met, how).select(*[docs[c] for c in docs.columns], name)
 
 
-def _terms(text: str, marks: list[dict] | None) -> dict[str, float]:
-    same = _signed(text) if marks else 0
-    return {t["term"]: t["share"] for m in marks or () if m["same"] == same for t in m["terms"]}
+def _terms(marks: list[dict] | None) -> dict[str, float]:
+    return {t["term"]: t["share"] for t in marks or ()}
 
 
 def _places(docs: DataFrame, key: str, text: str, marks: DataFrame) -> DataFrame:
     """(key, same, extra: array of (start, kind, stop)) of the documents in which terms are marked, each text of a key once."""
-    joined, _ = _marked(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", marks, "inner")
+    joined = _marked(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", marks, "inner")
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType)] + list(T._parse_datatype_string("same long, extra array<struct<start:int,kind:int,stop:int>>").fields))
     arrow = _arrow_schema(schema)
 
@@ -196,14 +220,14 @@ def _places(docs: DataFrame, key: str, text: str, marks: DataFrame) -> DataFrame
             for part in slices(batch):
                 made = []
                 for k, t, m in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    spans = term_spans(t or "", base_spans(t), _terms(t or "", m))
+                    spans = term_spans(t or "", base_spans(t), _terms(m))
                     made.append((k, _signed(t or ""), [{"start": a, "kind": i, "stop": b} for a, i, b, _ in spans]))
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow)
 
     return joined.mapInArrow(run, schema).where("size(extra) > 0").groupBy("key", "same").agg(F.first("extra").alias("extra"))
 
 
-def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window: int = 6, support: int = 3, generalise: float = 0.8) -> DataFrame:
+def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window: int = 6, support: int = 2, generalise: float = 0.8) -> DataFrame:
     """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) for each row of docs.
 
     A null text counts as empty: no spans. Equal rows get equal spans; a repeated key is no matter, spans go by key
@@ -236,16 +260,17 @@ def redact(text: str, spans, remove: float) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window: int = 6, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window: int = 6, support: int = 2, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """docs with the spans of detect() replaced in the text column; a null text stays null, other columns stay.
 
-    A column n_chars of docs is set to the new length.
+    A column n_chars of docs is set to the new length. Texts are read whole, however long. Rows with a null key or the
+    key of another row are treated by their own texts, repeated rows stay, an empty table stays empty.
     """
     _, marks = _found(docs, key, text, window, support, generalise)
     schema = docs.schema
     arrow = _arrow_schema(schema)
     place = docs.columns.index(text)
-    joined, _ = _marked(docs, key, marks, "left")
+    joined = _marked(docs, key, text, marks, "left")
 
     def run(batches):
         for batch in batches:
@@ -256,7 +281,7 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window
                 for t, m in zip(texts, more, strict=True):
                     if t is not None:
                         spans = [(a, k, b, 1.0) for a, k, b, _ in base_spans(t)]
-                        spans += term_spans(t, spans, _terms(t, m)) if m else []
+                        spans += term_spans(t, spans, _terms(m)) if m else []
                         t = redact(t, spans, remove) if spans else t
                     new.append(t)
                 cols = [part.column(i) for i in range(len(arrow))]
