@@ -22,20 +22,23 @@ from pyspark.sql import types as T
 
 from .common import _arrow_schema, slices
 
-#: Fixed values of HTML: elements without content, elements whose content is no text, and elements that end a line of text.
+#: Fixed values of HTML: elements without content, elements whose content isn't markup but is no text to show, and elements that end a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe xmp object svg math canvas audio video select".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?/]?[a-zA-Z!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|<[!?/]?[a-zA-Z!?][^>]*>|<[!?/]?[a-zA-Z][^>]*\Z", re.S)
-_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAME = re.compile(r"[^\s/>]+")
+_FREE = re.compile(r"[^\s>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=]*)\s*(=?)\s*")
 _WORDS = re.compile(r"[^\W_]+")
 #: Elements that end an open paragraph, or an open one of their own kind.
 _CLOSES_P = BLOCK - {"body", "html", "head", "button", "option", "caption", "legend", "summary"}
 _CLOSES_OWN = frozenset("li dt dd tr td th option".split())
+#: Elements inside which such an end reaches no further out.
+_HOLDS_P = frozenset("table td th button div article section".split())
+_HOLDS_OWN = frozenset("ul ol dl table select".split())
 
 PATH, LAST, WORD, SHARES = 128, 48, 64, 6
 INPUT, HIDDEN = PATH + LAST + WORD + SHARES, 20
@@ -43,12 +46,67 @@ INPUT, HIDDEN = PATH + LAST + WORD + SHARES, 20
 STEPS = 4096
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
+class Tags:
+    """Cuts a page into text, tags and what is neither, in one pass: what has no end is looked for once."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        """Where `what` stands next; -1 where it doesn't, without a second search."""
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def after(self, what: str, at: int) -> int:
+        """The place behind the next `what`, or the page's end."""
+        found = self.find(what, at)
+        return len(self.page) if found < 0 else found + len(what)
+
+    def attributes(self, at: int) -> tuple[int, list[tuple[str, str]], bool]:
+        """(end, attributes, closed by a slash) of a tag whose name ends at `at`."""
+        page, out = self.page, []
+        while True:
+            m = _ATTRIBUTE.match(page, at)
+            at = m.end()
+            if at >= len(page):
+                return at, out, False
+            name, value = m[1].lower(), ""
+            if m[2]:
+                quote = page[at]
+                end = self.find(quote, at + 1) if quote in "\"'" else -1
+                # a quote that runs on over other tags to the start of their values was never closed
+                if end >= 0 and (page[end + 1 : end + 2].strip("/>").strip() == "" or self.find(">", at) > end):
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    m = _FREE.match(page, at)
+                    value, at = m[0].strip("\"'"), m.end()
+            elif page[at] == ">":
+                if name:
+                    out.append((name, ""))
+                return at + 1, out, page[at - 1] == "/"
+            out.append((name, value))
+            if page[at : at + 1] == ">":
+                return at + 1, out, False
+            if not m[0] and not value and not name:
+                at += 1  # a character that begins no attribute
+
+
+def blocks(page: str) -> list[tuple[str, tuple[int, int], float]]:
     """(text, path, share in links) of each leaf block with text, in page order; white space is one space.
 
-    path has the open elements from the outermost: tag names, and words of class, id and role after a dot.
+    path has the hashed words of the open elements, tag names and words of class, id and role after a dot, as bits, and
+    those of the innermost one. They are kept as elements open and close, so the time is linear in the page, however
+    deep it is.
     """
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    tags = Tags(page)
+    names: list[str] = []
+    slots: list[tuple[list[int], int]] = []
+    places: dict[str, list[int]] = {}
+    counts, bits = [0] * PATH, 0
     out, held, linked = [], [], 0
     at = 0
 
@@ -56,7 +114,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         nonlocal held, linked
         text = " ".join("".join(held).split())
         if text:
-            out.append((text, tuple(w for _, ws in stack for w in ws), min(1.0, linked / len(text))))
+            out.append((text, (bits, slots[-1][1] if slots else 0), min(1.0, linked / len(text))))
         held, linked = [], 0
 
     def say(raw: str) -> None:
@@ -64,80 +122,116 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             held.append(text)
-            if any(name == "a" for name, _ in stack):
+            if places.get("a"):
                 linked += len(text.strip())
 
+    def enter(name: str, attributes: list[tuple[str, str]]) -> None:
+        nonlocal bits
+        words = [name]
+        for key, value in attributes:
+            if key in ("class", "id", "role"):
+                words += [f".{w}" for w in _WORDS.findall(value.lower().replace("_", " "))]
+        own = [_slot(w, PATH) for w in words]
+        for x in own:
+            counts[x] += 1
+            bits |= 1 << x
+        places.setdefault(name, []).append(len(names))
+        names.append(name)
+        slots.append((own, sum({1 << _slot(w, LAST) for w in words})))
+
     def close(name: str, within: frozenset = frozenset()) -> None:
-        """Pop up to the last open element of that name, unless one of `within` stands in the way."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                del stack[i:]
-                return
-            if stack[i][0] in within:
-                return
+        """Leave up to the last open element of that name, unless one of `within` stands in the way."""
+        nonlocal bits
+        if not places.get(name) or any(places[w][-1] > places[name][-1] for w in within if w != name and places.get(w)):
+            return
+        for _ in range(len(names) - places[name][-1]):
+            places[names.pop()].pop()
+            for x in slots.pop()[0]:
+                counts[x] -= 1
+                if not counts[x]:
+                    bits &= ~(1 << x)
 
     while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        less = page.find("<", at)
+        if less < 0:
             say(page[at:])
             break
-        say(page[at : m.start()])
-        at, token = m.end(), m[0]
-        if token.startswith("<![CDATA["):
-            say(token[9:-3].replace("&", "&amp;"))
+        following = page[less + 1 : less + 2]
+        ending = following == "/"
+        begins = page[less + 2 : less + 3] if ending else following
+        if begins.isascii() and begins.isalpha():
+            say(page[at:less])
+            m = _NAME.match(page, less + 1 + ending)
+            name = m[0].lower()
+            at, attributes, slash = tags.attributes(m.end())
+        elif following in ("!", "?") or (ending and begins):
+            say(page[at:less])
+            if page.startswith("<!--", less):
+                at = tags.after("-->", less + 2)
+            elif page.startswith("<![CDATA[", less) and (end := tags.find("]]>", less)) >= 0:
+                say(page[less + 9 : end].replace("&", "&amp;"))
+                at = end + 3
+            else:
+                at = tags.after(">", less)
             continue
-        found = _NAME.match(token)
-        if found is None:
+        else:
+            say(page[at : less + 1])
+            at = less + 1
             continue
-        name = found[1].lower()
-        if token[1] == "/":
+        if ending:
             if name in BLOCK:
                 flush()
-            if name == "p" and not any(x == "p" for x, _ in stack):
-                continue
             close(name)
             continue
         if name in RAW:
-            if not token.endswith("/>"):
-                end = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            if name in ("textarea", "select", "object", "iframe", "video", "audio"):
+            if not (slash and name == "svg"):
+                at = _raw_end(tags, name, at)
+            if name in ("textarea", "select", "iframe"):
                 held.append(" ")
             continue
         if name in BLOCK:
             flush()
             if name in _CLOSES_P:
-                close("p", frozenset(("table", "td", "th", "button", "div", "article", "section")))
+                close("p", _HOLDS_P)
             if name in _CLOSES_OWN:
-                close(name, frozenset(("ul", "ol", "dl", "table", "select")))
-        if name == "br":
+                close(name, _HOLDS_OWN)
+        if name in ("br", "object", "video", "audio", "canvas"):
             held.append(" ")
-        if name not in VOID and not token.endswith("/>"):
-            words = [name]
-            if "=" in token:
-                for a, x, y, z in _ATTR.findall(token):
-                    words += [f".{w}" for w in _WORDS.findall((x or y or z).lower().replace("_", " "))]
-            stack.append((name, tuple(words)))
+        if name not in VOID and not slash:
+            enter(name, attributes)
     flush()
     return out
 
 
+def _raw_end(tags: Tags, name: str, at: int) -> int:
+    """The place behind the end tag of an element whose content isn't markup; any case of letters."""
+    page, low = tags.page, len(name)
+    while (found := tags.find("</", at)) >= 0:
+        if page[found + 2 : found + 2 + low].lower() == name and not page[found + 2 + low : found + 3 + low].isalnum():
+            return tags.after(">", found)
+        at = found + 2
+    return len(page)
+
+
 def _slot(word: str, size: int) -> int:
     return zlib.crc32(word.encode()) % size
 
 
-def vectors(found: list[tuple[str, tuple[str, ...], float]], start: int = 0, stop: int | None = None) -> np.ndarray:
+def _bits(masks: list[int], size: int) -> np.ndarray:
+    raw = b"".join(m.to_bytes(size // 8, "little") for m in masks)
+    return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, size // 8), axis=1, bitorder="little")
+
+
+def vectors(found: list[tuple[str, tuple[int, int], float]], start: int = 0, stop: int | None = None) -> np.ndarray:
     """(blocks, INPUT) inputs of one page's blocks, or of some of them."""
     stop = len(found) if stop is None else stop
     out = np.zeros((stop - start, INPUT), np.float32)
+    if stop > start:
+        out[:, :PATH] = _bits([path for _, (path, _), _ in found[start:stop]], PATH)
+        out[:, PATH : PATH + LAST] = _bits([last for _, (_, last), _ in found[start:stop]], LAST)
     for i in range(start, stop):
-        text, path, linked = found[i]
+        text, _, linked = found[i]
         row = out[i - start]
-        for w in path:
-            row[_slot(w, PATH)] = 1
-        last = max((j for j, w in enumerate(path) if w[0] != "."), default=0)
-        for w in path[last:]:
-            row[PATH + _slot(w, LAST)] = 1
         words = _WORDS.findall(text.lower())
         if words:
             row[PATH + LAST : PATH + LAST + WORD] = np.sqrt(np.bincount([_slot(w, WORD) for w in words], minlength=WORD) / len(words))
@@ -431,7 +525,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     """(key, url, text, n_chars, n_blocks, n_main) for each row of pages, from the whole html.
 
     The main blocks in page order, joined by one space; an empty string where there are none, as for null or empty
-    html. Damaged markup is read as far as it goes. Repeated rows stay; other columns play no part.
+    html. Damaged markup is read as far as it goes; long pages are read whole. Repeated rows and null keys stay, an
+    empty table gives an empty result; other columns play no part.
     """
     net = trained()
     out = T.StructType([pages.schema[key], pages.schema[url]] + list(T._parse_datatype_string("text string, n_chars long, n_blocks long, n_main long").fields))

@@ -6,6 +6,8 @@ import math
 import random
 import re
 import struct
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -82,7 +84,33 @@ def test_blocks_of_damaged_markup():
     assert text("<ul><li>one<li>two</ul><td>x</td><p>un<closed") == ["one", "two", "x", "un"]
     assert text("<p title=it's>some<br>words</p>") == ["some words"] and text("<p a='x>y' b=\">\">in</p><!-- open") == ["in"]
     assert text("<style>p{}</style><div>1 < 2 and 3 > 2</div><title>t</title>") == ["1 < 2 and 3 > 2"]
-    assert html.blocks('<div class="ad-slot Big"><p><a href="#">go</a></p></div>') == [("go", ("div", ".ad", ".slot", ".big", "p"), 1.0)]
+    bits = lambda size, *words: sum({1 << html._slot(w, size) for w in words})
+    path = (bits(html.PATH, "div", ".ad", ".slot", ".big", "p"), bits(html.LAST, "p"))
+    assert html.blocks('<div class="ad-slot Big"><p><a href="#">go</a></p></div>') == [("go", path, 1.0)]
+
+
+def test_blocks_of_odd_tags():
+    text = lambda page: [b[0] for b in html.blocks(page)]
+    assert text('<p>a</p><script src="x.js"/>var leak=1;</script><p>b</p>') == ["a", "b"]
+    assert text("<p>the sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> holds</p><svg/>end") == ["the sum x+1 holds", "end"]
+    assert [b[2] for b in html.blocks("<p><a href=/x/>all of it</a></p>")] == [1.0]
+    assert text('<div class="foo>Some text <a href="x.html">here</a></div>') == ["Some text here"]
+    assert text("<p>a<![CDATA[b & c]]>d</p><p>e <!-- f > --> g</p><? h ?>i") == ["ab & cd", "e g", "i"]
+    assert text("<p>a</ p>b</>c</p><SCRIPT>x</scriptx></ScRiPt >d") == ["abc", "d"]
+    assert text("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><p>e<table><tr><td><p>f</table>g") == ["a", "b", "c", "d", "e", "f", "g"]
+    assert text("<p a=b =c 'd \"e>f</p><br/><p/>g") == ["f", "g"]
+
+
+@pytest.mark.parametrize("unit", ["<div>x", "<span>x<p>y", "<![CDATA[x", "<!!x", "<p a=\"b>", "<p a='", "</p>", "<!--x", "<p><button><i>", "<a/", "<script>"])
+def test_time_and_memory_are_linear(unit):
+    page = (unit * 10**6)[: 10**6]
+    tracemalloc.start()
+    began = time.process_time()
+    html.blocks(page)
+    took = time.process_time() - began
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert took < 40 and most < 400e6, (took, most)  # tracing makes it some ten times slower
 
 
 def test_pages_with_odd_rows(spark):
