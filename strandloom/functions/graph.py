@@ -1,12 +1,15 @@
-"""Connected components and dense numbering as DataFrame jobs."""
+"""Connected components, prefix sums and dense numbering as DataFrame jobs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import stored
 
+#: Keys in a range of the prefix sums; only the ranges' sums meet in one window.
+RANGE = 1 << 16
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of the edges (u, v): component is the same, and one of its nodes, within a component.
@@ -17,9 +20,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges, labels = stored(edges.select("u", "v").where("u <> v"), "edges"), None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        to = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("p")), "to")
-        for _ in range(2):
-            to = stored(to.join(to.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p").select("u", F.col("pp").alias("p")), "to")
+        near = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("p")), "near")
+        step = lambda x: x.join(near.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p").select("u", F.col("pp").alias("p"))
+        to = stored(step(step(step(near))), "to")
         a, b = to.select("u", F.col("p").alias("pu")), to.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         edges = stored(edges.join(a, "u").join(b, "v").where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct(), "edges")
         up = to.select(F.col("u").alias("component"), F.col("p").alias("up"))
@@ -27,13 +30,16 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def dense(values: DataFrame, column: str, width: int = 1 << 16) -> DataFrame:
-    """(column, rank): the place from 0 of each distinct non-negative long in order.
+def before(rows: DataFrame, key: str, value: Column, width: int = RANGE) -> DataFrame:
+    """(key, before): the sum of value over all rows of smaller keys, for each key; keys are non-negative longs."""
+    own = rows.groupBy(F.col(key).cast("long").alias(key)).agg(F.sum(value).alias("v")).withColumn("range", F.floor(F.col(key) / width))
+    earlier = lambda by: F.coalesce(F.sum("v").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = own.groupBy("range").agg(F.sum("v").alias("v")).select("range", earlier(Window.orderBy("range")).alias("start"))
+    inside = own.withColumn("inside", earlier(Window.partitionBy("range").orderBy(key)))
+    return inside.join(ranges, "range").select(key, (F.col("start") + F.col("inside")).alias("before"))
 
-    Ranks are made in ranges of `width` values; only the ranges' counts meet in one window.
-    """
-    own = values.select(F.col(column).cast("long").alias(column)).distinct().withColumn("range", F.floor(F.col(column) / width))
-    counts = own.groupBy("range").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("range").orderBy(column)) - 1
-    return own.withColumn("inside", inside).join(counts.select("range", before.alias("before")), "range").select(column, (F.col("before") + F.col("inside")).alias("rank"))
+
+def dense(values: DataFrame, column: str, width: int = RANGE) -> DataFrame:
+    """(column, rank): the place from 0 of each distinct non-negative long in order."""
+    own = values.select(F.col(column).cast("long").alias(column)).distinct()
+    return before(own, column, F.lit(1), width).withColumnRenamed("before", "rank")

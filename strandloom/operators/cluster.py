@@ -1,17 +1,19 @@
 """Order-dependent linking within a clip: fragment chains, greedy clusters, average linkage.
 
 A clip is one group of applyInPandas, as each decision depends on those before it; a group holds one clip's
-tracklets, whose number the operators assume to fit in a task.
+tracklets and sums of their vectors, so its memory is linear in them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions.graph import before
+from ..sources.tables import stored
 from .distance import units
 from .features import weighted_mean
 from .overlap import fragment_edges
@@ -72,61 +74,86 @@ LOOSE, FACES = 0.80, 0.85
 CONTAINED, UNLIKE = 0.05, 0.03
 
 
-def required(o: float, ratio: float, faces: bool, contained: bool) -> float:
-    """Least body similarity with a cluster's first member, by overlap ratio, length ratio, two faces and containment."""
-    _, without, with_two, more = next(row for row in FIRST if o > row[0])
-    need = with_two if faces else without
-    if ratio >= 2:
-        need = need + more if more or faces else LONE
-    return need + CONTAINED * contained
+def required(o, ratio, faces, contained):
+    """Least body similarity with a cluster's first member, by overlap ratio, length ratio, two faces and containment; numbers or arrays."""
+    above = [o > row[0] for row in FIRST]
+    without, with_two, more = (np.select(above, [row[i] for row in FIRST]) for i in (1, 2, 3))
+    need = np.where(faces, with_two, without)
+    need = np.where(np.asarray(ratio) >= 2, np.where((more > 0) | faces, need + more, LONE), need)
+    return need + CONTAINED * np.asarray(contained)
 
 
-def cohesion(o: float, ratio: float, faces: bool, contained: bool) -> float:
-    """Least body similarity with every member."""
-    need = next(value for above, value in EVERY if o > above)
-    if not faces or (o == 0 and ratio >= 2):
-        need = max(need, LOOSE)
-    if faces and o <= 0.1:
-        need = max(need, FACES)
-    return need + CONTAINED * contained + UNLIKE * (o > 0 and ratio >= 2)
+def cohesion(o, ratio, faces, contained):
+    """Least body similarity with every member; numbers or arrays."""
+    o, twice, faces = np.asarray(o), np.asarray(ratio) >= 2, np.asarray(faces)
+    need = np.select([o > above for above, _ in EVERY], [value for _, value in EVERY])
+    need = np.where(~faces | ((o == 0) & twice), np.maximum(need, LOOSE), need)
+    need = np.where(faces & (o <= 0.1), np.maximum(need, FACES), need)
+    return need + CONTAINED * np.asarray(contained) + UNLIKE * ((o > 0) & twice)
+
+
+class Sums:
+    """Sums of the members' vectors of each cluster, with room to grow: mean distances come from them, no matrix of pairs."""
+
+    def __init__(self, width: int):
+        self.rows = np.zeros((16, width))
+
+    def add(self, k: int, x: np.ndarray) -> None:
+        if k >= len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+        self.rows[k] += x
 
 
 def greedy(pdf: pd.DataFrame, config: Config) -> np.ndarray:
-    """Cluster number of each tracklet of one clip, rows in list order."""
-    start, end, face = pdf["start_frame"].to_numpy(), pdf["end_frame"].to_numpy(), pdf["has_face"].to_numpy()
+    """Cluster number of each tracklet of one clip, rows in list order. Memory is linear in the rows."""
+    start, end, face = (pdf[c].to_numpy() for c in ("start_frame", "end_frame", "has_face"))
     length = end - start
-    body = 1 - units(pdf["body"]) @ units(pdf["body"]).T
-    faces = 1 - units(pdf["face"]) @ units(pdf["face"]).T
-    both = (1 - config.face_weight_within) * body + config.face_weight_within * faces
-    if not config.zero_face_blocks:
-        both = np.where(np.isnan(faces), body, both)
-    clusters: list[list[int]] = []
+    body, faces = np.nan_to_num(units(pdf["body"])), np.nan_to_num(units(pdf["face"]))
+    no_body, seen = ~body.any(axis=1), faces.any(axis=1)
+    w = config.face_weight_within
+    of_body, of_seen, of_face = Sums(body.shape[1]), Sums(body.shape[1]), Sums(faces.shape[1])
+    counts = np.zeros((len(pdf), 3))  # members, those with a face vector, those without a body vector
+    members: list[list[int]] = []
+    first = np.zeros(len(pdf), np.int64)
     out = np.zeros(len(pdf), np.int64)
-    first, size, sums = np.zeros(len(pdf), np.int64), np.zeros(len(pdf)), np.zeros((len(pdf), len(pdf)))  # of each cluster
 
-    def about(i: int, j: int) -> tuple[float, float, bool, bool]:
-        shared, short = max(0, min(end[i], end[j]) - max(start[i], start[j])), min(length[i], length[j])
-        o = shared / short if short > 0 else 0.0
-        return o, max(length[i], length[j]) / short if short > 0 else np.inf, bool(face[i] and face[j]), bool(short > 0 and shared >= short)
+    def about(i: int, j):
+        shared, short = np.maximum(0, np.minimum(end[i], end[j]) - np.maximum(start[i], start[j])), np.minimum(length[i], length[j])
+        some = short > 0
+        o = np.where(some, shared / np.maximum(short, 1), 0.0)
+        return o, np.where(some, np.maximum(length[i], length[j]) / np.maximum(short, 1), np.inf), face[i] & face[j], some & (shared >= short)
+
+    def means(i: int, n: int) -> np.ndarray:
+        """Mean distance of a tracklet from each cluster, inf where it is no number."""
+        size, with_face, without_body = counts[:n].T
+        bad = (without_body > 0) | no_body[i]
+        near = of_body.rows[:n] @ body[i]
+        if not seen[i]:
+            return np.full(n, np.inf) if config.zero_face_blocks else np.where(bad, np.inf, 1 - near / size)
+        if config.zero_face_blocks:
+            return np.where(bad | (with_face < size), np.inf, 1 - ((1 - w) * near + w * (of_face.rows[:n] @ faces[i])) / size)
+        return np.where(bad, np.inf, 1 - (near + w * (of_face.rows[:n] @ faces[i] - of_seen.rows[:n] @ body[i])) / size)
 
     for i in range(len(pdf)):
-        n = len(clusters)
+        n = len(members)
         at = n
         if n:
             f = first[:n]
             shared = np.maximum(0, np.minimum(end[i], end[f]) - np.maximum(start[i], start[f]))
-            apart = shared <= 0.5 * np.minimum(length[i], length[f])
-            mean = sums[:n, i] / size[:n]
-            mean = np.where(apart & ~np.isnan(mean), mean, np.inf)  # what is no number is never the least
+            mean = np.where(shared <= 0.5 * np.minimum(length[i], length[f]), means(i, n), np.inf)
             k = int(mean.argmin())
-            if mean[k] < np.inf and 1 - body[i, first[k]] >= required(*about(i, first[k])) and all(1 - body[i, m] >= cohesion(*about(i, m)) for m in clusters[k]):
-                at = k
+            if mean[k] < np.inf and body[i] @ body[f[k]] >= required(*about(i, f[k])):
+                own = np.array(members[k])
+                if (body[own] @ body[i] >= cohesion(*about(i, own))).all():
+                    at = k
         if at == n:
-            clusters.append([])
+            members.append([])
             first[n] = i
-        clusters[at].append(i)
-        size[at] += 1
-        sums[at] += both[i]
+        members[at].append(i)
+        counts[at] += 1, seen[i], no_body[i]
+        of_body.add(at, body[i])
+        of_face.add(at, faces[i])
+        of_seen.add(at, body[i] * seen[i])
         out[i] = at
     return out
 
@@ -140,9 +167,9 @@ def _by_clip(tracks: DataFrame, number, name: str) -> DataFrame:
 
     cols = ["clip_idx", "track_id", "ord", "start_frame", "end_frame", "has_face", "body", "face"]
     out = tracks.select(*cols).groupBy("clip_idx").applyInPandas(run, "clip_idx int, track_id long, own long")
+    out = stored(out, "own")
     counts = out.groupBy("clip_idx").agg((F.max("own") + 1).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("clip_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each clip
-    return out.join(counts.select("clip_idx", before.alias("before")), "clip_idx").select("clip_idx", "track_id", (F.col("before") + F.col("own")).alias(name))
+    return out.join(before(counts, "clip_idx", F.col("n")), "clip_idx").select("clip_idx", "track_id", (F.col("before") + F.col("own")).alias(name))
 
 
 def local_clusters(tracks: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -151,17 +178,19 @@ def local_clusters(tracks: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def linkage(body: np.ndarray, threshold: float) -> np.ndarray:
-    """In order, each row goes to the cluster of least mean distance, if below the threshold."""
-    d = np.nan_to_num(1 - body @ body.T, nan=1.0)
-    clusters: list[list[int]] = []
-    out = np.zeros(len(d), np.int64)
-    for i in range(len(d)):
-        means = [d[i, m].mean() for m in clusters]
-        k = int(np.argmin(means)) if means else -1
+    """In order, each row goes to the cluster of least mean distance, if below the threshold; a zero vector is at distance 1."""
+    body = np.nan_to_num(body)
+    sums, sizes = Sums(body.shape[1]), np.zeros(len(body))
+    out = np.zeros(len(body), np.int64)
+    n = 0
+    for i, x in enumerate(body):
+        means = 1 - (sums.rows[:n] @ x) / sizes[:n]
+        k = int(means.argmin()) if n else -1
         if k < 0 or means[k] >= threshold:
-            k = len(clusters)
-            clusters.append([])
-        clusters[k].append(i)
+            k = n
+            n += 1
+        sums.add(k, x)
+        sizes[k] += 1
         out[i] = k
     return out
 

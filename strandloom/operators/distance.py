@@ -1,8 +1,9 @@
-"""Distances between tracklets, between sets of them, and nearest neighbours, over a grid of bounded tiles.
+"""Distances between tracklets, between sets of them, and nearest neighbours, over a grid of packed tiles.
 
-All-pairs work is dealt as tiles: rows fall into T tiles of bounded size by a hash, a cell is a pair of tiles, and a
-cell's distances are one numpy block that is reduced before it leaves the task. So no pair is a row, no side is
-broadcast, and a cell's memory doesn't grow with the table.
+All-pairs work is dealt as tiles: rows fall into T tiles of bounded size, a large group of rows into tiles of its own,
+and each tile is packed once into one binary block. A cell is a pair of tiles; blocks, not rows, are sent to the cells,
+and a cell's distances are numpy blocks of bounded size that are reduced before they leave the task. So no pair is a
+row, no side is broadcast, and a cell's memory doesn't grow with the table.
 """
 
 from __future__ import annotations
@@ -11,19 +12,24 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions.graph import before
 from ..functions.vectors import dot, norm
+from ..sources.tables import stored
 
-#: Rows of a tile at most, about, and fewest tiles, so that small tables are spread as well.
-TILE, LEAST = 1024, 4
+#: Rows of a tile at most, about; fewest tiles of small groups, so that small tables are spread as well; rows of a tile that are compared at once.
+TILE, LEAST, STEP = 8192, 4, 512
 
+Block = dict[str, np.ndarray]
 
-def units(column: pd.Series) -> np.ndarray:
+
+def units(column) -> np.ndarray:
     """Rows over their lengths; zero rows become NaN, as a cosine with them is no number."""
-    x = np.array(column.tolist(), float).reshape(len(column), -1)
+    x = column if isinstance(column, np.ndarray) and column.ndim == 2 else np.array(list(column), float).reshape(len(column), -1)
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, n, out=np.full_like(x, np.nan), where=n > 0)
 
@@ -35,72 +41,115 @@ def reduced(block: np.ndarray, groups: np.ndarray, how: np.ufunc) -> tuple[np.nd
     return names, how.reduceat(block[:, order], first, axis=1)
 
 
-def weighted_block(a: pd.DataFrame, b: pd.DataFrame, face_weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weighted, body, face) distances: with two faces whose distance is below 1 the weighted mean, else body alone."""
-    body = 1 - units(a["body"]) @ units(b["body"]).T
-    face = 1 - units(a["face"]) @ units(b["face"]).T
-    both = a["has_face"].to_numpy()[:, None] & b["has_face"].to_numpy()[None] & (face < 1)
+def weighted_block(a: Block, b: Block, face_weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weighted, body, face) distances: with two faces whose distance is below 1 the weighted mean, else body alone. Vectors are units()."""
+    body, face = 1 - a["body"] @ b["body"].T, 1 - a["face"] @ b["face"].T
+    both = a["has_face"][:, None] & b["has_face"][None] & (face < 1)
     return np.where(both, (1 - face_weight) * body + face_weight * face, body), body, face
 
 
-def grid(rows: DataFrame, key: str, kernel: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, tile: int = TILE) -> DataFrame:
-    """kernel(left, right, same) for each pair of tiles of rows, each unordered pair of tiles once; same: one tile with itself."""
-    tiles = max(LEAST, -(-rows.count() // tile))
-    own = rows.withColumn("_tile", F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int"))
-    dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    dealt = dealt.withColumns({"_a": F.least("_tile", "_other"), "_b": F.greatest("_tile", "_other")}).drop("_other")
-
-    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = keys
-        left, right = pdf[pdf["_tile"] == a], pdf[pdf["_tile"] == b]
-        return kernel(left.reset_index(drop=True), right.reset_index(drop=True), a == b)
-
-    return dealt.groupBy("_a", "_b").applyInPandas(run, schema)
+def tiled(rows: DataFrame, key: str, group: str | None, tile: int) -> DataFrame:
+    """rows with _tile: a number from 0. Groups of more than a tile's rows have tiles of their own, others share some by a hash."""
+    if group is None:
+        return rows.withColumn("_tile", F.pmod(F.xxhash64(key), F.lit(max(LEAST, -(-rows.count() // tile)))).cast("int"))
+    counts = stored(rows.groupBy(group).count(), "counts")
+    small = counts.where(F.col("count") <= tile // 2).agg(F.sum("count")).first()[0] or 0
+    shared = -(-small // tile) and max(LEAST, -(-small // tile))
+    large = counts.where(F.col("count") > tile // 2).select(F.col(group).alias("_group"), F.xxhash64(group).bitwiseAND(F.lit((1 << 62) - 1)).alias("_at"), F.ceil(F.col("count") / tile).alias("_parts"))
+    large = large.join(before(large, "_at", F.col("_parts")), "_at").select("_group", "_parts", F.col("before").alias("_before"))
+    dealt = rows.join(large, rows[group].eqNullSafe(large["_group"]), "left")
+    own = F.lit(shared) + F.col("_before") + F.pmod(F.xxhash64(key), F.col("_parts"))
+    return dealt.withColumn("_tile", F.coalesce(own, F.pmod(F.xxhash64(group), F.lit(max(1, shared)))).cast("int")).drop("_group", "_parts", "_before")
+
+
+def packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(block: bytes) -> Block:
+    """The columns of a block; lists as the rows of a matrix."""
+    table = pa.ipc.open_stream(block).read_all().combine_chunks()
+    out = {}
+    for name in table.column_names:
+        col = table[name].combine_chunks()
+        out[name] = col.flatten().to_numpy().reshape(len(col), -1) if pa.types.is_list(col.type) else col.to_numpy(zero_copy_only=False)
+    return out
+
+
+def grid(rows: DataFrame, key: str, kernel: Callable[[Block, Block], pd.DataFrame], schema: str, *, directed: bool, group: str | None = None, ready: Callable[[Block], Block] = lambda b: b, tile: int = TILE) -> DataFrame:
+    """kernel(left, right) for stretches of a tile against whole tiles: each pair of tiles once, or in both directions.
+
+    ready() is applied to each block of a cell once. A kernel's rows must be such that those of stretches can be joined.
+    """
+    tiles = tiled(rows, key, group, tile)
+    pack = lambda key_, t: pa.table({"_tile": pa.array([key_[0].as_py()], pa.int32()), "_block": pa.array([packed(t.drop_columns(["_tile"]))], pa.binary())})
+    blocks = stored(tiles.groupBy("_tile").applyInArrow(pack, "_tile int, _block binary"), "blocks")
+    every = F.lit([r["_tile"] for r in blocks.select("_tile").collect()])  # a number for each tile
+    dealt = blocks.withColumn("_other", F.explode(every))
+    if directed:
+        dealt = dealt.withColumn("_side", F.explode(F.lit([0, 1])))
+        a, b = (F.when(F.col("_side") == i, F.col("_tile")).otherwise(F.col("_other")) for i in (0, 1))
+        dealt = dealt.withColumns({"_a": a, "_b": b})
+    else:
+        dealt = dealt.withColumns({"_a": F.least("_tile", "_other"), "_b": F.greatest("_tile", "_other")})
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(cell: tuple, table: pa.Table) -> pa.Table:
+        at = dict(zip(table["_tile"].to_pylist(), table["_block"], strict=True))
+        left, right = (ready(unpacked(at[c.as_py()].as_buffer())) for c in cell)
+        n = len(next(iter(left.values())))
+        out = [kernel({k: v[i : i + STEP] for k, v in left.items()}, right) for i in range(0, n, STEP)]
+        return pa.Table.from_pandas(pd.concat(out)[names], preserve_index=False)
+
+    return dealt.select("_a", "_b", "_tile", "_block").groupBy("_a", "_b").applyInArrow(run, schema)
+
+
+def _units(*names: str) -> Callable[[Block], Block]:
+    return lambda b: b | {n: units(b[n]) for n in names}
 
 
 def best_between(rows: DataFrame, key: str, group: str, clip: str = "clip_idx", config: Config = DEFAULT) -> DataFrame:
     """Least weighted distance of each pair of groups of unlike clips: i < j, distance, best face similarity (at least 0)."""
     weight = config.face_weight_across
 
-    def kernel(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+    def kernel(a: Block, b: Block) -> pd.DataFrame:
+        ga, gb = a["group"], b["group"]
+        ok = (ga[:, None] != gb[None]) & (a["clip"][:, None] != b["clip"][None])
+        if not ok.any():
+            return pd.DataFrame({"i": ga[:0], "j": ga[:0], "distance": np.zeros(0), "face_sim": np.zeros(0)})
         d, _, face = weighted_block(a, b, weight)
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"i": [], "j": [], "distance": [], "face_sim": []})
-        ga, gb = a["group"].to_numpy(), b["group"].to_numpy()
-        ok = (ga[:, None] != gb[None]) & (a["clip"].to_numpy()[:, None] != b["clip"].to_numpy()[None])
         d = np.where(ok, np.nan_to_num(d, nan=1.0), np.inf)
-        sim = np.where(ok & a["has_face"].to_numpy()[:, None] & b["has_face"].to_numpy()[None], np.nan_to_num(1 - face, nan=0.0), 0.0)
+        sim = np.where(ok & a["has_face"][:, None] & b["has_face"][None], np.nan_to_num(1 - face, nan=0.0), 0.0)
         ub, best = reduced(d, gb, np.minimum)
         ua, best = reduced(best.T, ga, np.minimum)
         best, top = best.T, reduced(reduced(sim, gb, np.maximum)[1].T, ga, np.maximum)[1].T
         x, y = np.nonzero(np.isfinite(best))
         i, j = ua[x], ub[y]
-        return pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), "distance": best[x, y], "face_sim": top[x, y]}).groupby(["i", "j"], as_index=False).agg({"distance": "min", "face_sim": "max"})
+        return pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), "distance": best[x, y], "face_sim": top[x, y]})
 
-    cells = grid(rows.select(key, F.col(group).cast("long").alias("group"), F.col(clip).alias("clip"), "has_face", "body", "face"), key, kernel, "i long, j long, distance double, face_sim double")
+    cells = grid(rows.select(key, F.col(group).cast("long").alias("group"), F.col(clip).alias("clip"), "has_face", "body", "face"), key, kernel, "i long, j long, distance double, face_sim double", directed=False, group="clip", ready=_units("body", "face"))
     return cells.groupBy("i", "j").agg(F.min("distance").alias("distance"), F.max("face_sim").alias("face_sim"))
 
 
 def nearest_in_groups(rows: DataFrame, key: str, group: str, kind: str = "cosine", vector: str = "body") -> DataFrame:
     """key, group, other, nearest: for each row its least distance to each other group. kind: cosine or euclidean."""
 
-    def kernel(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"key": [], "group": [], "other": [], "nearest": []})
+    def kernel(a: Block, b: Block) -> pd.DataFrame:
         if kind == "cosine":
-            d = np.nan_to_num(1 - units(a["vec"]) @ units(b["vec"]).T, nan=1.0)
-        else:
-            x, y = np.array(a["vec"].tolist(), float), np.array(b["vec"].tolist(), float)
-            d = sum((np.subtract.outer(a_, b_) ** 2 for a_, b_ in zip(x.T, y.T, strict=True)), np.zeros((len(x), len(y))))  # squares until the least are known
-        out = []
-        for own, other, m in ((a, b, d),) if same else ((a, b, d), (b, a, d.T)):
-            names, near = reduced(m, other["group"].to_numpy(), np.minimum)
-            near = near if kind == "cosine" else np.sqrt(near)
-            i, j = np.nonzero(own["group"].to_numpy()[:, None] != names[None])
-            out.append(pd.DataFrame({"key": own["key"].to_numpy()[i], "group": own["group"].to_numpy()[i], "other": names[j], "nearest": near[i, j]}))
-        return pd.concat(out)
-
-    cells = grid(rows.select(F.col(key).cast("long").alias("key"), F.col(group).cast("long").alias("group"), F.col(vector).alias("vec")), "key", kernel, "key long, group long, other long, nearest double")
+            d = np.nan_to_num(1 - a["vec"] @ b["vec"].T, nan=1.0)
+        else:  # squares until the least are known
+            d = sum((np.subtract.outer(x, y) ** 2 for x, y in zip(a["vec"].T, b["vec"].T, strict=True)), np.zeros((len(a["vec"]), len(b["vec"]))))
+        names, near = reduced(d, b["group"], np.minimum)
+        near = near if kind == "cosine" else np.sqrt(near)
+        i, j = np.nonzero(a["group"][:, None] != names[None])
+        return pd.DataFrame({"key": a["key"][i], "group": a["group"][i], "other": names[j], "nearest": near[i, j]})
+
+    ready = _units("vec") if kind == "cosine" else lambda b: b
+    own = rows.select(F.col(key).cast("long").alias("key"), F.col(group).cast("long").alias("group"), F.col(vector).alias("vec"))
+    cells = grid(own, "key", kernel, "key long, group long, other long, nearest double", directed=True, group="group", ready=ready)
     return cells.groupBy("key", "group", "other").agg(F.min("nearest").alias("nearest"))
 
 
@@ -135,22 +184,18 @@ def hybrid(tracks: DataFrame) -> DataFrame:
 def neighbours(rows: DataFrame, key: str, k: int, vector: str = "body") -> DataFrame:
     """key, other, distance, rank from 1: the k nearest other rows by cosine, ties to the smaller key."""
 
-    def kernel(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"key": [], "other": [], "distance": []})
-        d = np.round(np.nan_to_num(1 - units(a["vec"]) @ units(b["vec"]).T, nan=1.0), 9)
-        out = []
-        for own, other, m in ((a, b, d),) if same else ((a, b, d), (b, a, d.T)):
-            names = other["key"].to_numpy()
-            by = np.argsort(names, kind="stable")
-            names, m = names[by], np.where(own["key"].to_numpy()[:, None] == names[by][None], np.inf, m[:, by])
-            best = np.argsort(m, axis=1, kind="stable")[:, :k]
-            i = np.repeat(np.arange(len(own)), best.shape[1])
-            out.append(pd.DataFrame({"key": own["key"].to_numpy()[i], "other": names[best.ravel()], "distance": m[i, best.ravel()]}))
-        got = pd.concat(out)
-        return got[np.isfinite(got["distance"])]
-
-    cells = grid(rows.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vec")), "key", kernel, "key long, other long, distance double")
+    def kernel(a: Block, b: Block) -> pd.DataFrame:
+        d = np.round(np.nan_to_num(1 - a["vec"] @ b["vec"].T, nan=1.0), 9)
+        d[a["key"][:, None] == b["key"][None]] = np.inf
+        last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        i, j = np.nonzero((d <= last[:, None]) & np.isfinite(d))
+        order = np.lexsort((b["key"][j], d[i, j], i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[place < k], j[place < k]
+        return pd.DataFrame({"key": a["key"][i], "other": b["key"][j], "distance": d[i, j]})
+
+    cells = grid(rows.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vec")), "key", kernel, "key long, other long, distance double", directed=True, ready=_units("vec"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy("distance", "other"))
     return cells.withColumn("rank", rank).where(F.col("rank") <= k)
 

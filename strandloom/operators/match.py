@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.graph import components, dense
+from ..functions.graph import before, components, dense
 from ..functions.vectors import cosine_distance
 from ..sources.tables import stored
-from .distance import best_between, weighted_block
+from .distance import best_between, units, weighted_block
 from .features import length_mean
 
 
@@ -37,28 +37,34 @@ def two_passes(pairs: pd.DataFrame, tracks: pd.DataFrame, config: Config) -> dic
     """Parent of each cluster of one component of the candidate graph. Claims and locks never reach beyond it."""
     pairs = pairs.sort_values(["i", "j"]).reset_index(drop=True)
     parent = {c: c for c in [*pairs["i"], *pairs["j"]]}
-    rows = {c: own.reset_index(drop=True) for c, own in tracks.groupby("local_cluster")}
+    members = {c: [c] for c in parent}
+    block = {"body": units(tracks["body"]), "face": units(tracks["face"]), "has_face": tracks["has_face"].to_numpy(bool)}
+    places = {c: own for c, own in tracks.groupby("local_cluster").indices.items()}
     locked: set[int] = set()
     one_face = ~(pairs["face_i"] & pairs["face_j"])
+
+    def join(i: int, j: int) -> None:
+        parent[j] = i
+        members[i].append(j)
+        members[j] = [c for c in members[j] if c != j]
+
     for r in pairs[one_face].sort_values("body_sim", ascending=False, kind="stable").itertuples(index=False):
         if parent[r.i] == r.i and parent[r.j] == r.j and r.clip_i != r.clip_j and not {r.i, r.j} & locked:
-            parent[r.j] = r.i
+            join(r.i, r.j)
             locked |= {r.i, r.j}
 
-    def owned(root: int) -> list[int]:
-        return [c for c, p in parent.items() if p == root]
-
     def between(i: int, j: int):
-        a, b = (pd.concat([rows[c] for c in owned(x)]) for x in (i, j))
+        at = (np.concatenate([places[c] for c in members[x]]) for x in (i, j))
+        a, b = ({k: v[own] for k, v in block.items()} for own in at)
         d, body, face = weighted_block(a, b, config.face_weight_across)
-        return np.nan_to_num(d, nan=1.0), np.nan_to_num(body, nan=1.0), a["has_face"].to_numpy()[:, None] & b["has_face"].to_numpy()[None]
+        return np.nan_to_num(d, nan=1.0), np.nan_to_num(body, nan=1.0), a["has_face"][:, None] & b["has_face"][None]
 
     best: dict[int, tuple] = {}
     for r in pairs[~one_face].itertuples(index=False):
         if parent[r.i] != r.i or parent[r.j] != r.j or r.clip_i == r.clip_j or {r.i, r.j} <= locked:
             continue
         distance = r.distance
-        if len(owned(r.i)) > 1 or len(owned(r.j)) > 1:
+        if len(members[r.i]) > 1 or len(members[r.j]) > 1:
             d, _, both = between(r.i, r.j)
             distance = float(np.where(both, d, np.inf).min()) if both.any() else float(d.min())
         if r.j not in best or distance < best[r.j][0]:
@@ -69,14 +75,14 @@ def two_passes(pairs: pd.DataFrame, tracks: pd.DataFrame, config: Config) -> dic
         if parent[r.i] != r.i or parent[r.j] != r.j:
             continue
         similar = r.body_sim
-        if len(owned(r.i)) > 1 or len(owned(r.j)) > 1:
+        if len(members[r.i]) > 1 or len(members[r.j]) > 1:
             d, body, _ = between(r.i, r.j)
             distance, similar = float(d.min()), 1 - float(body.min())
         if not distance < r.threshold or similar < 0.70 or {r.i, r.j} <= locked:
             continue
         if (r.i, r.clip_j) in confirmed or (r.j, r.clip_i) in confirmed or fed.get((r.i, r.clip_j)) == r.clip_i:
             continue
-        parent[r.j] = r.i
+        join(r.i, r.j)
         fed[r.i, r.clip_j] = r.clip_i
         confirmed |= {(r.i, r.clip_i), (r.i, r.clip_j)}
     if not config.one_level_parents:
@@ -116,9 +122,10 @@ def repair_order(tracks: DataFrame) -> DataFrame:
 def repaired(tracks: DataFrame) -> DataFrame:
     """tracks with global_id such that no id has two local clusters in one clip: all but the first of each get fresh ids."""
     order = stored(repair_order(tracks), "repair")
-    spare = order.where("place > 1").withColumn("key", F.struct("global_id", "clip_idx", "place"))
+    spare = order.where("place > 1")
     base = F.lit(tracks.agg(F.max("global_id")).first()[0] or 0) + 1
-    fresh = spare.select("clip_idx", "local_cluster", "global_id", (base + F.row_number().over(Window.orderBy("global_id", "clip_idx", "place")) - 1).alias("fresh"))
+    inside = F.row_number().over(Window.partitionBy("global_id").orderBy("clip_idx", "place")) - 1
+    fresh = spare.withColumn("inside", inside).join(before(spare, "global_id", F.lit(1)), "global_id").select("clip_idx", "local_cluster", "global_id", (base + F.col("before") + F.col("inside")).alias("fresh"))
     return tracks.join(fresh, ["clip_idx", "local_cluster", "global_id"], "left").withColumn("global_id", F.coalesce("fresh", "global_id")).drop("fresh")
 
 

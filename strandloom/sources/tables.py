@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scope: contextvars.ContextVar[str] = contextvars.ContextVar("scope", default="")
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset (local tests)."""
+    """spark.checkpoint.dir; where that is unset and the master is local (tests), a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="strandloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
@@ -21,8 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def own_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    """This application's part of the shared folder, or that of the scope we are in."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}{_scope.get()}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -33,8 +40,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside is deleted at the end; results must have been written by then."""
+    token = _scope.set(f"{_scope.get()}/scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        clean(spark)
+        _scope.reset(token)
+
+
 def clean(spark: SparkSession) -> None:
-    """Delete what this application has stored; to be called when its results have been written."""
+    """Delete what this application, or the scope we are in, has stored; to be called when its results have been written."""
     path, fs = _path(spark, own_dir(spark))
     fs.delete(path, True)
 
@@ -45,8 +63,8 @@ def _path(spark: SparkSession, path: str):
 
 
 def cached(spark: SparkSession, path: str, make, fresh: bool = False) -> DataFrame:
-    """The Parquet table at path; made and written first if it isn't there. Cache rows before fragments are merged, as merging twice differs."""
-    there, fs = _path(spark, path)
-    if fresh or not fs.exists(there):
+    """The Parquet table at path; made and written first if it isn't there whole. Cache rows before fragments are merged, as merging twice differs."""
+    done, fs = _path(spark, f"{path}/_SUCCESS")
+    if fresh or not fs.exists(done):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
