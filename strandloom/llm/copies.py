@@ -30,7 +30,7 @@ LONGS = 16
 #: Proposals of a text in the first round, and by how much they grow in a round.
 FIRST, GROWTH = 2, 4
 #: Shingles in the texts that a task compares at once, about.
-PACK = 1 << 20
+PACK = 1 << 17
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _MINS = (np.random.default_rng(1).integers(0, 1 << 64, (2, BANDS * DEPTH, 1), np.uint64, False)) | np.uint64(1)
 
@@ -183,9 +183,9 @@ def links(docs: DataFrame, text: str = "text", words: int = 5, least: float = 0.
     """(id, label), stored: components of the texts, named by the hash of their bytes, that stand in any link."""
     texts = identified(docs, text)
     made = stored(sketches(texts, words), "sketches")
-    met = made.select("id", F.explode("bands").alias("node")).distinct()
-    shared = stored(met.groupBy("node").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("node"), "shared")
-    met = stored(join_checked(met, shared, "node"), "met")
+    bands = made.select("id", F.explode("bands").alias("node"))
+    shared = stored(bands.groupBy("node").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("node"), "shared")
+    met = stored(join_checked(bands, shared, "node").distinct(), "met")
     own = stored(join_checked(made, stored(met.select("id").distinct(), "meeting"), "id", "left_semi").select("id", "fp", "n", "map").dropDuplicates(["id"]), "own")
     label = stored(own.select("id", F.col("id").alias("label")).limit(0), "labels")
     edges, tested = label.select(F.col("id").alias("u"), F.col("label").alias("v")), None
