@@ -134,20 +134,45 @@ def best_between(rows: DataFrame, key: str, group: str, clip: str = "clip_idx",
     return cells.groupBy("i", "j").agg(F.min("distance").alias("distance"), F.max("face_sim").alias("face_sim"))
 
 
+def nearest(a: np.ndarray, b: np.ndarray, step: int = 64, margin: int = 32) -> np.ndarray:
+    """Least Euclidean distance of each row of a to the rows of b, which are sorted by their first component.
+
+    A stretch of a, sorted likewise, is compared with the rows of b beside it, and then with those that the first
+    component doesn't rule out by what was found; no other pair is looked at.
+    """
+    out, order, at = np.empty(len(a)), np.argsort(a[:, 0], kind="stable"), b[:, 0]
+    for k in range(0, len(a), step):
+        own = a[order[k : k + step]]
+        squares = lambda i, j, own=own: sum(((np.subtract.outer(x, y)) ** 2 for x, y in zip(own.T, b[i:j].T, strict=True)), np.zeros((len(own), j - i))).min(axis=1, initial=np.inf)
+        i, j = max(0, np.searchsorted(at, own[0, 0]) - margin), min(len(b), np.searchsorted(at, own[-1, 0]) + margin)
+        best = squares(i, j)
+        r = np.sqrt(best.max()) * (1 + 1e-12)
+        low, high = min(i, np.searchsorted(at, own[0, 0] - r)), max(j, np.searchsorted(at, own[-1, 0] + r, "right"))
+        out[order[k : k + step]] = np.sqrt(np.minimum(best, np.minimum(squares(low, i), squares(j, high))))
+    return out
+
+
 def nearest_in_groups(rows: DataFrame, key: str, group: str, kind: str = "cosine", vector: str = "body") -> DataFrame:
-    """key, group, other, nearest: for each row its least distance to each other group. kind: cosine or euclidean."""
+    """key, group, other, nearest: for each row its least distance to each other group. kind: cosine or euclidean.
+
+    Euclidean distances of few dimensions look only at rows that the first component doesn't rule out.
+    """
 
     def kernel(a: Block, b: Block) -> pd.DataFrame:
         if kind == "cosine":
-            d = np.nan_to_num(1 - a["vec"] @ b["vec"].T, nan=1.0)
-        else:  # squares until the least are known
-            d = sum((np.subtract.outer(x, y) ** 2 for x, y in zip(a["vec"].T, b["vec"].T, strict=True)), np.zeros((len(a["vec"]), len(b["vec"]))))
-        names, near = reduced(d, b["group"], np.minimum)
-        near = near if kind == "cosine" else np.sqrt(near)
+            names, near = reduced(np.nan_to_num(1 - a["vec"] @ b["vec"].T, nan=1.0), b["group"], np.minimum)
+        else:
+            names, first = np.unique(b["group"], return_index=True)
+            parts = np.split(b["vec"], first[1:])
+            near = np.stack([np.full(len(a["vec"]), np.inf) if (a["group"] == g).all() else nearest(a["vec"], part) for g, part in zip(names, parts, strict=True)], axis=1)
         i, j = np.nonzero(a["group"][:, None] != names[None])
         return pd.DataFrame({"key": a["key"][i], "group": a["group"][i], "other": names[j], "nearest": near[i, j]})
 
-    ready = _units("vec") if kind == "cosine" else lambda b: b
+    def by_first(b: Block) -> Block:
+        order = np.lexsort((b["vec"][:, 0], b["group"]))
+        return {k: v[order] for k, v in b.items()}
+
+    ready = _units("vec") if kind == "cosine" else by_first
     own = rows.select(F.col(key).cast("long").alias("key"), F.col(group).cast("long").alias("group"), F.col(vector).alias("vec"))
     cells = grid(own, "key", kernel, "key long, group long, other long, nearest double", directed=True, group="group", ready=ready)
     return cells.groupBy("key", "group", "other").agg(F.min("nearest").alias("nearest"))
