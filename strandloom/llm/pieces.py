@@ -78,6 +78,13 @@ def spread(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, sizes) + np.arange(int(sizes.sum()))
 
 
+class Symbols(dict):
+    """Characters that are pieces; -1 for others."""
+
+    def __missing__(self, _) -> int:
+        return -1
+
+
 class Vocabulary:
     """Pieces of a BPE model with byte fallback; small enough to go to every worker, where it remembers chunks."""
 
@@ -107,12 +114,13 @@ class Vocabulary:
         self.pairs = np.array(sorted(pairs), np.int64)
         self.joint = np.array([pairs[k] for k in sorted(pairs)], np.int32)
         costs = np.array([best[p][0] if p in best else np.inf for p, _, _ in pieces] + [np.inf])
+        self.symbol = Symbols({p: i for p, (_, i) in best.items() if len(p) == 1})
         self.order = np.where(np.isfinite(costs), np.unique(costs, return_inverse=True)[1], NEVER).astype(np.int32)
         self._forget()
 
     def _forget(self) -> None:
         """No chunk is remembered: its characters, what is tried without dropout, and the ids that gives."""
-        self.number: dict[str, int] = {}
+        self.number: dict[str | None, int] = {}
         self.chars, self.tried, self.ids = Ragged(np.int32), Ragged(np.uint64), Ragged(np.int32)
 
     def _joint(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -123,29 +131,34 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.joint[at], np.int32(self.none))
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Remember new chunks."""
-        plain = {}
-        for c in chunks:
-            symbols = [found[1] if (found := self.best.get(x)) else -1 for x in c]
-            if len(c) == 1 or len(c) > LONGEST or -1 in symbols:
-                # single characters have one way, long chunks are merged one by one
-                ids = np.frombuffer(self._id(c), np.int32) if len(c) == 1 else np.zeros(0, np.int32)
-                self.number[c] = self.ids.n
-                self.ids.add(ids, np.array([len(ids)]))
-                self.tried.add(np.zeros(0, np.uint64), np.array([0]))
-                self.chars.add(np.zeros(0, np.int32), np.array([0]))
-            else:
-                plain.setdefault(next(w for w in WIDTHS if w >= len(c)), []).append((c, symbols))
-        for width, own in plain.items():
-            sizes = np.array([len(c) for c, _ in own])
-            flat = np.array([x for _, symbols in own for x in symbols], np.int32)
+    def _learn(self, chunks: list[str | None]) -> None:
+        """Remember new chunks; None is a word mark of a text. Long chunks and odd ones have no ids, they are merged one by one."""
+        apart = [c for c in chunks if c is None or not 1 < len(c) <= LONGEST]
+        rest = [c for c in chunks if c is not None and 1 < len(c) <= LONGEST]
+        sizes = np.fromiter(map(len, rest), np.int64, len(rest))
+        flat = np.fromiter(map(self.symbol.__getitem__, "".join(rest)), np.int32, int(sizes.sum()))
+        if rest:
+            odd = np.minimum.reduceat(flat, np.cumsum(sizes) - sizes) < 0
+            apart += [rest[i] for i in np.flatnonzero(odd).tolist()]
+            group = np.where(odd, -1, np.searchsorted(WIDTHS, sizes))
+        for c in apart:
+            ids = self._id(c or MARK, c is None) if c is None or len(c) == 1 else b""
+            self.number[c] = len(self.number)
+            self.ids.add(np.frombuffer(ids, np.int32), np.array([len(ids) // 4]))
+            self.tried.add(np.zeros(0, np.uint64), np.array([0]))
+            self.chars.add(np.zeros(0, np.int32), np.array([0]))
+        for g, width in enumerate(WIDTHS):
+            own = np.flatnonzero(group == g) if rest else np.zeros(0, np.int64)
+            if not len(own):
+                continue
+            n = sizes[own]
+            chars = flat[spread((np.cumsum(sizes) - sizes)[own], n)]
             tried: list = []
-            ids, n = self.merged(flat, sizes, width, np.zeros(len(own), np.uint64), 0, tried)
-            for c, _ in own:
-                self.number[c] = len(self.number)
-            self.chars.add(flat, sizes)
-            self.ids.add(ids, n)
+            ids, kept = self.merged(chars, n, width, np.zeros(len(own), np.uint64), 0, tried)
+            at = len(self.number)
+            self.number.update(zip([rest[i] for i in own.tolist()], range(at, at + len(own)), strict=True))
+            self.chars.add(chars, n)
+            self.ids.add(ids, kept)
             row, trial = (np.concatenate(x) for x in zip(*tried, strict=True)) if tried else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
             self.tried.add(trial[np.argsort(row, kind="stable")], np.bincount(row, minlength=len(own)))
 
@@ -201,11 +214,11 @@ class Vocabulary:
 
     def _encoded(self, chunks: list[str | None], keys: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes) of chunks, each by its own key; None is a word mark of the text."""
-        if new := [c for c in dict.fromkeys(chunks) if c is not None and c not in self.number]:
-            self._learn(new)
-        apart = [i for i, c in enumerate(chunks) if c is None or (len(c) > 1 and not self.chars.start[self.number[c] + 1] - self.chars.start[self.number[c]])]
-        number = np.array([0 if c is None else self.number[c] for c in chunks], np.int64)
+        if new := set(chunks).difference(self.number):
+            self._learn(list(new))
+        number = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
         ids, sizes = self.ids.take(number)
+        apart = np.flatnonzero(sizes == 0).tolist()
         tried, n = self.tried.take(number)
         with np.errstate(over="ignore"):
             hit = mixed(np.repeat(keys, n) + tried) < np.uint64(drop)
@@ -216,8 +229,7 @@ class Vocabulary:
             own = anew[(length > low) & (length <= width)]
             if len(own):
                 made.append((own, *self.merged(*self.chars.take(number[own]), width, keys[own], drop)))
-        mark = array("i", [self.bytes[b] for b in MARK.encode()]).tobytes()
-        long = [np.frombuffer(mark if chunks[i] is None else self.merge(chunks[i], int(keys[i]), drop), np.int32) for i in apart]
+        long = [np.frombuffer(self.merge(chunks[i], int(keys[i]), drop), np.int32) for i in apart]
         if long:
             made.append((np.array(apart), np.concatenate(long), np.array([len(x) for x in long])))
         if not made:
@@ -312,8 +324,8 @@ class Vocabulary:
                 offer(before[i], i)
         return b"".join([self._id(s) for s in symbol if s])
 
-    def _id(self, symbol: str) -> bytes:
-        if (found := self.best.get(symbol)) is not None:
+    def _id(self, symbol: str, as_bytes: bool = False) -> bytes:
+        if (found := self.best.get(symbol)) is not None and not as_bytes:
             return found[1].to_bytes(4, "little")
         return array("i", [self.bytes[b] for b in symbol.encode()]).tobytes()
 
