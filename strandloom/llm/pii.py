@@ -180,7 +180,9 @@ def disclosed(rows: DataFrame, words: DataFrame, support: int, generalise: float
     hits = once(join_checked(near, pairs, ["entity", "term"]), "entity", "term").agg(F.count("*").alias("n_te"))
     entity = once(join_checked(near, stored(pairs.select("entity").distinct(), "entities"), "entity"), "entity").agg(F.count("*").alias("n_e"))
     terms = stored(pairs.select(F.col("term").alias("word")).distinct(), "terms")
-    freq = join_checked(words, terms, "word").groupBy(F.col("word").alias("term")).agg(F.sum("df").alias("n_t"))
+    # a word's partial counts, one of each task that met it, are summed before they meet the terms
+    whole = words.groupBy("word").agg(F.sum("df").alias("n_t"))
+    freq = join_checked(whole, terms, "word").select(F.col("word").alias("term"), "n_t")
     total = F.lit(float(max(n, 1)))
     share = F.log(total * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(total / F.col("n_e"))
     flagged = hits.join(entity, "entity").join(freq, "term").where(F.col("n_e") < total).withColumn("share", share).where(F.col("share") >= generalise)
