@@ -3,13 +3,12 @@
 Documents are summed to cells of (source, language, topic) with their tokens. Iterative proportional fitting scales
 the cells' weights to the target share of each value of each dimension in turn, until the margins hold together. A
 document's rate is the weight of its cell over the cell's tokens, times the sampling fraction. All steps are
-DataFrame operations: sums by cell, sums over windows on the cells, a join of the cells' rates, a comparison with a
-hash. The table of cells has as many rows as there are combinations of values, whatever the number of documents.
+DataFrame operations: sums by cell, sums of cells by value, a join of the cells' rates, a comparison with a hash. The table of cells has as many rows as there are combinations of values, whatever the number of documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, join_checked, stored
@@ -18,9 +17,6 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Kinds of text by strings they hold, the first that fits.
 TOPICS = (("tabular", (" | ",)), ("legal", ("License", "Copyright")), ("marked", ("***", "###", "!!")), ("contact", ("@", "+1 (")))
 REST = "prose"
-#: Rakings between two stored tables, so that plans stay short.
-STRETCH = 4
-
 
 def topic_of(text: Column) -> Column:
     out = F
@@ -46,30 +42,52 @@ def target_share(dim: str, power: float, given: dict[str, float] | None) -> Colu
     return F.coalesce(F.element_at(F.create_map(*pairs), F.col(dim)), F.lit(0.0))
 
 
-def raked(cells: DataFrame, *, power: float = 0.5, targets: dict[str, dict[str, float]] | None = None, rounds: int = 12) -> DataFrame:
+def raked(cells: DataFrame, *, power: float = 0.5, targets: dict[str, dict[str, float]] | None = None, rounds: int = 20, tolerance: float = 1e-10) -> DataFrame:
     """cells (source, lang, topic, tokens) with the columns weight and gap.
 
-    The weights sum to the tokens of all cells and have the target margins up to gap, the largest relative miss of
-    any margin over all cells' values. Three sums and the gap reach the driver. A dimension without given targets takes its token shares to `power`, so that
-    small values gain. Cells without tokens stay at weight 0.
+    The weights sum to the tokens of all cells and have the target margins up to gap, the largest relative miss of any
+    value of any dimension. A weight is the cell's tokens times a factor of each of its values; a step sums the cells by
+    one dimension, by partial sums, and sets that dimension's factors. Rounds end when no step finds a miss above
+    tolerance, or after `rounds`: targets that no weights have leave a larger gap. A dimension without given targets
+    takes its token shares to `power`, so that small values gain. Cells without tokens stay at weight 0. What reaches
+    the driver is a miss for each step and three sums.
     """
     targets = targets or {}
     cells = stored(cells, "cells")
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    factors = {}
     for dim in DIMENSIONS:
-        share = target_share(dim, power, targets.get(dim))
-        whole = cells.groupBy(dim).agg(F.sum("tokens").alias("m")).where("m > 0").agg(F.sum(share)).first()[0]
-        of = F.when(F.col("m") > 0, share).otherwise(0.0)
-        cells = cells.withColumn("m", F.sum("tokens").over(Window.partitionBy(dim))).withColumn(f"to_{dim}", F.try_divide(of, F.lit(whole)) * F.lit(float(total))).drop("m")
-    cells = stored(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
-    for i in range(rounds):
+        margin = cells.groupBy(dim).agg(F.sum("tokens").alias("m")).where("m > 0").withColumn("share", target_share(dim, power, targets.get(dim)))
+        margin = stored(margin, "margin")
+        whole = margin.agg(F.sum("share")).first()[0]
+        factors[dim] = margin.select(dim, F.coalesce(F.try_divide(F.col("share") * F.lit(total), F.lit(whole)), F.lit(0.0)).alias(f"to_{dim}"), F.lit(1.0).alias(f"f_{dim}"))
+
+    def weighed(but: str | None = None) -> DataFrame:
+        """The cells with tokens, joined by the factors of all dimensions but one, and the product of these and the tokens."""
+        out, product = cells.where("tokens > 0"), F.col("tokens").cast("double")
+        for dim in DIMENSIONS:
+            if dim != but:
+                out = out.join(factors[dim], dim)
+                product = product * F.col(f"f_{dim}")
+        return out.withColumn("weight", product)
+
+    gap = float("inf") if total else 0.0
+    for _ in range(rounds):
+        if gap <= tolerance:
+            break
+        gap = 0.0
         for dim in DIMENSIONS:
-            cells = cells.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"to_{dim}"), F.sum("weight").over(Window.partitionBy(dim))), F.lit(0.0)))
-        if i % STRETCH == STRETCH - 1 or i == rounds - 1:
-            cells = stored(cells, "raked")
-    miss = [F.abs(F.try_divide(F.sum("weight").over(Window.partitionBy(dim)), F.col(f"to_{dim}")) - 1) for dim in DIMENSIONS]
-    gap = cells.select(F.greatest(*miss).alias("miss")).agg(F.max("miss")).first()[0]
-    return cells.select(*DIMENSIONS, "tokens", "weight", F.lit(gap).cast("double").alias("gap"))
+            to, f = F.col(f"to_{dim}"), F.col(f"f_{dim}")
+            sums = weighed(dim).groupBy(dim).agg(F.sum("weight").alias("s")).join(factors[dim], dim)
+            miss = F.coalesce(F.abs(F.try_divide(F.col("s") * f, to) - 1), F.lit(0.0)).alias("miss")
+            made = stored(sums.select(dim, to, F.coalesce(F.try_divide(to, F.col("s")), F.lit(0.0)).alias(f"f_{dim}"), miss), "factors")
+            gap = max(gap, made.agg(F.max("miss")).first()[0] or 0.0)
+            factors[dim] = made.drop("miss")
+    done = weighed()
+    missed = [done.groupBy(dim).agg(F.max(f"to_{dim}").alias("to"), F.sum("weight").alias("s")).select("to", "s") for dim in DIMENSIONS]
+    gap = missed[0].unionByName(missed[1]).unionByName(missed[2]).agg(F.max(F.abs(F.try_divide(F.col("s"), F.col("to")) - 1))).first()[0] if total else None
+    none = cells.where("tokens <= 0 OR tokens IS NULL").withColumn("weight", F.lit(0.0))
+    return done.select(*DIMENSIONS, "tokens", "weight").unionByName(none.select(*DIMENSIONS, "tokens", "weight")).withColumn("gap", F.lit(gap).cast("double"))
 
 
 def uniform(key: str, seed: int) -> Column:
@@ -78,13 +96,13 @@ def uniform(key: str, seed: int) -> Column:
 
 
 def sampling_rates(rows: DataFrame, *, fraction: float = 0.5, **how) -> DataFrame:
-    """(source, lang, topic, rate) of the cells of described() rows that have tokens, stored."""
+    """(source, lang, topic, rate, gap) of the cells of described() rows that have tokens, stored."""
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    return stored(raked(cells, **how).where("tokens > 0").select(*DIMENSIONS, (F.lit(fraction) * F.col("weight") / F.col("tokens")).alias("rate")), "rates")
+    return stored(raked(cells, **how).where("tokens > 0").select(*DIMENSIONS, (F.lit(fraction) * F.col("weight") / F.col("tokens")).alias("rate"), "gap"), "rates")
 
 
-def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", *, fraction: float = 0.5, repeat: bool = True, seed: int = 3, power: float = 0.5, targets: dict[str, dict[str, float]] | None = None, rounds: int = 12) -> DataFrame:
-    """(key, source, lang, topic, tokens, rate, copies) of the sampled rows of docs.
+def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", *, fraction: float = 0.5, repeat: bool = True, seed: int = 3, power: float = 0.5, targets: dict[str, dict[str, float]] | None = None, rounds: int = 20) -> DataFrame:
+    """(key, source, lang, topic, tokens, rate, copies, gap) of the sampled rows of docs; gap is how far the margins were missed.
 
     rate is the expected number of copies. With repeat a row has floor(rate) copies and one more by chance of the
     rest; without, one by chance of the rate, which then can't pass 1. The expected tokens are `fraction` of those
@@ -96,18 +114,20 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", *, fractio
     rate = F.col("rate") if repeat else F.least(F.col("rate"), F.lit(1.0))
     drawn = join_checked(rows.where("tokens > 0"), rates, list(DIMENSIONS)).withColumn("rate", rate)
     copies = (F.floor("rate") + (uniform(key, seed) < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
-    return drawn.withColumn("copies", copies).where("copies > 0").select(key, *DIMENSIONS, "tokens", F.round("rate", 6).alias("rate"), "copies")
+    return drawn.withColumn("copies", copies).where("copies > 0").select(key, *DIMENSIONS, "tokens", F.round("rate", 6).alias("rate"), "copies", F.round("gap", 6).alias("gap"))
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", *, repeat: bool = False, seed: int = 3, **how) -> DataFrame:
     """The rows of docs that mixture() samples, with all columns; with repeat as often as it has copies of them.
 
     Without repeat, cells with a rate above 1 can't get their share: the margins and the fraction are missed then.
-    A row's cell is made again and meets its rate there, so texts are read twice and not shuffled for a join by key.
+    A row's cell is made again and meets its rate there, so texts are read twice and not shuffled for a join by key. Rows
+    with null or equal keys draw the same number each; null and blank texts have no tokens and are never sampled; texts
+    are read whole. An empty table stays empty.
     """
     rates = sampling_rates(stored(described(docs, key, text), "described"), **how)
     names = {d: free_name(docs.columns, f"cell_{d}") for d in (*DIMENSIONS, "rate")}
-    rates = rates.withColumnsRenamed(names)
+    rates = rates.drop("gap").withColumnsRenamed(names)
     whole = F.coalesce(F.col(text), F.lit(""))
     cell = {names[c]: F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in DIMENSIONS[:2]} | {names["topic"]: topic_of(whole)}
     rows = docs.where(whole.rlike(r"[^\x20\x09-\x0D]")).withColumns(cell)
@@ -119,7 +139,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", *, repeat: b
     return drawn.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies)).alias(names["rate"])).select(*docs.columns)
 
 
-def oracle_sql(*, fraction: float = 0.5, seed: int = 3, power: float = 0.5, rounds: int = 12) -> str:
+def oracle_sql(*, fraction: float = 0.5, seed: int = 3, power: float = 0.5, rounds: int = 20) -> str:
     """mixture() in DuckDB's SQL over the view documents."""
     hits = " ".join(f"WHEN {' OR '.join(f'contains(text, {_quoted(s)})' for s in strings)} THEN '{name}'" for name, strings in TOPICS)
     dims = ", ".join(DIMENSIONS)
@@ -134,8 +154,10 @@ def oracle_sql(*, fraction: float = 0.5, seed: int = 3, power: float = 0.5, roun
         for x in DIMENSIONS:
             parts.append(f"w{n + 1} AS MATERIALIZED (SELECT * REPLACE (weight * to_{x} / nullif(sum(weight) OVER (PARTITION BY {x}), 0) AS weight) FROM w{n})")
             n += 1
+    missed = " UNION ALL ".join(f"SELECT abs(sum(weight) / max(to_{x}) - 1) AS miss FROM w{n} WHERE tokens > 0 GROUP BY {x}" for x in DIMENSIONS)
+    parts.append(f"g AS (SELECT round(max(miss), 6) AS gap FROM ({missed}))")
     parts.append(f"r AS (SELECT d.*, {fraction} * weight / w{n}.tokens AS rate, ('0x' || substr(md5('{seed}:' || doc_id), 1, 8))::BIGINT / 4294967296.0 AS u FROM d JOIN w{n} USING ({dims}) WHERE d.tokens > 0)")
-    return f"WITH {', '.join(parts)} SELECT doc_id, {dims}, tokens, round(rate, 6) AS rate, (floor(rate) + (u < rate - floor(rate))::INT)::INT AS copies FROM r WHERE floor(rate) + (u < rate - floor(rate))::INT > 0"
+    return f"WITH {', '.join(parts)} SELECT doc_id, {dims}, tokens, round(rate, 6) AS rate, (floor(rate) + (u < rate - floor(rate))::INT)::INT AS copies, gap FROM r, g WHERE floor(rate) + (u < rate - floor(rate))::INT > 0"
 
 
 def _quoted(s: str) -> str:
