@@ -21,6 +21,8 @@ from .common import stored
 
 #: Fewest source partitions, and rows of a partition or of a block of a shard at most, about.
 PARTITIONS, ROWS = 64, 1_000_000
+#: Equal rows that one task makes again at most.
+STRETCH = 100_000
 
 
 def hypergeometric(good: int, bad: int, draws: int, rng: random.Random) -> int:
@@ -68,24 +70,45 @@ def matrix(sizes: list[int], shards: int, seed: int) -> list[list[int]]:
     return out
 
 
+def own_hash(seed: int, step: int, key: str) -> Column:
+    return F.xxhash64(F.lit(seed), F.lit(step), F.col(key), F.col("text_crc32"), F.col("size"), F.col("copy"))
+
+
 def key_order(seed: int, step: int, key: str) -> list[Column]:
     """Order of a permutation: a hash by seed and step, then what is left to tell rows apart."""
-    return [F.xxhash64(F.lit(seed), F.lit(step), F.col(key), F.col("text_crc32"), F.col("size")), F.col(key), F.col("text_crc32"), F.col("size")]
+    return [own_hash(seed, step, key), F.col(key), F.col("text_crc32"), F.col("size"), F.col("copy")]
+
+
+def numbered(skinny: DataFrame, *by: str) -> DataFrame:
+    """The rows with copy: equal rows are counted, by partial sums, and made again with numbers from 0.
+
+    Many equal rows are made again in stretches over many tasks, so they are never one group.
+    """
+    counts = stored(skinny.groupBy(*by).agg(F.count("*").alias("count")), "counts")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    few = counts.where(F.col("count") <= STRETCH).select(*by, upto(F.col("count")).alias("copy"))
+    many = counts.where(F.col("count") > STRETCH)
+    if many.isEmpty():
+        return few
+    cut = many.select(*by, "count", upto(F.ceil(F.col("count") / STRETCH)).alias("part")).repartition(*by, "part")
+    left = F.least(F.lit(STRETCH).cast("long"), F.col("count") - F.col("part") * STRETCH)
+    return few.unionByName(cut.select(*by, "part", upto(left).alias("at")).select(*by, (F.col("part") * STRETCH + F.col("at")).alias("copy")))
 
 
 def shuffled(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shards: int = 40, seed: int = 5, partitions: int = PARTITIONS, rows: int = ROWS) -> DataFrame:
     """(key, size, text_crc32, shard, slot) for each row of docs; slots are gapless from 0 in each shard.
 
-    size is the UTF-8 bytes of the text (null: none) and 16. Every shuffle of the rows is as likely as every other,
-    as far as the hash and the seed go, and shard sizes are at most one apart, with any ties, nulls or repeated
-    rows; equal rows are interchangeable. An empty table gives an empty result; other columns play no part.
+    size is the UTF-8 bytes of the text (null: none) and 16; texts are read whole. Every shuffle of the rows is as
+    likely as every other, as far as the hash and the seed go, and shard sizes are at most one apart, with any ties,
+    nulls or repeated rows: equal rows are interchangeable and are spread as others are. An empty table gives an empty
+    result; other columns play no part.
     """
     whole = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     skinny = docs.select(key, (F.octet_length(whole) + 16).cast("long").alias("size"), F.crc32(whole).cast("long").alias("text_crc32"))
-    skinny = stored(skinny, "skinny")
-    n = skinny.count()
+    placed = stored(numbered(skinny, key, "size", "text_crc32"), "skinny")
+    n = placed.count()
     parts = max(partitions, -(-n // rows))
-    placed = skinny.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), key, "text_crc32", "size"), F.lit(parts)).cast("int"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), key, "text_crc32", "size", "copy"), F.lit(parts)).cast("int"))
     count = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # parts rows
     drawn = matrix([count.get(p, 0) for p in range(parts)], shards, seed)
     ends = [[sum(row[: s + 1]) for s in range(shards)] for row in drawn]
@@ -94,8 +117,7 @@ def shuffled(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shards
     dealt = first.join(F.broadcast(sent), "part").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("at"))))
     # the second permutation: blocks of a shard by the leading part of a hash, then by the hash inside a block
     blocks = max(1, -(-n // (shards * rows)))
-    own = F.xxhash64(F.lit(seed), F.lit(2), F.col(key), F.col("text_crc32"), F.col("size"))
-    moved = stored(dealt.select(key, "size", "text_crc32", "shard", F.pmod(own, F.lit(blocks)).cast("int").alias("block")), "moved")
+    moved = stored(dealt.select(key, "size", "text_crc32", "copy", "shard", F.pmod(own_hash(seed, 2, key), F.lit(blocks)).cast("int").alias("block")), "moved")
     heads = moved.groupBy("shard", "block").count()
     start = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     heads = stored(heads.select("shard", "block", start.alias("start")), "heads")  # shards x blocks rows
