@@ -168,11 +168,17 @@ def _counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+#: Languages that a filter can hold; more are an error, never dropped.
+MOST = 4096
+
+
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", *, rate: float = 1e-4, part: float = 0.2) -> Filter:
     """A filter from all rows of docs that have a language."""
     counts = stored(_counts(docs.where(F.col(lang).isNotNull()), text, lang).groupBy("lang", "code").agg(F.sum("n").alias("n")), "grams")
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    names = sorted(r["lang"] for r in total.collect())  # as many rows as languages
+    names = sorted(r["lang"] for r in total.select("lang").limit(MOST + 1).collect())
+    if len(names) > MOST:
+        raise ValueError(f"more than {MOST} languages")
     share = counts.join(F.broadcast(total), "lang").select("lang", "code", "n", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= rate)
     top = share.groupBy("code").agg(F.max("share").alias("top"))
     own = share.join(top, "code").where(F.col("share") >= part * F.col("top"))
@@ -189,7 +195,8 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """(key, held_out, lang_pred, score) for each row of docs, by a filter learned from its rows that aren't held out.
 
     A null text, or one without letters, is `und` with score 0, as is any text where no language could be learned.
-    A null key is not held out. Rows with a null language are not learned from. Repeated rows keep their places.
+    A null key is not held out. Rows with a null language are not learned from. Repeated rows stay, long texts are read
+    whole, an empty table gives an empty result; other columns play no part.
     """
     train = docs.where(~F.coalesce(held_out(key), F.lit(False))).select(text, lang)
     model = learn(train, text, lang, **how)

@@ -84,8 +84,13 @@ def decode(data: bytes) -> np.ndarray:
     if depth != 8 or colour not in CHANNELS or interlace:
         raise ValueError("only 8-bit samples without interlace are read")
     step = CHANNELS[colour]
-    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
-    if len(raw) != height * (width * step + 1):
+    size = height * (width * step + 1)
+    inflate = zlib.decompressobj()
+    try:
+        raw = np.frombuffer(inflate.decompress(b"".join(body), size + 1), np.uint8)  # never more than the header promises
+    except zlib.error as e:
+        raise ValueError("damaged samples") from e
+    if len(raw) != size or not inflate.eof:
         raise ValueError("size doesn't fit the header")
     rows = raw.reshape(height, width * step + 1)
     return unfilter(rows[:, 0], rows[:, 1:], step)
