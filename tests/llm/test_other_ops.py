@@ -135,6 +135,24 @@ def test_mixture_matches_sql(spark, sf_dir):
     assert rows(mixing.mixture(table(spark, sf_dir, "documents")).toPandas()) == rows(con.sql(queries.ORACLE_SQL["op3_mixing"]).df())
 
 
+def test_stage_margins(spark, sf_dir):
+    """The pipeline's mixture has its target margins and fraction in expectation, and near them as drawn."""
+    docs = table(spark, sf_dir.replace("0.001", "0.01"), "documents")
+    rows = stored(mixing.described(docs), "rows")
+    rates = mixing.sampling_rates(rows)
+    total = rows.agg(F.sum("tokens")).first()[0]
+    meant = rows.join(rates, list(mixing.DIMENSIONS)).withColumn("w", F.col("tokens") * F.col("rate"))
+    drawn = corpus_pipeline.mix(spark, docs, sf_dir).withColumn("tokens", F.regexp_count("text", F.lit(r"\S+")))
+    assert meant.agg(F.sum("w")).first()[0] == pytest.approx(total / 2, rel=1e-6)
+    assert drawn.agg(F.sum("tokens")).first()[0] == pytest.approx(total / 2, rel=0.1)
+    for dim in mixing.DIMENSIONS:
+        before = {r[0]: r[1] for r in rows.groupBy(dim).agg(F.sum("tokens")).collect() if r[1]}
+        after = {r[0]: r[1] for r in meant.groupBy(dim).agg(F.sum("w")).collect()}
+        roots = sum(v**0.5 for v in before.values())
+        for value, n in before.items():
+            assert after[value] == pytest.approx(total / 2 * n**0.5 / roots, rel=1e-6)
+
+
 def test_raked_margins(spark):
     rng = random.Random(2)
     cells = {(f"s{a}", b, c): rng.randint(1, 500) for a in range(6) for b in ("en", "de") for c in ("x", "y", "z")}
@@ -200,9 +218,8 @@ def plain_top(vectors, k):
 @pytest.mark.parametrize("high", [3, 1024, 2**28])
 def test_top_k_with_ties_and_tiles(spark, monkeypatch, high):
     monkeypatch.setattr(maxscore, "SHARD", 100)
-    monkeypatch.setattr(maxscore, "LEAST", 3)
     monkeypatch.setattr(maxscore, "BLOCK", 4)
-    monkeypatch.setattr(maxscore, "FIRST", 20)
+    monkeypatch.setattr(maxscore, "STRETCH", 20)
     rng = random.Random(high)
     vectors = [(i, [rng.randint(-high, high) for _ in range(rng.choice((20, 20, 18)))]) for i in range(0, 2000, 5)]
     vectors += [(3000 + i, vectors[7][1]) for i in range(15)]
@@ -211,6 +228,19 @@ def test_top_k_with_ties_and_tiles(spark, monkeypatch, high):
     assert len(got) == len(set(got)) and set(got) == plain_top(vectors, 10)
 
 
+def test_bounds_save_work():
+    """Clear nearest neighbours: most components of a shard are never looked at once the bounds have risen; the result is whole."""
+    rng = np.random.default_rng(3)
+    vectors = np.round(1024 * rng.normal(size=(24, 6000)) * (0.8 ** np.arange(24))[:, None])
+    query, ids = np.round(1024 * 0.8 ** np.arange(24) * rng.choice((-1, 1), 24)), np.arange(6000)
+    got, score, looked = maxscore.top(query, -1, vectors, ids, vectors.max(axis=1), vectors.min(axis=1), 10)
+    every = query @ vectors
+    want = np.lexsort((ids, -every))[:10]
+    assert got.tolist() == want.tolist() and score.tolist() == every[want].tolist()
+    assert looked < 0.6 * vectors.size
+    assert maxscore.top(query, -1, vectors, ids, vectors.max(axis=1), vectors.min(axis=1), 10, float(every[want[-1]]))[2] < looked
+
+
 def test_top_k_of_embeddings_matches_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from read_parquet('{sf_dir}/embeddings.parquet')")
