@@ -10,14 +10,12 @@ class Config:
     # fixed values of the rule tables
     face_weight_within: float = 0.4
     face_weight_across: float = 0.45
-    cross_threshold: float = 0.46
     smoothing_window: int = 5
     face_run: int = 15
     min_track_rows: int = 3
     min_length: int = 30
     fragment_gap: int = 120
     fragment_similarity: float = 0.8
-    fragment_overlap: float = 0.5
     gun_confidence: float = 0.35
     sample_rate: int = 30
     # behaviour that can be switched off

@@ -37,19 +37,6 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-def euclidean(a: Column, b: Column) -> Column:
-    return F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
-
-
-def joined(a: Column, b: Column, first: float = 0.7, second: float = 0.3) -> Column:
-    """Both vectors in one, each weighted."""
-    return F.concat(F.transform(a, lambda x: x * first), F.transform(b, lambda x: x * second))
-
-
-def is_zero(a: Column) -> Column:
-    return ~F.exists(a, lambda x: x != 0)
-
-
 def clipped(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 

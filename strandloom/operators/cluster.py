@@ -62,6 +62,13 @@ def merged(tracks: DataFrame, group: list[str]) -> DataFrame:
     return out.withColumn("face", F.coalesce("seen", F.array_repeat(F.lit(0.0), F.col("width")))).drop("seen", "width")
 
 
+def merged_frames(tracks: DataFrame, group: list[str]) -> DataFrame:
+    """frames and bboxes of each fragment group: those of its members (arrays frames and bboxes) in one, sorted by frame, then by track."""
+    each = tracks.select(*group, "track_id", F.posexplode(F.arrays_zip("frames", "bboxes")).alias("at", "z"))
+    rows = F.sort_array(F.collect_list(F.struct(F.col("z.frames").alias("frame"), "track_id", "at", F.col("z.bboxes").alias("bbox"))))
+    return each.groupBy(*group).agg(rows.alias("rows")).select(*group, F.col("rows.frame").alias("frames"), F.col("rows.bbox").alias("bboxes"))
+
+
 # Fixed values of the rule tables: body similarities that a tracklet must reach to join a cluster.
 #: With the first member, for an overlap ratio above the first number: without two faces, with two, and what is added where one is twice as long.
 FIRST = ((0.4, 0.80, 0.82, 0.03), (0.1, 0.87, 0.82, 0.03), (-1.0, 0.87, 0.85, 0.0))

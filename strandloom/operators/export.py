@@ -34,6 +34,12 @@ def frame_rows(tracks: DataFrame) -> DataFrame:
     return tracks.select("clip_idx", "global_id", F.explode(F.arrays_zip("frames", "bboxes")).alias("z")).select("clip_idx", "global_id", F.col("z.frames").alias("frame_idx"), F.col("z.bboxes").alias("bbox"))
 
 
+def frame_boxes(boxes: DataFrame) -> DataFrame:
+    """clip_idx, frame_idx, boxes: the ids and boxes of each frame, sorted by id and box."""
+    rows = F.sort_array(F.collect_list(F.struct("global_id", "x1", "y1", "x2", "y2")))
+    return boxes.groupBy("clip_idx", "frame_idx").agg(rows.alias("boxes"))
+
+
 def legend_sizes(boxes: DataFrame) -> DataFrame:
     """clip_idx, frame_idx, seen: how many ids the legend has at each frame, as first sightings counted up."""
     first = boxes.groupBy("clip_idx", "global_id").agg(F.min("frame_idx").alias("frame_idx")).groupBy("clip_idx", "frame_idx").agg(F.count("*").alias("new"))
@@ -65,11 +71,20 @@ def write_json(catalogue: DataFrame, path: str, config: Config = DEFAULT) -> Non
     report(catalogue, config).select("*").write.mode("overwrite").json(f"{path}/summary")
 
 
+def document(catalogue: DataFrame, config: Config = DEFAULT, most: int = 100_000) -> DataFrame:
+    """One row: summary, config and the map of identities by name, as one object; an error above `most` appearances, which belong into write_json()."""
+    if catalogue.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} appearances; write_json() writes any number")
+    entries = identities(catalogue).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "appearances")))).alias("identities"))
+    totals = report(catalogue, config).select(F.struct("tracklets", "identities").alias("summary"), "config")
+    return totals.withColumn("_", F.lit(0)).join(entries.withColumn("_", F.lit(0)), "_").drop("_")
+
+
 def dataset_summary(labels: DataFrame) -> DataFrame:
     """clip_id, label, category, confidence to 3 places."""
     return labels.select("clip_id", "label", "category", F.round("confidence", 3).alias("confidence"))
 
 
-def write_scenes(labels: DataFrame, path: str) -> None:
-    """Scene labels as JSON in a folder for each clip."""
-    dataset_summary(labels).withColumn("clip", F.col("clip_id")).write.mode("overwrite").partitionBy("clip").json(path)
+def write_scenes(results: DataFrame, path: str) -> None:
+    """Scene results, an object for each clip, as JSON in a folder for each clip."""
+    results.withColumn("clip", F.col("clip_id")).write.mode("overwrite").partitionBy("clip").json(path)

@@ -49,6 +49,11 @@ def track_lists(detections: DataFrame) -> DataFrame:
     return detections.groupBy(*TRACK).agg(rows.alias("rows")).select(*TRACK, F.col("rows.frame_idx").alias("frames"), F.col("rows.bbox").alias("bboxes"))
 
 
+def timed(frames: DataFrame, clips: DataFrame) -> DataFrame:
+    """frames with seconds, the frame's time by its clip's frame rate; frames of unknown clips are left out."""
+    return frames.join(clips.select("clip_idx", "fps"), "clip_idx").withColumn("seconds", F.col("frame_idx") / F.col("fps")).drop("fps")
+
+
 def motion_vector(detections: DataFrame, least: int = DEFAULT.min_track_rows) -> DataFrame:
     """Mean and population deviation of movement, mean size and positions of each track, scaled to length 1."""
     moved = with_box(with_movement(detections))
@@ -100,6 +105,11 @@ def softmax_mean(rows: DataFrame, by: list[str], vector: str, score: str) -> Dat
     return weighted_mean(rows, by, vector, F.exp(3 * F.col(score)), eps=ZERO)
 
 
+def mean_pose(rows: DataFrame, by: list[str], vector: str = "pose") -> DataFrame:
+    """Plain mean, scaled to length 1."""
+    return weighted_mean(rows, by, vector, None)
+
+
 def length_mean(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
     """Mean by track lengths, equal weights where all are zero; not scaled."""
     return weighted_mean(rows, by, vector, (F.col("end_frame") - F.col("start_frame")).cast("double"), scale=False)

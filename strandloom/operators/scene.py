@@ -41,8 +41,16 @@ def validation(gun: Column, phone: Column, confidence: Column, empty: Column | N
 
 
 def validated(weapons: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Detections above the class gate with valid, validation_score and combined_score."""
-    out = weapons.where(F.col("confidence") > config.gun_confidence).withColumn("v", validation(F.col("gun_prob"), F.col("phone_prob"), F.col("confidence")))
+    """Detections above the class gate with valid, validation_score and combined_score.
+
+    Where weapons have boxes (x1 to y2, frame_w, frame_h) these are cut to the frame, and one that is empty then is invalid.
+    """
+    out, empty = weapons.where(F.col("confidence") > config.gun_confidence), None
+    if {"x1", "y1", "x2", "y2", "frame_w", "frame_h"} <= set(weapons.columns):
+        box = clamped(tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), F.col("frame_w"), F.col("frame_h"))
+        out = out.withColumns(dict(zip(("x1", "y1", "x2", "y2"), box, strict=True)))
+        empty = (F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1"))
+    out = out.withColumn("v", validation(F.col("gun_prob"), F.col("phone_prob"), F.col("confidence"), empty))
     return out.withColumns({"valid": F.col("v.valid"), "validation_score": F.col("v.score"), "combined_score": (F.col("confidence") + F.col("v.score")) / 2}).drop("v")
 
 
@@ -83,17 +91,41 @@ def decision(s: Column, s_max: Column, w: Column, w_max: Column, u: Column, u_ma
     return first_match(rules, out("NO_CRIME", n))
 
 
-def scene_labels(frames: DataFrame, weapons: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """clip_id, label, category, confidence of each clip with frames."""
+def decided(frames: DataFrame, weapons: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """clip_scores(), weapon_summary() and consistency() of each clip with frames, and d, the decision."""
     valid = validated(weapons, config)
     hits = consistency(frames, valid.where("valid"))
     d = clip_scores(label_scores(frames)).join(weapon_summary(valid), "clip_id", "left").join(hits, "clip_id", "left")
-    c = F.when(F.col("consistent"), F.col("weapons")).otherwise(0)
-    c = F.coalesce(c, F.lit(0))
-    cols = {x: F.col(x) for x in ("shoplifting_mean", "shoplifting_max", "weapon_mean", "weapon_max", "urgent_mean", "urgent_max", "normal_mean")}
-    made = decision(*cols.values(), c, F.coalesce("combined_mean", F.lit(0.0)), F.coalesce("combined_max", F.lit(0.0)), F.col("people_mean"))
-    d = d.withColumn("d", made)
-    return d.select("clip_id", F.when(F.col("d.category").isin(*CRIMES), "crime").otherwise("normal").alias("label"), F.col("d.category").alias("category"), F.col("d.confidence").alias("confidence"))
+    d = d.withColumn("accepted", F.coalesce(F.when(F.col("consistent"), F.col("weapons")), F.lit(0)))
+    cols = (F.col(x) for x in ("shoplifting_mean", "shoplifting_max", "weapon_mean", "weapon_max", "urgent_mean", "urgent_max", "normal_mean"))
+    return d.withColumn("d", decision(*cols, F.col("accepted"), F.coalesce("combined_mean", F.lit(0.0)), F.coalesce("combined_max", F.lit(0.0)), F.col("people_mean")))
+
+
+def _label() -> Column:
+    return F.when(F.col("d.category").isin(*CRIMES), "crime").otherwise("normal").alias("label")
+
+
+def scene_labels(frames: DataFrame, weapons: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """clip_id, label, category, confidence of each clip with frames."""
+    return decided(frames, weapons, config).select("clip_id", _label(), F.col("d.category").alias("category"), F.col("d.confidence").alias("confidence"))
+
+
+def every_clip(labels: DataFrame, clips: DataFrame) -> DataFrame:
+    """Labels of all clips (clip_id, failed): one without frames is NO_CRIME with 0, one that failed is an error."""
+    known = clips.join(labels, "clip_id", "left")
+    label = F.when(F.col("failed"), "error").otherwise(F.coalesce("label", F.lit("normal"))).alias("label")
+    category = F.when(F.col("failed"), "ERROR").otherwise(F.coalesce("category", F.lit("NO_CRIME"))).alias("category")
+    return known.select("clip_id", label, category, F.when(F.col("failed"), 0.0).otherwise(F.coalesce("confidence", F.lit(0.0))).alias("confidence"))
+
+
+def results(frames: DataFrame, weapons: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """One nested object for each clip with frames: the label, the scores of each group, people, and the weapon analysis."""
+    group = lambda x: F.struct(F.col(f"{x}_mean").alias("mean"), F.col(f"{x}_max").alias("max")).alias(x)
+    found = F.struct(F.col("accepted").alias("detections"), F.coalesce("hit_frames", F.lit(0)).alias("hit_frames"), F.coalesce("consistent", F.lit(False)).alias("consistent"), "combined_mean", "combined_max", "validation_mean", F.coalesce("types", F.lit(0)).alias("types"))
+    return decided(frames, weapons, config).select(
+        "clip_id", F.struct(_label(), F.col("d.category").alias("category"), F.col("d.confidence").alias("confidence")).alias("result"), "frames",
+        F.struct(group("shoplifting"), group("weapon"), group("urgent"), F.col("normal_mean").alias("normal")).alias("scores"), group("people"), found.alias("weapons"),
+    )
 
 
 def batch_statistics(labels: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..sources import proxies
 from ..sources.tables import stored
 from ..streaming import drain
 from ..streaming import tracks as streams
+from . import folds
 from . import oracle as O
 from .registry import query
 
@@ -412,6 +413,116 @@ def duplicate_repair_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.repair_order(t).where("place = 1").select("global_id", "clip_idx", "local_cluster", "length")
 
 
+@query(
+    f"""WITH {O.tracklets(FAR)}, s AS (SELECT label::BIGINT AS global_id, clip_idx, (track_id % 3)::BIGINT AS local_cluster, sum(end_frame - start_frame) AS length FROM trk GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY global_id, clip_idx ORDER BY length DESC, local_cluster DESC) AS place FROM s),
+n AS (SELECT *, (SELECT max(global_id) FROM s) + row_number() OVER (ORDER BY global_id, clip_idx, place) AS fresh FROM p WHERE place > 1)
+SELECT track_id, coalesce(fresh, label)::BIGINT AS global_id FROM trk LEFT JOIN n ON n.global_id = label AND n.clip_idx = trk.clip_idx AND n.local_cluster = track_id % 3"""
+)
+def duplicate_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = proxies.tracklets(spark, sf_dir, FAR).withColumns({"global_id": F.col("label").cast("long"), "local_cluster": F.col("track_id") % 3})
+    return match.repaired(t).select("track_id", "global_id")
+
+
+# --- rows of the sinks, sequences of tracks and frames ---------------------------------------------------------------
+
+
+@query("WITH " + O.DETECTIONS + " SELECT clip_idx, CASE WHEN clip_idx % 2 = 0 THEN 25::DOUBLE ELSE 30::DOUBLE END AS fps, max(frame_idx) + 1 AS frame_count, 1920 AS width, 1080 AS height FROM det GROUP BY clip_idx")
+def clip_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proxies.clips(spark, sf_dir)
+
+
+@query("WITH " + O.DETECTIONS + " SELECT event_id, round(frame_idx / CASE WHEN clip_idx % 2 = 0 THEN 25::DOUBLE ELSE 30::DOUBLE END, 6) AS seconds FROM det")
+def frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.timed(proxies.detections(spark, sf_dir), proxies.clips(spark, sf_dir)).select("event_id", *_r("seconds"))
+
+
+def _listed(column: str, *fields: str):
+    """An array of structs as text: fields by dots, elements by commas."""
+    return F.array_join(F.transform(column, lambda x: F.concat_ws(".", *(x[f].cast("string") for f in fields))), ",")
+
+
+@query(
+    "WITH " + O.DETECTIONS + " SELECT clip_idx, track_id, string_agg(frame_idx, ',' ORDER BY ts, event_id) AS frames, string_agg(x1 || '.' || y1 || '.' || x2 || '.' || y2, ',' ORDER BY ts, event_id) AS boxes FROM det GROUP BY clip_idx, track_id"
+)
+def track_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = features.track_lists(proxies.detections(spark, sf_dir))
+    return t.select("clip_idx", "track_id", F.array_join(F.col("frames").cast("array<string>"), ",").alias("frames"), _listed("bboxes", "x1", "y1", "x2", "y2").alias("boxes"))
+
+
+@query(
+    "WITH " + O.DETECTIONS + ", o AS (SELECT *, row_number() OVER (PARTITION BY clip_idx, track_id ORDER BY ts, event_id) AS nth FROM det)"
+    " SELECT clip_idx, track_id % 3 AS part, string_agg(frame_idx, ',' ORDER BY frame_idx, track_id, nth) AS frames, string_agg(x1 || '.' || y2, ',' ORDER BY frame_idx, track_id, nth) AS boxes FROM o GROUP BY ALL"
+)
+def merged_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = features.track_lists(proxies.detections(spark, sf_dir)).withColumn("part", F.col("track_id") % 3)
+    out = cluster.merged_frames(t, ["clip_idx", "part"])
+    return out.select("clip_idx", "part", F.array_join(F.col("frames").cast("array<string>"), ",").alias("frames"), _listed("bboxes", "x1", "y2").alias("boxes"))
+
+
+@query(
+    "WITH " + O.DETECTIONS + " SELECT clip_idx, frame_idx, string_agg((track_id % 17) || '.' || x1 || '.' || y1 || '.' || x2 || '.' || y2, ',' ORDER BY track_id % 17, x1, y1, x2, y2) AS boxes FROM det WHERE track_id % 5 <> 4 GROUP BY clip_idx, frame_idx"
+)
+def frame_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = proxies.detections(spark, sf_dir)
+    out = export.frame_boxes(export.overlay(d, _mapping(d)))
+    return out.select("clip_idx", F.col("frame_idx").cast("long").alias("frame_idx"), _listed("boxes", "global_id", "x1", "y1", "x2", "y2").alias("boxes"))
+
+
+@query(
+    f"""WITH {O.tracklets(NEAR)}, x AS (SELECT clip_idx, unnest(embedding[1:16])::DOUBLE AS v, generate_subscripts(embedding[1:16], 1) - 1 AS pos FROM trk),
+g AS (SELECT clip_idx, pos, avg(v) AS v, count(*) AS n FROM x GROUP BY clip_idx, pos)
+SELECT clip_idx, pos::INT AS pos, round(v / CASE WHEN n = 1 THEN 1 ELSE sqrt(sum(v * v) OVER (PARTITION BY clip_idx)) + 1e-8 END, 6) + 0 AS value FROM g"""
+)
+def mean_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("vec_id") % proxies.CLIPS).cast("int").alias("clip_idx"), F.slice("embedding", 1, 16).cast("array<double>").alias("pose"))
+    return _exploded(features.mean_pose(raw, ["clip_idx"]), "clip_idx")
+
+
+@query(f"{_CATALOGUE} SELECT count(*) AS tracklets, count(DISTINCT global_id) AS identities FROM cat")
+def catalogue_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.report(_catalogued(spark, sf_dir)).select("tracklets", "identities")
+
+
+_BOXED = """b AS (SELECT w0.*, event_id * 7 % 700 - 50 AS bx, event_id * 11 % 560 - 50 AS by_ FROM w0 WHERE confidence > 0.35::DOUBLE),
+k AS (SELECT *, greatest(bx, 0) AS x1, greatest(by_, 0) AS y1, least(bx + event_id % 90 - 5, 640) AS x2, least(by_ + 40, 480) AS y2 FROM b)"""
+
+
+@query(
+    f"WITH {O.WEAPONS}, {_BOXED} SELECT k.event_id, k.x1, k.y1, k.x2, k.y2, NOT (k.x2 <= k.x1 OR k.y2 <= k.y1) AND valid AS valid, CASE WHEN k.x2 <= k.x1 OR k.y2 <= k.y1 THEN 0 ELSE validation_score END::DOUBLE AS validation_score FROM k JOIN wv USING (event_id)"
+)
+def box_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scene.validated(proxies.weapon_boxes(spark, sf_dir)).select("event_id", "x1", "y1", "x2", "y2", "valid", "validation_score")
+
+
+@query(f"WITH {O.DECIDED} SELECT clip_id, label, category, round(confidence, 3) AS confidence FROM lab")
+def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.dataset_summary(_labels(spark, sf_dir))
+
+
+@query(
+    f"WITH {O.DECIDED} SELECT c::INT AS clip_id, CASE WHEN c % 23 = 5 THEN 'error' ELSE coalesce(label, 'normal') END AS label, CASE WHEN c % 23 = 5 THEN 'ERROR' ELSE coalesce(category, 'NO_CRIME') END AS category, round(CASE WHEN c % 23 = 5 THEN 0 ELSE coalesce(confidence, 0) END, 6)::DOUBLE AS confidence FROM range(0, 70) r(c) LEFT JOIN lab ON lab.clip_id = c"
+)
+def scene_every_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All clips: six have no frames, some failed."""
+    clips = spark.range(70).select(F.col("id").cast("int").alias("clip_id"), (F.col("id") % 23 == 5).alias("failed"))
+    return scene.every_clip(_labels(spark, sf_dir), clips).select("clip_id", "label", "category", *_r("confidence"))
+
+
+@query(
+    f"""WITH {O.DECIDED}, v AS (SELECT clip_id, avg(validation_score) AS vm, count(DISTINCT type) AS types FROM wv WHERE valid GROUP BY clip_id), m AS (SELECT clip_id, count(*) AS frames, max(people) AS pmax FROM scored GROUP BY clip_id)
+SELECT clip_id, lab.category, round(lab.confidence, 6) AS confidence, m.frames, round(j.s, 6) AS shoplifting, round(j.umax, 6) AS urgent_max, m.pmax AS people_max, j.c::BIGINT AS detections, coalesce(cons.hit_frames, 0) AS hit_frames, coalesce(cons.consistent, false) AS consistent, round(v.vm, 6) AS validation_mean, coalesce(v.types, 0) AS types
+FROM lab JOIN j USING (clip_id) JOIN m USING (clip_id) LEFT JOIN v USING (clip_id) LEFT JOIN cons USING (clip_id)"""
+)
+def scene_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = scene.results(proxies.frame_scores(spark, sf_dir), proxies.weapon_detections(spark, sf_dir))
+    round_ = lambda c, name: (F.round(c, 6) + 0.0).alias(name)
+    return r.select(
+        "clip_id", "result.category", round_("result.confidence", "confidence"), "frames", round_("scores.shoplifting.mean", "shoplifting"), round_("scores.urgent.max", "urgent_max"), F.col("people.max").alias("people_max"),
+        F.col("weapons.detections").cast("long").alias("detections"), "weapons.hit_frames", "weapons.consistent", round_("weapons.validation_mean", "validation_mean"), "weapons.types",
+    )
+
+
 # --- streams ------------------------------------------------------------------------------------------------------
 
 
@@ -426,21 +537,21 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.unix_timestamp("start").alias("start"), "clip_idx", "rows", *_r("mean_value"))
 
 
-# --- order-dependent operators: no plain SQL form; tests hold them against numpy ----------------------------------
+# --- order-dependent operators: recursive SQL where it goes; tests hold all against plain versions ------------------
 
 
-@query()
+@query(folds.FRAGMENTS)
 def fragment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks = stored(_tracks(spark, sf_dir), "tracks")
     return tracks.join(cluster.fragments(tracks), ["clip_idx", "track_id"]).groupBy("clip_idx", "fragment").agg(F.count("*").alias("members"), F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"))
 
 
-@query()
+@query(folds.GREEDY)
 def stage1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.local_clusters(_tracks(spark, sf_dir))
 
 
-@query()
+@query(folds.LINKAGE)
 def average_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.average_linkage(_tracks(spark, sf_dir), 0.3)
 
@@ -450,13 +561,13 @@ def stage2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.matched(stored(_labelled(spark, sf_dir), "tracks"))
 
 
-@query()
+@query(folds.SMOOTHED)
 def ema_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks = proxies.tracklets(spark, sf_dir, NEAR).select("clip_idx", "track_id", "body")
     return _exploded(features.ema_vectors(tracks, ["clip_idx"], "track_id", "body"), "clip_idx", "track_id")
 
 
-@query()
+@query(folds.REPRESENTATIVES)
 def representative_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.representatives(proxies.tracklets(spark, sf_dir, NEAR), ["clip_idx"], "track_id", "body", "quality")
 

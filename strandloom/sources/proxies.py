@@ -27,6 +27,13 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip_idx, fps, frame_count, width, height: what a scan of the clips' metadata gives; the frames reach to the last detection."""
+    d = detections(spark, sf_dir)
+    fps = F.when(F.col("clip_idx") % 2 == 0, 25.0).otherwise(30.0).alias("fps")
+    return d.groupBy("clip_idx").agg((F.max("frame_idx") + 1).cast("long").alias("frame_count")).select("clip_idx", fps, "frame_count", F.lit(1920).alias("width"), F.lit(1080).alias("height"))
+
+
 def tracklets(spark: SparkSession, sf_dir: str, a: float) -> DataFrame:
     """track_id, clip_idx, start_frame, end_frame, has_face, label, body and face (array<double>), quality."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("track_id"), "embedding", "label")
@@ -58,6 +65,12 @@ def frame_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", u.cast("int").alias("clip_id"), F.struct("ts", "event_id").alias("at"), (F.col("k") % 5).alias("people"), F.array(*[logit(i) for i in range(LABELS)]).alias("logits"))
 
 
+def weapon_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """weapon_detections() with a box of a 640 by 480 frame, some of which lie outside or are empty."""
+    x, y = F.col("event_id") * 7 % 700 - 50, F.col("event_id") * 11 % 560 - 50
+    return weapon_detections(spark, sf_dir).withColumns({"x1": x, "y1": y, "x2": x + F.col("event_id") % 90 - 5, "y2": y + 40, "frame_w": F.lit(640), "frame_h": F.lit(480)})
+
+
 def weapon_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, clip_id, at, type, confidence, gun_prob, phone_prob of candidate boxes."""
     e = events(spark, sf_dir).withColumn("clip_id", (F.col("user_id") % SCENE_CLIPS).cast("int"))
