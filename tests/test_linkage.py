@@ -1,12 +1,15 @@
 """Order-dependent operators against plain versions, rule boundaries and properties."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.config import Config
-from strandloom.functions.graph import components, dense
-from strandloom.operators import cluster, features, match, overlap
+from strandloom.functions.graph import before, components, dense
+from strandloom.operators import cluster, distance, features, match, overlap
 from strandloom.sources.proxies import ordered
 
 
@@ -121,6 +124,81 @@ def test_cohesion_at_the_cuts(args, need):
     assert cluster.cohesion(*args) == pytest.approx(need)
 
 
+def plain_distance(a, b):
+    """Weighted distance of two tracklets and their body distance; what is no number counts as 1."""
+    body, face = cos(a[5], b[5]), cos(a[6], b[6])
+    weighted = 0.55 * body + 0.45 * face if a[4] and b[4] and face < 1 else body
+    return (1.0 if np.isnan(weighted) else weighted), (1.0 if np.isnan(body) else body)
+
+
+def plain_candidates(rows):
+    """All pairs of tracklets of unlike clips that look alike, each tracklet a cluster."""
+    out = []
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and a[1] != b[1] and not np.isnan(cos(a[5], b[5])):
+                d, body = plain_distance(a, b)
+                if d < 0.51 and 1 - body >= 0.6:
+                    out.append({"i": a[0], "j": b[0], "distance": d, "body_sim": 1 - body, "threshold": 0.44 if a[0] % 2 else 0.51, "face_i": a[4], "face_j": b[4], "clip_i": a[1], "clip_j": b[1]})
+    return out
+
+
+def plain_passes(pairs, rows):
+    """Both passes step by step: the first locks, the second rescores grown roots and minds claims."""
+    track, root = {r[0]: r for r in rows}, {}
+    for p in pairs:
+        root[p["i"]], root[p["j"]] = p["i"], p["j"]
+    locked, confirmed, fed = [], [], {}
+
+    def group(c):
+        return [track[x] for x in root if root[x] == c]
+
+    for p in sorted((p for p in pairs if not (p["face_i"] and p["face_j"])), key=lambda p: -p["body_sim"]):
+        i, j = p["i"], p["j"]
+        if root[i] != i or root[j] != j or p["clip_i"] == p["clip_j"] or i in locked or j in locked:
+            continue
+        root[j] = i
+        locked += [i, j]
+    best = {}
+    for p in pairs:
+        i, j = p["i"], p["j"]
+        if not (p["face_i"] and p["face_j"]) or root[i] != i or root[j] != j or p["clip_i"] == p["clip_j"] or (i in locked and j in locked):
+            continue
+        d = p["distance"]
+        if len(group(i)) > 1 or len(group(j)) > 1:
+            with_faces = [plain_distance(a, b)[0] for a in group(i) for b in group(j) if a[4] and b[4]]
+            d = min(with_faces or [plain_distance(a, b)[0] for a in group(i) for b in group(j)])
+        if j not in best or d < best[j][0]:
+            best[j] = (d, p)
+    for d, p in sorted(best.values(), key=lambda x: x[0]):
+        i, j, similar = p["i"], p["j"], p["body_sim"]
+        if root[i] != i or root[j] != j:
+            continue
+        if len(group(i)) > 1 or len(group(j)) > 1:
+            d = min(plain_distance(a, b)[0] for a in group(i) for b in group(j))
+            similar = 1 - min(plain_distance(a, b)[1] for a in group(i) for b in group(j))
+        if d >= p["threshold"] or similar < 0.7 or (i in locked and j in locked):
+            continue
+        if (i, p["clip_j"]) in confirmed or (j, p["clip_i"]) in confirmed or fed.get((i, p["clip_j"])) == p["clip_i"]:
+            continue
+        root[j] = i
+        fed[i, p["clip_j"]] = p["clip_i"]
+        confirmed += [(i, p["clip_i"]), (i, p["clip_j"])]
+    return root
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_two_passes_step_by_step(seed):
+    """Zero faces, lone faces, copies and grown roots."""
+    rows = made(seed, n=36, clips=6, labels=7)
+    rows += [(100 + k, 9 + k, *rows[k][2:]) for k in range(4)]  # copies: ties in distance
+    pairs = plain_candidates(rows)
+    tracks = pd.DataFrame([{"local_cluster": r[0], "has_face": r[4], "body": np.array(r[5]), "face": np.array(r[6])} for r in rows])
+    got = match.two_passes(pd.DataFrame(pairs), tracks, Config())
+    want = plain_passes(pairs, rows)
+    assert got == want and sum(a != b for a, b in want.items()) > 3
+
+
 @pytest.mark.parametrize("parents", [True, False])
 def test_components_match_as_one_group(spark, parents):
     """Matching each component on its own gives what matching all candidates together gives."""
@@ -204,3 +282,54 @@ def test_overlap_of_empty_and_touching_spans(spark):
     assert overlap.max_simultaneous(t).collect()[0]["max_simultaneous"] == 3
 
 
+
+
+def test_prefix_sums_over_ranges(spark):
+    rows = [(k, v) for k, v in zip([5, 5, 70, 71, 900, 20, 300], [1, 2, 3, 4, 5, 6, 7], strict=True)]
+    got = {r["k"]: r["before"] for r in before(spark.createDataFrame(rows, "k long, v long"), "k", F.col("v"), width=64).collect()}
+    assert got == {5: 0, 20: 3, 70: 9, 71: 12, 300: 16, 900: 23}
+
+
+def test_many_tracklets_in_one_clip():
+    """Memory grows with the tracklets, not with their pairs."""
+    rng = np.random.default_rng(2)
+    n, people = 6000, rng.normal(size=(40, 16))
+    who = rng.integers(40, size=n)
+    body = people[who] + rng.normal(size=(n, 16)) * 0.05
+    start = np.sort(rng.integers(10**6, size=n))
+    pdf = pd.DataFrame({"start_frame": start, "end_frame": start + 60, "has_face": True, "body": list(body), "face": list(body[:, ::-1])})
+    tracemalloc.start()
+    got = cluster.greedy(pdf, Config())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6 and len(set(zip(got.tolist(), who.tolist(), strict=True))) == len(set(got.tolist())) == 40
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nearest_point(seed):
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, 50, (300, 2)) / 2.0, rng.integers(0, (5, 90), (200, 2)) / 2.0
+    b = b[np.argsort(b[:, 0], kind="stable")]
+    want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)).min(axis=1)
+    assert distance.nearest(a, b, step=16, margin=2) == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("tile", [8, 8192])
+def test_grid_tiles_give_the_same(spark, monkeypatch, tile):
+    """Large groups in tiles of their own, small ones in shared tiles, stretches of a tile."""
+    rng = np.random.default_rng(1)
+    points = [(i, 0 if i < 60 else i % 7, rng.normal(size=2).tolist()) for i in range(100)]
+    df = spark.createDataFrame(points, "k long, g long, at array<double>")
+    monkeypatch.setattr(distance, "STEP", 5)
+    monkeypatch.setattr(distance.grid, "__kwdefaults__", distance.grid.__kwdefaults__ | {"tile": tile})
+    got = {(r["key"], r["other"]): r["nearest"] for r in distance.nearest_in_groups(df, "k", "g", "euclidean", "at").collect()}
+    want = {}
+    for k, g, x in points:
+        for _, o, y in points:
+            if o != g:
+                want[k, o] = min(want.get((k, o), np.inf), float(np.hypot(x[0] - y[0], x[1] - y[1])))
+    assert got == pytest.approx(want)
+    near = {(r["key"], r["rank"]): r["other"] for r in distance.neighbours(df, "k", 3, "at").collect()}
+    for k, _, x in points[::9]:
+        order = sorted((round(cos(x, y), 9), o) for o, _, y in points if o != k)
+        assert [near[k, r] for r in (1, 2, 3)] == [o for _, o in order[:3]]

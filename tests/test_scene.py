@@ -7,7 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from strandloom.operators import encoders, export, scene
-from strandloom.sources import tables
+from strandloom.sources import proxies, tables
 from strandloom.streaming import tracks as streaming
 
 NAMES = ["s", "s_max", "w", "w_max", "u", "u_max", "n", "c", "comb", "comb_max", "people"]
@@ -68,6 +68,24 @@ def test_catalogue_sinks(spark, tmp_path):
     assert (total["tracklets"], total["identities"]) == (15, 8)
 
 
+def test_catalogue_as_one_object(spark):
+    cat = spark.createDataFrame(KNOWN, "global_id long, clip_idx int, start_frame int, end_frame int")
+    one = json.loads(export.document(cat).toJSON().collect()[0])
+    assert one["summary"] == {"tracklets": 15, "identities": 8} and one["config"]["min_length"] == "30" and len(one["identities"]) == 8
+    assert one["identities"]["global_id_0"][1] == {"clip_idx": 1, "start_frame": 415, "end_frame": 456}
+    with pytest.raises(ValueError, match="more than 10"):
+        export.document(cat, most=10)
+
+
+def test_scene_results_sink(spark, sf_dir, tmp_path):
+    results = scene.results(proxies.frame_scores(spark, sf_dir), proxies.weapon_detections(spark, sf_dir))
+    export.write_scenes(results, f"file://{tmp_path}/scenes")
+    back = spark.read.json(f"file://{tmp_path}/scenes")
+    labels = {r["clip_id"]: (r["label"], r["category"]) for r in scene.scene_labels(proxies.frame_scores(spark, sf_dir), proxies.weapon_detections(spark, sf_dir)).collect()}
+    assert {r["clip_id"]: (r["result"]["label"], r["result"]["category"]) for r in back.collect()} == labels and len(labels) > 10
+    assert all(0 <= r["scores"]["weapon"]["mean"] <= r["scores"]["weapon"]["max"] for r in back.collect())
+
+
 def test_scene_summary_and_statistics(spark):
     rows = [(0, "crime", "SHOPLIFTING", 0.53), (1, "normal", "NO_CRIME", 0.0331), (2, "normal", "NO_CRIME", 0.024), (3, "crime", "GUN", 0.9), (4, "error", "ERROR", 0.0)]
     labels = spark.createDataFrame(rows, "clip_id int, label string, category string, confidence double")
@@ -88,6 +106,31 @@ def test_cached_table_is_made_once(spark, tmp_path):
     assert tables.cached(spark, path, make, fresh=True).count() == 2 and len(made) == 2
 
 
+def test_half_written_cache_is_made_again(spark, tmp_path):
+    path = tmp_path / "half"
+    spark.range(3).write.parquet(f"file://{path}")
+    (path / "_SUCCESS").unlink()
+    assert tables.cached(spark, f"file://{path}", lambda: spark.range(5)).count() == 5
+
+
+def test_scope_deletes_what_it_stored(spark):
+    outer = tables.stored(spark.range(4), "outer")
+    with tables.scope(spark):
+        inside = tables.stored(spark.range(2), "inside")
+        path, fs = tables._path(spark, tables.own_dir(spark))
+        assert inside.count() == 2 and fs.exists(path)
+    assert not fs.exists(path) and outer.count() == 4
+
+
+def test_no_local_folder_on_a_cluster():
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_dir(Session)
+
+
 def test_stored_tables_can_be_cleaned(spark):
     t = tables.stored(spark.range(5), "five")
     assert t.count() == 5
