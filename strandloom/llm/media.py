@@ -218,7 +218,8 @@ def media_features(media: DataFrame, column: str = "media") -> DataFrame:
 def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Digest of the stored form of each row's text: what was stored, what was read back, and the hash of its pixels.
 
-    Equal texts give equal values; repeated rows stay; a null text counts as empty; other columns play no part.
+    Equal texts give equal values; repeated rows and null keys stay; a null text counts as empty, a long one is stored
+    whole. An empty table gives an empty result; other columns play no part.
     """
     out = media_features(encode_texts(docs, key, text))
     return out.select(key, "n_bytes", F.col("payload.bytes").alias("payload_bytes"), F.col("payload.sha256").alias("payload_sha256"), F.col("payload.tail_crc32").alias("tail_crc32"), "media_bytes", "media_sha256", "feature")

@@ -417,7 +417,9 @@ def decode(tokens: DataFrame, model: str, key: str = "doc_id", ids: str = "ids")
 def encode_checked(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", *, dropout: float = 0.1, seed: int = 7, epoch: int = 0) -> DataFrame:
     """(key, n_tokens, lossless, ids): encode() with each row decoded again; lossless says that the text came back.
 
-    A null text has null ids, no tokens and counts as lossless; equal texts have equal ids; repeated rows stay.
+    A null text has null ids, no tokens and counts as lossless, an empty one has no ids; long texts are encoded whole.
+    Equal texts have equal ids in an epoch; repeated rows and null keys stay. An empty table gives an empty result; other
+    columns play no part.
     """
     sent = _sent(docs, model)
     drop = int(dropout * 2.0**64)

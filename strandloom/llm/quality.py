@@ -128,7 +128,8 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     Fitted on every labelled row whose crc32(key) mod 5 is not 0; labels that are null or neither 0 nor 1 are left
     out, a key labelled both ways counts for both. Null and empty texts have a score as any other; without any
-    labels the score is 0.5. A null key is not held out and has no label. Repeated rows keep their places.
+    labels the score is 0.5. A null key is not held out and has no label. Repeated rows stay, long texts are read whole,
+    an empty table gives an empty result; other columns play no part.
     """
 
     seen = measured(docs, key, text)
@@ -144,8 +145,9 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", *, label: str = "quality", cut: float = 0.3) -> DataFrame:
-    """The rows of docs that classify() accepts, each by its own text, with all columns.
+    """The rows of docs that classify() accepts, each by its own text, with all columns; repeated rows and null keys too.
 
+    Null, empty and long texts have a score as any other; without labels all rows stay; an empty table stays empty.
     Statistics are made twice, for the fit and for the filter: that costs less than a join, which would shuffle texts.
     """
     model = learned(measured(docs, key, text), labels, key, label)

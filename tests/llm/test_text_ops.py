@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -362,3 +364,68 @@ def test_language_of_odd_rows(spark):
     unknown = odd_docs(spark).withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language.identify(unknown).collect()} == {"und"}
     assert language.identify(empty(spark)).count() == 0
+
+
+# --- whole queries by brute force
+
+
+def plain_statistics(text):
+    raw = (text or "").encode()
+    words, n = raw.split(), len(raw)
+    count = lambda chars: sum(raw.count(bytes([c])) for c in chars)
+    share = lambda k, of, more, eps=2e-3: math.log(eps + k / (of + more))
+    triples = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    mean = (sum(map(len, words)) + 60) / (len(words) + 10)
+    spread = (sum((len(w) - mean) ** 2 for w in words) + 90) / (len(words) + 10)
+    top = max((words.count(w) for w in set(words)), default=0)
+    return [
+        *(share(count(c), n, 60) for c in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*+/<=>@\\^_`{}~", b".,;:", b"|", b"!", bytes(range(128, 256)))),
+        share(count(b"\n"), len(words), 10), math.log(mean), math.log(spread), math.log((len(set(words)) + 10) / (len(words) + 10)),
+        share(len(triples) - len(set(triples)), len(triples), 10, 2e-2), share(len(lines) - len(set(lines)), len(lines), 3, 0.1), share(top, len(words), 10), math.log(n + 60),
+    ]
+
+
+def test_quality_of_a_whole_table(spark, sf_dir):
+    """Statistics, fit and densities again by plain means."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    x = {r["doc_id"]: plain_statistics(r["text"]) for r in docs.collect()}
+    train = {(r["doc_id"], r["quality"]) for r in labels.collect() if r["quality"] in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    own = [np.array([x[i] for i, y in sorted(train) if y == k]) for k in (0, 1)]
+    n = [len(o) for o in own]
+    cov = [np.cov(o.T, bias=True) for o in own]
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / sum(n)
+    scale = np.diag(pooled)
+    density = []
+    for k in (0, 1):
+        c = 0.8 * cov[k] + 0.2 * pooled
+        c = 0.95 * c + 0.05 * np.diag(scale * (np.diag(c) / scale).mean()) + 1e-9 * np.diag(scale)
+        away = np.array(list(x.values())) - own[k].mean(axis=0)
+        density.append(math.log((n[k] + 1) / (sum(n) + 2)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,ij->i", away, np.linalg.solve(c, away.T).T))
+    want = dict(zip(x, 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700))), strict=True))
+    got = quality.classify(docs, labels).collect()
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, abs=1e-6)
+    assert all(r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+
+
+def test_languages_of_a_whole_table(spark, sf_dir):
+    """The same n-gram sets without a Bloom filter: but for chance hits nearly all predictions are equal."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "", r["lang"]) for r in docs.collect()]
+
+    def grams(text):
+        text = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        return [text[i : i + 3] for i in range(len(text) - 2) if text[i + 1] != " "]
+
+    counts = {}
+    for i, t, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts.setdefault(lang, Counter()).update(grams(t))
+    share = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    holds = {k: {g for g, s in own.items() if s >= 1e-4 and s >= 0.2 * max(o.get(g, 0) for o in share.values() if o.get(g, 0) >= 1e-4)} for k, own in share.items()}
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs).collect()}
+    same = 0
+    for i, t, _ in rows:
+        votes = {k: sum(g in holds[k] for g in grams(t)) for k in sorted(holds)}
+        same += got[i] == (max(votes, key=votes.get) if grams(t) else "und")
+    assert same >= 0.99 * len(rows)
