@@ -1,7 +1,8 @@
 """Exact top-k by inner product with MaxScore over shards.
 
 A dimension is a term. In a shard a query's terms are ordered by the range of what they can add; the bound of a term
-is the most it adds to any vector of the shard. Against the k-th score known so far, the trailing terms whose bounds
+is the most it adds to any vector of the shard; several terms together add no more than their length times that of
+the longest vector. Against the k-th score known so far, the trailing terms whose bounds
 together stay below it are non-essential: a vector that the essential terms leave too low can't come in. Vectors are
 taken in stretches: essential terms are traversed for all of a stretch, the others only for vectors that still compete,
 a few terms at a time; then the k-th score is raised, and with it more terms become non-essential. A first search of a
@@ -46,14 +47,18 @@ def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def top(query: np.ndarray, own: int, vectors: np.ndarray, ids: np.ndarray, high: np.ndarray, low: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+def top(query: np.ndarray, own: int, vectors: np.ndarray, ids: np.ndarray, high: np.ndarray, low: np.ndarray, k: int, floor: float = -np.inf, longest: float = np.inf) -> tuple[np.ndarray, np.ndarray, int]:
     """(ids, scores, components looked at) of the k best columns of vectors (terms, vectors), ties to smaller ids.
 
-    ids are sorted; none below the score `floor` need be found.
+    ids are sorted; none below the score `floor` need be found; no column is longer than `longest`.
     """
     most, least = np.maximum(query * high, query * low), np.minimum(query * high, query * low)
     order = np.argsort(least - most, kind="stable")
-    rest = np.concatenate((np.cumsum(most[order][::-1])[::-1], [0]))  # the most that terms from each on can add
+    # the most that terms from each on can add: their own bounds, or what a vector of that length can give
+    rest = np.concatenate((np.cumsum(most[order][::-1])[::-1], [0]))
+    if longest < np.inf:
+        length = np.sqrt(np.cumsum(query[order][::-1].astype(np.float64) ** 2))[::-1]
+        rest = np.minimum(rest, np.concatenate((length * longest * (1 + 1e-9) + 1, [0])))
     found, score, looked = np.zeros(0, np.int64), np.zeros(0, query.dtype), 0
     for start in range(0, vectors.shape[1], STRETCH):
         essential = int(np.argmax(rest < floor)) if (rest < floor).any() else len(order)
@@ -128,9 +133,10 @@ def met(queries: DataFrame, vectors: DataFrame, blocks: int, k: int) -> DataFram
             if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * width < 2**52:
                 x, q = x.astype(np.float64), q.astype(np.float64)  # integers this small are exact
             high, low = x.max(axis=1), x.min(axis=1)
+            longest = float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=0).max()))
             floors = [-np.inf if f is None else f for f in own["floor"].to_pylist()]
             for name, row, floor in zip(own["id"].to_numpy(), q, floors, strict=True):
-                got, score, _ = top(row, name, x, ids, high, low, k, floor)
+                got, score, _ = top(row, name, x, ids, high, low, k, floor, longest)
                 out.append((np.full(len(got), name), got, score.astype(np.int64)))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
         return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})

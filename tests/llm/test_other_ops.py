@@ -238,7 +238,9 @@ def test_bounds_save_work():
     want = np.lexsort((ids, -every))[:10]
     assert got.tolist() == want.tolist() and score.tolist() == every[want].tolist()
     assert looked < 0.6 * vectors.size
-    assert maxscore.top(query, -1, vectors, ids, vectors.max(axis=1), vectors.min(axis=1), 10, float(every[want[-1]]))[2] < looked
+    longest = float(np.sqrt((vectors**2).sum(axis=0).max()))
+    again = maxscore.top(query, -1, vectors, ids, vectors.max(axis=1), vectors.min(axis=1), 10, float(every[want[-1]]), longest)
+    assert again[0].tolist() == want.tolist() and again[2] < looked
 
 
 def test_top_k_of_embeddings_matches_sql(spark, sf_dir):
