@@ -30,7 +30,7 @@ LONGS = 16
 #: Proposals of a text in the first round, and by how much they grow in a round.
 FIRST, GROWTH = 2, 4
 #: Shingles in the texts that a task compares at once, about.
-PACK = 1 << 17
+PACK = 1 << 20
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _MINS = (np.random.default_rng(1).integers(0, 1 << 64, (2, BANDS * DEPTH, 1), np.uint64, False)) | np.uint64(1)
 
