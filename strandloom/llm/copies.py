@@ -4,21 +4,26 @@ At a similarity of 0.8 two fingerprints differ in about 10 of 64 bits, so the bu
 the bits surely agrees that a trie could start from. Tries start from bands of least shingles instead: a text has BANDS
 bands of DEPTH min-hashes each over its set of word shingles, and texts with a band in common stand in one trie. In a
 trie node pairs are traversed together with the wide budget; pairs that are left must also have like lengths and parity
-maps that allow the similarity. Each text proposes its few nearest ones of another component; proposals are confirmed
-on the texts, confirmed ones are contracted, and rounds go on, with more proposals a text each time, until no text holds
-any back. So a group of m copies costs about m confirmations, and no pair below the budget is left out.
+maps that allow the similarity. Every text first meets the least one of its tries, which folds most groups at once.
+Then each text proposes its few nearest ones of another component; proposals are confirmed on the sets of shingles,
+which are made once, confirmed ones are contracted, and rounds go on, with more proposals a text each time, until no
+text holds any back. So a group of m copies costs about m confirmations, and no pair below the budget is left out.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.graph import components
-from .common import join_checked, map_text, slices, stored
+from .common import join_checked, map_text, stored
 from .simhash import BITS, cells, tiled, trie_pairs
 
 #: Bands and min-hashes in each. Texts of similarity s miss all bands with probability (1 - s^DEPTH)^BANDS: 4e-5 at 0.8.
@@ -28,7 +33,7 @@ BUDGET = 24
 #: Longs of a text's parity map: each shingle turns one bit over, so two maps differ in no more bits than the sets in shingles.
 LONGS = 16
 #: Proposals of a text in the first round, and by how much they grow in a round.
-FIRST, GROWTH = 2, 4
+FIRST, GROWTH = 2, 8
 #: Shingles in the texts that a task compares at once, about.
 PACK = 1 << 20
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -88,10 +93,11 @@ def sketches(texts: DataFrame, words: int) -> DataFrame:
     return map_text(texts, "id", "text", made, "fp long, n int, bands array<long>, map array<long>")
 
 
-def proposals(rows: DataFrame, most: int, least: float, budget: int) -> DataFrame:
-    """(u, v, node, size, more): for each text of a trie its `most` likeliest copies of another label, and the trie's middle.
+def proposals(rows: DataFrame, most: int, pairs_of, allowed) -> DataFrame:
+    """(u, v, node, size, more): for each text of a node its `most` likeliest copies of another label, and the node's middle.
 
-    rows: (fp, trie, node, left, right, tile, id, label, n, map). more: some were held back.
+    rows: (fp, trie, node, left, right, tile, id, label, n, map). pairs_of(bits, pairs) yields arrays of positions, as
+    trie_pairs() does; allowed(n, maps, a, b) gives (a, b, apart) of the pairs that may be links. more: some were held back.
     """
 
     def go(_, bits, values, pairs, cell):
@@ -100,14 +106,9 @@ def proposals(rows: DataFrame, most: int, least: float, budget: int) -> DataFram
         kept = [np.zeros(0, np.int64)] * 3
         held = np.zeros(len(fp), bool)
 
-        def allowed(a, b):
-            """The pairs that may be as similar as least, and how far apart their maps are."""
-            ok = (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-6)
-            a, b = a[ok], b[ok]
-            both = n[a] + n[b]
-            apart = np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int64)
-            ok = apart <= both - 2 * np.ceil(least / (1 + least) * both - 1e-6)
-            return a[ok], b[ok], apart[ok]
+        def unlike(a, b):
+            ok = label[a] != label[b]
+            return allowed(n, maps, a[ok], b[ok])
 
         def nearest(a, b, apart):
             order = np.lexsort((ids[b], apart, a))
@@ -117,16 +118,16 @@ def proposals(rows: DataFrame, most: int, least: float, budget: int) -> DataFram
             held[a[place >= most]] = True
             return [x[place < most] for x in (a, b, apart)]
 
-        for a, b in trie_pairs(bits, pairs, 0, budget):
-            a, b, apart = allowed(a, b)
+        for a, b in pairs_of(bits, pairs):
+            a, b, apart = unlike(a, b)
             kept = [np.concatenate(x) for x in zip(kept, (a, b, apart), (b, a, apart), strict=True)]
             if len(kept[0]) > 4 * most * len(fp) + (1 << 16):
                 kept = nearest(*kept)
         a, b, _ = nearest(*kept)
-        if held.any():  # only then the middle of a trie saves work
+        if held.any():  # only then the middle of a node saves work
             middle, row = middles(fp, cell)
             ok = row != middle
-            x, y, _ = allowed(row[ok], middle[ok])
+            x, y, _ = unlike(row[ok], middle[ok])
             a, b = np.concatenate((a, x)), np.concatenate((b, y))
         u, v = ids[a], ids[b]
         cols = (np.minimum(u, v), np.maximum(u, v), node[a], (n[a] + n[b]).astype(np.int64), held[a] | held[b])
@@ -135,6 +136,16 @@ def proposals(rows: DataFrame, most: int, least: float, budget: int) -> DataFram
     return cells(rows, ("node", "id", "label", "n", "map"), go, "u long, v long, node long, size long, more boolean")
 
 
+def apart(maps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which the maps of rows a and b differ."""
+    return np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int64)
+
+
+def bits_apart(a: str, b: str, longs: int) -> Column:
+    """The same of two columns of arrays of longs."""
+    return functools.reduce(operator.add, [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(longs)])
+
+
 def middles(fp: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(middle, row): for each row that of its cell whose fingerprint is nearest to the cell's majority bits."""
     start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
@@ -147,66 +158,119 @@ def middles(fp: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[start][of], np.arange(len(fp))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, least: float, star: bool = False) -> DataFrame:
     """(u, v) of the stored pairs (u, v, node, size) whose sets of shingles are as similar as least.
 
-    Pairs go in packs of bounded size, those of a trie together, so that a text goes to few packs however many pairs
-    it is in; a pack is one comparison task, which has each of its texts once.
+    Pairs go in packs of bounded size, those of a node together. The pairs of a large node are cut by blocks of u and
+    blocks of v (star: all pairs of a node have the same u, so by v alone): a set goes to about twice the root of the
+    node's parts, however many pairs it is in. A pack is one comparison task, which has each of its sets once.
     """
     total = pairs.agg(F.sum("size")).first()[0] or 0
     packs = max(1, -(-total // PACK))
-    tries = stored(pairs.groupBy("node").agg(F.ceil(F.sum("size") / PACK).alias("parts")).where("parts > 1"), "parts")
-    part = F.pmod(F.xxhash64("u", "v"), F.coalesce("parts", F.lit(1)))
-    packed = join_checked(pairs, tries, "node", "left").withColumn("pack", F.pmod(F.xxhash64("node", part), F.lit(packs)).cast("int"))
+    large = stored(pairs.groupBy("node").agg(F.ceil(F.sum("size") / PACK).alias("parts")).where("parts > 1"), "parts")
+    block = lambda c, n: F.pmod(F.xxhash64(c), n)
+    parts = F.coalesce("parts", F.lit(1))
+    side = F.ceil(F.sqrt(parts)).cast("long")
+    part = block("v", parts) if star else block("u", side) * side + block("v", side)
+    packed = join_checked(pairs, large, "node", "left").withColumn("pack", F.pmod(F.xxhash64("node", part), F.lit(packs)).cast("int"))
     packed = stored(packed.select("pack", "u", "v"), "packed")
-    needed = stored(packed.select("pack", F.explode(F.array("u", "v")).alias("id")).distinct().groupBy("id").agg(F.collect_list("pack").alias("packs")), "needed")
-    dealt = join_checked(texts, needed, "id").dropDuplicates(["id"]).select(F.explode("packs").alias("pack"), "id", "text")
+    needed = stored(packed.select("pack", F.explode(F.array("u", "v")).alias("id")).distinct(), "needed")
+    dealt = join_checked(sets, needed, "id").select("pack", "id", "set")
 
     def compare(p: pa.Table, t: pa.Table) -> pa.Table:
-        sets = {}
+        own = {}
         for batch in t.to_batches():
-            for some in slices(batch, 2):
-                for i, text in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
-                    sets[i] = shingles(text, words)
-        u, v = p["u"].to_pylist(), p["v"].to_pylist()
+            ends = batch["set"].offsets.to_numpy()
+            values = batch["set"].values.to_numpy()
+            for i, a, b in zip(batch["id"].to_pylist(), ends[:-1], ends[1:], strict=True):
+                own[i] = values[a:b]
         ok = []
-        for a, b in zip(u, v, strict=True):
-            x, y = sets[a], sets[b]
-            shared = len(np.intersect1d(x, y, assume_unique=True))
+        for a, b in zip(p["u"].to_pylist(), p["v"].to_pylist(), strict=True):
+            x, y = own[a], own[b]
+            if len(x) > len(y):
+                x, y = y, x
+            shared = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
             ok.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
-        return pa.table({"u": u, "v": v}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())])).filter(pa.array(ok, pa.bool_()))
+        return pa.table({"u": p["u"], "v": p["v"]}).filter(pa.array(ok, pa.bool_()))
 
     return packed.groupBy("pack").cogroup(dealt.groupBy("pack")).applyInArrow(compare, "u long, v long")
 
 
-def links(docs: DataFrame, text: str = "text", words: int = 5, least: float = 0.8, budget: int = BUDGET) -> DataFrame:
-    """(id, label), stored: components of the texts, named by the hash of their bytes, that stand in any link."""
-    texts = identified(docs, text)
-    made = stored(sketches(texts, words), "sketches")
-    bands = made.select("id", F.explode("bands").alias("node"))
-    shared = stored(bands.groupBy("node").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("node"), "shared")
-    met = stored(join_checked(bands, shared, "node").distinct(), "met")
-    own = stored(join_checked(made, stored(met.select("id").distinct(), "meeting"), "id", "left_semi").select("id", "fp", "n", "map").dropDuplicates(["id"]), "own")
-    label = stored(own.select("id", F.col("id").alias("label")).limit(0), "labels")
-    edges, tested = label.select(F.col("id").alias("u"), F.col("label").alias("v")), None
-    most = FIRST
+def shingle_sets(texts: DataFrame, meeting: DataFrame, words: int) -> DataFrame:
+    """(id, set): the sorted shingles of each text (id, text) whose id is in the stored table meeting, once."""
+
+    def made(_, rows):
+        sets = [shingles(t, words).view(np.int64) for t in rows]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.sort(x) for x in sets])))]
+
+    return map_text(join_checked(texts, meeting, "id", "left_semi").dropDuplicates(["id"]), "id", "text", made, "set array<long>")
+
+
+def meeting(marks: DataFrame) -> DataFrame:
+    """(id, node, hub), stored: the nodes in which unlike ids of marks (id, bands) meet, and the least id of each."""
+    bands = marks.select("id", F.explode("bands").alias("node"))
+    shared = stored(bands.groupBy("node").agg(F.min("id").alias("hub"), F.max("id").alias("b")).where("hub < b").select("node", "hub"), "shared")
+    return stored(join_checked(bands, shared, "node").distinct(), "met")
+
+
+def linked(met: DataFrame, own: DataFrame, sets: DataFrame, least: float, near: Callable[[str, str], Column], propose: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """(id, label), stored: components of the ids that stand in any link, by the stored tables met, own (id, fp, n, map) and sets.
+
+    First each id meets the least id of its nodes, if near(u, v), a condition over two rows of own, allows a link; then
+    rounds of propose(rows, most), as proposals() makes them, go over the nodes that still hold unlike labels.
+    """
+    side = lambda c: own.select(F.col("id").alias(c), F.struct("fp", "n", "map").alias(f"own_{c}"))
+    stars = stored(met.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct(), "stars")
+    pairs = join_checked(join_checked(stars, side("v"), "v"), side("u"), "u").where(near("own_u", "own_v"))
+    pairs = stored(pairs.select("u", "v", F.col("u").alias("node"), (F.col("own_u.n") + F.col("own_v.n")).cast("long").alias("size")), "pairs")
+    edges = stored(confirmed(pairs, sets, least, star=True), "links")
+    tested, most = pairs.select("u", "v"), FIRST
     while True:
-        rows = join_checked(met, label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        label = stored(components(edges).select(F.col("node").alias("id"), F.col("component").alias("label")), "labels")
+        rows = join_checked(met.select("id", "node"), label, "id", "left").withColumn("label", F.coalesce("label", "id"))
         open_ = stored(rows.groupBy("node").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("node"), "open")
         rows = stored(join_checked(rows, open_, "node", "left_semi").select("id", "label", "node"), "rows")
-        rows = join_checked(rows, own, "id").withColumn("trie", F.lit(0))
-        found = stored(proposals(tiled(rows, "id"), most, least, budget), "proposals")
+        found = stored(propose(join_checked(rows, own, "id").withColumn("trie", F.lit(0)), most), "proposals")
         pairs = found.groupBy("u", "v").agg(F.min("node").alias("node"), F.first("size").alias("size"))
-        pairs = stored(pairs if tested is None else join_checked(pairs, tested, ["u", "v"], "left_anti"), "pairs")
-        edges = stored(edges.unionByName(confirmed(pairs, texts, words, least)), "links")
-        label = stored(components(edges).select(F.col("node").alias("id"), F.col("component").alias("label")), "labels")
+        pairs = stored(join_checked(pairs, tested, ["u", "v"], "left_anti"), "pairs")
+        new = stored(confirmed(pairs, sets, least), "links")
+        if not new.isEmpty():
+            edges = stored(edges.unionByName(new), "links")
         if found.where("more").isEmpty():
-            return label
-        now = pairs.select("u", "v")
-        tested = now if tested is None else stored(tested.unionByName(now), "tested")
+            return label if new.isEmpty() else stored(components(edges).select(F.col("node").alias("id"), F.col("component").alias("label")), "labels")
+        tested = stored(tested.unionByName(pairs.select("u", "v")), "tested")
         most *= GROWTH
 
 
+def links(docs: DataFrame, text: str = "text", words: int = 5, least: float = 0.8, budget: int = BUDGET) -> DataFrame:
+    """(id, label), stored: components of the texts, named by the hash of their bytes, that stand in any link."""
+    texts = identified(docs, text)
+    made = stored(sketches(texts, words), "sketches")
+    met = meeting(made)
+    ids = stored(met.select("id").distinct(), "meeting")
+    own = stored(join_checked(made, ids, "id", "left_semi").select("id", "fp", "n", "map").dropDuplicates(["id"]), "own")
+    sets = stored(shingle_sets(texts, ids, words), "sets")
+    # sets as similar as least differ in this share of their shingles at most, and their maps in no more bits
+    most_apart = lambda both: both - 2 * np.ceil(least / (1 + least) * both - 1e-6)
+
+    def allowed(n, maps, a, b):
+        ok = np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-6
+        a, b = a[ok], b[ok]
+        far = apart(maps, a, b)
+        ok = far <= most_apart(n[a] + n[b])
+        return a[ok], b[ok], far[ok]
+
+    def near(u, v):
+        n, m = F.col(f"{u}.n"), F.col(f"{v}.n")
+        close = F.bit_count(F.col(f"{u}.fp").bitwiseXOR(F.col(f"{v}.fp"))) <= budget
+        both = n + m
+        return close & (F.least(n, m) >= least * F.greatest(n, m) - 1e-6) & (bits_apart(f"{u}.map", f"{v}.map", LONGS) <= both - 2 * F.ceil(least / (1 + least) * both - 1e-6))
+
+    pairs_of = lambda bits, pairs: trie_pairs(bits, pairs, 0, budget)
+    return linked(met, own, sets, least, near, lambda rows, most: proposals(tiled(rows, "id"), most, pairs_of, allowed))
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, budget: int = BUDGET) -> DataFrame:
     """(key, component_id) for each row of docs: the least key of the rows that chains of near copies link (nulls aside).
 
