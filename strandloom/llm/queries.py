@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, language, maxscore, media, mixing, pieces, pii, quality, sharding, simhash
+from . import html, language, maxscore, media, mixing, oddsketch, pieces, pii, quality, runs, sharding, simhash
 from .common import table
 
 #: SentencePiece model file of the queries; the operator takes any path.
@@ -56,7 +56,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_checked(table(spark, sf_dir, "documents"), MODEL)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_pii, op3_mixing, op4_topk, op5_sharding, op6_simhash, op7_quality, op8_media, op9_langid, op10_sentencepiece)}
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic(runs.repeated_tail(table(spark, sf_dir, "documents"))))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_pii, op3_mixing, op4_topk, op5_sharding, op6_simhash, op7_quality, op8_media, op9_langid, op10_sentencepiece, op11_runs, op12_minhash)}
 
 TOPK_SQL = """
 WITH v AS (
@@ -72,4 +80,30 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.oracle_sql(), "op4_topk": TOPK_SQL}
+#: Texts with equal sets are one node of the links; components by the least node that chains reach.
+MINHASH_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), s AS (
+    SELECT r, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))) END AS shingles
+    FROM w
+), t AS (
+    SELECT min(r) AS node, min(doc_id) AS least, shingles, len(shingles) AS n FROM s WHERE len(shingles) > 0 GROUP BY shingles
+), x AS (
+    SELECT node, n, unnest(shingles) AS shingle FROM t
+), e AS (
+    SELECT a.node AS u, b.node AS v FROM x a JOIN x b ON a.shingle = b.shingle AND a.node <> b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+    GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach(u, v) AS (
+    SELECT node, node FROM t UNION SELECT reach.u, e.v FROM reach JOIN e ON reach.v = e.u
+), c AS (
+    SELECT reach.u AS node, min(t.least) AS component_id FROM reach JOIN t ON t.node = reach.v GROUP BY reach.u
+)
+SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, CASE WHEN len(s.shingles) = 0 THEN s.doc_id ELSE c.component_id END AS component_id,
+    coalesce(s.doc_id = CASE WHEN len(s.shingles) = 0 THEN s.doc_id ELSE c.component_id END, false) AS kept
+FROM s LEFT JOIN t ON t.shingles = s.shingles LEFT JOIN c ON c.node = t.node
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.oracle_sql(), "op4_topk": TOPK_SQL, "op12_minhash": MINHASH_SQL}
