@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, language, maxscore, media, mixing, oddsketch, pieces, pii, quality, runs, sharding, simhash
+from . import dialogue, html, language, maxscore, media, mixing, oddsketch, pieces, pii, quality, runs, sharding, simhash
 from .common import table
 
 #: SentencePiece model file of the queries; the operator takes any path.
@@ -64,7 +64,11 @@ def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oddsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_pii, op3_mixing, op4_topk, op5_sharding, op6_simhash, op7_quality, op8_media, op9_langid, op10_sentencepiece, op11_runs, op12_minhash)}
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.report_damaged(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_pii, op3_mixing, op4_topk, op5_sharding, op6_simhash, op7_quality, op8_media, op9_langid, op10_sentencepiece, op11_runs, op12_minhash, op13_conversations)}
 
 TOPK_SQL = """
 WITH v AS (
