@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.graph import before, components, dense
+from ..functions.graph import before, dense
 from ..functions.vectors import cosine_distance
 from ..sources.tables import stored
+from . import matching
 from .distance import best_between, units, weighted_block
 from .features import length_mean
 
@@ -34,7 +35,7 @@ def candidates(tracks: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def two_passes(pairs: pd.DataFrame, tracks: pd.DataFrame, config: Config) -> dict[int, int]:
-    """Parent of each cluster of one component of the candidate graph. Claims and locks never reach beyond it."""
+    """Parent of each cluster of candidates that fit in memory, step by step; matched() gives the same in rounds."""
     pairs = pairs.sort_values(["i", "j"]).reset_index(drop=True)
     parent = {c: c for c in [*pairs["i"], *pairs["j"]]}
     members = {c: [c] for c in parent}
@@ -93,17 +94,9 @@ def two_passes(pairs: pd.DataFrame, tracks: pd.DataFrame, config: Config) -> dic
 
 
 def matched(tracks: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """local_cluster, final_id after both passes; each component of the candidate graph is matched on its own."""
+    """local_cluster, final_id after both passes, which go in rounds of joins however large a component of the candidates is."""
     pairs = stored(candidates(tracks, config), "candidates")
-    of = stored(components(pairs.select(F.col("i").alias("u"), F.col("j").alias("v"))), "components")
-    own = tracks.select(F.col("local_cluster").cast("long").alias("local_cluster"), "has_face", "body", "face").join(of.select(F.col("node").alias("local_cluster"), (F.col("component") + 0).alias("component")), "local_cluster")
-    left = pairs.join(of.select(F.col("node").alias("i"), "component"), "i")
-
-    def run(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        parent = two_passes(p, t, config) if len(p) else {}
-        return pd.DataFrame({"local_cluster": list(parent), "final_id": list(parent.values())}, dtype="int64")
-
-    got = left.groupBy("component").cogroup(own.groupBy("component")).applyInPandas(run, "local_cluster long, final_id long")
+    got = matching.parents(pairs, tracks, config).select(F.col("cluster").alias("local_cluster"), F.col("parent").alias("final_id"))
     every = tracks.select(F.col("local_cluster").cast("long").alias("local_cluster")).distinct()
     return every.join(got, "local_cluster", "left").select("local_cluster", F.coalesce("final_id", "local_cluster").alias("final_id"))
 
