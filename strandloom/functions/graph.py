@@ -17,17 +17,21 @@ def components(edges: DataFrame) -> DataFrame:
     Every node points at its least neighbour, pointers are followed twice, edges are renamed by them and those inside
     a tree dropped, until none is left: the number of nodes at least halves in a round.
     """
-    edges, labels = stored(edges.select("u", "v").where("u <> v"), "edges"), None
+    edges, steps = stored(edges.select("u", "v").where("u <> v"), "edges"), []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("p")), "near")
-        step = lambda x: x.join(near.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p").select("u", F.col("pp").alias("p"))
+        step = lambda x, near=near: x.join(near.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p").select("u", F.col("pp").alias("p"))
         to = stored(step(step(step(near))), "to")
+        steps.append(to)
         a, b = to.select("u", F.col("p").alias("pu")), to.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         edges = stored(edges.join(a, "u").join(b, "v").where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct(), "edges")
-        up = to.select(F.col("u").alias("component"), F.col("p").alias("up"))
-        labels = to.select(F.col("u").alias("node"), F.col("p").alias("component")) if labels is None else stored(labels.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
-    return labels if labels is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    if not steps:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    labels = steps[0].select(F.col("u").alias("node"), F.col("p").alias("component"))
+    for to in steps[1:]:  # one join a round, and rounds are as many as the logarithm of the nodes
+        labels = labels.join(to.select(F.col("u").alias("component"), F.col("p").alias("up")), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    return labels
 
 
 def before(rows: DataFrame, key: str, value: Column, width: int = RANGE) -> DataFrame:

@@ -92,10 +92,14 @@ def first_pass(pairs: DataFrame) -> DataFrame:
     return stored(locally_dominant(pairs.where(~(F.col("face_i") & F.col("face_j"))).select("i", "j", order)), "first_pass")
 
 
-def _over_members(events: DataFrame, members: DataFrame, own: DataFrame, config: Config) -> DataFrame:
-    """(j, near, faced, body): the least distances of each event (i, j) over the members of both its clusters; j names it."""
-    side = lambda s, m: members.select(F.col("root").alias(s), F.col("cluster").alias(m))
-    asked = stored(events.select("i", "j").join(side("i", "a"), "i").join(side("j", "b"), "j").select("i", "j", "a", "b"), "asked")
+def _asked(events: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(i, j, a, b): events (i, j) with left's members of i and right's members of j."""
+    side = lambda table, s, m: table.select(F.col("root").alias(s), F.col("cluster").alias(m))
+    return events.select("i", "j").join(side(left, "i", "a"), "i").join(side(right, "j", "b"), "j").select("i", "j", "a", "b")
+
+
+def _nearest(asked: DataFrame, own: DataFrame, config: Config) -> DataFrame:
+    """(i, j, near, faced, body): the least distances of each event over the pairs (a, b) asked for it."""
     return asked.join(between(asked, own, config), ["a", "b"]).groupBy("i", "j").agg(F.min("distance").alias("near"), F.min("faced").alias("faced"), F.min("body").alias("body"))
 
 
@@ -111,11 +115,11 @@ def events(pairs: DataFrame, partners: DataFrame, own: DataFrame, config: Config
     open_ = open_.join(flag("i"), "i", "left").join(flag("j"), "j", "left").where("locked_i IS NULL OR locked_j IS NULL")
     open_ = stored(open_.select("i", "j", "clip_i", "clip_j", "threshold", F.round("distance", DIGITS).alias("distance"), F.round("body_sim", DIGITS).alias("similar"), (F.col("locked_i").isNotNull() | F.col("locked_j").isNotNull()).alias("grown")), "open")
     members = members_of(open_, partners)
-    seen = _over_members(open_.where("grown"), members, own, config)
+    seen = _nearest(_asked(open_.where("grown"), members, members), own, config)
     open_ = open_.join(seen.select("i", "j", F.coalesce("faced", "near").alias("again")), ["i", "j"], "left").withColumn("distance", F.coalesce("again", "distance")).drop("again")
     best = open_.groupBy("j").agg(F.min(F.struct("distance", "i", "clip_i", "clip_j", "threshold", "similar", "grown")).alias("e"), F.min("i").alias("first"))
     best = stored(best.select(F.struct(F.col("e.distance").alias("d"), "first", "j").alias("rank"), "e.*", "j"), "best")
-    all_ = _over_members(best, members, own, config)
+    all_ = _nearest(_asked(best, members, members), own, config)
     return stored(best.join(all_.drop("faced"), ["i", "j"]), "events")
 
 
@@ -131,7 +135,7 @@ def second_pass(pending: DataFrame, members: DataFrame, own: DataFrame, config:
     An event is refused if one of its clusters was taken, if its source has claimed the target's clip or the target
     the source's, or by distance and similarity; a cluster that has grown is measured over all members.
     """
-    accepted = None
+    accepted, rounds = None, 0
     while not pending.isEmpty():
         fits = F.when(F.col("grown"), (F.col("near") < F.col("threshold")) & (F.round(1 - F.col("body"), DIGITS) >= SIMILAR)).otherwise((F.col("distance") < F.col("threshold")) & (F.col("similar") >= SIMILAR))
         judged = pending.withColumn("fits", fits)
@@ -148,30 +152,19 @@ def second_pass(pending: DataFrame, members: DataFrame, own: DataFrame, config:
         rest = rest.join(gone, "j", "left_anti").join(gone.withColumnRenamed("j", "i"), "i", "left_anti")
         rest = rest.join(claims, (F.col("i") == F.col("c")) & (F.col("clip_j") == F.col("clip")), "left_anti").join(claims, (F.col("j") == F.col("c")) & (F.col("clip_i") == F.col("clip")), "left_anti")
         accepted = new.select("i", "j") if accepted is None else accepted.unionByName(new.select("i", "j"))
-        grew = new.select(F.col("i").alias("root")).distinct()
-        at = lambda s, grew=grew: grew.select(F.col("root").alias(s), F.lit(True).alias(f"grew_{s}"))
-        rest = stored(rest.join(at("i"), "i", "left").join(at("j"), "j", "left").withColumn("more", F.col("grew_i").isNotNull() | F.col("grew_j").isNotNull()).drop("grew_i", "grew_j"), "rest")
-        more = rest.where("more")
-        if not more.isEmpty():
-            added = new.select(F.col("i").alias("root"), F.col("j").alias("cluster"))
-            members = stored(members.unionByName(added), "members")
-            seen = _measured(more, members, added, own, config)
-            rest = rest.join(seen, ["i", "j"], "left").withColumns({"near": F.least("near", "near_now"), "body": F.least("body", "body_now"), "grown": F.col("grown") | F.col("more")}).drop("near_now", "body_now")
-            rest = stored(rest, "rest")
-        pending = rest.drop("more")
+        rounds += 1
+        if rounds % 16 == 0:
+            accepted = stored(accepted, "accepted")  # so that the plan stays short
+        added = new.select(F.col("i").alias("root"), F.col("j").alias("cluster"))
+        every = members.unionByName(accepted.select(F.col("i").alias("root"), F.col("j").alias("cluster")))
+        rest = stored(rest, "rest")
+        asked = stored(_asked(rest, added, every).unionByName(_asked(rest, every, added)).distinct(), "asked")
+        seen = _nearest(asked, own, config).select("i", "j", F.col("near").alias("near_now"), F.col("body").alias("body_now"))
+        rest = rest.join(seen, ["i", "j"], "left").withColumns({"near": F.least("near", "near_now"), "body": F.least("body", "body_now"), "grown": F.col("grown") | F.col("near_now").isNotNull()})
+        pending = stored(rest.drop("near_now", "body_now"), "pending")
     return accepted if accepted is not None else pending.select("i", "j")
 
 
-def _measured(more: DataFrame, members: DataFrame, added: DataFrame, own: DataFrame, config: Config) -> DataFrame:
-    """(i, j, near_now, body_now) of events: the least distances between what one side has just got and all of the other."""
-    side = lambda table, s, m: table.select(F.col("root").alias(s), F.col("cluster").alias(m))
-    ends = more.select("i", "j")
-    asked = ends.join(side(added, "i", "a"), "i").join(side(members, "j", "b"), "j").select("i", "j", "a", "b")
-    asked = asked.unionByName(ends.join(side(members, "i", "a"), "i").join(side(added, "j", "b"), "j").select("i", "j", "a", "b"))
-    asked = stored(asked.distinct(), "asked")
-    return asked.join(between(asked, own, config), ["a", "b"]).groupBy("i", "j").agg(F.min("distance").alias("near_now"), F.min("body").alias("body_now"))
-
-
 def parents(pairs: DataFrame, tracks: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(cluster, parent), stored, of the clusters that either pass gave to another one; pairs: stored candidates."""
     partners = first_pass(pairs)

@@ -55,8 +55,7 @@ z AS (SELECT clip_idx, arg_max(own, i) AS own FROM r GROUP BY clip_idx),
 {_NUMBERED.format(name='cluster')}"""
 
 _OVER = O.OVERLAP
-GREEDY = f"""WITH RECURSIVE {O.tracklets(0.45)},
-l AS (SELECT *, end_frame - start_frame AS len, {O.norm('body')} AS nb, {O.norm('face')} AS nf FROM trk),
+_GREEDY = f"""l AS (SELECT *, end_frame - start_frame AS len, {O.norm('body')} AS nb, {O.norm('face')} AS nf FROM trk),
 p0 AS (
     SELECT a.clip_idx, b.ord AS i, a.ord AS j, {O.dot('a.body', 'b.body')} / (a.nb * b.nb) AS sim, {O.dot('a.face', 'b.face')} / nullif(a.nf * b.nf, 0) AS fsim, {O.RATIO} AS o, {_OVER} AS ov, least(a.len, b.len) AS short,
         CASE WHEN least(a.len, b.len) > 0 THEN greatest(a.len, b.len)::DOUBLE / least(a.len, b.len) ELSE 'inf'::DOUBLE END AS lr, a.has_face AND b.has_face AS ff
@@ -88,6 +87,7 @@ r AS (
 ),
 z AS (SELECT clip_idx, arg_max(own, i) AS own FROM r GROUP BY clip_idx),
 {_NUMBERED.format(name='local_cluster')}"""
+GREEDY = f"WITH RECURSIVE {O.tracklets(0.45)},\n{_GREEDY}"
 
 REPRESENTATIVES = f"""WITH RECURSIVE {O.tracklets(0.45)},
 o AS (SELECT clip_idx, track_id, quality, list_transform(body, lambda x: x / (n + 1e-8)) AS x, row_number() OVER (PARTITION BY clip_idx ORDER BY track_id) AS p, row_number() OVER (PARTITION BY clip_idx ORDER BY quality DESC, track_id) AS q, count(*) OVER (PARTITION BY clip_idx) AS size FROM (SELECT *, {O.norm('body')} AS n FROM trk)),
@@ -104,3 +104,62 @@ r AS (
 ),
 z AS (SELECT clip_idx, arg_max(picked, len(picked)) AS picked FROM r GROUP BY clip_idx)
 SELECT o.clip_idx, track_id FROM o JOIN c USING (clip_idx) LEFT JOIN z USING (clip_idx) WHERE o.size <= 15 OR q <= best OR list_contains(coalesce(picked, []), p)"""
+
+
+_MATCHED = f"""{O.CANDIDATES},
+cand AS (SELECT i::BIGINT AS i, j::BIGINT AS j, round(distance, 12) AS d, round(body_sim, 12) AS s, threshold AS th, fi AND fj AS ff, ci, cj FROM ct WHERE distance < threshold AND body_sim >= CASE WHEN fi <> fj THEN 0.65::DOUBLE ELSE 0.7::DOUBLE END),
+e1 AS (SELECT i, j, row_number() OVER (ORDER BY s DESC, i, j) AS k FROM cand WHERE NOT ff),
+g1 AS (
+    SELECT 0::BIGINT AS k, []::BIGINT[] AS locked
+    UNION ALL
+    SELECT e1.k, CASE WHEN list_contains(locked, i) OR list_contains(locked, j) THEN locked ELSE list_concat(locked, [i, j]) END AS locked FROM g1 JOIN e1 ON e1.k = g1.k + 1
+),
+pa AS (SELECT locked[2 * n - 1] AS i, locked[2 * n] AS j FROM (SELECT locked, unnest(range(1, len(locked) // 2 + 1)) AS n FROM (SELECT arg_max(locked, k) AS locked FROM g1))),
+cl AS (SELECT c, row_number() OVER (ORDER BY c) AS p FROM (SELECT i AS c FROM cand UNION SELECT j FROM cand)),
+mem AS (SELECT root, list(p) AS m FROM (SELECT c AS root, c FROM cl UNION SELECT i, j FROM pa) JOIN cl USING (c) GROUP BY root),
+dp AS (
+    SELECT x.p AS x, y.p AS y, a.has_face AND b.has_face AS faced, coalesce(1 - {O.dot('a.body', 'b.body')} / nullif(a.nb * b.nb, 0), 1) AS bd, CASE WHEN a.has_face AND b.has_face THEN 1 - {O.dot('a.face', 'b.face')} / nullif(a.nf * b.nf, 0) END AS fd
+    FROM lt a JOIN cl x ON a.lc = x.c, lt b JOIN cl y ON b.lc = y.c
+),
+dm AS (
+    SELECT list(r ORDER BY x) AS m FROM (SELECT x, list({{'w': w, 'f': f, 'b': b}} ORDER BY y) AS r FROM (SELECT x, y, round(min(d), 12) AS w, round(min(d) FILTER (faced), 12) AS f, round(min(bd), 12) AS b FROM (SELECT *, CASE WHEN fd < 1 THEN 0.55::DOUBLE * bd + 0.45::DOUBLE * fd ELSE bd END AS d FROM dp) GROUP BY x, y) GROUP BY x)
+),
+op AS (
+    SELECT c.*, mi.m AS mi, mj.m AS mj, len(mi.m) + len(mj.m) > 2 AS grown FROM cand c JOIN mem mi ON mi.root = c.i JOIN mem mj ON mj.root = c.j
+    WHERE ff AND c.i NOT IN (SELECT j FROM pa) AND c.j NOT IN (SELECT j FROM pa) AND NOT (len(mi.m) > 1 AND len(mj.m) > 1)
+),
+os AS (
+    SELECT op.*, CASE WHEN grown THEN coalesce(list_min(list_transform(near, lambda z: z.f)), list_min(list_transform(near, lambda z: z.w))) ELSE d END AS again
+    FROM (SELECT op.*, flatten(list_transform(mi, lambda a: list_transform(mj, lambda b: dm.m[a][b]))) AS near FROM op, dm) op
+),
+ev AS (SELECT *, row_number() OVER (ORDER BY again, first, j) AS k FROM (SELECT *, row_number() OVER (PARTITION BY j ORDER BY again, i) AS place, min(i) OVER (PARTITION BY j) AS first FROM os) WHERE place = 1),
+g2 AS (
+    SELECT 0::BIGINT AS k, []::STRUCT(i BIGINT, j BIGINT, p BIGINT)[] AS acc, []::VARCHAR[] AS claims
+    UNION ALL
+    SELECT k, CASE WHEN ok THEN list_append(acc, {{'i': i, 'j': j, 'p': p}}) ELSE acc END AS acc, CASE WHEN ok THEN list_concat(claims, [i || ':' || ci, i || ':' || cj]) ELSE claims END AS claims
+    FROM (
+        SELECT *, CASE WHEN len(ai) + len(aj) > 2 THEN list_min(list_transform(near, lambda z: z.w)) < th AND round(1 - list_min(list_transform(near, lambda z: z.b)), 12) >= 0.7::DOUBLE ELSE again < th AND s >= 0.7::DOUBLE END
+            AND len(list_filter(acc, lambda z: z.j = i OR z.j = j)) = 0 AND NOT list_contains(claims, i || ':' || cj) AND NOT list_contains(claims, j || ':' || ci) AS ok
+        FROM (
+            SELECT *, flatten(list_transform(ai, lambda a: list_transform(aj, lambda b: m[a][b]))) AS near
+            FROM (
+                SELECT ev.* EXCLUDE (near, k), ev.k, cl.p, g2.acc, g2.claims, dm.m, list_concat(ev.mi, list_transform(list_filter(g2.acc, lambda z: z.i = ev.i), lambda z: z.p)) AS ai, list_concat(ev.mj, list_transform(list_filter(g2.acc, lambda z: z.i = ev.j), lambda z: z.p)) AS aj
+                FROM g2 JOIN ev ON ev.k = g2.k + 1 JOIN cl ON cl.c = ev.j, dm
+            )
+        )
+    )
+),
+up AS (SELECT i, j FROM pa UNION ALL SELECT a.i, a.j FROM (SELECT unnest(acc) AS a FROM (SELECT arg_max(acc, k) AS acc FROM g2))),
+fin AS (SELECT every.lc::BIGINT AS local_cluster, coalesce(up.i, every.lc)::BIGINT AS final_id FROM (SELECT DISTINCT lc FROM lt) every LEFT JOIN up ON up.j = every.lc)"""
+
+MATCHES = f"WITH RECURSIVE {O.tracklets(0.8)}, {O.LABELLED}, {_MATCHED} SELECT local_cluster, final_id FROM fin"
+
+CATALOGUE = f"""WITH RECURSIVE {O.tracklets(0.45, 'WHERE end_frame - start_frame >= 30')},
+loc AS (WITH RECURSIVE {_GREEDY}),
+lt AS (SELECT trk.*, loc.local_cluster AS lc, {O.norm('trk.body')} AS nb, {O.norm('trk.face')} AS nf FROM trk JOIN loc USING (clip_idx, track_id)),
+{_MATCHED},
+gid AS (SELECT local_cluster, dense_rank() OVER (ORDER BY final_id) - 1 AS gid FROM fin),
+cat AS (SELECT lt.*, gid.gid FROM lt JOIN gid ON gid.local_cluster = lt.lc),
+sp AS (SELECT gid, clip_idx, lc, row_number() OVER (PARTITION BY gid, clip_idx ORDER BY sum(end_frame - start_frame) DESC, lc DESC) AS place FROM cat GROUP BY gid, clip_idx, lc),
+fr AS (SELECT gid, clip_idx, lc, (SELECT max(gid) FROM cat) + row_number() OVER (ORDER BY gid, clip_idx, place) AS fresh FROM sp WHERE place > 1)
+SELECT coalesce(fresh, cat.gid)::BIGINT AS global_id, cat.clip_idx, track_id, start_frame, end_frame FROM cat LEFT JOIN fr USING (gid, clip_idx, lc)"""

@@ -10,7 +10,7 @@ det AS (
 )"""
 
 
-def tracklets(a: float) -> str:
+def tracklets(a: float, where: str = "") -> str:
     hot = f"list_transform({{0}}, lambda x, i: {a}::DOUBLE * x::DOUBLE + CASE WHEN i - 1 = label THEN 1::DOUBLE ELSE 0::DOUBLE END)"
     return f"""trk0 AS (
     SELECT vec_id AS track_id, (vec_id % 25)::INT AS clip_idx, (vec_id * 37 % 900)::INT AS start_frame, (vec_id * 37 % 900 + 20 + vec_id * 53 % 600)::INT AS end_frame, vec_id % 3 <> 0 AS has_face, label,
@@ -19,7 +19,7 @@ def tracklets(a: float) -> str:
         (vec_id % 10)::DOUBLE / 10 AS quality, embedding
     FROM embeddings
 ),
-trk AS (SELECT *, row_number() OVER (PARTITION BY clip_idx ORDER BY start_frame, track_id) AS ord FROM trk0)"""
+trk AS (SELECT *, row_number() OVER (PARTITION BY clip_idx ORDER BY start_frame, track_id) AS ord FROM trk0 {where})"""
 
 
 def dot(a: str, b: str) -> str:
@@ -35,6 +35,20 @@ def cosine(a: str, b: str) -> str:
     return f"(1 - {dot(a, b)} / nullif({norm(a)} * {norm(b)}, 0))"
 
 
+#: Tracklets with a local cluster, lc; the fixed one of clip and label.
+LABELLED = f"lt AS (SELECT *, clip_idx * 100 + label AS lc, {norm('body')} AS nb, {norm('face')} AS nf FROM trk)"
+
+#: From lt the pairs of clusters of unlike clips with their distance, similarity and threshold.
+CANDIDATES = f"""ab AS (SELECT lc, bool_or(has_face) AS face, sum(end_frame - start_frame) AS len, min(clip_idx) AS clip FROM lt GROUP BY lc),
+cx AS (SELECT lc, (end_frame - start_frame)::DOUBLE AS w, unnest(body) AS v, generate_subscripts(body, 1) AS pos FROM lt),
+mv AS (SELECT lc, pos, CASE WHEN sum(w) = 0 OR count(*) = 1 THEN avg(v) ELSE sum(w * v) / sum(w) END AS v FROM cx GROUP BY lc, pos),
+me AS (SELECT lc, list(v ORDER BY pos) AS vec FROM mv GROUP BY lc),
+mn AS (SELECT *, {norm('vec')} AS n FROM me),
+cp AS (SELECT a.lc AS i, b.lc AS j, 1 - {dot('a.body', 'b.body')} / (a.nb * b.nb) AS bd, CASE WHEN a.has_face AND b.has_face THEN 1 - {dot('a.face', 'b.face')} / nullif(a.nf * b.nf, 0) END AS fd FROM lt a JOIN lt b ON a.lc < b.lc AND a.clip_idx <> b.clip_idx),
+cq AS (SELECT i, j, min(CASE WHEN fd < 1 THEN 0.55::DOUBLE * bd + 0.45::DOUBLE * fd ELSE bd END) AS distance FROM cp GROUP BY i, j),
+cc AS (SELECT cq.*, A.face AS fi, B.face AS fj, A.clip AS ci, B.clip AS cj, (A.len + B.len) / 2.0::DOUBLE AS len, {dot('m1.vec', 'm2.vec')} / (m1.n * m2.n) AS body_sim FROM cq JOIN ab A ON A.lc = i JOIN ab B ON B.lc = j JOIN mn m1 ON m1.lc = i JOIN mn m2 ON m2.lc = j),
+ct AS (SELECT *, CASE WHEN fi AND fj AND len > 500 THEN 0.44::DOUBLE WHEN fi AND fj AND len > 300 THEN 0.46::DOUBLE WHEN len > 250 THEN CASE WHEN fi <> fj THEN 0.41::DOUBLE ELSE 0.49::DOUBLE END ELSE CASE WHEN fi <> fj THEN 0.43::DOUBLE ELSE 0.51::DOUBLE END END AS threshold FROM cc)"""
+
 OVERLAP = "greatest(0, least(a.end_frame, b.end_frame) - greatest(a.start_frame, b.start_frame))"
 RATIO = f"coalesce({OVERLAP}::DOUBLE / nullif(least(a.end_frame - a.start_frame, b.end_frame - b.start_frame), 0), 0)"
 

@@ -379,24 +379,15 @@ def filled_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.filled_ids(t, mapping).select("track_id", "global_id")
 
 
-_CANDIDATES = f"""{O.tracklets(FAR)}, l AS (SELECT *, clip_idx * 100 + label AS lc, {O.norm('body')} AS nb, {O.norm('face')} AS nf FROM trk),
-ab AS (SELECT lc, bool_or(has_face) AS face, sum(end_frame - start_frame) AS len, min(clip_idx) AS clip FROM l GROUP BY lc),
-x AS (SELECT lc, (end_frame - start_frame)::DOUBLE AS w, unnest(body) AS v, generate_subscripts(body, 1) AS pos FROM l),
-mv AS (SELECT lc, pos, CASE WHEN sum(w) = 0 OR count(*) = 1 THEN avg(v) ELSE sum(w * v) / sum(w) END AS v FROM x GROUP BY lc, pos),
-me AS (SELECT lc, list(v ORDER BY pos) AS vec FROM mv GROUP BY lc),
-mn AS (SELECT *, {O.norm('vec')} AS n FROM me),
-p AS (SELECT a.lc AS i, b.lc AS j, 1 - {O.dot('a.body', 'b.body')} / (a.nb * b.nb) AS bd, CASE WHEN a.has_face AND b.has_face THEN 1 - {O.dot('a.face', 'b.face')} / nullif(a.nf * b.nf, 0) END AS fd FROM l a JOIN l b ON a.lc < b.lc AND a.clip_idx <> b.clip_idx),
-q AS (SELECT i, j, min(CASE WHEN fd < 1 THEN 0.55::DOUBLE * bd + 0.45::DOUBLE * fd ELSE bd END) AS distance FROM p GROUP BY i, j),
-c AS (SELECT q.*, A.face AS fi, B.face AS fj, (A.len + B.len) / 2.0::DOUBLE AS len, {O.dot('m1.vec', 'm2.vec')} / (m1.n * m2.n) AS body_sim FROM q JOIN ab A ON A.lc = i JOIN ab B ON B.lc = j JOIN mn m1 ON m1.lc = i JOIN mn m2 ON m2.lc = j),
-t AS (SELECT *, CASE WHEN fi AND fj AND len > 500 THEN 0.44::DOUBLE WHEN fi AND fj AND len > 300 THEN 0.46::DOUBLE WHEN len > 250 THEN CASE WHEN fi <> fj THEN 0.41::DOUBLE ELSE 0.49::DOUBLE END ELSE CASE WHEN fi <> fj THEN 0.43::DOUBLE ELSE 0.51::DOUBLE END END AS threshold FROM c)"""
-
-
-@query(f"WITH {_CANDIDATES} SELECT i::BIGINT AS i, j::BIGINT AS j, round(distance, 6) AS distance, round(body_sim, 6) AS body_sim, threshold FROM t WHERE distance < threshold AND body_sim >= CASE WHEN fi <> fj THEN 0.65::DOUBLE ELSE 0.7::DOUBLE END")
+_CANDIDATES = f"{O.tracklets(FAR)}, {O.LABELLED}, {O.CANDIDATES}"
+
+
+@query(f"WITH {_CANDIDATES} SELECT i::BIGINT AS i, j::BIGINT AS j, round(distance, 6) AS distance, round(body_sim, 6) AS body_sim, threshold FROM ct WHERE distance < threshold AND body_sim >= CASE WHEN fi <> fj THEN 0.65::DOUBLE ELSE 0.7::DOUBLE END")
 def stage2_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.candidates(_labelled(spark, sf_dir)).select("i", "j", *_r("distance", "body_sim"), "threshold")
 
 
-@query(f"WITH {_CANDIDATES} SELECT i::BIGINT AS i, j::BIGINT AS j FROM t WHERE distance < threshold AND body_sim >= CASE WHEN fi <> fj THEN 0.65::DOUBLE ELSE 0.7::DOUBLE END AND NOT (i % 3 = 0 AND (j // 100) % 4 = 0)")
+@query(f"WITH {_CANDIDATES} SELECT i::BIGINT AS i, j::BIGINT AS j FROM ct WHERE distance < threshold AND body_sim >= CASE WHEN fi <> fj THEN 0.65::DOUBLE ELSE 0.7::DOUBLE END AND NOT (i % 3 = 0 AND (j // 100) % 4 = 0)")
 def unclaimed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates without those whose target, every third, has claimed every fourth clip."""
     pairs = stored(match.candidates(_labelled(spark, sf_dir)), "candidates")
@@ -556,7 +547,7 @@ def average_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.average_linkage(_tracks(spark, sf_dir), 0.3)
 
 
-@query()
+@query(folds.MATCHES)
 def stage2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.matched(stored(_labelled(spark, sf_dir), "tracks"))
 
@@ -572,7 +563,7 @@ def representative_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.representatives(proxies.tracklets(spark, sf_dir, NEAR), ["clip_idx"], "track_id", "body", "quality")
 
 
-@query()
+@query(folds.CATALOGUE)
 def global_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length filter, greedy clusters, both passes, compaction, repair."""
     tracks = stored(proxies.ordered(overlap.long_enough(proxies.tracklets(spark, sf_dir, NEAR))), "tracks")
