@@ -33,7 +33,7 @@ BUDGET = 24
 #: Longs of a text's parity map: each shingle turns one bit over, so two maps differ in no more bits than the sets in shingles.
 LONGS = 16
 #: Proposals of a text in the first round, and by how much they grow in a round.
-FIRST, GROWTH = 2, 8
+FIRST, GROWTH = 4, 64
 #: Shingles in the texts that a task compares at once, about.
 PACK = 1 << 20
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -67,8 +67,13 @@ def sketch(own: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
             band = (band ^ x) * np.uint64(_MIX[1])
             band ^= band >> np.uint64(31)
     fp = int.from_bytes(np.packbits(ones * 2 > len(own)).tobytes(), "big")
+    return fp, band.view(np.int64), parity(own)
+
+
+def parity(own: np.ndarray) -> np.ndarray:
+    """The parity map of a set of shingles, as longs."""
     odd = np.bincount(((own >> np.uint64(7)) % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1
-    return fp, band.view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def identified(docs: DataFrame, text: str) -> DataFrame:
@@ -141,9 +146,27 @@ def apart(maps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int64)
 
 
-def bits_apart(a: str, b: str, longs: int) -> Column:
-    """The same of two columns of arrays of longs."""
-    return functools.reduce(operator.add, [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(longs)])
+def close(n: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of n[a] and n[b] shingles may be as similar as least."""
+    return np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-6
+
+
+def near_maps(n: np.ndarray, maps: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the parity maps differ in no more bits than sets as similar as least do in shingles."""
+    both = n[a] + n[b]
+    return apart(maps, a, b) <= both - 2 * np.ceil(least / (1 + least) * both - 1e-6)
+
+
+def bits_apart(a: str, b: str, longs: range) -> Column:
+    """apart() of two columns of arrays of longs."""
+    return functools.reduce(operator.add, [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in longs])
+
+
+def near_columns(u: str, v: str, least: float, longs: range = range(LONGS)) -> Column:
+    """close() and near_maps() of two columns (n, map), whose parity maps are at longs."""
+    n, m = F.col(f"{u}.n"), F.col(f"{v}.n")
+    both = n + m
+    return (F.least(n, m) >= least * F.greatest(n, m) - 1e-6) & (bits_apart(f"{u}.map", f"{v}.map", longs) <= both - 2 * F.ceil(least / (1 + least) * both - 1e-6))
 
 
 def middles(fp: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,21 +274,15 @@ def links(docs: DataFrame, text: str = "text", words: int = 5, least: float = 0.
     ids = stored(met.select("id").distinct(), "meeting")
     own = stored(join_checked(made, ids, "id", "left_semi").select("id", "fp", "n", "map").dropDuplicates(["id"]), "own")
     sets = stored(shingle_sets(texts, ids, words), "sets")
-    # sets as similar as least differ in this share of their shingles at most, and their maps in no more bits
-    most_apart = lambda both: both - 2 * np.ceil(least / (1 + least) * both - 1e-6)
 
     def allowed(n, maps, a, b):
-        ok = np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-6
-        a, b = a[ok], b[ok]
-        far = apart(maps, a, b)
-        ok = far <= most_apart(n[a] + n[b])
-        return a[ok], b[ok], far[ok]
+        for sure in (lambda: close(n, a, b, least), lambda: near_maps(n, maps, a, b, least)):
+            ok = sure()
+            a, b = a[ok], b[ok]
+        return a, b, apart(maps, a, b)
 
     def near(u, v):
-        n, m = F.col(f"{u}.n"), F.col(f"{v}.n")
-        close = F.bit_count(F.col(f"{u}.fp").bitwiseXOR(F.col(f"{v}.fp"))) <= budget
-        both = n + m
-        return close & (F.least(n, m) >= least * F.greatest(n, m) - 1e-6) & (bits_apart(f"{u}.map", f"{v}.map", LONGS) <= both - 2 * F.ceil(least / (1 + least) * both - 1e-6))
+        return (F.bit_count(F.col(f"{u}.fp").bitwiseXOR(F.col(f"{v}.fp"))) <= budget) & near_columns(u, v, least)
 
     pairs_of = lambda bits, pairs: trie_pairs(bits, pairs, 0, budget)
     return linked(met, own, sets, least, near, lambda rows, most: proposals(tiled(rows, "id"), most, pairs_of, allowed))

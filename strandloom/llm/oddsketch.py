@@ -3,8 +3,10 @@
 A text's set of word shingles has BANDS * DEPTH MinHash samples. Texts that agree in all samples of a band meet in a
 node. The samples are also folded into a parity map of BITS bits: each turns one bit over, so the maps of two texts
 differ by the samples in which the texts differ, and the count of ones of their XOR estimates a high similarity far more
-precisely than a band does. Pairs whose count is not credible for a link are dropped; the others are confirmed on the
-whole sets. llm.copies says how pairs of a node are visited without emitting them all.
+precisely than a band does. Pairs whose count is not credible for a link are dropped; the others must be near enough by
+sure bounds on their sets' difference (their sizes, and a parity map of the whole sets, which differs in no more bits
+than the sets do in shingles) and are confirmed on the whole sets. llm.copies says how pairs of a node are visited
+without emitting them all.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_checked, map_text, stored
-from .copies import apart, bits_apart, identified, linked, meeting, proposals, shingle_sets, shingles
+from .copies import LONGS as MAP, apart, bits_apart, close, identified, linked, meeting, near_columns, near_maps, parity, proposals, shingle_sets, shingles
 from .simhash import tiled
 
 #: Bands and samples in each. Texts of similarity s share no band with probability (1 - s^DEPTH)^BANDS: 8e-7 at 0.85.
@@ -64,7 +66,7 @@ def estimate(differing: np.ndarray, samples: int = _SAMPLES, bits: int = 64 * LO
 
 
 def sketch(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys, odd sketch) of a set of shingle hashes."""
+    """(band keys, odd sketch of the samples) of a set of shingle hashes."""
     least = np.full((_SAMPLES, 1), (1 << 64) - 1, np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(own), STRETCH):
@@ -80,7 +82,7 @@ def sketch(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, id, n, bands, map) for each row of docs: the hash of its text's bytes, the size of its set, band keys, odd sketch."""
+    """(key, id, n, bands, map) for each row of docs: the hash of its text's bytes, the size of its set, band keys, odd sketch and parity map."""
 
     def made(_, rows):
         ids, sizes, bands, maps = [], [], [], []
@@ -90,7 +92,7 @@ def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
             band, odd = sketch(own)
             sizes.append(len(own))
             bands.append(band if len(own) else band[:0])
-            maps.append(odd)
+            maps.append(np.concatenate((odd, parity(own))))
         lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(y) for y in x]))), pa.int32()), pa.array(np.concatenate(x)))
         return [np.array(ids, np.uint64).view(np.int64), sizes, lists(bands), lists(maps)]
 
@@ -124,15 +126,13 @@ def links(docs: DataFrame, marks: DataFrame, text: str = "text", words: int = 5,
     most_bits = allowed_bits(least)
 
     def allowed(n, maps, a, b):
-        ok = np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-6
-        a, b = a[ok], b[ok]
-        far = apart(maps, a, b)
-        ok = far <= most_bits
-        return a[ok], b[ok], far[ok]
+        for sure in (lambda: close(n, a, b, least), lambda: apart(maps[:, :LONGS], a, b) <= most_bits, lambda: near_maps(n, maps[:, LONGS:], a, b, least)):
+            ok = sure()
+            a, b = a[ok], b[ok]
+        return a, b, apart(maps[:, :LONGS], a, b)
 
     def near(u, v):
-        n, m = F.col(f"{u}.n"), F.col(f"{v}.n")
-        return (F.least(n, m) >= least * F.greatest(n, m) - 1e-6) & (bits_apart(f"{u}.map", f"{v}.map", LONGS) <= most_bits)
+        return (bits_apart(f"{u}.map", f"{v}.map", range(LONGS)) <= most_bits) & near_columns(u, v, least, range(LONGS, LONGS + MAP))
 
     return linked(met, own, sets, least, near, lambda rows, most: proposals(tiled(rows, "id"), most, range_pairs, allowed))
 
