@@ -2,13 +2,15 @@
 
 Emails, IP addresses, payment cards and phone numbers are found by pattern. Each value found is a protected entity, and
 so is what it belongs to: the email's domain, the network of the address, the card's issuer, the phone number's block.
-A word among the `window` words before or after an entity is a candidate. With n(e), n(t) and n(t,e) the numbers of
-documents that hold entity e, that hold term t, and that hold t inside a window of e, out of N, the term discloses the
-share PMI(t;e) / IC(e) = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)) of the entity. At `generalise` or more all places
-of the term in documents that hold e are spans and are replaced by a class; at `remove` or more they are taken out.
-Evidence must come from `support` different windows, so that copies of one passage don't count as co-occurrence; of an
-entity that has fewer, from all it has: a rare word beside a value that stands nowhere else, such as a name beside its
-number, tells all of it. Counts cover all documents.
+A word among the `window` words before or after an entity is a candidate. With n(t) the documents that hold term t and
+n(t,e) those that hold t inside a window of entity e, the term leaves -log2 p(e|t) bits of the entity open, of the
+log2 (M + 1) / n(e) bits that it has without the term, M being the documents that hold any entity and n(e) those with e. p(e|t) = n(t,e) / n(t) is an estimate from few documents, so its lower
+confidence bound (Wilson's, one deviation) stands for it. Copies of a passage are one observation: the bound is that of
+n(t) c / n(t,e) documents, where c of the n(t,e) are unlike texts with unlike windows. So one text leaves a bit open at
+least, and a term that stands elsewhere, or a second text without the entity, leaves more. At `generalise` bits or fewer
+all places of the term in documents that hold e are spans and are replaced by a class; at `remove` bits or fewer, which
+takes two texts, they are taken out; never if the term leaves as much open as there was. Whether a pair is marked
+depends on the documents that hold its term or an entity, not on the size of the corpus. Counts cover all documents.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections import Counter
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,34 +161,38 @@ def _scan(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
 
 
 def term_spans(text: str, base, terms: dict[str, float]) -> list[tuple[int, int, int, float]]:
-    """(start, place in KINDS, end, share) of each word of the text that is among terms and outside the base spans."""
+    """(start, place in KINDS, end, bits left open) of each word of the text that is among terms and outside the base spans."""
     found = ((m, terms.get(m[0].lower())) for m in free_words(text, base))
-    return [(m.start(), 4, m.end(), share) for m, share in found if share is not None]
+    return [(m.start(), 4, m.end(), left) for m, left in found if left is not None]
+
+
+def bits_left(n_te: Column, n_t: Column, unlike: Column) -> Column:
+    """-log2 of Wilson's lower bound, one deviation wide, of the share n_te of n_t, if only `unlike` of the n_te are observations."""
+    p, n = F.least(n_te / n_t, F.lit(1.0)), n_t * unlike / n_te
+    low = (p + 0.5 / n - F.sqrt(p * (1 - p) / n + 0.25 / (n * n))) / (1 + 1 / n)
+    return -F.log2(low)
 
 
 def disclosed(rows: DataFrame, words: DataFrame, support: int, generalise: float) -> tuple[DataFrame, DataFrame]:
-    """(entity, term, n_e, n_t, n_te, share) of disclosing pairs, stored; and the stored (key, same, entity, context, term) they are made of.
+    """(entity, term, n_e, n_t, n_te, left) of disclosing pairs, stored; and the stored (key, same, entity, context, term) they are made of.
 
     rows: (key, same, near) for each document; words: (word, df), partial counts of the documents that hold a word.
     """
-    n = rows.count()
     near = rows.where("size(near) > 0").select("key", "same", F.explode("near").alias("w")).select("key", "same", "w.*")
     near = stored(near, "near")
-    contexts = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("all"))
-    pairs = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
-    pairs = stored(pairs.join(contexts, "entity").where(F.col("contexts") >= F.least("all", F.lit(support))).select("entity", "term"), "pairs")
+    holders = near.select("key", "same").distinct().count()
+    unlike = F.least(F.count_distinct("context"), F.count_distinct("same"))
+    pairs = stored(near.groupBy("entity", "term").agg(unlike.alias("unlike")).where(F.col("unlike") >= support), "pairs")
     # documents, not places: a document counts once for a pair, an entity or a term
     once = lambda df, *by: df.select(*by, "key", "same").distinct().groupBy(*by)
-    hits = once(join_checked(near, pairs, ["entity", "term"]), "entity", "term").agg(F.count("*").alias("n_te"))
+    hits = once(join_checked(near, pairs, ["entity", "term"]), "entity", "term", "unlike").agg(F.count("*").alias("n_te"))
     entity = once(join_checked(near, stored(pairs.select("entity").distinct(), "entities"), "entity"), "entity").agg(F.count("*").alias("n_e"))
     terms = stored(pairs.select(F.col("term").alias("word")).distinct(), "terms")
     # a word's partial counts, one of each task that met it, are summed before they meet the terms
     whole = words.groupBy("word").agg(F.sum("df").alias("n_t"))
     freq = join_checked(whole, terms, "word").select(F.col("word").alias("term"), "n_t")
-    total = F.lit(float(max(n, 1)))
-    share = F.log(total * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(total / F.col("n_e"))
-    flagged = hits.join(entity, "entity").join(freq, "term").where(F.col("n_e") < total).withColumn("share", share).where(F.col("share") >= generalise)
-    return stored(flagged.select("entity", "term", "n_e", "n_t", "n_te", "share"), "flagged"), near
+    flagged = hits.join(entity, "entity").join(freq, "term").withColumn("left", bits_left(F.col("n_te"), F.col("n_t"), F.col("unlike"))).where((F.col("left") <= generalise) & (F.col("left") < F.log2(F.lit(holders + 1.0) / F.col("n_e")) + 1e-12))
+    return stored(flagged.select("entity", "term", "n_e", "n_t", "n_te", "left"), "flagged"), near
 
 
 def _found(docs: DataFrame, key: str, text: str, window: int, support: int, generalise: float):
@@ -195,8 +201,8 @@ def _found(docs: DataFrame, key: str, text: str, window: int, support: int, gene
     rows = scanned.where("digest is not null")
     flagged, near = disclosed(rows, scanned.where("word is not null").select("word", "df"), support, generalise)
     holds = near.select("key", "same", "entity").distinct()
-    terms = join_checked(holds, flagged.select("entity", "term", "share"), "entity").groupBy("key", "same", "term").agg(F.max("share").alias("share"))
-    return rows, stored(terms.groupBy("key", "same").agg(F.collect_list(F.struct("term", "share")).alias("marks")), "marks")
+    terms = join_checked(holds, flagged.select("entity", "term", "left"), "entity").groupBy("key", "same", "term").agg(F.min("left").alias("left"))
+    return rows, stored(terms.groupBy("key", "same").agg(F.collect_list(F.struct("term", "left")).alias("marks")), "marks")
 
 
 def _marked(docs: DataFrame, key: str, text: str, marks: DataFrame, how: str) -> DataFrame:
@@ -208,7 +214,7 @@ def _marked(docs: DataFrame, key: str, text: str, marks: DataFrame, how: str) ->
 
 
 def _terms(marks: list[dict] | None) -> dict[str, float]:
-    return {t["term"]: t["share"] for t in marks or ()}
+    return {t["term"]: t["left"] for t in marks or ()}
 
 
 def _places(docs: DataFrame, key: str, text: str, marks: DataFrame) -> DataFrame:
@@ -229,12 +235,12 @@ def _places(docs: DataFrame, key: str, text: str, marks: DataFrame) -> DataFrame
     return joined.mapInArrow(run, schema).where("size(extra) > 0").groupBy("key", "same").agg(F.first("extra").alias("extra"))
 
 
-def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window: int = 6, support: int = 2, generalise: float = 0.8) -> DataFrame:
+def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window: int = 6, support: int = 1, generalise: float = 2.0) -> DataFrame:
     """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) for each row of docs.
 
     A null text counts as empty: no spans. Equal rows get equal spans; a repeated key is no matter, spans go by key
-    and text. An empty table gives an empty result; other columns play no part. An entity that all documents hold
-    carries no information and discloses nothing.
+    and text. An empty table gives an empty result; other columns play no part. An entity of all documents that
+    hold any carries no information and is disclosed by nothing. Texts are read whole, however long.
     """
     rows, marks = _found(docs, key, text, window, support, generalise)
     # null keys meet too
@@ -252,17 +258,17 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window:
 def redact(text: str, spans, remove: float) -> str:
     """text with each span replaced by its class, or taken out; of overlapping spans the joint stretch goes by its first kind."""
     out, at = [], 0
-    for a, kind, b, share in sorted(spans):
+    for a, kind, b, left in sorted(spans):
         if b <= at:
             continue
         if a >= at:
             out.append(text[at:a])
-            out.append("" if kind == 4 and share >= remove else f"[{KINDS[kind]}]")
+            out.append("" if kind == 4 and left <= remove else f"[{KINDS[kind]}]")
         at = b
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window: int = 6, support: int = 2, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window: int = 6, support: int = 1, generalise: float = 2.0, remove: float = 0.6) -> DataFrame:
     """docs with the spans of detect() replaced in the text column; a null text stays null, other columns stay.
 
     A column n_chars of docs is set to the new length. Texts are read whole, however long. Rows with a null key or the
@@ -282,7 +288,7 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window
                 new = []
                 for t, m in zip(texts, more, strict=True):
                     if t is not None:
-                        spans = [(a, k, b, 1.0) for a, k, b, _ in base_spans(t)]
+                        spans = [(a, k, b, 0.0) for a, k, b, _ in base_spans(t)]
                         spans += term_spans(t, spans, _terms(m)) if m else []
                         t = redact(t, spans, remove) if spans else t
                     new.append(t)

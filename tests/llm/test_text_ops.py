@@ -177,10 +177,10 @@ def disclosing_docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-def plain_terms(rows, window=6, support=2, least=0.8):
+def plain_terms(rows, window=6, support=1, most=2.0):
     """doc_id -> term spans, from counts over the whole table by plain loops; doc_ids are unique."""
     word = re.compile(r"[^\W\d_]{3,}")
-    entities, evidence, near_docs, df, hits = {}, {}, {}, {}, {}
+    evidence, texts, near_docs, df, hits = {}, {}, {}, {}, {}
     for i, t in rows:
         t = t or ""
         for w in set(word.findall(t.lower())):
@@ -193,15 +193,19 @@ def plain_terms(rows, window=6, support=2, least=0.8):
             near = [m[0].lower() for m in words if m.end() <= a][-window:] + [m[0].lower() for m in words if m.start() >= b][:window]
             for e in ((kind, value), (kind, "in", whole)):
                 if near:
-                    entities.setdefault(e, set()).add(" ".join(near))
                     hits.setdefault(e, set()).add(i)
                 for w in near:
                     evidence.setdefault((e, w), set()).add(" ".join(near))
+                    texts.setdefault((e, w), set()).add(t)
                     near_docs.setdefault((e, w), set()).add(i)
-    n, marked = len(rows), {}
+    holders, marked = len(set().union(*hits.values())) if hits else 0, {}
     for (e, w), windows in evidence.items():
         n_e, n_te = len(hits[e]), len(near_docs[e, w])
-        if len(windows) >= min(support, len(entities[e])) and n_e < n and math.log(n * n_te / (df[w] * n_e)) / math.log(n / n_e) >= least - 1e-12:
+        unlike = min(len(windows), len(texts[e, w]))
+        p, seen = n_te / df[w], df[w] * unlike / n_te
+        low = (p + 1 / (2 * seen) - math.sqrt(p * (1 - p) / seen + 1 / (4 * seen**2))) / (1 + 1 / seen)
+        left = -math.log2(low)
+        if unlike >= support and left <= most + 1e-12 and left < math.log2((holders + 1) / n_e) + 1e-12:
             for i in hits[e]:
                 marked.setdefault(i, set()).add(w)
     out = {}
@@ -228,7 +232,7 @@ def test_terms_that_disclose(spark):
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert all("@" not in t for t in clean.values()) and "zebra" not in clean[0].lower() and "[email]" in clean[0] and "common" in clean[0]
     assert clean[30] == text[30]
-    mild = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, remove=1.1).collect()}
+    mild = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, remove=-1.0).collect()}
     assert "[term]" in mild[0]
 
 
@@ -248,9 +252,25 @@ def test_far_words_and_long_gaps(spark):
 
 
 def test_null_keys_have_their_own_marks(spark):
-    rows = [(None, f"text{i} alpha{chr(97 + i)} u{i}@mail{i}.org beta{chr(97 + i)}") for i in range(8)] + [(1, "quite clean")]
+    rows = [(None, f"text{i} alpha{chr(97 + i % 4)} u{i % 4}@mail{i % 4}.org beta{chr(97 + i % 4)} more{'xyz'[i // 4] * 3}") for i in range(12)] + [(1, "quite clean")]
     got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == 9 and all("alpha" not in r["text"] and "beta" not in r["text"] and "@" not in r["text"] for r in got)
+    assert len(got) == 13 and all("alpha" not in r["text"] and "beta" not in r["text"] and "@" not in r["text"] for r in got)
+
+
+def test_one_document_tells_nothing_and_size_is_no_evidence(spark):
+    """A word beside a value that stand once are never taken out, and more text without them marks nothing new."""
+    rows = [(i, f"once{'abcdefgh'[i]} word u{i}@m{i}.org lonely{'abcdefgh'[i]} word") for i in range(8)]
+    rows += [(10 + i, f"note{'abcd'[i]} codename kim@firm.org codename note{'efgh'[i]}") for i in range(4)]
+    small = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = found_terms(small)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(small).collect()}
+    assert clean[0] == "[term] word [email] [term] word" and "codename" not in clean[10] and clean[10].count("[term]") == 2
+    twice = [(20 + i, f"nothing of that kind stands here {i}") for i in range(500)]
+    more = found_terms(spark.createDataFrame(rows + twice, "doc_id long, text string"))
+    assert {i: more[i] for i in marked} == marked and not any(more[i] for i, _ in twice)
+    share = spark.createDataFrame([(1, 1, 1), (2, 2, 2), (3, 3, 3), (30, 30, 30), (2, 4, 2), (1, 4, 1), (30, 30, 1)], "a long, b long, c long").select(pii.bits_left(F.col("a"), F.col("b"), F.col("c")).alias("x"))
+    left = [r["x"] for r in share.collect()]
+    assert left[0] == pytest.approx(1.0) and left[0] > left[1] > left[2] > left[3] > 0 and left[5] > left[4] > 1 and left[6] == left[0]
 
 
 def test_personal_data_in_odd_rows(spark):
