@@ -85,6 +85,11 @@ class Symbols(dict):
         return -1
 
 
+def below(hashes: np.ndarray, drop: int) -> np.ndarray:
+    """Whether the hashes are below drop, which may be 2^64."""
+    return hashes <= np.uint64(drop - 1) if drop else np.zeros(len(hashes), bool)
+
+
 class Vocabulary:
     """Pieces of a BPE model with byte fallback; small enough to go to every worker, where it remembers chunks."""
 
@@ -188,7 +193,7 @@ class Vocabulary:
                 trial = at.astype(np.uint64) * np.uint64(_PLACE) + found.astype(np.uint64) * np.uint64(_PIECE)
                 if tried is not None:
                     tried.append((on, trial))
-                skipped = mixed(keys[on] + trial) < np.uint64(drop)
+                skipped = below(mixed(keys[on] + trial), drop)
                 order[cell[skipped]] = NEVER
                 keep = ~skipped
                 at, cell, base, found = at[keep], cell[keep], base[keep], found[keep]
@@ -221,7 +226,7 @@ class Vocabulary:
         apart = np.flatnonzero(sizes == 0).tolist()
         tried, n = self.tried.take(number)
         with np.errstate(over="ignore"):
-            hit = mixed(np.repeat(keys, n) + tried) < np.uint64(drop)
+            hit = below(mixed(np.repeat(keys, n) + tried), drop)
         anew = np.unique(np.repeat(np.arange(len(chunks)), n)[hit])
         length = self.chars.start[number[anew] + 1] - self.chars.start[number[anew]]
         made = []

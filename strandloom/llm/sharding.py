@@ -17,7 +17,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, join_checked, stored
 
 #: Fewest source partitions, and rows of a partition or of a block of a shard at most, about.
 PARTITIONS, ROWS = 64, 1_000_000
@@ -95,6 +95,12 @@ def numbered(skinny: DataFrame, *by: str) -> DataFrame:
     return few.unionByName(cut.select(*by, "part", upto(left).alias("at")).select(*by, (F.col("part") * STRETCH + F.col("at")).alias("copy")))
 
 
+def measured(docs: DataFrame, text: str) -> dict[str, Column]:
+    """size and text_crc32 of a row."""
+    whole = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    return {"size": (F.octet_length(whole) + 16).cast("long"), "text_crc32": F.crc32(whole).cast("long")}
+
+
 def shuffled(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shards: int = 40, seed: int = 5, partitions: int = PARTITIONS, rows: int = ROWS) -> DataFrame:
     """(key, size, text_crc32, shard, slot) for each row of docs; slots are gapless from 0 in each shard.
 
@@ -103,8 +109,12 @@ def shuffled(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shards
     nulls or repeated rows: equal rows are interchangeable and are spread as others are. An empty table gives an empty
     result; other columns play no part.
     """
-    whole = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    skinny = docs.select(key, (F.octet_length(whole) + 16).cast("long").alias("size"), F.crc32(whole).cast("long").alias("text_crc32"))
+    return placed_rows(docs, key, text, shards, seed, partitions, rows).drop("copy")
+
+
+def placed_rows(docs: DataFrame, key: str, text: str, shards: int, seed: int, partitions: int = PARTITIONS, rows: int = ROWS) -> DataFrame:
+    """shuffled() with copy, which numbers equal rows from 0."""
+    skinny = docs.select(key, *(c.alias(name) for name, c in measured(docs, text).items()))
     placed = stored(numbered(skinny, key, "size", "text_crc32"), "skinny")
     n = placed.count()
     parts = max(partitions, -(-n // rows))
@@ -122,10 +132,32 @@ def shuffled(docs: DataFrame, key: str = "doc_id", text: str = "text", *, shards
     start = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     heads = stored(heads.select("shard", "block", start.alias("start")), "heads")  # shards x blocks rows
     inside = F.row_number().over(Window.partitionBy("shard", "block").orderBy(*key_order(seed, 3, key))) - 1
-    return moved.withColumn("inside", inside).join(F.broadcast(heads), ["shard", "block"]).select(key, "size", "text_crc32", "shard", (F.col("start") + F.col("inside")).cast("long").alias("slot"))
+    return moved.withColumn("inside", inside).join(F.broadcast(heads), ["shard", "block"]).select(key, "size", "text_crc32", "shard", (F.col("start") + F.col("inside")).cast("long").alias("slot"), "copy")
 
 
-def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", **how) -> None:
-    """docs as Parquet in one folder for each shard, rows in the order of their slots; keys must be unique here."""
-    placed = stored(shuffled(docs, key, text, **how).select(key, F.col("shard").alias("shard"), F.col("slot").alias("slot")), "placed")
-    docs.drop("shard", "slot").join(placed, key).repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", *, shards: int = 40, seed: int = 5) -> tuple[str, str]:
+    """docs as Parquet in one folder for each shard, rows in the order of their slots; the names of the columns of shard and slot.
+
+    Every row is written once, rows with a null key and rows that share a key or are equal too. The new columns are
+    called shard and slot, with underscores before the name if docs has such a column. An empty table writes no folder.
+    """
+    shard, slot = free_name(docs.columns, "shard"), free_name(docs.columns, "slot")
+    own = {c: free_name([*docs.columns, shard, slot], c) for c in ("size", "text_crc32", "copy", "part")}
+    placed = stored(placed_rows(docs, key, text, shards, seed), "placed")
+    again = stored(placed.where("copy > 0").select(F.col(key).alias("k"), F.col("size").alias("s"), F.col("text_crc32").alias("c")).distinct(), "again")
+    same = lambda k, s, c: F.col(key).eqNullSafe(F.col(k)) & (F.col(own["size"]) == F.col(s)) & (F.col(own["text_crc32"]) == F.col(c))
+    rows = docs.withColumns({own[n]: c for n, c in measured(docs, text).items()})
+    once = join_checked(rows, again, same("k", "s", "c"), "left_anti").withColumn(own["copy"], F.lit(0).cast("long"))
+    if not again.isEmpty():  # equal keys and texts are numbered inside their partitions, after those of the partitions before
+        many = stored(join_checked(rows, again, same("k", "s", "c"), "left_semi").withColumn(own["part"], F.spark_partition_id()), "many")
+        group = [key, own["size"], own["text_crc32"]]
+        counts = many.groupBy(*group, own["part"]).count()
+        before = F.coalesce(F.sum("count").over(Window.partitionBy(*group).orderBy(own["part"]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        before = counts.select(F.col(key).alias("k"), F.col(own["size"]).alias("s"), F.col(own["text_crc32"]).alias("c"), F.col(own["part"]).alias("p"), before.alias("start"))
+        inside = F.row_number().over(Window.partitionBy(*group, own["part"]).orderBy(F.lit(0))) - 1
+        many = many.withColumn(own["copy"], inside).join(before, same("k", "s", "c") & (F.col(own["part"]) == F.col("p"))).withColumn(own["copy"], (F.col("start") + F.col(own["copy"])).cast("long"))
+        once = once.unionByName(many.select(*once.columns))
+    at = placed.select(F.col(key).alias("k"), F.col("size").alias("s"), F.col("text_crc32").alias("c"), F.col("copy").alias("n"), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    out = once.join(at, same("k", "s", "c") & (F.col(own["copy"]) == F.col("n"))).select(*docs.columns, shard, slot)
+    out.repartition(shard).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+    return shard, slot

@@ -323,6 +323,18 @@ def test_shards_of_odd_rows(spark, tmp_path):
     check_shards(back.collect(), 3)
 
 
+def test_written_shards_of_repeated_rows(spark, tmp_path):
+    """Null and repeated keys, equal rows, and columns called shard, slot, size and part: each row is written once."""
+    rows = [(1, "one", 7, "x"), (1, "one", 8, "y"), (1, "one", 8, "y"), (1, "another", 9, None), (None, "none", 1, "z"), (None, "none", 2, "z"), (None, None, 3, "z"), (2, "two", 4, "w")]
+    df = spark.createDataFrame(rows * 30, "doc_id long, text string, shard int, slot string").withColumns({"size": F.lit(5), "part": F.lit("p")}).repartition(7)
+    shard, slot = sharding.write_shards(df, f"file://{tmp_path}/out", shards=4)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert (shard, slot) == ("_shard", "_slot") and set(back.columns) == {*df.columns, shard, slot}
+    assert sorted(map(repr, back.select(*df.columns).collect())) == sorted(map(repr, df.collect()))
+    got = back.groupBy(shard).agg(F.collect_set(slot).alias("slots"), F.count("*").alias("n")).collect()
+    assert [sorted(r["slots"]) == list(range(60)) and r["n"] == 60 for r in got] == [True] * 4
+
+
 # --- media
 
 
@@ -437,6 +449,18 @@ def test_dropout_varies_and_stays_lossless(vocabulary):
     assert len(vocabulary.encode(text, 0, 2**64 - 1)) > len(vocabulary.encode(text, 0, 0))
 
 
+def test_dropout_of_none_and_of_all(spark, vocabulary):
+    """At 0 no merge is skipped, at 1 every one: pieces are characters, and texts come back."""
+    text = "international understanding 日本 x"
+    chars = vocabulary.encode(text, 3, 2**64)
+    assert len(chars) >= len(text) and vocabulary.decode(chars) == text
+    assert vocabulary.merge_all(["ational", "ing"], [5, 6], 2**64) == [vocabulary.merge(c, k, 2**64) for c, k in (("ational", 5), ("ing", 6))]
+    assert not pieces.below(np.array([0, 5], np.uint64), 0).any() and pieces.below(np.array([0, 2**64 - 1], np.uint64), 2**64).all()
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    none, all_ = (sorted(pieces.encode_checked(docs, queries.MODEL, dropout=d).collect()) for d in (0.0, 1.0))
+    assert all(r["lossless"] for r in none + all_) and all_[0]["ids"] == chars.tolist() and none[0]["n_tokens"] < all_[0]["n_tokens"]
+
+
 def test_long_texts_in_parts(vocabulary, monkeypatch):
     drop = int(0.1 * 2**64)
     whole = [vocabulary.encode(t, 2, drop).tolist() for t in some_texts()]
