@@ -15,12 +15,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT, Config
 from ..functions.graph import before
 from ..functions.vectors import dot, norm
 from ..sources.tables import stored
 
+#: Directions at most that rows are gathered around for a join with a cut-off; tiles whose bounds are compared at once.
+PIVOTS, BOUNDS = 256, 1024
 #: Rows of a tile at most, about; fewest tiles of small groups, so that small tables are spread as well; rows of a tile that are compared at once.
 TILE, LEAST, STEP = 8192, 4, 512
 
@@ -84,9 +87,7 @@ def grid(rows: DataFrame, key: str, kernel: Callable[[Block, Block], pd.DataFram
 
     ready() is applied to each block of a cell once. A kernel's rows must be such that those of stretches can be joined.
     """
-    tiles = tiled(rows, key, group, tile)
-    pack = lambda key_, t: pa.table({"_tile": pa.array([key_[0].as_py()], pa.int32()), "_block": pa.array([packed(t.drop_columns(["_tile"]))], pa.binary())})
-    blocks = stored(tiles.groupBy("_tile").applyInArrow(pack, "_tile int, _block binary"), "blocks")
+    blocks = packed_tiles(tiled(rows, key, group, tile))
     every = F.lit([r["_tile"] for r in blocks.select("_tile").collect()])  # a number for each tile
     dealt = blocks.withColumn("_other", F.explode(every))
     if directed:
@@ -95,6 +96,17 @@ def grid(rows: DataFrame, key: str, kernel: Callable[[Block, Block], pd.DataFram
         dealt = dealt.withColumns({"_a": a, "_b": b})
     else:
         dealt = dealt.withColumns({"_a": F.least("_tile", "_other"), "_b": F.greatest("_tile", "_other")})
+    return run_cells(dealt, kernel, schema, ready)
+
+
+def packed_tiles(tiles: DataFrame) -> DataFrame:
+    """(_tile, _block), stored: each tile's rows as one binary block."""
+    pack = lambda key_, t: pa.table({"_tile": pa.array([key_[0].as_py()], pa.int32()), "_block": pa.array([packed(t.drop_columns(["_tile"]))], pa.binary())})
+    return stored(tiles.groupBy("_tile").applyInArrow(pack, "_tile int, _block binary"), "blocks")
+
+
+def run_cells(dealt: DataFrame, kernel: Callable[[Block, Block], pd.DataFrame], schema: str, ready: Callable[[Block], Block]) -> DataFrame:
+    """The kernel over each cell (_a, _b) of dealt, which has the blocks (_tile, _block) of both."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(cell: tuple, table: pa.Table) -> pa.Table:
@@ -111,17 +123,106 @@ def _units(*names: str) -> Callable[[Block], Block]:
     return lambda b: b | {n: units(b[n]) for n in names}
 
 
-def best_between(rows: DataFrame, key: str, group: str, clip: str = "clip_idx", config: Config = DEFAULT) -> DataFrame:
-    """Least weighted distance of each pair of groups of unlike clips: i < j, distance, best face similarity (at least 0)."""
+def around_pivots(rows: DataFrame, key: str, vector: str, tile: int) -> DataFrame:
+    """rows with _tile, a number from 0: those nearest by direction to one of PIVOTS rows at most, in parts of about `tile` rows."""
+    n = max(LEAST, -(-rows.count() // tile))
+    drawn = rows.where(norm(F.col(vector)) > 0).orderBy(F.xxhash64(key), key).limit(min(n, PIVOTS)).select(vector).collect()  # PIVOTS vectors at most
+    pivots = units([r[0] for r in drawn]) if drawn else None
+    schema = T.StructType([*rows.schema.fields, T.StructField("_pivot", T.IntegerType())])
+
+    def nearest_pivot(batches):
+        for batch in batches:
+            x = batch[vector]
+            at = np.zeros(batch.num_rows, np.int32)
+            if pivots is not None and batch.num_rows:
+                at = np.nan_to_num(units(x.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)) @ pivots.T).argmax(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=[*batch.schema.names, "_pivot"])
+
+    dealt = stored(rows.mapInArrow(nearest_pivot, schema), "pivots")
+    counts = {r["_pivot"]: r["count"] for r in dealt.groupBy("_pivot").count().collect()}  # a row for each pivot
+    parts = {p: -(-c // tile) for p, c in counts.items()}
+    first, at = {}, 0
+    for p in sorted(parts):
+        first[p], at = at, at + parts[p]
+    table = rows.sparkSession.createDataFrame([(p, first[p], parts[p]) for p in sorted(parts)], "_pivot int, _first int, _parts int")
+    own = (F.col("_first") + F.pmod(F.xxhash64(key), F.col("_parts"))).cast("int")
+    return dealt.join(F.broadcast(table), "_pivot").withColumn("_tile", own).drop("_pivot", "_first", "_parts")
+
+
+def _cone(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """(centre, radius): a direction and the largest angle of a row of unit vectors to it; NaN rows are left out, none: radius -1."""
+    x = x[~np.isnan(x).any(axis=1)]
+    if not len(x):
+        return np.zeros(x.shape[1]), -1.0
+    centre = units(x.mean(axis=0, keepdims=True))[0]
+    if np.isnan(centre).any():
+        centre = x[0]
+    return centre, float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+
+
+def close_tiles(blocks: DataFrame, below: float, face_weight: float) -> DataFrame:
+    """(_a, _b), stored: the pairs of tiles, a tile with itself too, in which a weighted distance may be under `below`.
+
+    blocks: (_tile, _block) with body, face and has_face. Each tile's vectors lie in a cone around its centre; by the
+    triangle inequality of angles no two vectors of two cones are nearer than the angle of the centres less both radii.
+    The cones of tiles are compared in a grid of their own.
+    """
+    schema = pa.schema([("tile", pa.int32()), ("body", pa.list_(pa.float64())), ("face", pa.list_(pa.float64())), ("wide", pa.float64()), ("face_wide", pa.float64())])
+
+    def cones(batches):
+        for batch in batches:
+            for tile, block in zip(batch["_tile"].to_pylist(), batch["_block"], strict=True):
+                own = unpacked(block.as_buffer())
+                (body, wide), (face, face_wide) = _cone(units(own["body"])), _cone(units(own["face"])[own["has_face"].astype(bool)])
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((tile, body, face, wide, face_wide), schema, strict=True)], schema=schema)
+
+    def bound(a: Block, b: Block) -> pd.DataFrame:
+        def least(c: str, w: str) -> np.ndarray:
+            apart = np.arccos(np.clip(a[c] @ b[c].T, -1, 1)) - a[w][:, None] - b[w][None] - 1e-7
+            none = (a[w][:, None] < 0) | (b[w][None] < 0)
+            return np.where(none, np.inf, 1 - np.cos(np.clip(apart, 0, np.pi)))
+
+        body, face = least("body", "wide"), least("face", "face_wide")
+        bound = np.minimum(body, np.where(np.isinf(face), np.inf, (1 - face_weight) * body + face_weight * face))
+        i, j = np.nonzero(bound < below)
+        x, y = a["tile"][i].astype(np.int64), b["tile"][j].astype(np.int64)
+        return pd.DataFrame({"_a": np.minimum(x, y), "_b": np.maximum(x, y)})
+
+    own = stored(blocks.mapInArrow(cones, "tile int, body array<double>, face array<double>, wide double, face_wide double"), "cones")
+    return stored(grid(own, "tile", bound, "_a long, _b long", directed=False, tile=BOUNDS).distinct(), "close")
+
+
+def near_grid(rows: DataFrame, key: str, kernel: Callable[[Block, Block], pd.DataFrame], schema: str, below: float, face_weight: float, *, tile: int = TILE) -> DataFrame:
+    """grid() of rows with body, face and has_face over the pairs of tiles that close_tiles() leaves, for kernels with the cut-off `below`."""
+    blocks = packed_tiles(around_pivots(rows, key, "body", tile))
+    visits = close_tiles(blocks, below, face_weight).select("_a", "_b", F.explode(F.array_distinct(F.array(F.col("_a").cast("int"), F.col("_b").cast("int")))).alias("_tile"))
+    return run_cells(visits.join(blocks, "_tile"), kernel, schema, _units("body", "face"))
+
+
+def best_between(rows: DataFrame, key: str, group: str, clip: str = "clip_idx", config: Config = DEFAULT, below: float | None = None) -> DataFrame:
+    """Least weighted distance of each pair of groups of unlike clips: i < j, distance, best face similarity (at least 0).
+
+    below: only the pairs with a smaller distance, without the similarity. Tiles are then gathered by direction, pairs of
+    tiles that can hold no such distance aren't visited, and only such pairs leave a task. It must be 1 at most, the
+    distance of what has no direction.
+    """
     weight = config.face_weight_across
 
     def kernel(a: Block, b: Block) -> pd.DataFrame:
         ga, gb = a["group"], b["group"]
         ok = (ga[:, None] != gb[None]) & (a["clip"][:, None] != b["clip"][None])
         if not ok.any():
-            return pd.DataFrame({"i": ga[:0], "j": ga[:0], "distance": np.zeros(0), "face_sim": np.zeros(0)})
+            none = {"i": ga[:0], "j": ga[:0], "distance": np.zeros(0), "face_sim": np.zeros(0)}
+            return pd.DataFrame(none)
         d, _, face = weighted_block(a, b, weight)
         d = np.where(ok, np.nan_to_num(d, nan=1.0), np.inf)
+        if below is not None:
+            x, y = np.nonzero(d < below)
+            i, j = np.minimum(ga[x], gb[y]), np.maximum(ga[x], gb[y])
+            order = np.lexsort((d[x, y], j, i))
+            i, j, near = i[order], j[order], d[x, y][order]
+            first = np.concatenate((np.ones(min(1, len(i)), bool), (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            return pd.DataFrame({"i": i[first], "j": j[first], "distance": near[first], "face_sim": np.zeros(first.sum())})
         sim = np.where(ok & a["has_face"][:, None] & b["has_face"][None], np.nan_to_num(1 - face, nan=0.0), 0.0)
         ub, best = reduced(d, gb, np.minimum)
         ua, best = reduced(best.T, ga, np.minimum)
@@ -130,7 +231,11 @@ def best_between(rows: DataFrame, key: str, group: str, clip: str = "clip_idx",
         i, j = ua[x], ub[y]
         return pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), "distance": best[x, y], "face_sim": top[x, y]})
 
-    cells = grid(rows.select(key, F.col(group).cast("long").alias("group"), F.col(clip).alias("clip"), "has_face", "body", "face"), key, kernel, "i long, j long, distance double, face_sim double", directed=False, group="clip", ready=_units("body", "face"))
+    own = rows.select(key, F.col(group).cast("long").alias("group"), F.col(clip).alias("clip"), "has_face", "body", "face")
+    schema = "i long, j long, distance double, face_sim double"
+    if below is not None:
+        return near_grid(own, key, kernel, schema, below, weight).groupBy("i", "j").agg(F.min("distance").alias("distance"))
+    cells = grid(own, key, kernel, schema, directed=False, group="clip", ready=_units("body", "face"))
     return cells.groupBy("i", "j").agg(F.min("distance").alias("distance"), F.max("face_sim").alias("face_sim"))
 
 

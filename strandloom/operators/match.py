@@ -16,22 +16,34 @@ from .distance import best_between, units, weighted_block
 from .features import length_mean
 
 
+#: Largest threshold of the rule table; farther clusters aren't looked at. Fixed value.
+LARGEST = 0.51
+
+
 def candidates(tracks: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """i < j local clusters of unlike clips whose best distance and mean similarity pass the banded thresholds.
 
-    Columns: i, j, distance, face_sim, body_sim, threshold, face_i, face_j, clip_i, clip_j.
+    Columns: i, j, distance, body_sim, threshold, face_i, face_j, clip_i, clip_j; face_similarity() adds face_sim.
     """
     cluster = ["local_cluster"]
     about = tracks.groupBy(*cluster).agg(F.bool_or("has_face").alias("face"), F.sum(F.col("end_frame") - F.col("start_frame")).alias("length"), F.min("clip_idx").alias("clip"))
     about = stored(about.join(length_mean(tracks, cluster, "body").select(*cluster, "vec"), cluster), "clusters")
     side = lambda s: about.select(F.col("local_cluster").cast("long").alias(s), F.col("face").alias(f"face_{s}"), F.col("length").alias(f"length_{s}"), F.col("clip").alias(f"clip_{s}"), F.col("vec").alias(f"vec_{s}"))
-    pairs = best_between(tracks, "track_id", "local_cluster", config=config).join(side("i"), "i").join(side("j"), "j")
+    pairs = best_between(tracks, "track_id", "local_cluster", config=config, below=LARGEST).join(side("i"), "i").join(side("j"), "j")
     length = (F.col("length_i") + F.col("length_j")) / 2.0
     both, one = F.col("face_i") & F.col("face_j"), F.col("face_i") != F.col("face_j")
     # fixed values of the rule table
     threshold = F.when(both & (length > 500), 0.44).when(both & (length > 300), 0.46).when(length > 250, F.when(one, 0.41).otherwise(0.49)).otherwise(F.when(one, 0.43).otherwise(0.51))
     out = pairs.withColumn("threshold", threshold).withColumn("body_sim", 1 - cosine_distance(F.col("vec_i"), F.col("vec_j")))
-    return out.where((F.col("distance") < F.col("threshold")) & (F.col("body_sim") >= F.when(one, 0.65).otherwise(0.70))).select("i", "j", "distance", "face_sim", "body_sim", "threshold", "face_i", "face_j", "clip_i", "clip_j")
+    return out.where((F.col("distance") < F.col("threshold")) & (F.col("body_sim") >= F.when(one, 0.65).otherwise(0.70))).select("i", "j", "distance", "body_sim", "threshold", "face_i", "face_j", "clip_i", "clip_j")
+
+
+def face_similarity(pairs: DataFrame, tracks: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """pairs (i, j, ...) of clusters with face_sim: the best similarity of two faces, 0 at least."""
+    wanted = pairs.select(F.explode(F.array("i", "j")).alias("local_cluster")).distinct()
+    own = matching.blocks(tracks.withColumn("local_cluster", F.col("local_cluster").cast("long")).join(wanted, "local_cluster", "left_semi"))
+    seen = matching.between(pairs.select(F.col("i").alias("a"), F.col("j").alias("b")), own, config)
+    return pairs.join(seen.select(F.col("a").alias("i"), F.col("b").alias("j"), F.greatest(1 - F.col("face"), F.lit(0.0)).alias("face_sim")), ["i", "j"], "left").withColumn("face_sim", F.coalesce("face_sim", F.lit(0.0)))
 
 
 def two_passes(pairs: pd.DataFrame, tracks: pd.DataFrame, config: Config) -> dict[int, int]:

@@ -55,14 +55,14 @@ def blocks(tracks: DataFrame) -> DataFrame:
 
 
 def between(asked: DataFrame, own: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(a, b, distance, faced, body) for each distinct (a, b) of asked: least weighted distance over all pairs of
-    tracklets, over those with two faces (else null), and least body distance; what is no number counts as 1.
+    """(a, b, distance, faced, body, face) for each distinct (a, b) of asked: least weighted distance over all pairs of
+    tracklets, over those with two faces (else null), least body and least face distance; what is no number counts as 1.
 
     own: blocks(). A row of the join is a pair of blocks, reduced where it stands.
     """
     side = lambda s: own.select(F.col("cluster").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "faces", "body", "face")))
     pairs = asked.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.float64()), ("faced", pa.float64()), ("body", pa.float64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.float64()), ("faced", pa.float64()), ("body", pa.float64()), ("face", pa.float64())])
     value = lambda batch, c, k: batch[c][k].values
 
     def block(batch, s, k):
@@ -75,15 +75,16 @@ def between(asked: DataFrame, own: DataFrame, config: Config = DEFAULT) -> DataF
             out = []
             for k in range(batch.num_rows):
                 x, y = block(batch, "a", k), block(batch, "b", k)
-                d, body, _ = weighted_block(x, y, config.face_weight_across)
+                d, body, face = weighted_block(x, y, config.face_weight_across)
                 d, body = np.nan_to_num(d, nan=1.0), np.nan_to_num(body, nan=1.0)
                 both = x["has_face"][:, None] & y["has_face"][None]
-                out.append((d.min(), d[both].min() if both.any() else None, body.min()))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *(pa.array(list(c), pa.float64()) for c in (zip(*out, strict=True) if out else [[]] * 3))], schema=schema)
+                seen = np.nan_to_num(face[both], nan=1.0)
+                out.append((d.min(), d[both].min() if len(seen) else None, body.min(), seen.min() if len(seen) else None))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *(pa.array(list(c), pa.float64()) for c in (zip(*out, strict=True) if out else [[]] * 4))], schema=schema)
 
-    got = pairs.mapInArrow(run, "a long, b long, distance double, faced double, body double")
+    got = pairs.mapInArrow(run, "a long, b long, distance double, faced double, body double, face double")
     least = lambda c: F.round(F.min(c), DIGITS).alias(c)
-    return got.groupBy("a", "b").agg(least("distance"), least("faced"), least("body"))
+    return got.groupBy("a", "b").agg(least("distance"), least("faced"), least("body"), least("face"))
 
 
 def first_pass(pairs: DataFrame) -> DataFrame:
