@@ -8,7 +8,9 @@ DataFrame operations: sums by cell, sums of cells by value, a join of the cells'
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, join_checked, stored
@@ -17,6 +19,9 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Kinds of text by strings they hold, the first that fits.
 TOPICS = (("tabular", (" | ",)), ("legal", ("License", "Copyright")), ("marked", ("***", "###", "!!")), ("contact", ("@", "+1 (")))
 REST = "prose"
+#: Cells times values up to which all rounds are one expression over one row, which has the cells as arrays; more are joined.
+ONE_ROW = 1 << 21
+
 
 def topic_of(text: Column) -> Column:
     out = F
@@ -42,52 +47,116 @@ def target_share(dim: str, power: float, given: dict[str, float] | None) -> Colu
     return F.coalesce(F.element_at(F.create_map(*pairs), F.col(dim)), F.lit(0.0))
 
 
-def raked(cells: DataFrame, *, power: float = 0.5, targets: dict[str, dict[str, float]] | None = None, rounds: int = 20, tolerance: float = 1e-10) -> DataFrame:
+def raked(cells: DataFrame, *, power: float = 0.5, targets: dict[str, dict[str, float]] | None = None, rounds: int = 20, tolerance: float = 1e-10, one_row: int = ONE_ROW) -> DataFrame:
     """cells (source, lang, topic, tokens) with the columns weight and gap.
 
     The weights sum to the tokens of all cells and have the target margins up to gap, the largest relative miss of any
     value of any dimension. A weight is the cell's tokens times a factor of each of its values; a step sums the cells by
-    one dimension, by partial sums, and sets that dimension's factors. Rounds end when no step finds a miss above
-    tolerance, or after `rounds`: targets that no weights have leave a larger gap. A dimension without given targets
+    one dimension and sets that dimension's factors. Where cells times values, which are counted, are at most ONE_ROW, the
+    cells are arrays of one row and the rounds one expression; more cells are summed and joined by value, a round being
+    one plan and one stored table of factors. Both go on until no step of a round misses by more than tolerance, or for
+    `rounds`: targets that no weights have leave a larger gap. A dimension without given targets
     takes its token shares to `power`, so that small values gain. Cells without tokens stay at weight 0. What reaches
-    the driver is a miss for each step and three sums.
+    the driver are counts, a sum and a miss for each round.
     """
     targets = targets or {}
     cells = stored(cells, "cells")
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    factors = {}
+    filled = cells.where("tokens > 0")
+    total = F.lit(float(filled.agg(F.sum("tokens")).first()[0] or 0))
+    first = []
     for dim in DIMENSIONS:
-        margin = cells.groupBy(dim).agg(F.sum("tokens").alias("m")).where("m > 0").withColumn("share", target_share(dim, power, targets.get(dim)))
-        margin = stored(margin, "margin")
-        whole = margin.agg(F.sum("share")).first()[0]
-        factors[dim] = margin.select(dim, F.coalesce(F.try_divide(F.col("share") * F.lit(total), F.lit(whole)), F.lit(0.0)).alias(f"to_{dim}"), F.lit(1.0).alias(f"f_{dim}"))
+        margin = filled.groupBy(dim).agg(F.sum("tokens").alias("m")).withColumn("share", target_share(dim, power, targets.get(dim)))
+        to = F.try_divide(F.col("share") * total, F.sum("share").over(Window.partitionBy()))  # values of a dimension
+        first.append(margin.select(F.lit(dim).alias("dim"), F.col(dim).alias("value"), F.coalesce(to, F.lit(0.0)).alias("to"), F.lit(1.0).alias("f"), F.lit(None).cast("double").alias("miss")))
+    every = stored(functools.reduce(DataFrame.unionByName, first), "factors")
 
-    def weighed(but: str | None = None) -> DataFrame:
+    def own(table: DataFrame, dim: str) -> DataFrame:
+        return table.where(F.col("dim") == dim).select(F.col("value").alias(dim), F.col("to").alias(f"to_{dim}"), F.col("f").alias(f"f_{dim}"))
+
+    def weighed(factors: dict[str, DataFrame], but: str | None = None) -> DataFrame:
         """The cells with tokens, joined by the factors of all dimensions but one, and the product of these and the tokens."""
-        out, product = cells.where("tokens > 0"), F.col("tokens").cast("double")
+        out, product = filled, F.col("tokens").cast("double")
         for dim in DIMENSIONS:
             if dim != but:
-                out = out.join(factors[dim], dim)
-                product = product * F.col(f"f_{dim}")
+                out, product = out.join(factors[dim], dim), product * F.col(f"f_{dim}")
         return out.withColumn("weight", product)
 
-    gap = float("inf") if total else 0.0
-    for _ in range(rounds):
-        if gap <= tolerance:
-            break
-        gap = 0.0
+    sizes = [filled.count(), every.count()]
+    gap, done = float("inf") if sizes[0] else 0.0, 0
+    if sizes[0] and sizes[0] * sizes[1] <= one_row:
+        every, done = stored(_in_one_row(filled, every, rounds, tolerance), "factors"), rounds
+    while done < rounds and gap > tolerance:
+        factors, missed = {dim: own(every, dim) for dim in DIMENSIONS}, []
         for dim in DIMENSIONS:
             to, f = F.col(f"to_{dim}"), F.col(f"f_{dim}")
-            sums = weighed(dim).groupBy(dim).agg(F.sum("weight").alias("s")).join(factors[dim], dim)
-            miss = F.coalesce(F.abs(F.try_divide(F.col("s") * f, to) - 1), F.lit(0.0)).alias("miss")
-            made = stored(sums.select(dim, to, F.coalesce(F.try_divide(to, F.col("s")), F.lit(0.0)).alias(f"f_{dim}"), miss), "factors")
-            gap = max(gap, made.agg(F.max("miss")).first()[0] or 0.0)
+            sums = weighed(factors, dim).groupBy(dim).agg(F.sum("weight").alias("s")).join(factors[dim], dim)
+            miss = F.coalesce(F.abs(F.try_divide(F.col("s") * f, to) - 1), F.lit(0.0))
+            made = sums.select(dim, to, F.coalesce(F.try_divide(to, F.col("s")), F.lit(0.0)).alias(f"f_{dim}"), miss.alias("miss"))
             factors[dim] = made.drop("miss")
-    done = weighed()
-    missed = [done.groupBy(dim).agg(F.max(f"to_{dim}").alias("to"), F.sum("weight").alias("s")).select("to", "s") for dim in DIMENSIONS]
-    gap = missed[0].unionByName(missed[1]).unionByName(missed[2]).agg(F.max(F.abs(F.try_divide(F.col("s"), F.col("to")) - 1))).first()[0] if total else None
+            missed.append(made.select(F.lit(dim).alias("dim"), F.col(dim).alias("value"), to.alias("to"), F.col(f"f_{dim}").alias("f"), "miss"))
+        every = stored(functools.reduce(DataFrame.unionByName, missed), "factors")
+        done += 1
+        gap = every.agg(F.max("miss")).first()[0] or 0.0
+    out = weighed({dim: own(every, dim) for dim in DIMENSIONS})
+    last = [out.groupBy(dim).agg(F.max(f"to_{dim}").alias("to"), F.sum("weight").alias("s")).select("to", "s") for dim in DIMENSIONS]
+    gap = functools.reduce(DataFrame.unionByName, last).agg(F.max(F.abs(F.try_divide(F.col("s"), F.col("to")) - 1))).first()[0]
     none = cells.where("tokens <= 0 OR tokens IS NULL").withColumn("weight", F.lit(0.0))
-    return done.select(*DIMENSIONS, "tokens", "weight").unionByName(none.select(*DIMENSIONS, "tokens", "weight")).withColumn("gap", F.lit(gap).cast("double"))
+    return out.select(*DIMENSIONS, "tokens", "weight").unionByName(none.select(*DIMENSIONS, "tokens", "weight")).withColumn("gap", F.lit(gap).cast("double"))
+
+
+def _in_one_row(filled: DataFrame, every: DataFrame, rounds: int, tolerance: float) -> DataFrame:
+    """every (dim, value, to, f, miss) after the rounds, by folding steps over arrays of one row.
+
+    Each dimension's values are numbered; a cell has its tokens and the numbers of its values. A step sums the cells of each
+    value with the factors of the other dimensions and sets the value's factor.
+    """
+    values = every.groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("value", "to"))).alias("v"))
+    listed = values.agg(F.map_from_entries(F.collect_list(F.struct("dim", "v"))).alias("m")).select(*(F.col("m")[dim].alias(f"v_{dim}") for dim in DIMENSIONS))
+    whole = filled.agg(F.collect_list(F.struct(*DIMENSIONS, F.col("tokens").cast("double").alias("tokens"))).alias("c")).unionByName(listed, allowMissingColumns=True)
+    row = whole.agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("c", *(f"v_{dim}" for dim in DIMENSIONS))))
+    number = lambda c, dim: F.array_position(F.transform(f"v_{dim}", lambda x: x["value"]), c[dim]).cast("int")
+    row = row.withColumn("cells", F.transform("c", lambda c: F.struct(*(number(c, dim).alias(dim) for dim in DIMENSIONS), c["tokens"].alias("tokens"))))
+
+    def step(acc: Column, dim: str) -> tuple[Column, Column]:
+        """The dimension's factors after a step, and its largest miss before."""
+        others = [d for d in DIMENSIONS if d != dim]
+
+        def sums(number: Column) -> Column:
+            weight = lambda c: c["tokens"] * F.get(acc[others[0]], c[others[0]] - 1) * F.get(acc[others[1]], c[others[1]] - 1)
+            return F.aggregate(F.filter("cells", lambda c: c[dim] == number), F.lit(0.0), lambda x, c: x + weight(c))
+
+        each = F.transform(f"v_{dim}", lambda v, i: F.struct(v["to"].alias("to"), sums(i + 1).alias("s"), F.get(acc[dim], i).alias("f")))
+        new = F.transform(each, lambda x: F.coalesce(F.try_divide(x["to"], x["s"]), F.lit(0.0)))
+        miss = F.array_max(F.transform(each, lambda x: F.coalesce(F.abs(F.try_divide(x["s"] * x["f"], x["to"]) - 1), F.lit(0.0))))
+        return new, miss
+
+    def one_round(acc: Column, _: Column) -> Column:
+        now = acc
+        for dim in DIMENSIONS:
+            now = once(now, set_factors(dim))
+        return now
+
+    def once(value: Column, use) -> Column:
+        """use(value), where value is made once: it is the variable of a transform over one element."""
+        return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+    def set_factors(dim: str):
+        def use(acc: Column) -> Column:
+            new, miss = step(acc, dim)
+            return F.struct(*((new if d == dim else acc[d]).alias(d) for d in DIMENSIONS), F.greatest(acc["miss"], miss).alias("miss"))
+
+        return use
+
+    start = F.struct(*(F.transform(f"v_{dim}", lambda _: F.lit(1.0)).alias(dim) for dim in DIMENSIONS), F.lit(float("inf")).alias("miss"))
+    reset = lambda acc: F.struct(*(acc[d].alias(d) for d in DIMENSIONS), F.lit(0.0).alias("miss"))
+    fold = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda acc, k: F.when(acc["miss"] <= tolerance, acc).otherwise(one_round(reset(acc), k)))
+
+    def row_of(dim: str):
+        return lambda v, i: F.struct(F.lit(dim).alias("dim"), v["value"].alias("value"), v["to"].alias("to"), F.get(F.col(f"acc.{dim}"), i).alias("f"), F.col("acc.miss").alias("miss"))
+
+    done = row.select(fold.alias("acc"), *(f"v_{dim}" for dim in DIMENSIONS))
+    back = [F.transform(f"v_{dim}", row_of(dim)) for dim in DIMENSIONS]
+    return done.select(F.explode(F.concat(*back)).alias("x")).select("x.*")
 
 
 def uniform(key: str, seed: int) -> Column:

@@ -170,6 +170,16 @@ def test_raked_margins(spark):
         assert sum(r["weight"] for r in got if r["source"] == s) == pytest.approx(want, rel=1e-5)
 
 
+@pytest.mark.parametrize("given", [None, {"lang": {"en": 3.0, "de": 1.0}, "topic": {"prose": 1.0}}])
+def test_raking_in_one_row_and_by_joins(spark, sf_dir, given):
+    """Cells as arrays of one row have the weights and the gap of cells that are joined by value."""
+    cells = mixing.described(table(spark, sf_dir, "documents")).groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
+    cells = cells.unionByName(spark.createDataFrame([("none", "none", "prose", 0), ("only", "here", "legal", 7)], cells.schema))
+    one, many = ({tuple(r[:3]): r for r in mixing.raked(cells, targets=given, one_row=n).collect()} for n in (1 << 21, 0))
+    assert set(one) == set(many) and len(one) > 20
+    assert all(one[k]["weight"] == pytest.approx(many[k]["weight"], rel=1e-9, abs=1e-9) and one[k]["gap"] == pytest.approx(many[k]["gap"], abs=1e-9) for k in one)
+
+
 def test_sampled_tokens_have_the_target_shares(spark, sf_dir):
     docs = table(spark, sf_dir.replace("0.001", "0.1"), "documents")
     got = mixing.mixture(docs).select("lang", (F.col("tokens") * F.col("copies")).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")).collect()
