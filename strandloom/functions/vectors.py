@@ -37,6 +37,12 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def weighted_concat(a: Column, b: Column, first: float = 0.7, second: float = 0.3) -> Column:
+    """The elements of a times first, then those of b times second; a alone, unweighted, where b is null."""
+    scaled = lambda x, w: F.transform(x, lambda v: v * F.lit(w))
+    return F.when(b.isNull(), a).otherwise(F.concat(scaled(a, first), scaled(b, second)))
+
+
 def clipped(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..sources.named import write_named
 
+#: Names of the catalogue's files. Fixed values.
+CATALOGUE_CSV, CATALOGUE_JSON = "global_identity_catalogue_v3.csv", "global_identity_catalogue_v3.json"
 #: Number of overlay colours.
 COLOURS = 15
 
@@ -88,3 +91,29 @@ def dataset_summary(labels: DataFrame) -> DataFrame:
 def write_scenes(results: DataFrame, path: str) -> None:
     """Scene results, an object for each clip, as JSON in a folder for each clip."""
     results.withColumn("clip", F.col("clip_id")).write.mode("overwrite").partitionBy("clip").json(path)
+
+
+def scene_file(clip: Column) -> Column:
+    """The name of a clip's result file."""
+    return F.format_string("clip%s_crime_validated.json", clip)
+
+
+def base_name(path: Column) -> Column:
+    """What follows the last slash of a path; a path that ends in one has an empty base name."""
+    return F.substring_index(path, "/", -1)
+
+
+def write_scene_files(results: DataFrame, path: str) -> list[str]:
+    """Scene results as one JSON file a clip, path/clip<n>_crime_validated.json, all of them or none; the names."""
+    return write_named(results, scene_file(F.col("clip_id")), path, "json")
+
+
+def write_catalogue_file(catalogue: DataFrame, path: str, name: str = CATALOGUE_CSV) -> list[str]:
+    """The catalogue's four columns with a header as the one file path/name, streamed by one task; write_csv() is for many tasks."""
+    out = catalogue.select(F.col("global_id").cast("long"), F.col("clip_idx").cast("int"), F.col("start_frame").cast("int"), F.col("end_frame").cast("int"))
+    return write_named(out, F.lit(name), path, "csv", order=["clip_idx", "start_frame", "end_frame", "global_id"], header=True)
+
+
+def write_catalogue_document(catalogue: DataFrame, path: str, name: str = CATALOGUE_JSON, config: Config = DEFAULT) -> list[str]:
+    """document() as the one file path/name."""
+    return write_named(document(catalogue, config), F.lit(name), path, "json")

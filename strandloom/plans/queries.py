@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import weighted_concat
 from ..operators import cluster, distance, encoders, export, features, match, overlap, scene
 from ..sources import proxies
 from ..sources.tables import stored
@@ -67,6 +68,23 @@ def frame_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proxies.detections(spark, sf_dir).select("event_id", F.round(q, 6).alias("quality"))
 
 
+@query(
+    f"""WITH {O.tracklets(NEAR)}, v AS (SELECT track_id, CASE WHEN has_face THEN list_concat(list_transform(body, lambda x: x * 0.7::DOUBLE), list_transform(face, lambda x: x * 0.3::DOUBLE)) ELSE body END AS vec FROM trk)
+SELECT track_id, pos::INT AS pos, round(value, 6) + 0 AS value FROM (SELECT track_id, generate_subscripts(vec, 1) - 1 AS pos, unnest(vec) AS value FROM v)"""
+)
+def combined_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Body and face in one vector by their weights; the body alone without a face."""
+    t = proxies.tracklets(spark, sf_dir, NEAR)
+    return _exploded(t.select("track_id", weighted_concat(F.col("body"), F.when(F.col("has_face"), F.col("face"))).alias("vec")), "track_id")
+
+
+@query("SELECT page_id, split_part(url, '/', -1) AS name, 'clip' || page_id || '_crime_validated.json' AS file FROM pages")
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base names of paths, and the names of a clip's result file, over the urls of the pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", export.base_name(F.col("url")).alias("name"), export.scene_file(F.col("page_id")).alias("file"))
+
+
 @query(f"WITH {O.tracklets(NEAR)} SELECT track_id, clip_idx, start_frame, end_frame FROM trk WHERE end_frame - start_frame >= 30")
 def length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.long_enough(_tracks(spark, sf_dir)).select("track_id", "clip_idx", "start_frame", "end_frame")
