@@ -311,8 +311,39 @@ def hybrid(tracks: DataFrame) -> DataFrame:
     return pairs.select("a.clip_idx", F.col("a.track_id").alias("i"), F.col("b.track_id").alias("j"), out.alias("distance"))
 
 
-def neighbours(rows: DataFrame, key: str, k: int, vector: str = "body") -> DataFrame:
-    """key, other, distance, rank from 1: the k nearest other rows by cosine, ties to the smaller key."""
+def reachable_tiles(blocks: DataFrame, reach: DataFrame) -> DataFrame:
+    """(_a, _b), stored: ordered pairs of unlike tiles, such that a row of _b may be within the reach of a row of _a.
+
+    blocks: (_tile, _block) with vec; reach: (_tile, reach), the largest cosine distance that matters to a row of the tile.
+    Bounds are those of the tiles' cones; a row without a direction is at distance 1 from all others.
+    """
+    schema = pa.schema([("_tile", pa.int32()), ("centre", pa.list_(pa.float64())), ("wide", pa.float64()), ("none", pa.float64())])
+
+    def cones(batches):
+        for batch in batches:
+            for tile, block in zip(batch["_tile"].to_pylist(), batch["_block"], strict=True):
+                x = units(unpacked(block.as_buffer())["vec"])
+                centre, wide = _cone(x)
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((tile, centre, wide, float(np.isnan(x).any())), schema, strict=True)], schema=schema)
+
+    def bound(a: Block, b: Block) -> pd.DataFrame:
+        apart = np.arccos(np.clip(a["centre"] @ b["centre"].T, -1, 1)) - np.maximum(a["wide"], 0)[:, None] - np.maximum(b["wide"], 0)[None] - 1e-7
+        least = 1 - np.cos(np.clip(apart, 0, np.pi))
+        least[(a["wide"][:, None] < 0) | (b["wide"][None] < 0)] = np.inf
+        least = np.where((a["none"][:, None] > 0) | (b["none"][None] > 0), np.minimum(least, 1.0), least) - 1e-8
+        other = a["tile"][:, None] != b["tile"][None]
+        (i, j), (m, n) = np.nonzero(other & (least <= a["reach"][:, None])), np.nonzero(other & (least <= b["reach"][None]))
+        return pd.DataFrame({"_a": np.concatenate((a["tile"][i], b["tile"][n])).astype(np.int64), "_b": np.concatenate((b["tile"][j], a["tile"][m])).astype(np.int64)})
+
+    own = stored(blocks.mapInArrow(cones, "_tile int, centre array<double>, wide double, none double").join(reach, "_tile").withColumnRenamed("_tile", "tile"), "cones")
+    return stored(grid(own, "tile", bound, "_a long, _b long", directed=False, tile=BOUNDS).distinct(), "reachable")
+
+
+def neighbours(rows: DataFrame, key: str, k: int, vector: str = "body", tile: int = TILE) -> DataFrame:
+    """key, other, distance, rank from 1: the k nearest other rows by cosine, ties to the smaller key.
+
+    Each tile is searched by itself first; the k-th distances found bound which other tiles can hold a nearer row.
+    """
 
     def kernel(a: Block, b: Block) -> pd.DataFrame:
         d = np.round(np.nan_to_num(1 - a["vec"] @ b["vec"].T, nan=1.0), 9)
@@ -325,9 +356,16 @@ def neighbours(rows: DataFrame, key: str, k: int, vector: str = "body") -> DataF
         i, j = i[place < k], j[place < k]
         return pd.DataFrame({"key": a["key"][i], "other": b["key"][j], "distance": d[i, j]})
 
-    cells = grid(rows.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vec")), "key", kernel, "key long, other long, distance double", directed=True, ready=_units("vec"))
+    schema = "key long, other long, distance double"
+    tiles = around_pivots(rows.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vec")), "key", "vec", tile)
+    blocks = packed_tiles(tiles)
+    cells = lambda visits: run_cells(visits.select("_a", "_b", F.explode(F.array_distinct(F.array(F.col("_a").cast("int"), F.col("_b").cast("int")))).alias("_tile")).join(blocks, "_tile"), kernel, schema, _units("vec"))
+    own = stored(cells(blocks.select(F.col("_tile").cast("long").alias("_a"), F.col("_tile").cast("long").alias("_b"))), "own")
+    held = own.groupBy("key").agg(F.when(F.count("*") >= k, F.max("distance")).alias("last"))
+    every = tiles.select("_tile", "key").join(held, "key", "left").groupBy("_tile").agg(F.max(F.coalesce("last", F.lit(2.5))).alias("reach"))
+    found = own.unionByName(cells(reachable_tiles(blocks, every)))
     rank = F.row_number().over(Window.partitionBy("key").orderBy("distance", "other"))
-    return cells.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def k_reciprocal(rows: DataFrame, key: str, k: int = 25, blend: float = 0.5, vector: str = "body") -> DataFrame:
