@@ -176,7 +176,8 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", *, fractio
     rate is the expected number of copies. With repeat a row has floor(rate) copies and one more by chance of the
     rest; without, one by chance of the rate, which then can't pass 1. The expected tokens are `fraction` of those
     of docs (with repeat), with the target margins. Rows without tokens are never sampled. Rows with one key draw
-    the same number. An empty table gives an empty result; other columns play no part.
+    the same number. A null source or language is the value none, a null text has no tokens; texts are read whole. An
+    empty table gives an empty result; other columns play no part.
     """
     rows = stored(described(docs, key, text), "described")
     rates = sampling_rates(rows, fraction=fraction, power=power, targets=targets, rounds=rounds)

@@ -393,7 +393,10 @@ def _keys(texts: list[str | None], seed: int, epoch: int) -> list[int]:
 
 
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", *, dropout: float = 0.1, seed: int = 7, epoch: int = 0) -> DataFrame:
-    """(key, ids array<int>) for each row of docs: the whole text's pieces; a null text has null ids, an empty one no ids."""
+    """(key, ids array<int>) for each row of docs: the whole text's pieces; a null text has null ids, an empty one no ids.
+
+    dropout 0 skips no merge, 1 all of them. Equal rows and null keys stay; an empty table gives an empty result.
+    """
     sent = _sent(docs, model)
     drop = int(dropout * 2.0**64)
 
@@ -404,7 +407,10 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
 
 
 def decode(tokens: DataFrame, model: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(key, text) for each row of tokens (ids array<int>); null ids give a null text."""
+    """(key, text) for each row of tokens (ids array<int>); null ids give a null text, no ids an empty one.
+
+    Equal rows and null keys stay; an empty table gives an empty result; other columns play no part.
+    """
     sent = _sent(tokens, model)
     kind = tokens.schema[key].dataType.simpleString()
 
