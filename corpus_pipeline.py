@@ -6,11 +6,14 @@ through as an empty table; further columns, also with names that the operators u
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.llm import copies, mixing, pieces, pii, quality, simhash
-from strandloom.llm.common import stored, table
+from strandloom.llm.common import table
 from strandloom.llm.queries import MODEL
+from strandloom.sources.tables import own_dir, scope
 
 
 def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
+    """All stages over documents; each but the last is written to the shared folder and read again, what it stored besides is deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        with scope(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
