@@ -181,17 +181,20 @@ def disclosed(rows: DataFrame, words: DataFrame, support: int, generalise: float
     near = rows.where("size(near) > 0").select("key", "same", F.explode("near").alias("w")).select("key", "same", "w.*")
     near = stored(near, "near")
     holders = near.select("key", "same").distinct().count()
-    unlike = F.least(F.count_distinct("context"), F.count_distinct("same"))
-    pairs = stored(near.groupBy("entity", "term").agg(unlike.alias("unlike")).where(F.col("unlike") >= support), "pairs")
     # documents, not places: a document counts once for a pair, an entity or a term
-    once = lambda df, *by: df.select(*by, "key", "same").distinct().groupBy(*by)
-    hits = once(join_checked(near, pairs, ["entity", "term"]), "entity", "term", "unlike").agg(F.count("*").alias("n_te"))
-    entity = once(join_checked(near, stored(pairs.select("entity").distinct(), "entities"), "entity"), "entity").agg(F.count("*").alias("n_e"))
+    documents = F.count_distinct(F.struct("key", "same"))
+    unlike = F.least(F.count_distinct("context"), F.count_distinct("same"))
+    pairs = near.groupBy("entity", "term").agg(unlike.alias("unlike"), documents.alias("n_te")).where(F.col("unlike") >= support)
+    pairs = stored(pairs, "pairs")
     terms = stored(pairs.select(F.col("term").alias("word")).distinct(), "terms")
     # a word's partial counts, one of each task that met it, are summed before they meet the terms
     whole = words.groupBy("word").agg(F.sum("df").alias("n_t"))
-    freq = join_checked(whole, terms, "word").select(F.col("word").alias("term"), "n_t")
-    flagged = hits.join(entity, "entity").join(freq, "term").withColumn("left", bits_left(F.col("n_te"), F.col("n_t"), F.col("unlike"))).where((F.col("left") <= generalise) & (F.col("left") < F.log2(F.lit(holders + 1.0) / F.col("n_e")) + 1e-12))
+    freq = stored(join_checked(whole, terms, "word").select(F.col("word").alias("term"), "n_t"), "freq")
+    left = bits_left(F.col("n_te"), F.col("n_t"), F.col("unlike"))
+    close = stored(join_checked(pairs, freq, "term").withColumn("left", left).where(F.col("left") <= generalise), "close")
+    some = stored(close.select("entity").distinct(), "entities")
+    entity = stored(join_checked(near.select("entity", "key", "same"), some, "entity").groupBy("entity").agg(documents.alias("n_e")), "n_e")
+    flagged = join_checked(close, entity, "entity").where(F.col("left") < F.log2(F.lit(holders + 1.0) / F.col("n_e")) + 1e-12)
     return stored(flagged.select("entity", "term", "n_e", "n_t", "n_te", "left"), "flagged"), near
 
 
