@@ -27,6 +27,9 @@ PIVOTS, BOUNDS = 256, 1024
 #: Rows of a tile at most, about; fewest tiles of small groups, so that small tables are spread as well; rows of a tile that are compared at once.
 TILE, LEAST, STEP = 8192, 4, 512
 
+#: Types of a kernel's columns.
+KINDS = {"long": pa.int64(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+
 Block = dict[str, np.ndarray]
 
 
@@ -107,14 +110,14 @@ def packed_tiles(tiles: DataFrame) -> DataFrame:
 
 def run_cells(dealt: DataFrame, kernel: Callable[[Block, Block], pd.DataFrame], schema: str, ready: Callable[[Block], Block]) -> DataFrame:
     """The kernel over each cell (_a, _b) of dealt, which has the blocks (_tile, _block) of both."""
-    names = [x.split()[0] for x in schema.split(", ")]
+    made = pa.schema([(name, KINDS[kind]) for name, kind in (x.split() for x in schema.split(", "))])
 
     def run(cell: tuple, table: pa.Table) -> pa.Table:
         at = dict(zip(table["_tile"].to_pylist(), table["_block"], strict=True))
         left, right = (ready(unpacked(at[c.as_py()].as_buffer())) for c in cell)
         n = len(next(iter(left.values())))
         out = [kernel({k: v[i : i + STEP] for k, v in left.items()}, right) for i in range(0, n, STEP)]
-        return pa.Table.from_pandas(pd.concat(out)[names], preserve_index=False)
+        return pa.Table.from_pandas(pd.concat(out)[made.names], schema=made, preserve_index=False)
 
     return dealt.select("_a", "_b", "_tile", "_block").groupBy("_a", "_b").applyInArrow(run, schema)
 
@@ -289,12 +292,6 @@ def chamfer(rows: DataFrame, key: str, group: str, vector: str = "body") -> Data
     return _both_ways(directed, F.avg("d"))
 
 
-def hausdorff(rows: DataFrame, key: str, group: str, vector: str) -> DataFrame:
-    """Larger of the two directed largest nearest Euclidean distances of each pair of groups."""
-    directed = nearest_in_groups(rows, key, group, "euclidean", vector).groupBy("group", "other").agg(F.max("nearest").alias("d"))
-    return _both_ways(directed, F.max("d"))
-
-
 def _both_ways(directed: DataFrame, made) -> DataFrame:
     return directed.groupBy(F.least("group", "other").alias("i"), F.greatest("group", "other").alias("j")).agg(made.alias("distance"))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.vectors import ZERO, first_match, unit
+from ..sources.tables import stored
 
 TRACK = ("clip_idx", "track_id")
 
@@ -155,35 +158,57 @@ def ema_vectors(rows: DataFrame, by: list[str], order: str, vector: str, config:
     return rows.select(*by, order, vector).repartition(int(parts), *by).sortWithinPartitions(*by, order).mapInPandas(run, schema)
 
 
+def numbered(rows: DataFrame, by: list[str], order: str, score: str) -> DataFrame:
+    """by, order, place, n: each row's place from 1 in its group, by score downwards, then order; and the group's rows.
+
+    Rows are dealt by ranges of (by, score, order), so that a large group is many tasks' work; only counts of ranges meet
+    by group. Null and NaN scores come last.
+    """
+    own = rows.select(*by, order, F.when(~F.isnan(score), F.col(score)).alias("_score"))
+    sort = [F.desc_nulls_last("_score"), F.asc(order)]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(own.repartitionByRange(parts, *by, *sort).withColumn("_part", F.spark_partition_id()), "ranges")
+    whole = Window.partitionBy(*by)
+    earlier = F.coalesce(F.sum("_rows").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_rows")).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_part").alias("_p"), earlier.alias("_earlier"), F.sum("_rows").over(whole).alias("n"))
+    inside = dealt.withColumn("_at", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*sort)))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.col("_part") == F.col("_p"))
+    return inside.join(counts, same).select(*by, order, (F.col("_at") + F.col("_earlier")).alias("place"), "n")
+
+
 def representatives(rows: DataFrame, by: list[str], order: str, vector: str, score: str, most: int = 15, config: Config = DEFAULT) -> DataFrame:
     """by, order of the rows chosen to stand for each group: all if few, else the best by score, the first left, then the farthest.
 
-    The best max(5, 0.3 n) come by score; unless `enforce_budget` is set they may pass `most`. A group is one task's work.
+    The best max(5, 0.3 n) come by score; unless `enforce_budget` is set they may pass `most`. Where they reach `most`, no
+    vector is looked at and a group of any size is many tasks' work (numbered); the farthest are chosen only in groups of
+    fewer than (most + 1) / 0.3 rows or 6, which are one task's work each. Null and NaN scores come last, null vectors and
+    components count as zero; rows alike in all are each counted.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, order])
-    enforce = config.enforce_budget
+    best = F.greatest(F.lit(5), F.floor(F.lit(0.3) * F.col("n")))
+    places = stored(numbered(rows, by, order, score), "places")
+    all_of, by_score = F.col("n") <= most, best >= most
+    ranked = places.where(all_of | (by_score & (F.col("place") <= (F.lit(most) if config.enforce_budget else best)))).select(*by, order)
+    open_rows = stored(places.where(~all_of & ~by_score).select(*(F.col(c).alias(f"_{c}") for c in [*by, order])), "open")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, order]))
+    left = rows.select(*by, order, vector, score).join(open_rows, same, "left_semi")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        n = len(pdf)
-        if n > most:
-            best = max(5, int(0.3 * n))
-            taken = np.argsort(-pdf[score].to_numpy(), kind="stable")[: min(best, most) if enforce else best].tolist()
-            x = np.array(pdf[vector].tolist(), float)
-            x /= np.linalg.norm(x, axis=1, keepdims=True) + ZERO
-            if len(taken) < most:
-                left = [i for i in range(n) if i not in set(taken)]
-                picked = left[:1]
-                near = 1 - x @ x[picked[0]] if picked else None
-                while len(taken) + len(picked) < most and len(picked) < len(left):
-                    masked = np.full(n, -np.inf)
-                    rest = [i for i in left if i not in picked]
-                    masked[rest] = near[rest]
-                    picked.append(int(masked.argmax()))
-                    near = np.minimum(near, 1 - x @ x[picked[-1]])
-                taken += picked
-            pdf = pdf.iloc[sorted(taken)]
-        return pdf[[*by, order]]
-
-    return rows.groupBy(*by).applyInPandas(choose, schema)
+        chosen = np.zeros(len(pdf), bool)
+        chosen[np.argsort(-pdf[score].to_numpy(float), kind="stable")[: max(5, int(0.3 * len(pdf)))]] = True
+        width = max((len(v) for v in pdf[vector] if v is not None), default=0)
+        x = np.nan_to_num(np.array([np.zeros(width) if v is None else v for v in pdf[vector]], float))
+        x /= np.linalg.norm(x, axis=1, keepdims=True) + ZERO
+        near = np.full(len(pdf), np.inf)
+        for _ in range(most - int(chosen.sum())):
+            free = np.where(chosen, -np.inf, near)
+            pick = int(free.argmax())  # the first one left, as long as nothing was picked
+            if chosen[pick]:
+                break
+            chosen[pick] = True
+            near = np.minimum(near, 1 - x @ x[pick])
+        return pdf.loc[chosen, [*by, order]]
+
+    return ranked.unionByName(left.groupBy(*by).applyInPandas(choose, schema))

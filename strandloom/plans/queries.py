@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import weighted_concat
-from ..operators import cluster, distance, encoders, export, features, match, overlap, scene
+from ..operators import cluster, distance, encoders, export, features, match, overlap, scene, spatial
 from ..sources import proxies
 from ..sources.tables import stored
 from ..streaming import drain
@@ -269,7 +269,7 @@ def hausdorff_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = proxies.detections(spark, sf_dir)
     centres = d.select("clip_idx", ((F.col("x1") + F.col("x2")) / 2.0).alias("x"), ((F.col("y1") + F.col("y2")) / 2.0).alias("y")).distinct()
     rows = centres.select(F.xxhash64("clip_idx", "x", "y").alias("key"), "clip_idx", F.array("x", "y").alias("at"))
-    return distance.hausdorff(rows, "key", "clip_idx", "at").select(F.col("i").alias("clip_i"), F.col("j").alias("clip_j"), *_r("distance"))
+    return spatial.hausdorff(rows, "key", "clip_idx", "at").select(F.col("i").alias("clip_i"), F.col("j").alias("clip_j"), *_r("distance"))
 
 
 @query(
