@@ -12,7 +12,7 @@ from ..sources.tables import stored
 from .distance import TILE, Block, grid, nearest, packed, unpacked
 
 #: Cells along each of the first two axes: at most CELLS^2 occupied cells a group. Points of a block at most, about.
-CELLS, POINTS = 64, 4096
+CELLS, POINTS = 32, 4096
 
 
 def in_cells(rows: DataFrame, key: str, group: str, vector: str, cells: int = CELLS) -> DataFrame:
@@ -49,15 +49,23 @@ def _bounds(a: Block, b: Block) -> pd.DataFrame:
     names, first = np.unique(b["group"][order], return_index=True)
     least, most, cells = np.sqrt(least[:, order]), np.sqrt(most[:, order]), b["cell"][order]
     low, high = np.minimum.reduceat(least, first, axis=1), np.minimum.reduceat(most, first, axis=1)
-    floor = {g: low[a["group"] == g].max(axis=0) for g in np.unique(a["group"])}
+    own, at = np.unique(a["group"], return_inverse=True)
+    floor = np.full((len(own), len(names)), -np.inf)
+    np.maximum.at(floor, at, low)
+    keep = (names[None] != a["group"][:, None]) & (high * (1 + 1e-9) >= floor[at])
     ends, out = [*first[1:], len(order)], []
-    for i, g in enumerate(a["group"]):
-        for k in np.nonzero((names != g) & (high[i] * (1 + 1e-9) >= floor[g]))[0]:
-            s = slice(first[k], ends[k])
-            out.append((g, a["cell"][i], names[k], low[i, k], high[i, k], cells[s][least[i, s] <= high[i, k] * (1 + 1e-9)]))
+    for i, k in zip(*np.nonzero(keep), strict=True):
+        s = slice(first[k], ends[k])
+        out.append((a["group"][i], a["cell"][i], names[k], low[i, k], high[i, k], cells[s][least[i, s] <= high[i, k] * (1 + 1e-9)]))
     return pd.DataFrame(out, columns=["group", "cell", "other", "low", "high", "cells"])
 
 
+def _by_group(b: Block) -> Block:
+    """A block with a group's cells one after another, so that a stretch holds most of them and its floor is high."""
+    order = np.argsort(b["group"], kind="stable")
+    return {k: v[order] for k, v in b.items()}
+
+
 def visits(cells: DataFrame, tile: int = TILE) -> DataFrame:
     """group, cell, other, cells, stored: the cells of a group that may hold its farthest point from another group, with those of the other that may hold the nearest ones.
 
@@ -65,7 +73,7 @@ def visits(cells: DataFrame, tile: int = TILE) -> DataFrame:
     A group's cells are one tile at most, so bounds are whole; those of stretches are joined by their maximum here.
     """
     kinds = "group long, cell long, other long, low double, high double, cells array<long>"
-    found = stored(grid(cells, "cell", _bounds, kinds, directed=True, group="group", tile=tile), "bounds")
+    found = stored(grid(cells, "cell", _bounds, kinds, directed=True, group="group", ready=_by_group, tile=tile), "bounds")
     floor = found.groupBy("group", "other").agg(F.max("low").alias("floor"))
     return stored(found.join(floor, ["group", "other"]).where(F.col("high") * (1 + 1e-9) >= F.col("floor")).select("group", "cell", "other", "cells"), "visits")
 
@@ -74,14 +82,15 @@ def hausdorff(rows: DataFrame, key: str, group: str, vector: str, cells: int = C
     """i, j, distance of each pair of groups: the larger of the two directed largest nearest Euclidean distances.
 
     Points are compared only where boxes of cells leave it open which is the farthest, and only with the cells that can
-    hold its nearest point; so work follows the cells at the edge of a group, not pairs of points. A full cell is several
+    hold its nearest point, and no others are packed or sent; so work follows the cells at the edge of a group, not pairs of points. A full cell is several
     blocks. Rows that in_cells() leaves out count as absent; a group without points is in no pair. Vectors of a table
     have one length.
     """
     points = in_cells(rows, key, group, vector, cells)
     own = stored(boxes(points), "boxes")
     seen = visits(own, max(TILE, 2 * cells * cells))
-    parts = points.join(own.select("group", "cell", F.ceil(F.col("count") / POINTS).alias("parts")), ["group", "cell"])
+    needed = seen.select("group", "cell").union(seen.select("other", F.explode("cells"))).distinct()
+    parts = points.join(stored(needed, "needed"), ["group", "cell"], "left_semi").join(own.select("group", "cell", F.ceil(F.col("count") / POINTS).alias("parts")), ["group", "cell"])
     dealt = parts.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).select("group", "cell", "part", "key", "vec")
 
     def block(at: tuple, table: pa.Table) -> pa.Table:
