@@ -333,3 +333,22 @@ def test_grid_tiles_give_the_same(spark, monkeypatch, tile):
     for k, _, x in points[::9]:
         order = sorted((round(cos(x, y), 9), o) for o, _, y in points if o != k)
         assert [near[k, r] for r in (1, 2, 3)] == [o for _, o in order[:3]]
+
+
+def test_pairs_of_a_clip_come_from_many_cells(spark):
+    """One clip, one stretch of time: its pairs are dealt over cells of bounded size, whose tasks are many; all pairs are there once."""
+    rng = np.random.default_rng(8)
+    tracks = [(k, 0, k // 8, k // 8 + 40, k % 3 != 0, *(rng.normal(size=4).tolist() for _ in range(4)), k + 1) for k in range(120)]
+    df = spark.createDataFrame(tracks, "track_id long, clip_idx int, start_frame int, end_frame int, has_face boolean, body array<double>, face array<double>, pose array<double>, motion array<double>, ord int")
+
+    def kernel(a, b):
+        x, y = np.divmod(np.arange(len(a["ord"]) * len(b["ord"])), len(b["ord"]))
+        return x, y, {}
+
+    cells = distance.within_clips(df, ["start_frame", "end_frame"], lambda a, b: (*kernel(a, b)[:2], {"n": np.ones(len(a["ord"]) * len(b["ord"]), np.int64)}), "n long", part=16)
+    assert sorted((r["i"], r["j"]) for r in cells.collect()) == [(i, j) for i in range(120) for j in range(i + 1, 120)]
+    assert cells.rdd.glom().map(len).filter(lambda n: n > 0).count() >= 8
+    far = [(k, 0, 100 * (k // 16), 100 * (k // 16) + 50, True, *tracks[k][5:]) for k in range(64)]
+    apart = distance.within_clips(spark.createDataFrame(far, df.schema), ["start_frame", "end_frame"], lambda a, b: (*kernel(a, b)[:2], {"n": np.ones(len(a["ord"]) * len(b["ord"]), np.int64)}), "n long", part=16, touching=True)
+    assert apart.count() == 4 * 16 * 15 // 2
+    assert distance.rounded(np.array([0.0078125, -1e-9, 0.5]), 6).tolist() == [0.007813, 0.0, 0.5]
