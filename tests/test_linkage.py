@@ -352,3 +352,25 @@ def test_pairs_of_a_clip_come_from_many_cells(spark):
     apart = distance.within_clips(spark.createDataFrame(far, df.schema), ["start_frame", "end_frame"], lambda a, b: (*kernel(a, b)[:2], {"n": np.ones(len(a["ord"]) * len(b["ord"]), np.int64)}), "n long", part=16, touching=True)
     assert apart.count() == 4 * 16 * 15 // 2
     assert distance.rounded(np.array([0.0078125, -1e-9, 0.5]), 6).tolist() == [0.007813, 0.0, 0.5]
+
+
+def test_chains_keep_no_edges(spark):
+    """Many alike tracklets of one clip: a tail's later tracks are looked at some at a time, and the plan joins no edges."""
+    n = 1500
+    rows = [(k, 0, k % 300, k % 300 + 30 + k % 7, True, [1.0, 0.01 * (k % 5)], [1.0, 0.0]) for k in range(n)]
+    assert "Join" not in cluster.fragments(frame(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    order = in_order(rows)
+    pdf = pd.DataFrame({"start_frame": [r[2] for r in order], "end_frame": [r[3] for r in order], "body": [r[5] for r in order]})
+    tracemalloc.start()
+    got = cluster.chains(pdf, Config())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    used, want = set(), {}
+    for s in range(n):
+        tail = s
+        while s not in used and tail is not None:
+            want[tail] = s
+            later = next((t for t in range(tail + 1, n) if t not in used and t not in want and 0 < order[t][2] - order[tail][3] <= 120), None)
+            tail = later
+        used |= set(want)
+    assert got.tolist() == [want[k] for k in range(n)] and most < 5e6
