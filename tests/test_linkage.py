@@ -374,3 +374,24 @@ def test_chains_keep_no_edges(spark):
             tail = later
         used |= set(want)
     assert got.tolist() == [want[k] for k in range(n)] and most < 5e6
+
+
+def test_nearest_by_cosine_is_sent_in_wide_tiles(spark, monkeypatch):
+    """Stretches of a sorted block give the nearest of each group, zero vectors too; a table of many tiles is sent in fewer, wider ones."""
+    rng = np.random.default_rng(6)
+    rows = [(k, int(rng.integers(0, 4)), rng.normal(size=5).tolist() if k % 20 else [0.0] * 5) for k in range(90)]
+    monkeypatch.setattr(distance, "TILE", 2)
+    monkeypatch.setattr(distance, "MOST", 30)
+    monkeypatch.setattr(distance, "TILES", 3)
+    monkeypatch.setattr(distance, "WIDE", 7)
+    seen = []
+    grid = distance.grid
+    monkeypatch.setattr(distance, "grid", lambda *a, **k: seen.append(k.get("tile")) or grid(*a, **k))
+    got = {(r["key"], r["other"]): r["nearest"] for r in distance.nearest_in_groups(spark.createDataFrame(rows, "k long, g long, body array<double>"), "k", "g").collect()}
+    want = {}
+    for k, g, x in rows:
+        for _, o, y in rows:
+            if o != g:
+                d = cos(x, y) if any(x) and any(y) else 1.0
+                want[k, o] = min(want.get((k, o), 9.0), d)
+    assert got == pytest.approx(want) and seen == [30]
