@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..sources.tables import stored
-from .distance import units, weighted_block
+from .distance import STEP, WIDE, packed, unpacked, units, weighted_block
 
-#: Tracklets of a block of a cluster.
-BLOCK = 512
+#: Tracklets of a block of a cluster, about; stretches of it are compared.
+BLOCK = 4096
 DIGITS = 12
 #: Least similarity that a confirmed pair needs. Fixed value.
 SIMILAR = 0.70
@@ -46,43 +46,53 @@ def locally_dominant(pairs: DataFrame) -> DataFrame:
 
 
 def blocks(tracks: DataFrame) -> DataFrame:
-    """(cluster, n, faces, body, face), stored: each cluster's tracklets in blocks of about BLOCK, vectors one after another."""
-    rows = tracks.select(F.col("local_cluster").cast("long").alias("cluster"), "track_id", F.struct("has_face", "body", "face").alias("row"))
+    """(cluster, part, block), stored: each cluster's tracklets in packed blocks of about BLOCK."""
+    rows = tracks.select(F.col("local_cluster").cast("long").alias("cluster"), "track_id", "has_face", *(F.col(c).cast("array<double>").alias(c) for c in ("body", "face")))
     parts = rows.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    dealt = rows.join(parts, "cluster").groupBy("cluster", F.pmod(F.xxhash64("track_id"), F.col("parts")).alias("part")).agg(F.collect_list("row").alias("r"))
-    flat = lambda c: F.flatten(F.transform("r", lambda x: F.transform(x[c], lambda y: y.cast("double"))))
-    return stored(dealt.select("cluster", F.size("r").alias("n"), F.transform("r", lambda x: x["has_face"]).alias("faces"), flat("body").alias("body"), flat("face").alias("face")), "blocks")
+    dealt = rows.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("track_id"), F.col("parts"))).drop("track_id", "parts")
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.table({"cluster": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()), "block": pa.array([packed(table.drop_columns(["cluster", "part"]))], pa.binary())})
+
+    return stored(dealt.groupBy("cluster", "part").applyInArrow(pack, "cluster long, part long, block binary"), "blocks")
+
+
+def least_between(x: dict, y: dict, config: Config) -> list[float | None]:
+    """Least weighted distance of two blocks, that of two faces, least body and least face distance; in stretches of bounded size."""
+    found = np.full(4, np.inf)
+    for i in range(0, len(x["body"]), STEP):
+        a = {c: v[i : i + STEP] for c, v in x.items()}
+        for j in range(0, len(y["body"]), WIDE):
+            b = {c: v[j : j + WIDE] for c, v in y.items()}
+            d, body, face = (np.nan_to_num(v, nan=1.0) for v in weighted_block(a, b, config.face_weight_across))
+            both = a["has_face"][:, None] & b["has_face"][None]
+            found = np.minimum(found, [d.min(), d[both].min(initial=np.inf), body.min(), face[both].min(initial=np.inf)])
+    return [None if np.isinf(v) else v for v in found]
 
 
 def between(asked: DataFrame, own: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(a, b, distance, faced, body, face) for each distinct (a, b) of asked: least weighted distance over all pairs of
     tracklets, over those with two faces (else null), least body and least face distance; what is no number counts as 1.
 
-    own: blocks(). A row of the join is a pair of blocks, reduced where it stands.
+    own: blocks(). A group is a pair of blocks, each of which is sent once to it, reduced where it stands.
     """
-    side = lambda s: own.select(F.col("cluster").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "faces", "body", "face")))
-    pairs = asked.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.float64()), ("faced", pa.float64()), ("body", pa.float64()), ("face", pa.float64())])
-    value = lambda batch, c, k: batch[c][k].values
-
-    def block(batch, s, k):
-        n = batch[f"n_{s}"][k].as_py()
-        matrix = lambda c: units(value(batch, f"{c}_{s}", k).to_numpy(zero_copy_only=False).reshape(n, -1))
-        return {"body": matrix("body"), "face": matrix("face"), "has_face": value(batch, f"faces_{s}", k).to_numpy(zero_copy_only=False).astype(bool)}
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for k in range(batch.num_rows):
-                x, y = block(batch, "a", k), block(batch, "b", k)
-                d, body, face = weighted_block(x, y, config.face_weight_across)
-                d, body = np.nan_to_num(d, nan=1.0), np.nan_to_num(body, nan=1.0)
-                both = x["has_face"][:, None] & y["has_face"][None]
-                seen = np.nan_to_num(face[both], nan=1.0)
-                out.append((d.min(), d[both].min() if len(seen) else None, body.min(), seen.min() if len(seen) else None))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *(pa.array(list(c), pa.float64()) for c in (zip(*out, strict=True) if out else [[]] * 4))], schema=schema)
-
-    got = pairs.mapInArrow(run, "a long, b long, distance double, faced double, body double, face double")
+    known = own.select("cluster", "part")
+    side = lambda s: known.select(F.col("cluster").alias(s), F.col("part").alias(f"part_{s}"))
+    cells = stored(asked.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "part_a", "b", "part_b"), "cells")
+    ends = F.array(*(F.struct(F.col(s).alias("cluster"), F.col(f"part_{s}").alias("part"), F.lit(s).alias("side")) for s in ("a", "b")))
+    sent = cells.select("*", F.explode(ends).alias("x")).select("a", "part_a", "b", "part_b", "x.*").join(own, ["cluster", "part"])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), *((c, pa.float64()) for c in ("distance", "faced", "body", "face"))])
+
+    def ready(block: pa.Scalar) -> dict:
+        x = unpacked(block.as_buffer())
+        return {"body": units(x["body"]), "face": units(x["face"]), "has_face": x["has_face"].astype(bool)}
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        at = dict(zip(table["side"].to_pylist(), table["block"], strict=True))
+        found = least_between(ready(at["a"]), ready(at["b"]), config)
+        return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip((key[0].as_py(), key[2].as_py(), *found), schema, strict=True)], schema=schema)
+
+    got = sent.select("a", "part_a", "b", "part_b", "side", "block").groupBy("a", "part_a", "b", "part_b").applyInArrow(run, "a long, b long, distance double, faced double, body double, face double")
     least = lambda c: F.round(F.min(c), DIGITS).alias(c)
     return got.groupBy("a", "b").agg(least("distance"), least("faced"), least("body"), least("face"))
 
@@ -118,7 +128,12 @@ def events(pairs: DataFrame, partners: DataFrame, own: DataFrame, config: Config
     members = members_of(open_, partners)
     seen = _nearest(_asked(open_.where("grown"), members, members), own, config)
     open_ = open_.join(seen.select("i", "j", F.coalesce("faced", "near").alias("again")), ["i", "j"], "left").withColumn("distance", F.coalesce("again", "distance")).drop("again")
-    best = open_.groupBy("j").agg(F.min(F.struct("distance", "i", "clip_i", "clip_j", "threshold", "similar", "grown")).alias("e"), F.min("i").alias("first"))
+    return ranked(open_.withColumn("first", F.col("i")), members, own, config)
+
+
+def ranked(open_: DataFrame, members: DataFrame, own: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """The event of each target, stored, from rows that hold its nearest source (by distance, then i) and, in `first`, its smallest one."""
+    best = open_.groupBy("j").agg(F.min(F.struct("distance", "i", "clip_i", "clip_j", "threshold", "similar", "grown")).alias("e"), F.min("first").alias("first"))
     best = stored(best.select(F.struct(F.col("e.distance").alias("d"), "first", "j").alias("rank"), "e.*", "j"), "best")
     all_ = _nearest(_asked(best, members, members), own, config)
     return stored(best.join(all_.drop("faced"), ["i", "j"]), "events")
@@ -173,7 +188,12 @@ def parents(pairs: DataFrame, tracks: DataFrame, config: Config = DEFAULT) -> Da
     wanted = faced.select(F.explode(F.array("i", "j")).alias("local_cluster")).unionByName(partners.select(F.explode(F.array("i", "j")).alias("local_cluster"))).distinct()
     own = blocks(tracks.withColumn("local_cluster", F.col("local_cluster").cast("long")).join(wanted, "local_cluster", "left_semi"))
     made = events(pairs, partners, own, config)
-    got = second_pass(made, members_of(made, partners), own, config)
+    return joined(partners, made, members_of(made, partners), own, config)
+
+
+def joined(partners: DataFrame, made: DataFrame, members: DataFrame, own: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(cluster, parent), stored, from what the first pass took and the events of the second."""
+    got = second_pass(made, members, own, config)
     up = stored(partners.unionByName(got).select(F.col("j").alias("cluster"), F.col("i").alias("parent")), "parents")
     while not config.one_level_parents:  # pointers are followed to the root, twice as far each round
         higher = up.select(F.col("cluster").alias("parent"), F.col("parent").alias("higher"))
