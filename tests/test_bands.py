@@ -94,3 +94,10 @@ def test_a_cluster_is_sent_as_one_block(spark):
     got = matching.between(spark.createDataFrame([(0, 1)], "a long, b long"), own).first()
     u = distance.units(x)
     assert np.isclose(got["body"], (1 - u[::2] @ u[1::2].T).min(), atol=1e-11)
+
+
+def test_no_pass_for_pairs_that_cannot_be(spark, monkeypatch):
+    """Where every cluster has a face, nothing is compared for the first pass."""
+    tracks = clustered(spark, mixed(2, n=20, faceless=-1.0)).withColumn("has_face", F.lit(True))
+    monkeypatch.setattr(match, "best_between", None)
+    assert match.first_pass(tracks, match.clusters(tracks)).collect() == []
