@@ -15,6 +15,8 @@ from ..sources.tables import stored  # noqa: F401  the operators' way to cut lin
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 #: Rows and bytes of text that Python holds at once from one Arrow batch.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+#: Bytes of an Arrow batch at most, but for a single row; an executor holds some of them outside its heap for each task.
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,23 @@ def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, step)
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run) with batches of few bytes, and workers that give free Arrow memory back after each task.
+
+    The session's bound on the bytes of a batch is lowered for that; a smaller one stays.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < most <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+    def freeing(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(freeing, schema)
+
+
 def map_text(df: DataFrame, key: str, text: str, fn: Callable[[list, list], list], schema: str, *, binary: bool = False) -> DataFrame:
     """One row (key, *fn's columns) for each row of df; fn takes lists of keys and texts (None: null), in bounded slices.
 
@@ -66,7 +85,7 @@ def map_text(df: DataFrame, key: str, text: str, fn: Callable[[list, list], list
                 arrays = [part.column(0)] + [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, list(arrow)[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
 
-    return made.mapInArrow(run, out).withColumnRenamed("key", key)
+    return map_batches(made, run, out).withColumnRenamed("key", key)
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import _arrow_schema, slices
+from .common import _arrow_schema, map_batches, slices
 
 #: Fixed values of HTML: elements without content, elements whose content isn't markup but is no text to show, and elements that end a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -543,4 +543,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
                 cols = [part.column(0), part.column(1), pa.array(texts), pa.array([len(x) for x in texts]), pa.array([len(b) for b in found]), pa.array([len(x) for x in kept])]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    return pages.select(key, url, page).mapInArrow(run, out)
+    return map_batches(pages.select(key, url, page), run, out)

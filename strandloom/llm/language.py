@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _arrow_schema, map_text, slices, stored
+from .common import _arrow_schema, map_batches, map_text, slices, stored
 
 #: Longest n-grams; a code point takes 21 bits of a code.
 GRAM = 3
@@ -165,7 +165,7 @@ def _counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
             codes, n = merged(parts)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n)], schema=arrow)
 
-    return docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")), run, schema)
 
 
 #: Languages that a filter can hold; more are an error, never dropped.

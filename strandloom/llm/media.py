@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _arrow_schema, free_name, map_text, slices
+from .common import _arrow_schema, free_name, map_batches, map_text, slices
 
 #: Fixed values of the PNG format: the signature and channels by colour type.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -212,7 +212,7 @@ def media_features(media: DataFrame, column: str = "media") -> DataFrame:
                 fields = list(arrow)[len(own) :]
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(list(x), f.type) for x, f in zip(made, fields, strict=True))], schema=arrow)
 
-    return media.mapInArrow(run, schema)
+    return map_batches(media, run, schema)
 
 
 def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

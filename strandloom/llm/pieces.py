@@ -16,6 +16,7 @@ merged from its characters, all such occurrences together, a candidate of each i
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 from array import array
 
@@ -39,6 +40,8 @@ _M = (1 << 64) - 1
 _PLACE, _PIECE, _MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Characters of a long text that are cut into chunks at once.
 PART = 1 << 20
+#: Characters of short texts that are merged at once, about; a worker holds some hundred bytes for each.
+TOGETHER = 1 << 18
 _CUT = re.compile("(?<! ) ")
 
 
@@ -253,7 +256,11 @@ class Vocabulary:
     def encode_all(self, texts: list[str | None], keys: list[int], drop: int) -> list[np.ndarray | None]:
         """Ids of whole texts, each by its own key; long ones in parts that are cut before blanks, where chunks begin."""
         short = [None if t is None or len(t) > PART else t for t in texts]
-        out = [None if x is None else x[0] for x in self.encode_parts(short, keys, drop, True)]
+        group = (np.cumsum([len(t or "") for t in short]) // TOGETHER).tolist()
+        out: list[np.ndarray | None] = []
+        for _, own in itertools.groupby(range(len(texts)), group.__getitem__):
+            own = list(own)
+            out += [None if x is None else x[0] for x in self.encode_parts([short[i] for i in own], [keys[i] for i in own], drop, True)]
         for i, t in enumerate(texts):
             if t is not None and len(t) > PART:
                 cuts, at = [0], PART
@@ -375,7 +382,7 @@ def _sent(df: DataFrame, path: str):
 def _held(sent) -> Vocabulary:
     value = sent.value
     if "vocabulary" not in value:
-        value["vocabulary"] = Vocabulary(value["pieces"])
+        value["vocabulary"] = Vocabulary(value.pop("pieces"))
     return value["vocabulary"]
 
 

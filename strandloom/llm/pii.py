@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _arrow_schema, free_name, join_checked, slices, small, stored
+from .common import _arrow_schema, free_name, join_checked, map_batches, slices, small, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words counted in a task before they are handed on as partial counts.
@@ -157,7 +157,7 @@ def _scan(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
         of = {"word": w, "df": pa.array(list(words.values()), pa.int64())}
         return pa.RecordBatch.from_arrays([of[f.name].cast(f.type) if f.name in of else pa.nulls(n, f.type) for f in arrow], schema=arrow)
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, schema)
 
 
 def term_spans(text: str, base, terms: dict[str, float]) -> list[tuple[int, int, int, float]]:
@@ -235,7 +235,7 @@ def _places(docs: DataFrame, key: str, text: str, marks: DataFrame) -> DataFrame
                     made.append((k, _signed(t or ""), [{"start": a, "kind": i, "stop": b} for a, i, b, _ in spans]))
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*made, strict=True), arrow, strict=True)], schema=arrow)
 
-    return joined.mapInArrow(run, schema).where("size(extra) > 0").groupBy("key", "same").agg(F.first("extra").alias("extra"))
+    return map_batches(joined, run, schema).where("size(extra) > 0").groupBy("key", "same").agg(F.first("extra").alias("extra"))
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window: int = 6, support: int = 1, generalise: float = 2.0) -> DataFrame:
@@ -299,7 +299,7 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", *, window
                 cols[place] = pa.array(new, arrow.field(place).type)
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    out = joined.mapInArrow(run, schema)
+    out = map_batches(joined, run, schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(text).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(schema["n_chars"].dataType))
     return out

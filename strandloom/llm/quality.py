@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, map_text, slices, stored
+from .common import join_checked, map_batches, map_text, slices, stored
 
 FEATURES = ("upper", "digit", "symbol", "stop", "bar", "bang", "high", "line", "length", "spread", "distinct", "again", "lines_again", "top", "size")
 _UPPER, _DIGIT, _STOP = (np.frombuffer(x, np.uint8) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:"))
@@ -159,4 +159,4 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
                 x = np.array([statistics(t and t.encode()) for t in part.column(place).to_pylist()]).reshape(-1, len(FEATURES))
                 yield part.filter(pa.array(model.score(x) >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -3,10 +3,12 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from strandloom.llm import common, copies, mixing, pii, quality, simhash
+from strandloom.llm import common, copies, mixing, pieces, pii, quality, simhash
 from strandloom.llm.common import stored, table
+from strandloom.llm.queries import MODEL
 
 from .test_text_ops import empty, odd_docs
 
@@ -118,3 +120,33 @@ def test_near_copies_of_odd_rows(spark):
     got = copies.near_copies(odd_docs(spark)).collect()
     assert len(got) == 9 and copies.near_copies(empty(spark)).count() == 0
     assert {r["component_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
+
+
+def test_batches_of_texts_are_bounded(spark):
+    """No batch that a text stage gets holds more than BATCH_BYTES and a row, however many rows there are; all rows come."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(4000).repartition(1).selectExpr("id AS doc_id", "concat(repeat('word ', 400), id) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    spark.conf.unset(name)
+    stage = pii.sanitise(docs)  # a stage sets the bound
+    got = docs.mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r["n"] for r in got) == stage.count() == 4000
+    assert max(r["bytes"] for r in got) <= common.BATCH_BYTES + (1 << 13)
+    spark.conf.set(name, "64k")
+    common.map_text(docs, "doc_id", "text", lambda k, t: [[len(x) for x in t]], "n long")
+    assert spark.conf.get(name) == "64k"  # a smaller one stays
+    spark.conf.unset(name)
+
+
+def test_texts_of_any_grouping_have_equal_ids(monkeypatch):
+    texts = ["some words of a text", None, "", "x" * 50, "▁ mark", *(f"word {i} and {i % 3}" for i in range(40))]
+    keys, found = pieces._keys(texts, 7, 0), []
+    for together in (1 << 18, 20):
+        monkeypatch.setattr(pieces, "TOGETHER", together)
+        made = pieces.Vocabulary(pieces.load(MODEL)).encode_all(texts, keys, 1 << 61)
+        found.append([None if x is None else x.tolist() for x in made])
+    assert found[0] == found[1] and found[0][1] is None and found[0][2] == []
