@@ -22,7 +22,7 @@ def in_cells(rows: DataFrame, key: str, group: str, vector: str, cells: int = CE
     """
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     own = rows.select(F.col(key).cast("long").alias("key"), F.col(group).cast("long").alias("group"), F.col(vector).cast("array<double>").alias("vec"))
-    own = own.where(F.col("group").isNotNull() & (F.size("vec") > 0) & F.forall("vec", finite))
+    own = stored(own.where(F.col("group").isNotNull() & (F.size("vec") > 0) & F.forall("vec", finite)), "finite")  # read twice
     x, y = F.col("vec")[0], F.coalesce(F.get("vec", F.lit(1)), F.lit(0.0))
     lo_x, hi_x, lo_y, hi_y = own.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
     width = max((hi_x or 0) - (lo_x or 0), (hi_y or 0) - (lo_y or 0)) / cells or 1.0
@@ -31,20 +31,30 @@ def in_cells(rows: DataFrame, key: str, group: str, vector: str, cells: int = CE
 
 
 def boxes(points: DataFrame) -> DataFrame:
-    """group, cell, lo, hi, count: the least box around the points of each cell, from partial minima and maxima."""
+    """group, cell, lo, hi, count, same: the least box around the points of each cell, from partial minima and maxima.
+
+    same: a hash of the cell and its points, made of their number and two exact sums of hashes; cells that agree in it hold equal points.
+    """
     sides = points.select("group", "cell", F.posexplode("vec").alias("pos", "x")).groupBy("group", "cell", "pos").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
     packed_up = sides.groupBy("group", "cell").agg(F.sort_array(F.collect_list(F.struct("pos", "lo", "hi"))).alias("s"), F.max("n").alias("count"))  # as many as components
-    return packed_up.select("group", "cell", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"), "count")
+    total = lambda *x: F.sum(F.xxhash64(*x).cast("decimal(20,0)"))
+    marks = points.groupBy("group", "cell").agg(F.count("*").alias("n"), total("vec").alias("one"), total(F.lit(1), "vec").alias("two"))
+    marks = marks.select("group", "cell", F.xxhash64("cell", "n", "one", "two").alias("same"))
+    return packed_up.join(marks, ["group", "cell"]).select("group", "cell", F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"), "count", "same")
 
 
 def _bounds(a: Block, b: Block) -> pd.DataFrame:
-    """For each cell of a and each other group of b: the least and largest that a point's nearest distance can be, and the cells that can hold it."""
+    """For each cell of a and each other group of b: the least and largest that a point's nearest distance can be, and the cells that can hold it.
+
+    A cell with the same points in the other group has nearest distances of 0 and is left out, as no distance is less.
+    """
     least, most = np.zeros((len(a["cell"]), len(b["cell"]))), np.zeros((len(a["cell"]), len(b["cell"])))
     for al, ah, bl, bh in zip(a["lo"].T, a["hi"].T, b["lo"].T, b["hi"].T, strict=True):
         gap = np.maximum(np.maximum(bl[None] - ah[:, None], al[:, None] - bh[None]), 0)
         least += gap * gap
         span = np.maximum(bh[None] - al[:, None], ah[:, None] - bl[None])
         most += span * span
+    most[a["same"][:, None] == b["same"][None]] = 0
     order = np.argsort(b["group"], kind="stable")
     names, first = np.unique(b["group"][order], return_index=True)
     least, most, cells = np.sqrt(least[:, order]), np.sqrt(most[:, order]), b["cell"][order]
@@ -52,7 +62,7 @@ def _bounds(a: Block, b: Block) -> pd.DataFrame:
     own, at = np.unique(a["group"], return_inverse=True)
     floor = np.full((len(own), len(names)), -np.inf)
     np.maximum.at(floor, at, low)
-    keep = (names[None] != a["group"][:, None]) & (high * (1 + 1e-9) >= floor[at])
+    keep = (names[None] != a["group"][:, None]) & (high > 0) & (high * (1 + 1e-9) >= floor[at])
     ends, out = [*first[1:], len(order)], []
     for i, k in zip(*np.nonzero(keep), strict=True):
         s = slice(first[k], ends[k])
@@ -69,7 +79,8 @@ def _by_group(b: Block) -> Block:
 def visits(cells: DataFrame, tile: int = TILE) -> DataFrame:
     """group, cell, other, cells, stored: the cells of a group that may hold its farthest point from another group, with those of the other that may hold the nearest ones.
 
-    A cell's points are nearer than `high` and farther than `low`; a cell whose `high` is below another's `low` isn't visited.
+    A cell's points are nearer than `high` and farther than `low`; a cell whose `high` is below another's `low`, or whose
+    points the other group has too, isn't visited. Groups that leave no cell to visit in either direction are 0 apart.
     A group's cells are one tile at most, so bounds are whole; those of stretches are joined by their maximum here.
     """
     kinds = "group long, cell long, other long, low double, high double, cells array<long>"
@@ -112,4 +123,7 @@ def hausdorff(rows: DataFrame, key: str, group: str, vector: str, cells: int = C
 
     each = pairs.mapInArrow(compare, "group long, other long, key long, nearest double").groupBy("group", "other", "key").agg(F.min("nearest").alias("nearest"))
     directed = each.groupBy("group", "other").agg(F.max("nearest").alias("d"))
+    names = stored(own.select("group").distinct(), "groups")
+    none = names.select(F.col("group").alias("i")).join(names.select(F.col("group").alias("j")), F.col("i") < F.col("j"))  # a row of the result each
+    directed = directed.unionByName(none.select(F.col("i").alias("group"), F.col("j").alias("other"), F.lit(0.0).alias("d")))
     return directed.groupBy(F.least("group", "other").alias("i"), F.greatest("group", "other").alias("j")).agg(F.max("d").alias("distance"))

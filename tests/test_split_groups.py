@@ -5,6 +5,7 @@ import pytest
 
 from strandloom.config import Config
 from strandloom.operators import features, spatial
+from strandloom.sources.tables import stored
 
 
 def plain_hausdorff(points):
@@ -108,3 +109,14 @@ def test_representatives_of_odd_rows(spark):
     assert features.representatives(spark.createDataFrame([], schema), ["g"], "at", "body", "q").count() == 0
     rows = [(0, i // 2, None if i % 3 else [1.0, None], 1.0) for i in range(20)]
     assert features.representatives(spark.createDataFrame(rows, schema), ["g"], "at", "body", "q").count() == 15
+
+
+def test_hausdorff_of_groups_that_share_points(spark):
+    """Cells that hold the same points in both groups aren't visited; groups of equal points are 0 apart."""
+    base = [(float(x), float(y)) for x in range(40) for y in range(40)]
+    rows = [(g * 10_000 + i, g, list(p)) for g in range(4) for i, p in enumerate(base)] + [(90_000, 3, [39.0, 44.0])]
+    df = spark.createDataFrame(rows, "key long, group long, vec array<double>")
+    points = spatial.in_cells(df, "key", "group", "vec", 8)
+    assert spatial.visits(stored(spatial.boxes(points), "boxes")).count() <= 6  # before: 61 cells of each of 12 directed pairs or so
+    got = {(r["i"], r["j"]): r["distance"] for r in spatial.hausdorff(df, "key", "group", "vec", 8).collect()}
+    assert got == {(i, j): 5.0 if j == 3 else 0.0 for i in range(4) for j in range(i + 1, 4)}
