@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import distance
+from strandloom.operators import distance, match
 from strandloom.sources import tables
 
 
@@ -52,3 +52,35 @@ def test_what_was_shuffled_for_a_stored_table_goes(spark):
     assert spark.conf.get(tables.FREED, "false") == "false"
     tables.discard(made)
     assert not tables._path(spark, made.inputFiles()[0])[1].exists(tables._path(spark, made.inputFiles()[0])[0])
+
+
+def lone(spark, n=1200, people=6, width=64):
+    """Lone tracklets of some people, a cluster each."""
+    rng = np.random.default_rng(2)
+    bodies = rng.normal(size=(people, width))
+    near = lambda k: (bodies[k % people] + 0.3 * rng.normal(size=width)).tolist()
+    rows = [(k, k % 7, 0, 60 + k % 300, k % 3 != 0, near(k), near(k), k) for k in range(n)]
+    return spark.createDataFrame(rows, "track_id long, clip_idx int, start_frame int, end_frame int, has_face boolean, body array<double>, face array<double>, local_cluster long").cache()
+
+
+def test_candidates_send_few_tables(spark, monkeypatch):
+    """Sixty tiles of six people: a tile meets those of its own person only, and passes by groups of tiles; once each was sent to all others that are near."""
+    tracks = lone(spark)
+    want = match.candidates(tracks).count()
+    monkeypatch.setattr(distance, "TILE", 20)
+    monkeypatch.setattr(distance, "MOST", 20)
+    monkeypatch.setattr(distance.near_grid, "__kwdefaults__", distance.near_grid.__kwdefaults__ | {"tile": 20})
+    sent, got = shuffled(spark, lambda: match.candidates(tracks).count())
+    assert got == want > 20_000 and sent < 20 * tracks.count() * 8 * 3 * 64
+
+
+def test_pairs_of_clusters_carry_no_vectors(spark, monkeypatch):
+    """Of a pair only numbers are gathered; with the vectors of both, half a million pairs at once took a gigabyte."""
+    judged = match.judged
+
+    def watched(a, b, *similar):
+        assert all(v.ndim == 1 for v in (*a.values(), *b.values(), *similar))
+        return judged(a, b, *similar)
+
+    monkeypatch.setattr(match, "judged", watched)
+    assert match.candidates(lone(spark, 60)).count() > 50
