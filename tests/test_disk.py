@@ -84,3 +84,22 @@ def test_pairs_of_clusters_carry_no_vectors(spark, monkeypatch):
 
     monkeypatch.setattr(match, "judged", watched)
     assert match.candidates(lone(spark, 60)).count() > 50
+
+
+def test_pairs_of_a_clip_send_few_tables(spark, monkeypatch):
+    """A clip of many tiles of 20: tiles grow to a few of the table, each is sent to few others, and is still compared 20 at once."""
+    monkeypatch.setattr(distance, "PART", 20)
+    monkeypatch.setattr(distance, "PARTS", 4, raising=False)
+    monkeypatch.setattr(distance.within_clips, "__kwdefaults__", distance.within_clips.__kwdefaults__ | {"part": 20})
+    x = vectors(1200, width=32)
+    x[5] = 0.0
+    rows = [(k, 0, k + 1, k % 3 != 0, *(v.tolist() for v in (x[k], x[k][::-1], x[k][:4], x[k][-4:]))) for k in range(len(x))]
+    df = spark.createDataFrame(rows, "track_id long, clip_idx int, ord int, has_face boolean, body array<double>, face array<double>, pose array<double>, motion array<double>").cache()
+    sent, got = shuffled(spark, lambda: distance.hybrid(df, 6).toPandas())
+    assert sent < 12 * x.nbytes * 72 / 32
+    assert len(got) == len(set(zip(got["i"], got["j"], strict=True))) == 1200 * 1199 // 2 and (got["i"] < got["j"]).all()
+    unit = [distance.units(np.ascontiguousarray(v)) for v in (x, x[:, ::-1], x[:, :4], x[:, -4:])]
+    body, face, pose, motion = (1 - np.einsum("ij,ij->i", u[got["i"]], u[got["j"]]) for u in unit)
+    both = (got["i"] % 3 != 0) & (got["j"] % 3 != 0)
+    want = np.where(both, 0.6 * body + 0.2 * face, 0.8 * body) + 0.1 * pose + 0.1 * motion
+    assert np.allclose(got["distance"], want, atol=1e-6, equal_nan=True) and got["distance"].isna().sum() == 1199
